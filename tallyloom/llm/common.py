@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,7 +88,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about `most` bytes of text, or a single row: memory follows the longest text, not the batch."""
     for batch in batches:
-        sizes = [len(x) if x is not None else 0 for x in batch.column(column).cast(pa.binary())] if batch.nbytes > most else []
+        sizes = [n or 0 for n in pc.binary_length(batch.column(column)).to_pylist()] if batch.nbytes > most else []
         if not sizes:
             if batch.num_rows:
                 yield batch

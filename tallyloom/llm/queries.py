@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage: name -> (function of (spark, sf_dir), DuckDB SQL or None)."""
 
-from . import mixing, quality, tokens
+from . import decontaminate, lm, mixing, quality, simhash, tokens, warc
 
-MODULES = (quality, tokens, mixing)
+MODULES = (quality, tokens, mixing, lm, decontaminate, simhash, warc)
 QUERIES = {name: pair for m in MODULES for name, pair in m.QUERIES.items()}
