@@ -7,7 +7,6 @@ texts as UTF-8 bytes (``bytes.split()`` cuts at exactly these characters).
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -24,6 +23,7 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 #: Rows that a stored table may have at most to be broadcast.
 BROADCAST_ROWS = 1_000_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,10 +47,14 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here, so a lost executor costs a file read."""
-    path = new_path(df.sparkSession, label)
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(schema).parquet(path)
+    spark, path, schema = df.sparkSession, new_path(df.sparkSession, label), df.schema
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # the shuffles of this write are of no use after it
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
+    out = spark.read.schema(schema).parquet(path)
     out._tallyloom_path = path
     return out
 
