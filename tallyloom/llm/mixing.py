@@ -91,6 +91,15 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     return draw(rows.join(targets, rows.source.eqNullSafe(targets.s), "left").drop("s"))
 
 
+def take(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """docs, with all their columns, that the mix takes, and `copies` (1 or more; a column of that name is replaced).
+
+    Rows with the same id and text get the same number of copies."""
+    drawn = mix(docs, id, text, source).where("copies > 0").groupBy(F.xxhash64("id").alias("__mix_1"), F.col("tie").alias("__mix_2")).agg(F.max("copies").alias("__mix_n"))
+    rows = docs.withColumns({"__mix_1": F.xxhash64(id), "__mix_2": F.xxhash64(text)}).join(stash(drawn, "mix-drawn"), ["__mix_1", "__mix_2"])
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns if c != "copies"), F.col("__mix_n").alias("copies"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     out = mix(table(spark, sf_dir, "documents"))

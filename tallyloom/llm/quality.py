@@ -130,10 +130,19 @@ def posterior(theta: list[float], rules=RULES) -> Column:
     return 1 / (1 + F.exp(-score))
 
 
+def passing(rows: DataFrame, more: Column | None = None) -> DataFrame:
+    """Rows (with counts) that pass the base check, and `more`.
+
+    The row number is there so that the filter isn't moved below the counts, which would work them out once for each mention."""
+    rows = rows.withColumn(f"{OWN}row", F.monotonically_increasing_id())
+    keep = F.expr(f"`{OWN}row` >= 0 AND NOT {base_failed(OWN)}")
+    return rows.where(keep if more is None else keep & more)
+
+
 def learn(docs: DataFrame, text: str = "text", counted: bool = False) -> list[float]:
     """The estimates from all documents that pass the base check."""
     rows = docs if counted else with_counts(docs.select(text), text)
-    patterns = rows.where(f"NOT {base_failed(OWN)}").groupBy(F.array(*votes()).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    patterns = passing(rows).groupBy(F.array(*votes()).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     return fit(patterns, len(RULES))
 
 
@@ -142,7 +151,7 @@ def judge(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataFram
 
     The texts are read twice (estimates, verdicts) rather than stored or joined; no text is shuffled."""
     theta = learn(docs, text)
-    out = with_counts(docs, text).where(f"NOT {base_failed(OWN)}").where(posterior(theta) >= least)
+    out = passing(with_counts(docs, text), posterior(theta) >= least)
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

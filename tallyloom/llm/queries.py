@@ -1,6 +1,6 @@
 """Queries and SQL of this subpackage: name -> (function of (spark, sf_dir), DuckDB SQL or None)."""
 
-from . import decontaminate, lm, mixing, phrases, quality, simhash, suffixes, tokens, warc
+from . import decontaminate, lines, lm, mixing, phrases, quality, simhash, suffixes, tokens, warc
 
-MODULES = (quality, tokens, mixing, lm, decontaminate, suffixes, simhash, warc, phrases)
+MODULES = (lines, quality, tokens, mixing, lm, decontaminate, suffixes, simhash, warc, phrases)
 QUERIES = {name: pair for m in MODULES for name, pair in m.QUERIES.items()}
