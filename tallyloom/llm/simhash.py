@@ -142,7 +142,7 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     # a bucket's members in order of fingerprint: each with the one before it and with the least
     lag = F.lag("fp").over(W.partitionBy("t", "key").orderBy("fp"))
     first = F.min("fp").over(W.partitionBy("t", "key"))
-    chained = found.select("fp", F.explode(F.array_distinct(F.array(lag, first))).alias("other")).where("other IS NOT NULL AND fp <> other").distinct()
+    chained = found.select("fp", lag.alias("before"), first.alias("least")).select("fp", F.explode(F.array_distinct(F.array("before", "least"))).alias("other")).where("other IS NOT NULL AND fp <> other").distinct()
     a, b = heads.select("fp", F.col("head").alias("u")), heads.select(F.col("fp").alias("other"), F.col("head").alias("v"))
     pairs = stash(same.union(chained.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2 * STAGE_RADIUS).join(a, "fp").join(b, "other").select("u", "v")).distinct(), "near-pairs")
     need = pairs.select("u").union(pairs.select(F.col("v").alias("u"))).distinct()
