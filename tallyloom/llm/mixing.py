@@ -40,7 +40,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, most
         "open": F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)),
     })
     given = given.withColumn("level", F.when(F.col("cap") * F.col("open") >= F.col("w") * F.col("left"), F.col("left") / F.col("open")))
-    given = given.withColumn("level", F.min("level").over(every))
+    given = given.withColumn("level", F.max("level").over(every))  # of the first that is not capped; later ones are lower
     return given.select("source", "source_size", F.least("cap", F.coalesce(F.col("w") * F.col("level"), F.col("cap"))).alias("target"))
 
 
@@ -116,7 +116,7 @@ WITH d AS (
     {TOTAL}::DOUBLE * sum(source_size) OVER () - coalesce(sum({MOST}::DOUBLE * source_size) OVER (ORDER BY {MOST}::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
     sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY {MOST}::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o
   FROM s
-), l AS (SELECT min(rest / o) FILTER (WHERE cap * o >= w * rest) AS level FROM c
+), l AS (SELECT max(rest / o) FILTER (WHERE cap * o >= w * rest) AS level FROM c
 ), t AS (
   SELECT source, source_size, least(cap, coalesce(w * level, cap)) AS target FROM c, l
 ), r AS (
