@@ -1,0 +1,115 @@
+"""Queries on retrieval quality, usage and health."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import evaluation as E
+from .views import T0, sql, table, view
+
+QUERIES: dict = {}
+
+
+def query(name: str, sql_text: str | None, *names: str):
+    def keep(fn):
+        QUERIES[name] = (fn, sql(sql_text, *names) if sql_text else None)
+        return fn
+
+    return keep
+
+
+_CASES = "SELECT doc_id AS q, CASE WHEN n_chars % 7 = 0 THEN NULL ELSE n_chars % 9 + 1 END AS rank FROM documents"
+
+
+@query("recall_metrics", f"SELECT count(*) AS cases, round(avg(CASE WHEN coalesce(rank, 999) <= 1 THEN 1.0 ELSE 0 END), 6) AS hit1, round(avg(CASE WHEN coalesce(rank, 999) <= 5 THEN 1.0 ELSE 0 END), 6) AS hit5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM ({_CASES})")
+def _(s, sf):
+    d = table(s, sf, "documents").select(F.col("doc_id").alias("q"), F.when(F.col("n_chars") % 7 != 0, F.col("n_chars") % 9 + 1).alias("rank"))
+    return E.recall_metrics(d)
+
+
+def _scored(s, sf):
+    d = table(s, sf, "documents").select("doc_id", (F.col("n_chars") % 997).alias("score"), (F.col("n_chars") % 101).alias("other"))
+    return d.join(table(s, sf, "labels").where("quality IS NOT NULL").select("doc_id", (F.col("quality") == 1).alias("good")), "doc_id")
+
+
+_SCORED = "SELECT doc_id, n_chars % 997 AS score, quality = 1 AS good FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL"
+
+
+@query("auc", f"WITH x AS ({_SCORED}), p AS (SELECT score FROM x WHERE good), m AS (SELECT score FROM x WHERE NOT good) SELECT (SELECT count(*) FROM p) AS pos, (SELECT count(*) FROM m) AS neg, (SELECT round(avg(CASE WHEN p.score > m.score THEN 1.0::DOUBLE WHEN p.score = m.score THEN 0.5 ELSE 0 END), 6) FROM p, m) AS auc")
+def _(s, sf):
+    return E.auc(_scored(s, sf), "score", "good")
+
+
+@query("auc_bootstrap", None)
+def _(s, sf):
+    return E.bootstrap_auc(_scored(s, sf), "doc_id", "score", "other", "good", rounds=200)
+
+
+@query("wilson_interval", "SELECT source, k, n, round(CASE WHEN n = 0 THEN 0 ELSE (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n) END, 6) AS low, round(CASE WHEN n = 0 THEN 0 ELSE (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n) END, 6) AS high FROM (SELECT source, count_if(lang = 'en') AS k, count(*) AS n, count_if(lang = 'en')::DOUBLE / count(*) AS p FROM documents GROUP BY source)")
+def _(s, sf):
+    g = table(s, sf, "documents").groupBy("source").agg(F.count_if(F.col("lang") == "en").alias("k"), F.count(F.lit(1)).alias("n"))
+    return g.withColumn("w", E.wilson(F.col("k"), F.col("n"))).select("source", "k", "n", "w.low", "w.high")
+
+
+@query("kappa", "WITH j AS (SELECT (quality = 1)::INTEGER::DOUBLE AS a, (doc_id % 3 <> 0)::INTEGER::DOUBLE AS b FROM labels WHERE quality IS NOT NULL), m AS (SELECT count(*) AS shared, count_if(a = b) AS agreed, avg(a) AS pa, avg(b) AS pb FROM j) SELECT shared, agreed, round((agreed / shared - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))), 6) AS kappa FROM m")
+def _(s, sf):
+    x = table(s, sf, "labels").where("quality IS NOT NULL")
+    return E.kappa(x.select("doc_id", (F.col("quality") == 1).alias("v")), x.select("doc_id", (F.col("doc_id") % 3 != 0).alias("v")), "doc_id", "v")
+
+
+_CAND = "SELECT doc_id // 10 AS q, doc_id % 10 AS rank, CASE WHEN n_chars % 11 = 0 THEN NULL ELSE n_chars % 100 / 100.0::DOUBLE END AS score, n_chars % 3 = 0 AS helpful FROM documents"
+
+
+@query("threshold_sweep", f"WITH c AS ({_CAND}), t AS (SELECT round(i * 0.05::DOUBLE, 2) AS t FROM (SELECT unnest(range(20)) AS i)), k AS (SELECT t, q, helpful, row_number() OVER (PARTITION BY t, q ORDER BY rank) AS n FROM c, t WHERE score IS NULL OR score >= t) SELECT t, count_if(helpful) AS helpful, count_if(NOT helpful) AS unhelpful, count(DISTINCT CASE WHEN helpful THEN q END) AS prompts FROM k WHERE n <= 5 GROUP BY t")
+def _(s, sf):
+    c = table(s, sf, "documents").select(F.floor(F.col("doc_id") / 10).alias("q"), (F.col("doc_id") % 10).alias("rank"), F.when(F.col("n_chars") % 11 != 0, F.col("n_chars") % 100 / 100.0).alias("score"), (F.col("n_chars") % 3 == 0).alias("helpful"))
+    return E.sweep(c)
+
+
+@query("majority_of_runs", "SELECT doc_id % 50 AS id, count(*) AS n, count_if(n_chars % 2 = 0) AS passed, count_if(n_chars % 2 = 0) * 2 > count(*) AS pass, list_sort(list(n_chars))[count(*) // 2 + 1] AS median FROM documents GROUP BY doc_id % 50")
+def _(s, sf):
+    g = table(s, sf, "documents").groupBy((F.col("doc_id") % 50).alias("id")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars") % 2 == 0).alias("passed"), F.sort_array(F.collect_list("n_chars")).alias("v"))
+    return g.select("id", "n", "passed", (F.col("passed") * 2 > F.col("n")).alias("pass"), F.get("v", F.floor(F.col("n") / 2).cast("int")).alias("median"))
+
+
+@query("report_by_class", "SELECT lang AS class, count(*) AS total, count_if(n_chars > 1000) AS passed FROM documents GROUP BY lang")
+def _(s, sf):
+    return table(s, sf, "documents").groupBy(F.col("lang").alias("class")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("n_chars") > 1000).alias("passed"))
+
+
+@query("release_gate", "WITH m AS (SELECT doc_id % 2 AS arm, avg(n_chars) AS mean, max(n_chars)::DOUBLE AS top, count(*)::DOUBLE AS n FROM documents GROUP BY 1), r AS (SELECT * FROM (VALUES ('mean', 0.5), ('top', 0.1), ('n', 0.02)) AS t(name, slack)), v AS (SELECT name, slack, max(CASE WHEN arm = 0 THEN CASE name WHEN 'mean' THEN mean WHEN 'top' THEN top ELSE n END END) AS baseline, max(CASE WHEN arm = 1 THEN CASE name WHEN 'mean' THEN mean WHEN 'top' THEN top ELSE n END END) AS candidate FROM m, r GROUP BY name, slack) SELECT name, round(baseline, 4) AS baseline, round(candidate, 4) AS candidate, candidate >= baseline * (1 - slack::DOUBLE) AS pass FROM v")
+def _(s, sf):
+    m = table(s, sf, "documents").groupBy((F.col("doc_id") % 2).alias("arm")).agg(F.avg("n_chars").alias("mean"), F.max("n_chars").cast("double").alias("top"), F.count(F.lit(1)).cast("double").alias("n"))
+    long = m.select("arm", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.lit(x).alias("slack"), F.col(k).alias("v")) for k, x in (("mean", 0.5), ("top", 0.1), ("n", 0.02))))).alias("r")).select("arm", "r.*")
+    g = long.groupBy("name", "slack").agg(F.max(F.when(F.col("arm") == 0, F.col("v"))).alias("baseline"), F.max(F.when(F.col("arm") == 1, F.col("v"))).alias("candidate"))
+    return g.select("name", F.round("baseline", 4).alias("baseline"), F.round("candidate", 4).alias("candidate"), (F.col("candidate") >= F.col("baseline") * (1 - F.col("slack"))).alias("pass"))
+
+
+@query("cosine_targets", "WITH v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.id AS q, b.label = a.label AS own, round(list_dot_product(a.v, b.v), 6) AS c FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id) SELECT q, max(c) FILTER (WHERE own) AS target, max(c) FILTER (WHERE NOT own) AS wrong FROM s GROUP BY q")
+def _(s, sf):
+    from ..operators.vectors import dot
+
+    v = table(s, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    q = F.broadcast(v.where("id % 50 = 0").select(F.col("id").alias("q"), F.col("label").alias("ql"), F.col("v").alias("qv")))
+    x = v.join(q, (F.size("v") == F.size("qv")) & (F.col("id") != F.col("q"))).select("q", (F.col("label") == F.col("ql")).alias("own"), F.round(dot(F.col("qv"), F.col("v")), 6).alias("c"))
+    return x.groupBy("q").agg(F.max(F.when(F.col("own"), F.col("c"))).alias("target"), F.max(F.when(~F.col("own"), F.col("c"))).alias("wrong"))
+
+
+@query("title_trial", "SELECT ('0x' || substr(sha256('conv:' || conv_id), 2, 1))::INTEGER % 2 AS arm, count(*) AS n, count_if(length(text) > 200) AS opened FROM conversations GROUP BY 1")
+def _(s, sf):
+    arm = F.conv(F.substring(F.sha2(F.concat(F.lit("conv:"), "conv_id"), 256), 2, 1), 16, 10).cast("int") % 2
+    return table(s, sf, "conversations").groupBy(arm.alias("arm")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("text") > 200).alias("opened"))
+
+
+@query("health_alerts", f"WITH m AS (SELECT count_if(what = 'failure') AS failures, max(at_ms) AS newest, count(*) AS n FROM logs) SELECT 'failures' AS alert, failures AS value FROM m WHERE failures * 20 > n UNION ALL SELECT 'stale', ({T0 + 40 * 86_400_000} - newest) // 86400000 FROM m WHERE newest < {T0 + 39 * 86_400_000}", "logs")
+def _(s, sf):
+    m = view(s, sf, "logs").agg(F.count_if(F.col("what") == "failure").alias("failures"), F.max("at_ms").alias("newest"), F.count(F.lit(1)).alias("n"))
+    a = m.where("failures * 20 > n").select(F.lit("failures").alias("alert"), F.col("failures").alias("value"))
+    b = m.where(F.col("newest") < T0 + 39 * 86_400_000).select(F.lit("stale").alias("alert"), F.floor((F.lit(T0 + 40 * 86_400_000) - F.col("newest")) / 86_400_000).alias("value"))
+    return a.union(b)
+
+
+@query("agent_comparison", "SELECT m.project, count(DISTINCT m.session_id) AS sessions, count(DISTINCT e.session_id) AS captured FROM mem m LEFT JOIN ev e USING (session_id) GROUP BY m.project", "mem", "ev")
+def _(s, sf):
+    e = view(s, sf, "ev").select("session_id").distinct().withColumn("c", F.col("session_id"))
+    return view(s, sf, "mem").select("project", "session_id").distinct().join(e, "session_id", "left").groupBy("project").agg(F.count_distinct("session_id").alias("sessions"), F.count_distinct("c").alias("captured"))
