@@ -68,6 +68,7 @@ def stem(word: str) -> str:
 
 def stems(words: Column) -> Column:
     def run(batch: pd.Series) -> pd.Series:
-        return batch.map({w: stem(w) for w in batch.dropna().unique()})
+        known = {w: stem(w) for w in batch.dropna().unique()}
+        return pd.Series([known.get(w) if isinstance(w, str) else None for w in batch], dtype=object)
 
     return F.pandas_udf(run, "string")(words)

@@ -25,15 +25,17 @@ PI_PART = "array<struct<type string, text string, id string, name string, argume
 
 
 def read_lines(spark: SparkSession, root: str) -> DataFrame:
-    """(source_path, line_no, line) of all *.jsonl below a root, without a line splitter of our own; order within a file by line_no."""
+    """(source_path, line_no, line) of all *.jsonl below a root, in order of line_no within a file.
+
+    Spark skips folders below the root whose names begin with a dot or underscore; name such a folder as the root itself."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
-    lines = F.posexplode(F.split(F.decode("content", F.lit("utf-8")), "\n")).alias("line_no", "line")
+    lines = F.posexplode(F.split(F.decode("content", "utf-8"), "\n")).alias("line_no", "line")
     return files.select(F.col("path").alias("source_path"), lines).where(F.trim("line") != "")
 
 
 def agent_of(path: Column) -> Column:
     """By the agent's folder in the path; null for others."""
-    return F.when(path.rlike(r"/\.claude[^/]*/"), "claude").when(path.rlike(r"/\.codex/"), "codex").when(path.rlike(r"/\.pi/"), "pi")
+    return F.when(path.rlike(r"/\.?claude[^/]*/"), "claude").when(path.rlike(r"/\.?codex/"), "codex").when(path.rlike(r"/\.?pi/"), "pi")
 
 
 def thread_of(path: Column) -> Column:

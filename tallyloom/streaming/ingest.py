@@ -20,7 +20,7 @@ def start(spark: SparkSession, root: str, out: str, checkpoint: str, files_per_b
     lines = (
         spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
         .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("maxFilesPerTrigger", files_per_batch).load(root)
-        .select(F.col("path").alias("source_path"), F.posexplode(F.split(F.decode("content", F.lit("utf-8")), "\n")).alias("line_no", "line")).where(F.trim("line") != "")
+        .select(F.col("path").alias("source_path"), F.posexplode(F.split(F.decode("content", "utf-8"), "\n")).alias("line_no", "line")).where(F.trim("line") != "")
     )
 
     def keep(batch: DataFrame, batch_id: int) -> None:

@@ -50,9 +50,9 @@ def put(path, lines):
 
 
 def tree(tmp_path):
-    put(tmp_path / "home/.claude/p/a.jsonl", claude_lines())
-    put(tmp_path / "home/.codex/r.jsonl", CODEX)
-    put(tmp_path / "home/.pi/s.jsonl", PI)
+    put(tmp_path / "home/claude/p/a.jsonl", claude_lines())
+    put(tmp_path / "home/codex/r.jsonl", CODEX)
+    put(tmp_path / "home/pi/s.jsonl", PI)
     return str(tmp_path / "home")
 
 
@@ -77,7 +77,7 @@ def test_stream_restarts_without_doubles(spark, tmp_path):
     ingest.start(spark, root, out, check).awaitTermination()
     assert ingest.events(spark, out).count() == first
     grown = claude_lines()[:-1] + [json.dumps({"sessionId": "s1", "timestamp": AT, "type": "user", "uuid": "u9", "message": {"role": "user", "content": "one more"}})]
-    put(tmp_path / "home/.claude/p/b.jsonl", grown)  # a segment that repeats what is known
+    put(tmp_path / "home/claude/p/b.jsonl", grown)  # a segment that repeats what is known
     ingest.start(spark, root, out, check).awaitTermination()
     assert ingest.events(spark, out).count() == first + 1
     s = {r["session_id"]: r for r in ingest.sessions(ingest.events(spark, out)).collect()}
