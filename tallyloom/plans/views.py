@@ -31,8 +31,23 @@ def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.sql(_SPARK[name].replace(f"FROM {_BASE[name]}", "FROM {t}"), t=table(spark, sf, _BASE[name]))
 
 
+def _plain_counts(body: str) -> str:
+    """count_if(x) as a count of a CASE, which is a long in DuckDB too."""
+    out, at = "", 0
+    while (i := body.find("count_if(", at)) >= 0:
+        start, depth = i + len("count_if("), 1
+        end = start
+        while depth:
+            depth += {"(": 1, ")": -1}.get(body[end], 0)
+            end += 1
+        out += body[at:i] + f"count(CASE WHEN {body[start : end - 1]} THEN 1 END)"
+        at = end
+    return out + body[at:]
+
+
 def sql(body: str, *names: str) -> str:
     """DuckDB SQL with the views it names."""
+    body = _plain_counts(body)
     if not names:
         return body
     own = ", ".join(f"{n} AS ({_DUCK[n]})" for n in names)

@@ -83,3 +83,26 @@ def test_statistics(spark):
     assert tuple(w[0]["w"]) == (0.0, 0.0) and round(w[1]["w"]["low"], 3) == 0.237
     k = E.kappa(spark.createDataFrame([(1, True), (2, True)], "i int, v boolean"), spark.createDataFrame([(1, True), (2, True)], "i int, v boolean"), "i", "v").first()
     assert k["kappa"] == 1.0
+
+
+def test_session_folds(spark, tmp_path):
+    from tallyloom.operators import sessions as S
+
+    turns = spark.createDataFrame([("a", 1, 10), ("a", 2, 8), ("a", 3, 5), ("a", 4, 40), ("a", 5, 1)], "s string, t int, n int")
+    assert [r["chunk"] for r in S.chunk_turns(turns, "s", "t", "n", 18).orderBy("t").collect()] == [0, 0, 1, 2, 3]
+    rows = spark.createDataFrame([("a", i, v) for i, v in enumerate("xyxzx")], "s string, t int, v string")
+    assert [r["t"] for r in S.ring_dedupe(rows, "s", "t", "v", 2).orderBy("t").collect()] == [0, 1, 3, 4]
+    assert S.balanced_split([("a", 5), ("b", 5), ("c", 9), ("d", 1)]) == {"c": 0, "a": 1, "b": 1, "d": 0}
+    cut = S.shrink({"o": ["x" * 10] * 40, "t": ["y" * 10] * 5}, ["o", "t"], 120)
+    assert len(cut["o"]) == 10 and len(cut["t"]) == 2
+    bad = spark.createDataFrame([("s", "not json"), ("t", '{"observations": [{"type": "new", "title": "x"}]}')], "session_id string, reply string")
+    assert [(r["session_id"], r["type"]) for r in S.apply_replies(bad).collect()] == [("t", "discovery")]
+    folder = str(tmp_path / "snap")
+    S.write_snapshot({"rows": rows}, folder)
+    assert S.read_snapshot(spark, folder)["rows"].count() == 5
+    rows.limit(1).write.mode("append").parquet(f"{folder}/rows")
+    try:
+        S.read_snapshot(spark, folder)
+        raise AssertionError("a changed table was accepted")
+    except ValueError:
+        pass
