@@ -20,10 +20,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, slices, stash, table
+from .common import connected_components, slices, small, stash, table
 
 SEED, STEP = 42, 1 << 14
 
@@ -106,7 +107,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- the pipeline's stage: one document of each group of near copies stays
 
-STAGE_RADIUS, STAGE_WIDTH, SHINGLE, SIMILAR = 6, 3, 5, 0.8
+STAGE_RADIUS, STAGE_WIDTH, VARIANTS, SHINGLE, SIMILAR = 6, 3, 3, 5, 0.8
 
 
 def shingle_set(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -122,37 +123,81 @@ def similar(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k1, k2, keep): whether each row stays, by row key (hashes of id and text).
+def variants(docs: DataFrame) -> DataFrame:
+    """docs (id, k1, k2, text) without the text, with fps: an array of VARIANTS fingerprints, from as many hash functions."""
+    schema = T.StructType([docs.schema[c] for c in ("id", "k1", "k2")] + [T.StructField("fps", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [[signed(x) for x in fingerprints_of(t or b"", STAGE_WIDTH, VARIANTS)] for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "k1", "k2")), pa.array(found, pa.list_(pa.int64()))], names=["id", "k1", "k2", "fps"])
+
+    return docs.mapInArrow(run, schema)
+
 
-    Candidates share a bucket of the covering tables of radius STAGE_RADIUS over distinct fingerprints.  In a bucket,
-    each member is compared with its least member and with the one before it: as many pairs as members, in each of the
-    127 tables.  A pair links if its five-word shingles have a Jaccard similarity of SIMILAR or more, on whole texts.
-    Documents with the same fingerprint are compared with the class's first one.  In a group the row of least key
-    (id, then text hash) stays."""
-    from pyspark.sql import Window as W
+def fingerprints_of(text: bytes, width: int, n: int) -> list[int]:
+    """n fingerprints: the first as fingerprint() has it, the others from the same hashes mixed anew."""
+    words = text.lower().split()
+    if not words:
+        return [0] * n
+    joined = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
+    h = np.array([xxhash.xxh64_intdigest(s, SEED) for s in joined], dtype="<u8")
+    out = []
+    for k in range(n):
+        total = np.zeros(64, np.int64)
+        for i in range(0, len(h), STEP):
+            part = h[i : i + STEP]
+            if k:
+                part = (part ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
+                part = (part ^ part >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+                part = part ^ part >> np.uint64(32)
+            total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(total * 2 > len(h), bitorder="little").view("<u8")[0]))
+    return out
+
+
+def neighbours(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, other): in each bucket of the covering tables every fingerprint with the one before it and with the least.
+
+    One shuffle and one sort; as many pairs as members, never all of a bucket's."""
+    rows = prints.select("fp", F.explode(F.array(*map(F.lit, masks(radius)))).alias("mask"))
+    rows = rows.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
+    w = W.partitionBy("key").orderBy("fp")
+    near = rows.select("fp", F.lag("fp").over(w).alias("before"), F.first("fp").over(w).alias("least")).where("before IS NOT NULL")
+    pairs = near.select("fp", F.explode(F.array_distinct(F.array("before", "least"))).alias("other"))
+    return pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2 * radius).where("fp <> other").distinct()
+
+
+def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(k1, k2) of the rows that stay: hashes of id and text.
 
+    Candidates share a bucket of the covering tables of radius STAGE_RADIUS in one of VARIANTS fingerprints, or have one
+    alike.  A pair links if its five-word shingles have a Jaccard similarity of SIMILAR or more, on whole texts; equal
+    texts are one from the start.  In a group the row of least id, then least hashes, stays."""
     key = [F.xxhash64(id).alias("k1"), F.xxhash64(text).alias("k2")]
-    prints = stash(fingerprints(docs.select(F.col(id).alias("id"), *key, F.col(text).alias("text")), width=STAGE_WIDTH), "near-prints")
-    # one row for each text: exact copies need no comparison
-    texts = stash(prints.groupBy("fp", "k2").agg(F.min(F.struct("id", "k1")).alias("first")).select("fp", "k2", F.col("first.id").alias("id"), F.col("first.k1").alias("k1")), "near-texts")
-    heads = stash(texts.groupBy("fp").agg(F.min("k2").alias("head")), "near-heads")
-    same = texts.join(heads, "fp").where("k2 <> head").select(F.col("k2").alias("u"), F.col("head").alias("v"))
-    found = buckets(heads.select("fp"), STAGE_RADIUS)
-    # a bucket's members in order of fingerprint: each with the one before it and with the least
-    lag = F.lag("fp").over(W.partitionBy("t", "key").orderBy("fp"))
-    first = F.min("fp").over(W.partitionBy("t", "key"))
-    chained = found.select("fp", lag.alias("before"), first.alias("least")).select("fp", F.explode(F.array_distinct(F.array("before", "least"))).alias("other")).where("other IS NOT NULL AND fp <> other").distinct()
-    a, b = heads.select("fp", F.col("head").alias("u")), heads.select(F.col("fp").alias("other"), F.col("head").alias("v"))
-    pairs = stash(same.union(chained.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2 * STAGE_RADIUS).join(a, "fp").join(b, "other").select("u", "v")).distinct(), "near-pairs")
-    need = pairs.select("u").union(pairs.select(F.col("v").alias("u"))).distinct()
+    prints = variants(docs.select(F.col(id).alias("id"), *key, F.col(text).alias("text")))
+    rows = stash(prints, "near-prints")
+    # one row for each text: exact copies need no comparison; a null id comes last
+    first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "k1")).alias("r")
+    texts = stash(rows.groupBy("k2").agg(F.first("fps").alias("fps"), first), "near-texts")
+    pairs = None
+    for i in range(VARIANTS):
+        own = texts.select("k2", F.col("fps")[i].alias("fp"))
+        heads = stash(own.groupBy("fp").agg(F.min("k2").alias("head")), "near-heads")
+        same = own.join(heads, "fp").where("k2 <> head").select(F.col("k2").alias("u"), F.col("head").alias("v"))
+        found = stash(neighbours(heads.select("fp"), STAGE_RADIUS), "near-found")
+        a, b = heads.select("fp", F.col("head").alias("u")), heads.select(F.col("fp").alias("other"), F.col("head").alias("v"))
+        part = same.union(found.join(a, "fp").join(b, "other").select("u", "v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        pairs = part if pairs is None else pairs.union(part)
+    pairs = stash(pairs.distinct(), "near-pairs")
+    need = small(stash(pairs.select("u").union(pairs.select("v")).distinct(), "near-need"))
     body = docs.select(F.xxhash64(text).alias("u"), F.col(text).alias("text")).join(need, "u", "left_semi").groupBy("u").agg(F.min("text").alias("text"))
     shingled = stash(sets(body), "near-sets")
     left, right = shingled.withColumnRenamed("s", "a"), shingled.select(F.col("u").alias("v"), F.col("s").alias("b"))
     close = near(pairs.join(left, "u").join(right, "v"))
     groups = connected_components(close, "near-links")
     named = texts.join(groups, texts.k2 == groups.node, "left").withColumn("g", F.coalesce("component", "k2"))
-    stay = named.groupBy("g").agg(F.min(F.struct("id", "k1", "k2")).alias("m")).select("m.k1", "m.k2")
+    stay = named.groupBy("g").agg(F.min(F.struct("r", "k2")).alias("m")).select(F.col("m.r.k1").alias("k1"), F.col("m.k2").alias("k2"))
     return stash(stay, "near-stay")
 
 
