@@ -1,5 +1,5 @@
 """All queries of the library: name -> (function of (spark, sf_dir), DuckDB SQL or None)."""
 
-from . import answers, ingest, quality, record, search
+from . import answers, ingest, quality, record, scalars, search
 
-QUERIES = {**search.QUERIES, **record.QUERIES, **quality.QUERIES, **answers.QUERIES, **ingest.QUERIES}
+QUERIES = {**search.QUERIES, **record.QUERIES, **quality.QUERIES, **answers.QUERIES, **scalars.QUERIES, **ingest.QUERIES}

@@ -50,3 +50,14 @@ def test_stem(spark):
     assert {w: stem(w) for w in cases} == cases
     df = spark.createDataFrame([("hopping",), (None,)], "w string")
     assert [r["s"] for r in df.select(stems(F.col("w")).alias("s")).collect()] == ["hop", None]
+
+
+def test_records(spark):
+    from tallyloom.functions import records as P
+
+    assert one(spark, "a <pasted_content id=1>xé</pasted_content> b <pasted_content>yy", P.strip_pasted) == "a [pasted 3 chars] b [pasted 2+ chars]"
+    assert one(spark, "no paste", P.strip_pasted) == "no paste"
+    assert one(spark, '{"a": "x", "n": 3, "o": {"p": 1}}', P.brief) == "a=x n=3"
+    assert one(spark, "One two. Three four five six", lambda c: P.excerpt(c, 12)) == "One two.…"
+    assert one(spark, "abcdefghijklmnop", lambda c: P.excerpt(c, 5)) == "abcde…"
+    assert one(spark, "short", lambda c: P.excerpt(c, 10)) == "short"
