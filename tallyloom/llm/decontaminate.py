@@ -3,6 +3,7 @@
 Items are the index's documents, passages its queries.  A passage is a window of twice the longest item's words, moved by
 that length, so each occurrence of an item lies inside one.  A term's weight in an item is its BM25 share of the item's
 score for itself: an item that a passage holds completely scores 1.  All items of at least `least` are retrieved (no top-k).
+Items of similar length share a shelf, with lists and passages of their own, so that bounds are near.
 
 Posting lists are cut into blocks with their greatest weight.  WAND moves the lists' pivot by the terms' greatest weights,
 then by those of the blocks, and only scores items that can reach the threshold.  Before, running sums of the terms'
@@ -33,7 +34,7 @@ from .common import slices, stash, table
 
 K1, B = 1.2, 0.75
 LEAST, OVERLAP, SHINGLE = 0.6, 0.8, 5
-ITEMS, POSTINGS = 20_000, 64
+ITEMS, SHELVES, POSTINGS = 20_000, 12, 8
 _OUTER = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 _SENTENCE = regex.compile(r"(?<=[.!?…])\s+")
 
@@ -66,35 +67,26 @@ def parts(text: str) -> tuple[list[str], list[str]]:
     return [w for s in said[:-1] for w in s], said[-1] if said else []
 
 
-class Index:
-    """Posting lists by term: item numbers, weights, greatest weight, greatest weight and last item of each block."""
+class Shelf:
+    """Posting lists of items of similar length: item numbers, weights, greatest weight, greatest weight and last item of each block."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int, df: dict[str, int], mean: float):
-        self.ids, self.parts, self.lists = [], [], {}
-        self.longest = 1
-        raw: dict[str, tuple[list, list]] = {}
-        for id, text in sorted(items, key=lambda x: x[0]):
-            words = terms(text)
-            if not words:
-                continue
-            number, tf = len(self.ids), Counter(words)
-            self.ids.append(id)
-            self.parts.append(parts(text))
-            self.longest = max(self.longest, len(words))
-            own = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean)) for t, f in tf.items()}
-            whole = sum(own.values())
+    def __init__(self, entries: list[tuple[int, dict[int, float]]], longest: int, size: int):
+        self.items, self.longest, self.lists = [i for i, _ in entries], longest, {}
+        raw: dict[int, tuple[list, list]] = {}
+        for number, (_, own) in enumerate(entries):
             for t, w in own.items():
                 at = raw.setdefault(t, ([], []))
                 at[0].append(number)
-                at[1].append(w / whole)
+                at[1].append(w)
+        self.bound = np.zeros(size)
         for t, (docs, weights) in raw.items():
             blocks = [(max(weights[i : i + POSTINGS]), docs[min(i + POSTINGS, len(docs)) - 1]) for i in range(0, len(docs), POSTINGS)]
             self.lists[t] = (docs, weights, max(weights), blocks)
-        self.bound = {t: x[2] for t, x in self.lists.items()}
+            self.bound[t] = max(weights)
 
-    def search(self, query: set[str], least: float) -> list[tuple[int, float]]:
+    def search(self, query: set[int], least: float) -> list[tuple[int, float]]:
         """All items whose weights of the query's terms sum to `least` or more."""
-        cursors = [[0, self.lists[t]] for t in query if t in self.lists]
+        cursors = [[0, self.lists[t]] for t in query]
         out = []
         while cursors:
             cursors.sort(key=lambda c: c[1][0][c[0]])
@@ -111,7 +103,7 @@ class Index:
                 pivot += 1
             # bounds by block, of the block in which each list could hold the item
             total, until = 0.0, 1 << 60
-            for at, (docs, _, _, blocks) in cursors[: pivot + 1]:
+            for at, (_, _, _, blocks) in cursors[: pivot + 1]:
                 b = at // POSTINGS
                 while b < len(blocks) and blocks[b][1] < item:
                     b += 1
@@ -123,14 +115,13 @@ class Index:
                 if pivot + 1 < len(cursors):
                     target = min(target, cursors[pivot + 1][1][0][cursors[pivot + 1][0]])
                 target = max(target, item + 1)
+            elif cursors[0][1][0][cursors[0][0]] == item:
+                score = sum(x[1][at] for at, x in cursors[: pivot + 1])
+                if score >= least:
+                    out.append((self.items[item], score))
+                target = item + 1
             else:
-                if cursors[0][1][0][cursors[0][0]] == item:
-                    score = sum(x[1][at] for at, x in cursors[: pivot + 1])
-                    if score >= least:
-                        out.append((item, score))
-                    target = item + 1
-                else:
-                    target = item
+                target = item
             moved = []
             for k, c in enumerate(cursors):
                 if k <= pivot:
@@ -144,22 +135,68 @@ class Index:
             cursors = moved
         return out
 
+
+class _Numbers(dict):
+    """Number of a word's normal form: 0 for one that no item has, -1 for none; kept while they are few."""
+
+    def __init__(self, number: dict[str, int]):
+        super().__init__()
+        self.number = number
+
+    def __missing__(self, word: str) -> int:
+        t = _OUTER.sub("", word.lower())
+        n = self.number.get(t, 0) if t else -1
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = n
+        return n
+
+
+class Index:
+    """Items on SHELVES shelves by length; each shelf has passages of twice its longest item's words."""
+
+    def __init__(self, items: list[tuple[int, str]], n: int, df: dict[str, int], mean: float):
+        self.ids, self.parts, entries = [], [], []
+        number: dict[str, int] = {}
+        for id, text in sorted(items, key=lambda x: (len(terms(x[1])), x[0])):
+            words = terms(text)
+            if not words:
+                continue
+            tf = Counter(words)
+            own = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean)) for t, f in tf.items()}
+            whole = sum(own.values())
+            entries.append((len(self.ids), {number.setdefault(t, len(number) + 1): w / whole for t, w in own.items()}, len(words)))
+            self.ids.append(id)
+            self.parts.append(parts(text))
+        self.numbers = _Numbers(number)
+        each = max(1, -(-len(entries) // SHELVES))
+        self.shelves = [Shelf([e[:2] for e in part], part[-1][2], len(number) + 1) for part in (entries[i : i + each] for i in range(0, len(entries), each))]
+        self.bounds = np.stack([s.bound for s in self.shelves]) if self.shelves else np.zeros((0, 1))
+
     def hits(self, text: str, least: float, overlap: float) -> list[tuple[int, float, float, float]]:
         """(item id, score, question overlap, answer overlap) of the items verified in a text."""
-        words = terms(text)
-        if not words:
+        said = text.split()
+        if not said or not self.shelves:
             return []
-        bound = np.fromiter((self.bound.get(w, 0.0) for w in words), float, len(words))
-        sums = np.concatenate(([0.0], np.cumsum(bound)))
-        starts = np.arange(0, max(1, len(words) - self.longest), self.longest)
-        ends = np.minimum(starts + 2 * self.longest, len(words))
+        numbers = np.fromiter(map(self.numbers.__getitem__, said), np.int32, len(said))
+        if (numbers < 0).any():
+            numbers = numbers[numbers >= 0]
         best: dict[int, float] = {}
-        for i in np.flatnonzero(sums[ends] - sums[starts] >= least - 1e-9):
-            for item, score in self.search(set(words[starts[i] : ends[i]]), least - 1e-9):
-                best[item] = max(score, best.get(item, 0.0))
+        n = len(numbers)
+        sums = np.zeros((len(self.shelves), n + 1))
+        np.cumsum(self.bounds[:, numbers], axis=1, out=sums[:, 1:])
+        for shelf, own in zip(self.shelves, sums, strict=True):
+            starts = np.arange(0, max(1, n - shelf.longest), shelf.longest)
+            ends = np.minimum(starts + 2 * shelf.longest, n)
+            for i in np.flatnonzero(own[ends] - own[starts] >= least - 1e-9).tolist():
+                query = set(numbers[starts[i] : ends[i]].tolist()) & shelf.lists.keys()
+                if sum(shelf.lists[t][2] for t in query) < least - 1e-9:  # each term once
+                    continue
+                for item, score in shelf.search(query, least - 1e-9):
+                    best[item] = max(score, best.get(item, 0.0))
         if not best:
             return []
-        have, out = {}, []
+        words, have, out = terms(text), {}, []
         for item, score in sorted(best.items()):
             shares = []
             for part in self.parts[item]:
@@ -173,7 +210,7 @@ class Index:
                 shares.append(len(own & have[width]) / len(own))
             if min(shares) >= overlap:
                 out.append((self.ids[item], min(1.0, score), *shares))
-        return out
+        return sorted(out)
 
 
 def find(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", least: float = LEAST, overlap: float = OVERLAP) -> DataFrame:
