@@ -105,7 +105,8 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", counts: bool
     lists = stash(told.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "a", "b", "first")).alias("runs")), "line-lists")
     drop_stash(found)
     own = lambda c: f"__line_{c}"
-    joined = docs.withColumns({own("k1"): F.xxhash64(id), own("k2"): F.xxhash64(text)}).join(lists.select(*(F.col(c).alias(own(c)) for c in lists.columns)), [own("k1"), own("k2")], "left")
+    named = lists.select(*(F.col(c).alias(own(c)) for c in lists.columns)).hint("merge")  # the same plan at every size
+    joined = docs.withColumns({own("k1"): F.xxhash64(id), own("k2"): F.xxhash64(text)}).join(named, [own("k1"), own("k2")], "left")
     state = stash(joined, "line-state")
     drop_stash(lists)
     listed = state.where(F.col(own("runs")).isNotNull()).select(F.col(own("k1")).alias("k1"), F.col(own("k2")).alias("k2"), F.col(id).alias("id"), F.col(text).alias("text"), F.col(own("runs")).alias("runs"))
