@@ -157,15 +157,17 @@ def fingerprints_of(text: bytes, width: int, n: int) -> list[int]:
 
 
 def neighbours(prints: DataFrame, radius: int) -> DataFrame:
-    """(fp, other): in each bucket of the covering tables every fingerprint with the one before it and with the least.
+    """(fp, other, least): in each bucket of the covering tables every fingerprint with the one before it and with the least.
 
     One shuffle and one sort; as many pairs as members, never all of a bucket's."""
     rows = prints.select("fp", F.explode(F.array(*map(F.lit, masks(radius)))).alias("mask"))
     rows = rows.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
     w = W.partitionBy("key").orderBy("fp")
     near = rows.select("fp", F.lag("fp").over(w).alias("before"), F.first("fp").over(w).alias("least")).where("before IS NOT NULL")
-    pairs = near.select("fp", F.explode(F.array_distinct(F.array("before", "least"))).alias("other"))
-    return pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2 * radius).where("fp <> other").distinct()
+    kinds = F.array(F.struct(F.col("least").alias("other"), F.lit(True).alias("least")), F.struct(F.col("before").alias("other"), F.lit(False).alias("least")))
+    pairs = near.select("fp", F.explode(kinds).alias("x")).select("fp", "x.other", "x.least")
+    close = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2 * radius).where("fp <> other")
+    return close.groupBy("fp", "other").agg(F.max("least").alias("least"))
 
 
 def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -184,18 +186,23 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     for i in range(VARIANTS):
         own = texts.select("k2", F.col("fps")[i].alias("fp"))
         heads = stash(own.groupBy("fp").agg(F.min("k2").alias("head")), "near-heads")
-        same = own.join(heads, "fp").where("k2 <> head").select(F.col("k2").alias("u"), F.col("head").alias("v"))
+        same = own.join(heads, "fp").where("k2 <> head").select(F.col("k2").alias("u"), F.col("head").alias("v"), F.lit(True).alias("least"))
         found = stash(neighbours(heads.select("fp"), STAGE_RADIUS), "near-found")
         a, b = heads.select("fp", F.col("head").alias("u")), heads.select(F.col("fp").alias("other"), F.col("head").alias("v"))
-        part = same.union(found.join(a, "fp").join(b, "other").select("u", "v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        part = same.union(found.join(a, "fp").join(b, "other").select("u", "v", "least")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), "least")
         pairs = part if pairs is None else pairs.union(part)
-    pairs = stash(pairs.distinct(), "near-pairs")
+    pairs = stash(pairs.groupBy("u", "v").agg(F.max("least").alias("least")), "near-pairs")
     need = small(stash(pairs.select("u").union(pairs.select("v")).distinct(), "near-need"))
     body = docs.select(F.xxhash64(text).alias("u"), F.col(text).alias("text")).join(need, "u", "left_semi").groupBy("u").agg(F.min("text").alias("text"))
     shingled = stash(sets(body), "near-sets")
     left, right = shingled.withColumnRenamed("s", "a"), shingled.select(F.col("u").alias("v"), F.col("s").alias("b"))
-    close = near(pairs.join(left, "u").join(right, "v"))
-    groups = connected_components(close, "near-links")
+    # pairs with a bucket's least member first; of the others, only those that these don't connect change the groups
+    close = stash(near(pairs.where("least").select("u", "v").join(left, "u").join(right, "v")), "near-close")
+    first = stash(connected_components(close, "near-links"), "near-first")
+    a, b = (first.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("u", "cu"), ("v", "cv")))
+    rest = pairs.where("NOT least").select("u", "v").join(a, "u", "left").join(b, "v", "left").where("cu IS NULL OR cv IS NULL OR cu <> cv").select("u", "v")
+    more = near(rest.join(left, "u").join(right, "v"))
+    groups = connected_components(close.union(more), "near-links")
     named = texts.join(groups, texts.k2 == groups.node, "left").withColumn("g", F.coalesce("component", "k2"))
     stay = named.groupBy("g").agg(F.min(F.struct("r", "k2")).alias("m")).select(F.col("m.r.k1").alias("k1"), F.col("m.k2").alias("k2"))
     return stash(stay, "near-stay")
