@@ -20,11 +20,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, slices, small, stash, table
+from .common import connected_components, drop_stash, slices, small, stash, table
 
 SEED, STEP = 42, 1 << 14
 
@@ -107,7 +106,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- the pipeline's stage: one document of each group of near copies stays
 
-STAGE_RADIUS, STAGE_WIDTH, VARIANTS, SHINGLE, SIMILAR = 6, 3, 3, 5, 0.8
+SHINGLE, SIMILAR = 5, 0.8  # SIMILAR is 4/5, which the bounds below use as whole numbers
+HOT_SAMPLE, HOT_LEAST, HOT_MOST = 16, 4, 1 << 20
 
 
 def shingle_set(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -123,87 +123,114 @@ def similar(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def variants(docs: DataFrame) -> DataFrame:
-    """docs (id, k1, k2, text) without the text, with fps: an array of VARIANTS fingerprints, from as many hash functions."""
-    schema = T.StructType([docs.schema[c] for c in ("id", "k1", "k2")] + [T.StructField("fps", T.ArrayType(T.LongType()))])
+def hot_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, sorted, and their counts in every HOT_SAMPLEth text.
+
+    They steer the order of shingles only: any order gives the same pairs, a good one compares fewer.  So the sample and the
+    bound on what reaches the driver lose nothing."""
+    some = texts.where(F.pmod("u", F.lit(HOT_SAMPLE)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [[signed(x) for x in fingerprints_of(t or b"", STAGE_WIDTH, VARIANTS)] for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "k1", "k2")), pa.array(found, pa.list_(pa.int64()))], names=["id", "k1", "k2", "fps"])
+            found = [shingle_set(x or b"") for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["s"])
 
-    return docs.mapInArrow(run, schema)
+    n = some.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_LEAST)
+    found = n.orderBy(F.desc("n"), "s").limit(HOT_MOST).toPandas()
+    s, n = found["s"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(s)
+    return s[order], n[order]
 
 
-def fingerprints_of(text: bytes, width: int, n: int) -> list[int]:
-    """n fingerprints: the first as fingerprint() has it, the others from the same hashes mixed anew."""
-    words = text.lower().split()
-    if not words:
-        return [0] * n
-    joined = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
-    h = np.array([xxhash.xxh64_intdigest(s, SEED) for s in joined], dtype="<u8")
-    out = []
-    for k in range(n):
-        total = np.zeros(64, np.int64)
-        for i in range(0, len(h), STEP):
-            part = h[i : i + STEP]
-            if k:
-                part = (part ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
-                part = (part ^ part >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-                part = part ^ part >> np.uint64(32)
-            total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(total * 2 > len(h), bitorder="little").view("<u8")[0]))
-    return out
+def ordered(shingles: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A text's shingles in the order of all texts: frequent ones last, else by hash."""
+    s, n = hot
+    if not len(s):
+        return shingles
+    at = np.minimum(np.searchsorted(s, shingles), len(s) - 1)
+    return shingles[np.argsort(np.where(s[at] == shingles, n[at], 0), kind="stable")]
 
 
-def neighbours(prints: DataFrame, radius: int) -> DataFrame:
-    """(fp, other, least): in each bucket of the covering tables every fingerprint with the one before it and with the least.
+def prefixes(texts: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(s, u, n, i): of the n shingles of text u, the first n - ceil(0.8 n) + 1 in the common order, each with its place i.
 
-    One shuffle and one sort; as many pairs as members, never all of a bucket's."""
-    rows = prints.select("fp", F.explode(F.array(*map(F.lit, masks(radius)))).alias("mask"))
-    rows = rows.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
-    w = W.partitionBy("key").orderBy("fp")
-    near = rows.select("fp", F.lag("fp").over(w).alias("before"), F.first("fp").over(w).alias("least")).where("before IS NOT NULL")
-    kinds = F.array(F.struct(F.col("least").alias("other"), F.lit(True).alias("least")), F.struct(F.col("before").alias("other"), F.lit(False).alias("least")))
-    pairs = near.select("fp", F.explode(kinds).alias("x")).select("fp", "x.other", "x.least")
-    close = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2 * radius).where("fp <> other")
-    return close.groupBy("fp", "other").agg(F.max("least").alias("least"))
+    Texts of Jaccard 0.8 or more share at least 0.8 of either's shingles, so the first shingle that they share is among these of both."""
+    model = texts.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=2 << 20):
+            s, sizes = [], []
+            for x in batch.column("text").cast(pa.binary()).to_pylist():
+                own = ordered(shingle_set(x or b""), model.value)
+                s.append(own[: len(own) - (4 * len(own) + 4) // 5 + 1])
+                sizes.append(len(own))
+            held = np.array([len(x) for x in s])
+            place = np.concatenate([np.arange(k, dtype=np.int32) for k in held])
+            u = np.repeat(batch.column("u").to_numpy(), held)
+            n = np.repeat(np.array(sizes, np.int32), held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(s).view(np.int64)), pa.array(u), pa.array(n), pa.array(place)], names=["s", "u", "n", "i"])
+
+    return texts.mapInArrow(run, "s long, u long, n int, i int")
+
+
+def within(a: str, b: str) -> str:
+    """Whether texts that share their first shingle at places a.i and b.i can have Jaccard 0.8: 9 x shared >= 4 x (a.n + b.n)."""
+    return f"9L * least({a}n - {a}i, {b}n - {b}i) >= 4L * ({a}n + {b}n)"
+
+
+def near_pairs(texts: DataFrame) -> DataFrame:
+    """(u, v): enough of the pairs of similar texts (u, text) to connect all of them, and no others.
+
+    Candidates are complete: all pairs that share a shingle of their prefixes at places that allow the similarity.  First each
+    text meets one other, the commonest among the least and the greatest of its shingles' texts; then the pairs that these
+    leave unconnected are compared, all of them.  A shingle whose texts are connected already has nothing left to list."""
+    found = stash(prefixes(texts, hot_shingles(texts)), "near-prefixes")
+    lists = found.repartition("s")  # one shuffle for both sides of the join
+    ends = F.struct("n", "u", "i")
+    many = lists.groupBy("s").agg(F.min(ends).alias("lo"), F.max(ends).alias("hi")).where("lo.u <> hi.u")
+    shared = stash(lists.join(many, "s"), "near-shared")
+    drop_stash(found)
+    lo, hi = (shared.where(f"u <> {e}.u AND {within('', e + '.')}").select("u", F.col(f"{e}.u").alias("v")) for e in ("lo", "hi"))
+    best = lo.union(hi).groupBy("u", "v").agg(F.count(F.lit(1)).alias("k")).groupBy("u").agg(F.max(F.struct("k", "v")).alias("b"))
+    close = compared(stash(best.select(F.greatest("u", "b.v").alias("u"), F.least("u", "b.v").alias("v")).distinct(), "near-ends"), texts)
+    first = stash(connected_components(close, "near-links"), "near-first")
+    marked = shared.select("s", "u", "n", "i").join(first.withColumnRenamed("node", "u"), "u", "left").withColumn("c", F.coalesce("component", "u")).drop("component")
+    split = marked.groupBy("s").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("s")
+    left = stash(marked.join(split, "s", "left_semi"), "near-left")
+    drop_stash(shared)
+    a, b = left.alias("a"), left.alias("b")
+    rest = a.join(b, F.expr(f"a.s = b.s AND a.u > b.u AND a.c <> b.c AND {within('a.', 'b.')}")).select(F.col("a.u").alias("u"), F.col("b.u").alias("v")).distinct()
+    rest = stash(rest, "near-rest")
+    drop_stash(left)
+    return close.union(compared(rest, texts))
+
+
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v) of the pairs whose texts are similar."""
+    need = small(stash(pairs.select("u").union(pairs.select("v")).distinct(), "near-need"))
+    body = texts.join(need, "u", "left_semi").groupBy("u").agg(F.min("text").alias("text"))
+    shingled = stash(sets(body), "near-sets")
+    left, right = shingled.withColumnRenamed("s", "a"), shingled.select(F.col("u").alias("v"), F.col("s").alias("b"))
+    out = stash(near(pairs.join(left, "u").join(right, "v")), "near-close")
+    drop_stash(shingled)
+    drop_stash(pairs)
+    return out
 
 
 def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(k1, k2) of the rows that stay: hashes of id and text.
 
-    Candidates share a bucket of the covering tables of radius STAGE_RADIUS in one of VARIANTS fingerprints, or have one
-    alike.  A pair links if its five-word shingles have a Jaccard similarity of SIMILAR or more, on whole texts; equal
-    texts are one from the start.  In a group the row of least id, then least hashes, stays."""
+    A pair links if its five-word shingles have a Jaccard similarity of SIMILAR or more, on whole texts; every such pair
+    is found (near_pairs).  Equal texts are one from the start.  In a group the row of least id, then least hashes, stays."""
     key = [F.xxhash64(id).alias("k1"), F.xxhash64(text).alias("k2")]
-    prints = variants(docs.select(F.col(id).alias("id"), *key, F.col(text).alias("text")))
-    rows = stash(prints, "near-prints")
+    rows = docs.select(F.col(id).alias("id"), *key)
     # one row for each text: exact copies need no comparison; a null id comes last
     first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "k1")).alias("r")
-    texts = stash(rows.groupBy("k2").agg(F.first("fps").alias("fps"), first), "near-texts")
-    pairs = None
-    for i in range(VARIANTS):
-        own = texts.select("k2", F.col("fps")[i].alias("fp"))
-        heads = stash(own.groupBy("fp").agg(F.min("k2").alias("head")), "near-heads")
-        same = own.join(heads, "fp").where("k2 <> head").select(F.col("k2").alias("u"), F.col("head").alias("v"), F.lit(True).alias("least"))
-        found = stash(neighbours(heads.select("fp"), STAGE_RADIUS), "near-found")
-        a, b = heads.select("fp", F.col("head").alias("u")), heads.select(F.col("fp").alias("other"), F.col("head").alias("v"))
-        part = same.union(found.join(a, "fp").join(b, "other").select("u", "v", "least")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), "least")
-        pairs = part if pairs is None else pairs.union(part)
-    pairs = stash(pairs.groupBy("u", "v").agg(F.max("least").alias("least")), "near-pairs")
-    need = small(stash(pairs.select("u").union(pairs.select("v")).distinct(), "near-need"))
-    body = docs.select(F.xxhash64(text).alias("u"), F.col(text).alias("text")).join(need, "u", "left_semi").groupBy("u").agg(F.min("text").alias("text"))
-    shingled = stash(sets(body), "near-sets")
-    left, right = shingled.withColumnRenamed("s", "a"), shingled.select(F.col("u").alias("v"), F.col("s").alias("b"))
-    # pairs with a bucket's least member first; of the others, only those that these don't connect change the groups
-    close = stash(near(pairs.where("least").select("u", "v").join(left, "u").join(right, "v")), "near-close")
-    first = stash(connected_components(close, "near-links"), "near-first")
-    a, b = (first.select(F.col("node").alias(n), F.col("component").alias(c)) for n, c in (("u", "cu"), ("v", "cv")))
-    rest = pairs.where("NOT least").select("u", "v").join(a, "u", "left").join(b, "v", "left").where("cu IS NULL OR cv IS NULL OR cu <> cv").select("u", "v")
-    more = near(rest.join(left, "u").join(right, "v"))
-    groups = connected_components(close.union(more), "near-links")
-    named = texts.join(groups, texts.k2 == groups.node, "left").withColumn("g", F.coalesce("component", "k2"))
+    named = stash(rows.groupBy("k2").agg(first), "near-rows")
+    one = small(named.select(F.col("r.k1").alias("k1"), "k2"))
+    bodies = docs.select(*key, F.col(text).alias("text")).join(one, ["k1", "k2"], "left_semi").select(F.col("k2").alias("u"), "text")
+    groups = connected_components(near_pairs(bodies), "near-links")
+    named = named.join(groups, named.k2 == groups.node, "left").withColumn("g", F.coalesce("component", "k2"))
     stay = named.groupBy("g").agg(F.min(F.struct("r", "k2")).alias("m")).select(F.col("m.r.k1").alias("k1"), F.col("m.k2").alias("k2"))
     return stash(stay, "near-stay")
 

@@ -390,6 +390,38 @@ def test_near_copies_leave_one(docs, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_near_groups_are_those_of_all_pairs(spark):
+    rnd = random.Random(11)
+    base = [f"w{rnd.randint(0, 5000)}" for _ in range(400)]
+
+    def copy(of, share):
+        return [f"z{rnd.randint(0, 10**6)}" if rnd.random() < share else w for w in of]
+
+    texts = [" ".join(copy(base, 0.022)) for _ in range(300)]  # a large family in which few pairs are similar
+    for k in range(40):  # pairs close to the threshold
+        one = [f"p{k}x{rnd.randint(0, 900)}" for _ in range(60 + 5 * k)]
+        texts += [" ".join(one), " ".join(copy(one, 0.018)), " ".join(one[: len(one) * 5 // 6])]
+    texts += ["", " \n", "a b", "A  b", "a b c d e", "a b c d f"]
+    sets = [set(simhash.shingle_set(t.encode()).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = sorted({find(i) for i in range(len(texts))})
+    assert len(want) < len(texts) - 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == want
+
+
 # ---- archives
 
 
