@@ -108,6 +108,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SHINGLE, SIMILAR = 5, 0.8  # SIMILAR is 4/5, which the bounds below use as whole numbers
 HOT_SAMPLE, HOT_LEAST, HOT_MOST = 16, 4, 1 << 20
+PARTS = 4
 
 
 def shingle_set(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -211,7 +212,11 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     body = texts.join(need, "u", "left_semi").groupBy("u").agg(F.min("text").alias("text"))
     shingled = stash(sets(body), "near-sets")
     left, right = shingled.withColumnRenamed("s", "a"), shingled.select(F.col("u").alias("v"), F.col("s").alias("b"))
-    out = stash(near(pairs.join(left, "u").join(right, "v")), "near-close")
+    out = None
+    for k in range(PARTS):  # one part's sets are on disk at a time
+        own = F.pmod("u", F.lit(PARTS)) == k
+        part = stash(near(pairs.where(own).join(left.where(own), "u").join(right, "v")), "near-close")
+        out = part if out is None else out.union(part)
     drop_stash(shingled)
     drop_stash(pairs)
     return out
