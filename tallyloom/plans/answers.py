@@ -113,7 +113,7 @@ def _(s, sf):
 
 @query("attribution_trace", None)
 def _(s, sf):
-    d = table(s, sf, "documents").where("doc_id < 200").select(F.concat(F.lit("f"), F.col("doc_id") % 5).alias("path"), F.col("doc_id").alias("line"), F.when(F.col("n_chars") % 3 > 0, F.concat(F.lit("s"), F.col("n_chars") % 3)).alias("session_id"))
+    d = table(s, sf, "documents").select(F.concat(F.lit("f"), F.col("doc_id") % 5).alias("path"), F.col("doc_id").alias("line"), F.when(F.col("n_chars") % 3 > 0, F.concat(F.lit("s"), F.col("n_chars") % 3)).alias("session_id"))
     return S.trace(d)
 
 

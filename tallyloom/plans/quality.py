@@ -42,7 +42,7 @@ def _(s, sf):
 
 @query("auc_bootstrap", None)
 def _(s, sf):
-    return E.bootstrap_auc(_scored(s, sf), "doc_id", "score", "other", "good", rounds=200)
+    return E.bootstrap_auc(_scored(s, sf), "doc_id", "score", "other", "good")
 
 
 @query("wilson_interval", "SELECT source, k, n, round(CASE WHEN n = 0 THEN 0 ELSE (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n) END, 6) AS low, round(CASE WHEN n = 0 THEN 0 ELSE (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n) END, 6) AS high FROM (SELECT source, count_if(lang = 'en') AS k, count(*) AS n, count_if(lang = 'en')::DOUBLE / count(*) AS p FROM documents GROUP BY source)")

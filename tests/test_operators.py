@@ -106,3 +106,22 @@ def test_session_folds(spark, tmp_path):
         raise AssertionError("a changed table was accepted")
     except ValueError:
         pass
+
+
+def test_traces_hold_all_lines(spark):
+    import json
+
+    from tallyloom.plans.answers import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    got = {(r["path"], x["session_id"], i) for r in QUERIES["attribution_trace"][0](spark, sf).collect() for x in json.loads(r["trace"]) for y in x["ranges"] for i in range(y["start"], y["end"] + 1)}
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars").collect()
+    assert got == {(f"f{r['doc_id'] % 5}", f"s{r['n_chars'] % 3}", r["doc_id"]) for r in rows if r["n_chars"] % 3}
+
+
+def test_bootstrap_query_has_all_rounds(spark):
+    from tallyloom.plans import quality
+
+    sf = "/root/testdata/sf0.001"
+    want = E.bootstrap_auc(quality._scored(spark, sf), "doc_id", "score", "other", "good", rounds=1000).collect()
+    assert quality.QUERIES["auc_bootstrap"][0](spark, sf).collect() == want
