@@ -7,6 +7,7 @@ texts as UTF-8 bytes (``bytes.split()`` cuts at exactly these characters).
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
-#: Rows that a stored table may have at most to be broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and bytes on disk, that a stored table may have at most to be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -30,14 +31,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests, local master)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        own = tempfile.mkdtemp(prefix="tallyloom-")
-        atexit.register(shutil.rmtree, own, True)
-        found = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not _OWN:
+            own = tempfile.mkdtemp(prefix="tallyloom-")
+            atexit.register(shutil.rmtree, own, True)
+            _OWN.append(f"file://{own}")
+        found = _OWN[0]
     return found.rstrip("/")
 
 
@@ -45,7 +52,23 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Stored tables made inside are deleted at the end, but for those made with keep."""
+    held: list[DataFrame] = []
+    _SCOPES.append(held)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        for df in held:
+            drop_stash(df)
+
+
+def stash(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here, so a lost executor costs a file read."""
     spark, path, schema = df.sparkSession, new_path(df.sparkSession, label), df.schema
     before = spark.conf.get(CLEANUP, None)
@@ -56,21 +79,34 @@ def stash(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
     out = spark.read.schema(schema).parquet(path)
     out._tallyloom_path = path
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(out)
     return out
 
 
+def folder_of(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path and the path, as Hadoop has them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def drop_stash(df: DataFrame) -> None:
     """Deletes a stored table that nothing reads any more."""
     path = getattr(df, "_tallyloom_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+        store, at = folder_of(df.sparkSession, path)
+        store.delete(at, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has few rows, else as it is (Spark then shuffles both sides)."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it has few rows and, where it is a stored table, few bytes; else as it is (Spark then
+    shuffles both sides)."""
+    path = getattr(df, "_tallyloom_path", None)
+    if path:
+        store, at = folder_of(df.sparkSession, path)
+        if store.getContentSummary(at).getLength() > BROADCAST_BYTES:
+            return df
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
 
 
 def words_of(text: Column) -> Column:

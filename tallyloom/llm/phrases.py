@@ -1,76 +1,165 @@
 """Repeated-phrase removal by sharded Aho-Corasick automata over words.
 
-Recurring passages are confirmed first: maximal runs of words of which each window of WINDOW words also starts elsewhere
-(windows.py).  Passages and documents meet in shards of about SHARD bytes of text: a shard's distinct passages are compiled
-into one automaton (pyahocorasick, words as numbers), and all of its documents are streamed through it; each word
-inside an occurrence goes.  A passage's occurrences lie in documents whose windows were confirmed, and these bring the
-passage to their shard, so no automaton has to hold, or meet, more than its shard, and none is missed.
-
-Null and blank texts have no words.  Repeated rows of WINDOW words or more lose everything.  An empty table gives an
-empty result.
+1. Passages are proposed: a run of windows that as a whole occurs again, and single windows that occur again elsewhere than
+   in such a run (windows.py).  Of each only the words are kept, cut from one of its texts, and not where else it stands.
+2. A passage belongs to the shard that its anchor's hash names.  Each shard's distinct passages are compiled into one
+   automaton (pyahocorasick, words as numbers), and every document's parts with an anchor of the shard are streamed
+   through it.  That filter loses nothing: all windows of a passage have its anchor, and so has each of its occurrences.
+   Anchors with more than HOT occurrences are dealt over several shards, each with the passages.
+3. A passage is confirmed if the automata locate it at two places or more, compared word by word; every word inside an
+   occurrence of a confirmed passage goes.
+
+Null and blank texts have no words.  Equal texts, repeated rows too, of WINDOW words or more lose everything; each is worked
+on once.  Null and repeated ids are kept row by row; other columns are not read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
-from .windows import judge
-
-WINDOW, GRAM, SHARD = 35, 16, 2 << 20
-
-
-def located(texts: list[list[int]], spans: list[np.ndarray]) -> list[np.ndarray]:
-    """Whether each word lies inside an occurrence of any of the passages."""
-    passages = {tuple(words[a:b]) for words, own in zip(texts, spans, strict=True) for a, b in own.tolist()}
-    out = [np.zeros(len(words), bool) for words in texts]
-    if not passages:
-        return out
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for p in passages:
-        automaton.add_word(p, len(p))
-    automaton.make_automaton()
-    for words, gone in zip(texts, out, strict=True):
-        if len(words) >= WINDOW:
-            reach: dict[int, int] = {}
-            for end, n in automaton.iter(tuple(words)):
-                reach[end] = max(n, reach.get(end, 0))
-            for end, n in reach.items():
-                gone[end + 1 - n : end + 1] = True
-    return out
+from .common import scratch, slices, small, stash, table
+from .windows import Texts, anchor_rows, compared_windows, distinct_texts, finished, parts_of, run_groups
+
+WINDOW, GRAM = 35, 16
+#: Bytes of passages in an automaton, occurrences of an anchor in a shard, and the least number of shards.
+SHARD, HOT, SHARDS = 2 << 20, 20_000, 16
+
+
+def cut_parts(listed: DataFrame) -> DataFrame:
+    """(fp, k1, k2, m, i1, part): the words i1..i2-1 of each text's listed parts (k1, k2, m, text, parts: i1, i2, fp)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=1 << 20):
+            at, fp, first, part = [], [], [], []
+            for i, (text, own) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("parts").to_pylist(), strict=True)):
+                words = (text or b"").split()
+                for r in own:
+                    at.append(i)
+                    fp.append(r["fp"])
+                    first.append(r["i1"])
+                    part.append(b" ".join(words[r["i1"] : r["i2"]]))
+            row = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), *(batch.column(k).take(row) for k in ("k1", "k2", "m")), pa.array(first, pa.int32()), pa.array(part, pa.binary())], names=["fp", "k1", "k2", "m", "i1", "part"])
+
+    return listed.select("k1", "k2", "m", "text", "parts").mapInArrow(run, "fp long, k1 long, k2 long, m long, i1 int, part binary")
+
+
+def listed(parts: DataFrame, label: str) -> DataFrame:
+    """A text's own parts (k1, k2, i1, i2, fp) as one list."""
+    return stash(parts.groupBy("k1", "k2").agg(F.collect_list(F.struct("i1", "i2", "fp")).alias("parts")), label)
+
+
+def proposed(texts: Texts, found: DataFrame, window: int) -> DataFrame:
+    """(fp, passage): words of runs and windows that seem to recur."""
+    groups = stash(run_groups(found), "phrase-groups")
+    whole = groups.where("times > 1").select(F.col("r.k1").alias("k1"), F.col("r.k2").alias("k2"), F.col("r.i1").alias("i1"), (F.col("r.i1") + F.col("n") + window).alias("i2"), "fp")
+    windows = compared_windows(texts, groups, window, True)
+    again = windows.groupBy("fp", "wh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "i")).alias("r")).where("c > 1")
+    single = again.select(F.col("r.k1").alias("k1"), F.col("r.k2").alias("k2"), F.col("r.i").alias("i1"), (F.col("r.i") + window).alias("i2"), "fp")
+    return cut_parts(texts.with_lists(listed(whole.union(single), "phrase-places"))).select("fp", F.col("part").alias("passage")).distinct()
+
+
+class Shard:
+    """One automaton over the words of passages."""
+
+    def __init__(self, passages: list[tuple[int, bytes]]):
+        self.number: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for pid, passage in passages:
+            words = passage.split(b" ")
+            self.automaton.add_word(tuple([self.number.setdefault(w, len(self.number)) for w in words]), (pid, len(words)))
+        if passages:
+            self.automaton.make_automaton()
+        self.some = bool(passages)
+
+    def locate(self, part: bytes) -> list[tuple[int, int, int]]:
+        """(first word, words, passage) of every occurrence in a part."""
+        if not self.some:
+            return []
+        get = self.number.get
+        return [(end + 1 - n, n, pid) for end, (pid, n) in self.automaton.iter(tuple([get(w, -1) & 0xFFFFFFFF for w in part.split(b" ")]))]
+
+
+def located(passages: DataFrame, parts: DataFrame, shards: int) -> DataFrame:
+    """(k1, k2, m, i1, i2, pid): occurrences of passages (shard, fp, passage) in parts (shard, k1, k2, m, i1, part), word by word."""
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    a = passages.select("shard", F.lit(0).alias("kind"), F.xxhash64("fp", "passage").alias("pid"), none("k1", "long"), none("k2", "long"), none("m", "long"), none("i1", "int"), F.col("passage").alias("part"))
+    b = parts.select("shard", F.lit(1).alias("kind"), none("pid", "long"), "k1", "k2", "m", "i1", "part")
+    both = a.union(b).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, listed_, compiled = None, [], None
+        for batch in slices(batches, "part", 4 << 20):
+            out: list[list[int]] = [[], [], [], []]
+            for i, (shard, kind, pid, part) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "pid", "part")), strict=True)):
+                if shard != now:
+                    now, listed_, compiled = shard, [], None
+                if kind == 0:
+                    listed_.append((pid, part))
+                    continue
+                if compiled is None:
+                    compiled, listed_ = Shard(listed_), []
+                for first, n, found in compiled.locate(part):
+                    for held, x in zip(out, (i, first, n, found), strict=True):
+                        held.append(x)
+            row = pa.array(out[0], pa.int64())
+            start = np.array(out[1], np.int32) + batch.column("i1").take(row).to_numpy(zero_copy_only=False).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in ("k1", "k2", "m")), pa.array(start), pa.array(start + np.array(out[2], np.int32)), pa.array(out[3], pa.int64())], names=["k1", "k2", "m", "i1", "i2", "pid"])
+
+    return both.mapInArrow(run, "k1 long, k2 long, m long, i1 int, i2 int, pid long")
 
 
 def finish(texts: list[bytes], spans: list[np.ndarray]) -> list[tuple]:
-    out, start = [], 0
-    while start < len(texts):
-        stop, held = start, 0
-        while stop < len(texts) and (stop == start or held + len(texts[stop]) <= SHARD):
-            held += len(texts[stop])
-            stop += 1
-        number: dict[bytes, int] = {}
-        words = [t.split() for t in texts[start:stop]]
-        gone = located([[number.setdefault(w, len(number)) for w in ws] for ws in words], spans[start:stop])
-        for ws, g in zip(words, gone, strict=True):
-            rest = b" ".join([w for w, x in zip(ws, g.tolist(), strict=True) if not x]) if g.any() else b" ".join(ws)
-            out.append((len(ws), int(g.sum()), hashlib.sha256(rest).hexdigest(), rest))
-        start = stop
+    out = []
+    for text, own in zip(texts, spans, strict=True):
+        words = text.split()
+        kept, at = [], 0
+        for a, b in own.tolist():
+            kept += words[at:a]
+            at = b
+        kept += words[at:]
+        rest = b" ".join(kept)
+        out.append((len(words), len(words) - len(kept), hashlib.sha256(rest).hexdigest(), rest))
     return out
 
 
+def digest_only(texts: list[bytes], spans: list[np.ndarray]) -> list[tuple]:
+    return [x[:3] for x in finish(texts, spans)]
+
+
 RESULT = [("n_words", pa.int64(), T.LongType()), ("n_removed", pa.int64(), T.LongType()), ("kept_sha256", pa.string(), T.StringType()), ("kept", pa.binary(), T.BinaryType())]
 
 
-def remove_phrases(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, kept: bool = True) -> DataFrame:
+def remove_phrases(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, kept: bool = True, hot: int = HOT) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256, kept): every row's words without those that a repeated window covers."""
-    if kept:
-        return judge(docs, id, text, window, gram, True, finish, RESULT)
-    return judge(docs, id, text, window, gram, True, lambda t, s: [x[:3] for x in finish(t, s)], RESULT[:3])
+    with scratch():
+        texts = distinct_texts(docs, id, text)
+        rows = stash(anchor_rows(texts.bodies, window, gram, True), "windows-runs")
+        known = stash(rows.groupBy("fp").agg(F.sum("m").alias("all"), F.count(F.lit(1)).alias("places")).where("all > 1"), "windows-known")
+        found = stash(rows.join(small(known.select("fp", "places")), "fp").withColumn("n", F.col("i2") - F.col("i1")), "windows-found")
+        passages = stash(proposed(texts, found, window), "phrase-passages")
+        size = passages.agg(F.sum(F.octet_length("passage"))).first()[0] or 0
+        shards = max(SHARDS, -(-size // SHARD))
+        # an anchor of many places has several shards, and its places are dealt over them by text
+        spread = small(stash(known.where(F.col("places") > hot).select("fp", F.ceil(F.col("places") / hot).cast("int").alias("copies")), "phrase-hot"))
+        copies, salt = F.coalesce("copies", F.lit(1)), F.col("fp").bitwiseXOR(F.col("k1"))
+        own = F.pmod(F.xxhash64("fp"), F.lit(shards)).cast("int")
+        dealt = passages.join(spread, "fp", "left").withColumn("shard", F.explode(F.transform(F.sequence(F.lit(0), copies - 1), lambda c: F.pmod(own + c, F.lit(shards)).cast("int"))))
+        parts = cut_parts(texts.with_lists(listed(found.select("k1", "k2", "i1", (F.col("i2") + window).alias("i2"), "fp"), "phrase-parts")))
+        parts = parts.join(spread, "fp", "left").withColumn("shard", F.pmod(own + F.pmod(F.xxhash64(salt), copies), F.lit(shards)).cast("int"))
+        places = stash(located(dealt.select("shard", "fp", "passage").distinct(), parts, shards), "phrase-located")
+        confirmed = stash(places.groupBy("pid").agg(F.sum("m").alias("c")).where("c > 1").select("pid"), "phrase-confirmed")
+        spans = places.join(small(confirmed), "pid").groupBy("k1", "k2").agg(F.collect_list(F.struct("i1", (F.col("i2") - window).alias("i2"))).alias("spans"))
+        n = 4 if kept else 3
+        return finished(texts, stash(spans, "phrase-spans"), docs.schema[id].dataType, window, finish if kept else digest_only, RESULT[:n])
 
 
 def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

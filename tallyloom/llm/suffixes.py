@@ -1,21 +1,24 @@
 """Exact long repeats by a logarithmic family of sparse suffix arrays.
 
 Every window of WINDOW bytes names one suffix of its text, the one that begins at its anchor (see windows.py), so any two
-equal windows name suffixes with the same first GRAM bytes.  A batch's suffix array holds its named suffixes in order of
-a hash of these bytes.  A new batch is merge-scanned against every level of the family; what both hold is a candidate
-for a long match.  Then it becomes a level itself, and levels of equal rank merge, so a suffix is rewritten once for each
-doubling of the corpus.  Candidates are compared on all bytes of their windows, left and right of the anchor.
+equal windows name suffixes that share GRAM bytes.  A batch's suffix array holds its named suffixes, cut at GRAM bytes, in
+the order of their bytes.  A new batch is merge-scanned against every level of the family: a suffix that both hold is a
+match of GRAM bytes, compared byte by byte.  Then it becomes a level itself, and levels of equal rank merge, so a suffix is
+rewritten once for each doubling of the corpus.  A family is a folder, so later batches can be added by another session.
 
-Order is by hash and not by alphabet, and only about one suffix in 100 is in the arrays: equality of the first GRAM bytes is
-all that the scan asks for, and arrays over all bytes don't fit the limits (README).
+What the scans find decides which suffixes are extended: the windows on both sides of them, to the left and to the right,
+are told apart by hashes of 64 bits beside the 64 of their suffix.  Only named suffixes are in the arrays, about one
+byte in 150; arrays over all bytes need 5 bytes each and don't fit the limit of disk (README).
 
 Null and empty texts have no bytes to remove.  Texts are compared as UTF-8 and a removed span may begin or end within a
-character.  Repeated rows of WINDOW bytes or more lose everything.  An empty table gives an empty result.
+character.  Equal texts, repeated rows too, of WINDOW bytes or more lose everything; each is worked on once.  Null and
+repeated ids are kept row by row; other columns are not read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -23,43 +26,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_stash, stash, table
-from .windows import judge
+from .common import folder_of, new_path, scratch, small, stash, table
+from .windows import anchor_rows, compared_windows, distinct_texts, finished, run_groups
 
-WINDOW, GRAM, BATCHES = 400, 200, 4
+WINDOW, GRAM = 400, 100
+#: Bytes of named suffixes in a batch, and the least number of batches.
+BATCH_BYTES, BATCHES = 64 << 30, 4
 
 
 class IndexFamily:
-    """Levels of sorted suffix hashes with their numbers of occurrences."""
+    """Suffix arrays of growing rank in a folder: <rank>-<name>, each a table (suffix, fp) in the order of suffixes.
 
-    def __init__(self):
-        self.levels: list[tuple[int, DataFrame]] = []
+    A merged level is written whole before the two that it replaces go, so a broken run leaves a suffix twice at worst,
+    and a scan finds it all the same."""
 
-    def _store(self, rows: DataFrame) -> DataFrame:
-        return stash(rows.groupBy("fp").agg(F.sum("n").alias("n")).sortWithinPartitions("fp"), "suffix-level")
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def levels(self) -> list[tuple[int, str]]:
+        store, at = folder_of(self.spark, self.folder)
+        names = [x.getPath().getName() for x in store.listStatus(at)] if store.exists(at) else []
+        done = [n for n in names if store.exists(folder_of(self.spark, f"{self.folder}/{n}/_SUCCESS")[1])]
+        return sorted((int(n.split("-")[0]), f"{self.folder}/{n}") for n in done)
+
+    def read(self, path: str) -> DataFrame:
+        return self.spark.read.schema("suffix binary, fp long").parquet(path)
+
+    def _write(self, rows: DataFrame, rank: int) -> str:
+        path = f"{self.folder}/{rank:04d}-{uuid.uuid4().hex}"
+        array = rows.groupBy("suffix").agg(F.min("fp").alias("fp")).sortWithinPartitions("suffix")
+        array.write.option("compression", "zstd").parquet(path)
+        return path
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Takes in a batch (fp); the hashes it repeats, within itself or from a level, may come twice."""
-        rank, own = 0, self._store(batch.select("fp", F.lit(1).cast("long").alias("n")))
-        seen = own.where("n > 1").select("fp")
-        for _, level in self.levels:
-            seen = seen.union(own.join(level.select("fp"), "fp").select("fp"))
-        seen = stash(seen, "suffix-seen")
-        while self.levels and self.levels[-1][0] == rank:
-            _, other = self.levels.pop()
-            merged = self._store(own.union(other))
-            drop_stash(own)
-            drop_stash(other)
+        """Takes in a batch (suffix, fp, m: how often it counts); (fp) of the suffixes that it repeats, itself or a level's."""
+        counted = stash(batch.groupBy("suffix").agg(F.min("fp").alias("fp"), F.sum("m").alias("m")), "suffix-batch")
+        seen = counted.where("m > 1").select("fp")
+        for _, path in self.levels():
+            level = self.read(path).select("suffix").hint("merge")
+            seen = seen.union(counted.select("suffix", "fp").join(level, "suffix").select("fp"))
+        seen = stash(seen.distinct(), "suffix-seen")
+        rank, own = 0, self._write(counted, 0)
+        while other := next((p for r, p in self.levels() if r == rank and p != own), None):
+            merged = self._write(self.read(own).union(self.read(other)), rank + 1)
+            for path in (own, other):
+                store, at = folder_of(self.spark, path)
+                store.delete(at, True)
             rank, own = rank + 1, merged
-        self.levels.append((rank, own))
         return seen
 
+    def drop(self) -> None:
+        store, at = folder_of(self.spark, self.folder)
+        store.delete(at, True)
+
+
+def family_prints(family: IndexFamily, rows: DataFrame, batches: int) -> DataFrame:
+    """Hashes (fp) of suffixes that occur more than once in rows, or in the family, found batch by batch.
 
-def family_prints(rows: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """Hashes of suffixes that occur more than once, found batch by batch."""
-    family, out = IndexFamily(), None
+    A batch holds the suffixes of its texts, so that a repetition within a batch is found by the batch's own array."""
+    out = None
     for b in range(batches):
-        seen = family.add(rows.where(F.pmod("k1", F.lit(batches)) == b).select("fp"))
+        seen = family.add(rows.where(F.pmod("k1", F.lit(batches)) == b).select("suffix", "fp", "m"))
         out = seen if out is None else out.union(seen)
     return out.distinct()
 
@@ -80,11 +107,33 @@ def finish(texts: list[bytes], spans: list[np.ndarray]) -> list[tuple]:
 RESULT = [("n_bytes", pa.int64(), T.LongType()), ("n_removed", pa.int64(), T.LongType()), ("n_spans", pa.int64(), T.LongType()), ("kept_sha256", pa.string(), T.StringType()), ("kept", pa.binary(), T.BinaryType())]
 
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, kept: bool = True) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept): every row's text without the bytes that a repeated window covers."""
-    if kept:
-        return judge(docs, id, text, window, gram, False, finish, RESULT, lambda rows: family_prints(rows, batches))
-    return judge(docs, id, text, window, gram, False, lambda t, s: [x[:4] for x in finish(t, s)], RESULT[:4], lambda rows: family_prints(rows, batches))
+def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int | None = None, kept: bool = True) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept): every row's text without the bytes that a repeated window covers.
+
+    Most repeated windows stand in a run of windows that as a whole occurs again.  The windows of the other runs of a
+    repeated suffix are hashed one by one, with one run of each kind that occurs again for comparison."""
+    with scratch():
+        texts = distinct_texts(docs, id, text)
+        rows = stash(anchor_rows(texts.bodies, window, gram, False, suffix=True), "windows-runs")
+        if batches is None:
+            batches = max(BATCHES, -(-rows.count() * gram // BATCH_BYTES))
+        family = IndexFamily(docs.sparkSession, new_path(docs.sparkSession, "suffix-family"))
+        known = stash(family_prints(family, rows, batches), "windows-known")
+        family.drop()
+        found = stash(rows.drop("suffix").join(small(known), "fp").withColumn("n", F.col("i2") - F.col("i1")), "windows-found")
+        groups = run_groups(found)
+        windows = compared_windows(texts, groups, window, False)
+        twice = small(stash(windows.groupBy("fp", "wh").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "windows-twice"))
+        hits = windows.where("lone").join(twice, ["fp", "wh"]).select("k1", "k2", F.col("i").alias("i1"), F.col("i").alias("i2"))
+        sure = found.join(small(stash(groups.where("times > 1").select("fp", "ctx", "n"), "windows-again")), ["fp", "ctx", "n"]).select("k1", "k2", "i1", "i2")
+        spans = sure.union(hits).groupBy("k1", "k2").agg(F.collect_list(F.struct("i1", "i2")).alias("spans"))  # a text's own
+        spans = stash(spans, "windows-spans")
+        n = 5 if kept else 4
+        return finished(texts, spans, docs.schema[id].dataType, window, finish if kept else digest_only, RESULT[:n])
+
+
+def digest_only(texts: list[bytes], spans: list[np.ndarray]) -> list[tuple]:
+    return [x[:4] for x in finish(texts, spans)]
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,20 +4,24 @@ A window of W units holds W - k + 1 grams of k units.  Its anchor is the gram of
 depends on the window's content only, so equal windows have equal anchors at the same distance.  Neighbouring windows
 mostly share an anchor; such a run of windows is one row, and only one in about (W - k) / 2 grams becomes an anchor.
 A window can only be repeated if its anchor is.
+
+Equal texts are one here: each distinct text is worked on once and counts as often as it has rows, so neither copies nor
+repeated rows cost more than their keys.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_stash, slices, small, stash
+from .common import slices, small, stash
 
 #: Windows that are worked on at once, so that memory doesn't follow a text's length.
 PIECE = 1 << 19
@@ -65,9 +69,9 @@ def sliding_least(v: np.ndarray, m: int) -> np.ndarray:
     return np.minimum(back[: len(v) - m + 1], ahead[m - 1 : len(v)])
 
 
-def runs(units: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, hash of the anchor's gram) of each run of windows with one anchor."""
-    firsts, lasts, prints = [], [], []
+def runs(units: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window, place of the anchor, its gram's hash) of each run of windows with one anchor."""
+    firsts, lasts, places, prints = [], [], [], []
     total = len(units) - window + 1
     for s in range(0, max(total, 0), PIECE):
         part = units[s : min(s + PIECE, total) + window - 1]
@@ -76,11 +80,12 @@ def runs(units: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray
         first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
         firsts.append(first + s)
         lasts.append(np.concatenate((first[1:] - 1, [len(at) - 1])) + s)
+        places.append(at[first] + s)
         prints.append(g[at[first]])
     if not firsts:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64)
-    return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(prints)
+        return none, none, none, none.astype(np.uint64)
+    return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(places), np.concatenate(prints)
 
 
 #: Hashes that stand for bytes.
@@ -112,25 +117,63 @@ def signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
-def anchor_rows(keyed: DataFrame, window: int, k: int, words: bool) -> DataFrame:
-    """(k1, k2, i1, i2, fp, ctx): a run of windows, its anchor's hash, and the hash of all that the run's windows hold."""
+def text_key(text: str) -> tuple[Column, Column]:
+    """128 bits that stand for a text; null and empty texts are one."""
+    own = F.coalesce(F.col(text), F.lit(""))
+    return F.xxhash64(own).alias("k1"), F.xxhash64(F.lit(1), own).alias("k2")
+
+
+@dataclass
+class Texts:
+    """rows: (id, k1, k2) of every row; bodies: (k1, k2, m, text), each distinct text once, with its number of rows."""
+
+    rows: DataFrame
+    bodies: DataFrame
+    stored: DataFrame
+
+    def with_lists(self, lists: DataFrame, how: str = "inner") -> DataFrame:
+        return self.bodies.join(small(lists), ["k1", "k2"], how)
+
+
+def distinct_texts(docs: DataFrame, id: str, text: str) -> Texts:
+    k1, k2 = text_key(text)
+    rows = docs.select(F.col(id).alias("id"), k1, k2, F.xxhash64(id).alias("h"))
+    each = rows.groupBy("k1", "k2", "h").agg(F.count(F.lit(1)).alias("c")).groupBy("k1", "k2").agg(F.sum("c").alias("m"), F.min(F.struct("h", "c")).alias("r"))
+    stored = stash(each.select("k1", "k2", "m", F.col("r.h").alias("r"), (F.col("r.c") > 1).alias("again")), "windows-texts")
+    # the row of least id hash stands for its text; no equality of columns, so that texts stay dealt by (k1, k2)
+    found = docs.select(k1, k2, F.xxhash64(id).alias("h"), F.col(text).alias("text")).join(small(stored), ["k1", "k2"]).where(F.col("h").bitwiseXOR(F.col("r")) == 0)
+    bodies = found.where("NOT again")
+    if stored.where("again").limit(1).count():
+        bodies = bodies.unionByName(found.where("again").dropDuplicates(["k1", "k2"]))
+    return Texts(rows.select("id", "k1", "k2"), bodies.select("k1", "k2", "m", "text"), stored)
+
+
+def anchor_rows(bodies: DataFrame, window: int, k: int, words: bool, suffix: bool = False) -> DataFrame:
+    """(k1, k2, m, i1, i2, fp, ctx): a run of windows, its anchor's hash, and the hash of all that the run's windows hold.
+
+    suffix: also the bytes of the anchor's gram."""
+    names = ["k1", "k2", "m", "i1", "i2", "fp", "ctx"] + ["suffix"] * suffix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=4 << 20):
             out: list[list] = [[], [], [], [], []]
+            tails: list[bytes] = []
             for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 units, data, place = parts_of(text or b"", words)
                 if len(units) < window:
                     continue
-                i1, i2, fp = runs(units, window, k)
+                i1, i2, at, fp = runs(units, window, k)
                 for held, x in zip(out, (np.full(len(i1), i), i1, i2, fp, digests(data, place, i1, i2 + window, int(words))), strict=True):
                     held.append(x)
+                if suffix:
+                    tails += [data[a:b] for a, b in zip(place[at].tolist(), (place[at + k] - int(words)).tolist(), strict=True)]
             if out[0]:
                 at, i1, i2, fp, ctx = map(np.concatenate, out)
                 at = pa.array(at)
-                yield pa.RecordBatch.from_arrays([batch.column("k1").take(at), batch.column("k2").take(at), pa.array(i1.astype(np.int32)), pa.array(i2.astype(np.int32)), signed(fp), signed(ctx)], names=["k1", "k2", "i1", "i2", "fp", "ctx"])
+                own = [batch.column("k1").take(at), batch.column("k2").take(at), batch.column("m").take(at), pa.array(i1.astype(np.int32)), pa.array(i2.astype(np.int32)), signed(fp), signed(ctx)]
+                yield pa.RecordBatch.from_arrays(own + [pa.array(tails, pa.binary())] * suffix, names=names)
 
-    return keyed.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, i1 int, i2 int, fp long, ctx long")
+    return bodies.mapInArrow(run, "k1 long, k2 long, m long, i1 int, i2 int, fp long, ctx long" + ", suffix binary" * suffix)
 
 
 def flat(a: list[np.ndarray]) -> bytes:
@@ -147,104 +190,57 @@ def merged(i1: np.ndarray, i2: np.ndarray, window: int) -> np.ndarray:
     return np.stack([start[new], end[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(end) - 1]))]], axis=1)
 
 
-def repeated_prints(rows: DataFrame) -> DataFrame:
-    """Anchors' hashes that occur more than once."""
-    return rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
-
-
-Finish = Callable[[list[bytes], list[np.ndarray]], list[tuple]]
-
-
-def judge(docs: DataFrame, id: str, text: str, window: int, k: int, words: bool, finish: Finish, result: list[tuple[str, pa.DataType, T.DataType]], prints: Callable[[DataFrame], DataFrame] = repeated_prints) -> DataFrame:
-    """(id, result columns) for every row; finish(texts, spans) gets maximal spans of units covered by repeated windows.
-
-    Most repeated windows stand in a run that as a whole occurs again, which the rows show.  The windows of the other
-    runs with a repeated anchor are hashed one by one, with one run of each kind that occurs again for comparison.
-    Rows are told apart by hashes of id and text; equal rows are repetitions of each other and get the same result."""
-    keyed = docs.select(F.col(id).alias("id"), F.xxhash64(id).alias("k1"), F.xxhash64(text).alias("k2"), F.col(text).alias("text"))
-    rows = stash(anchor_rows(keyed, window, k, words), "windows-runs")
-    known = small(stash(prints(rows), "windows-prints"))
-    found = stash(rows.join(known, "fp").withColumn("n", F.col("i2") - F.col("i1")), "windows-found")
-    drop_stash(rows)
-    again = found.groupBy("fp", "ctx", "n").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k1", "k2", "i1")).alias("r"))
-    again = stash(again, "windows-groups")
-    lone = again.where("times = 1").select("fp").distinct().withColumn("lone", F.lit(True))
-    more = again.where("times > 1").join(small(stash(lone, "windows-lone")), "fp", "left").select("fp", "ctx", "n", "lone", "r")
-    told = found.join(small(stash(more, "windows-more")), ["fp", "ctx", "n"], "left")
-    shown = F.col("lone") & (F.struct("k1", "k2", "i1") == F.col("r"))
-    kind = F.when(F.col("r").isNull(), 0).when(shown, 2).otherwise(1)  # 0: alone, 1: occurs again, 2: the one of these to compare with
-    lists = told.withColumn("run", F.struct("i1", "i2", "fp", kind.alias("kind"))).groupBy("k1", "k2").agg(F.collect_list("run").alias("runs"))
-    lists = stash(lists, "windows-lists")
-    drop_stash(found)
-    arrow = [pa.field(n, t) for n, t, _ in result]
-    out = [T.StructField("id", docs.schema[id].dataType)] + [T.StructField(n, t) for n, _, t in result]
-
-    def results(batch: pa.RecordBatch, at: list[int], texts: list[bytes], spans: list[np.ndarray]) -> list[pa.Array]:
-        cols = list(zip(*finish(texts, spans), strict=True)) or [()] * len(arrow)
-        return [batch.column("id").take(pa.array(at, pa.int64())), *(pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True))]
+def window_rows(listed: DataFrame, window: int, words: bool) -> DataFrame:
+    """(k1, k2, i, fp, wh, lone): every window of the listed runs (k1, k2, text, runs: i1, i2, fp, lone), with its hash."""
 
-    extra = [("k1", T.LongType()), ("k2", T.LongType()), ("text", T.BinaryType()), ("sure", T.BinaryType()), ("open", T.BinaryType())]
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", *(f.name for f in arrow), *(n for n, _ in extra)]
-        for batch in slices(batches):
-            col = batch.column("runs")
-            ends, values = col.offsets.to_numpy(), col.values
-            i1, i2, fp, kind = (values.field(n).to_numpy(zero_copy_only=False) for n in ("i1", "i2", "fp", "kind"))
-            texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            done, spans, left, sure, open_ = [], [], [], [], []
-            for i in range(batch.num_rows):
-                s = slice(ends[i], ends[i + 1])
-                again = kind[s] > 0
-                if (kind[s] != 1).any():
-                    left.append(i)
-                    sure.append(flat([i1[s][again], i2[s][again]]))
-                    few = kind[s] != 1
-                    open_.append(flat([i1[s][few], i2[s][few], fp[s][few], kind[s][few]]))
-                else:
-                    done.append(i)
-                    spans.append(merged(i1[s], i2[s], window))
-            none = len(done) * [None]
-            if done:
-                own = results(batch, done, [texts[i] for i in done], spans)
-                yield pa.RecordBatch.from_arrays([*own, pa.array(none, pa.int64()), pa.array(none, pa.int64()), *(pa.array(none, pa.binary()) for _ in range(3))], names=names)
-            if left:
-                at = pa.array(left, pa.int64())
-                own = [batch.column("id").take(at), *(pa.nulls(len(left), f.type) for f in arrow)]
-                yield pa.RecordBatch.from_arrays([*own, batch.column("k1").take(at), batch.column("k2").take(at), pa.array([texts[i] for i in left], pa.binary()), pa.array(sure, pa.binary()), pa.array(open_, pa.binary())], names=names)
-
-    joined = keyed.join(lists, ["k1", "k2"], "left").select("id", "k1", "k2", "text", "runs")
-    state = stash(joined.mapInArrow(first, T.StructType(out + [T.StructField(n, t) for n, t in extra])), "windows-state")
-    drop_stash(lists)
-    rest = state.where("text IS NOT NULL")
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 20):
             cols: list[list] = [[], [], [], [], []]
-            for row, (text_, open_) in enumerate(zip(batch.column("text").to_pylist(), batch.column("open").to_pylist(), strict=True)):
-                i1, i2, fp, kind = np.frombuffer(open_, np.int64).reshape(4, -1)
-                _, data, place = parts_of(text_, words)
+            for row, (text, own) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True)):
+                i1, i2, fp, lone = (np.array([r[k] for r in own], np.int64) for k in ("i1", "i2", "fp", "lone"))
+                _, data, place = parts_of(text or b"", words)
                 size = i2 - i1 + 1
                 at = np.repeat(i1 - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-                for held, x in zip(cols, (np.full(len(at), row), at, np.repeat(fp, size), digests(data, place, at, at + window, int(words)), np.repeat(kind, size)), strict=True):
+                for held, x in zip(cols, (np.full(len(at), row), at, np.repeat(fp, size), digests(data, place, at, at + window, int(words)), np.repeat(lone, size)), strict=True):
                     held.append(x)
-            row, at, fp, wh, kind = map(np.concatenate, cols)
+            row, at, fp, wh, lone = map(np.concatenate, cols)
             row = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("k1").take(row), batch.column("k2").take(row), pa.array(at.astype(np.int32)), pa.array(fp), signed(wh), pa.array(kind == 0)], names=["k1", "k2", "i", "fp", "wh", "lone"])
+            yield pa.RecordBatch.from_arrays([batch.column("k1").take(row), batch.column("k2").take(row), pa.array(at.astype(np.int32)), pa.array(fp), signed(wh), pa.array(lone > 0)], names=["k1", "k2", "i", "fp", "wh", "lone"])
+
+    return listed.select("k1", "k2", "text", "runs").mapInArrow(run, "k1 long, k2 long, i int, fp long, wh long, lone boolean")
+
+
+def run_groups(found: DataFrame) -> DataFrame:
+    """(fp, ctx, n, times, r, lone): runs of the same content, how often they occur, the least of them, and whether its anchor
+    also stands in a run that occurs once."""
+    groups = stash(found.groupBy("fp", "ctx", "n").agg(F.sum("m").alias("times"), F.min(F.struct("k1", "k2", "i1")).alias("r")), "windows-groups")
+    alone = small(stash(groups.where("times = 1").select("fp").distinct().withColumn("lone", F.lit(True)), "windows-lone"))
+    return groups.join(alone, "fp", "left").withColumn("lone", F.coalesce("lone", F.lit(False)))
 
-    singles = rest.select("k1", "k2", "text", "open").mapInArrow(each, "k1 long, k2 long, i int, fp long, wh long, lone boolean")
-    twice = small(stash(singles.groupBy("fp", "wh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "windows-twice"), 300_000)
-    hits = singles.where("lone").join(twice, ["fp", "wh"]).groupBy("k1", "k2").agg(F.collect_list("i").alias("hits"))
-    hits = stash(hits, "windows-hits")
 
-    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def compared_windows(texts: Texts, groups: DataFrame, window: int, words: bool) -> DataFrame:
+    """window_rows of all runs that occur once and of one run of each kind that occurs again beside such a run."""
+    mine = groups.where("lone").select(F.col("r.k1").alias("k1"), F.col("r.k2").alias("k2"), F.struct(F.col("r.i1").alias("i1"), (F.col("r.i1") + F.col("n")).alias("i2"), "fp", (F.col("times") == 1).alias("lone")).alias("run"))
+    lists = stash(mine.groupBy("k1", "k2").agg(F.collect_list("run").alias("runs")), "windows-open")  # a text's own runs
+    return window_rows(texts.with_lists(lists), window, words)
+
+
+Finish = Callable[[list[bytes], list[np.ndarray]], list[tuple]]
+Result = list[tuple[str, pa.DataType, T.DataType]]
+
+
+def finished(texts: Texts, spans: DataFrame, id_type: T.DataType, window: int, finish: Finish, result: Result) -> DataFrame:
+    """(id, result columns) for every row; spans: (k1, k2, spans: array of (i1, i2)), the windows i1..i2 of a text that go."""
+    arrow = [pa.field(n, t) for n, t, _ in result]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            spans = []
-            for sure, own in zip(batch.column("sure").to_pylist(), batch.column("hits").to_pylist(), strict=True):
-                i1, i2 = np.frombuffer(sure, np.int64).reshape(2, -1)
-                own = np.array(own or [], np.int64)
-                spans.append(merged(np.concatenate((i1, own)), np.concatenate((i2, own)), window))
-            yield pa.RecordBatch.from_arrays(results(batch, list(range(batch.num_rows)), batch.column("text").to_pylist(), spans), names=["id", *(f.name for f in arrow)])
-
-    ended = rest.select("id", "k1", "k2", "text", "sure").join(hits, ["k1", "k2"], "left").select("id", "text", "sure", "hits").mapInArrow(last, T.StructType(out))
-    return state.where("text IS NULL").select(*(f.name for f in out)).unionByName(ended)
+            col = batch.column("spans")
+            ends, i1, i2 = col.offsets.to_numpy(), *(col.values.field(n).to_numpy(zero_copy_only=False) for n in ("i1", "i2"))
+            own = [merged(i1[a:b], i2[a:b], window) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            cols = zip(*finish([x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()], own), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), *(pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True))], names=["k1", "k2", *(f.name for f in arrow)])
+
+    schema = T.StructType([T.StructField(k, T.LongType()) for k in ("k1", "k2")] + [T.StructField(n, t) for n, _, t in result])
+    done = stash(texts.with_lists(spans, "left").select("k1", "k2", "text", "spans").mapInArrow(run, schema), "windows-done")
+    return stash(texts.rows.join(small(done), ["k1", "k2"]).select("id", *(n for n, _, _ in result)), "windows-result", keep=True)

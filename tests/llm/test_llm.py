@@ -95,10 +95,50 @@ def test_anchors_do_not_depend_on_pieces(monkeypatch):
     assert (whole[1] >= whole[0]).all() and whole[0][0] == 0 and whole[1][-1] == 2950
     monkeypatch.setattr(windows, "PIECE", 100)
     parts = windows.runs(units, 50, 20)
-    spread = lambda r: np.repeat(r[2], r[1] - r[0] + 1)
+    spread = lambda r: np.repeat(r[3], r[1] - r[0] + 1)
     assert (spread(whole) == spread(parts)).all()
 
 
+def test_long_texts_and_repeated_rows(spark, empty):
+    """The real window, a text over a piece's size with the repeat across its border, many equal rows, null ids, empty table."""
+    rnd = np.random.default_rng(3)
+    long = bytes(rnd.integers(97, 123, windows.PIECE + 3000, dtype=np.uint8)).decode()
+    block = long[windows.PIECE - 250 : windows.PIECE + 250]
+    rows = [(1, long), (2, "x" * 399), (3, "head " + block + " tail"), (4, None), (4, ""), (None, block), *[(5, "s" + block[:410])] * 300, *[(10 + i % 3, "t" * 405) for i in range(300)]]
+    docs = spark.createDataFrame([(*r, "n_bytes") for r in rows], "doc_id long, text string, n_bytes string").repartition(4)
+    got = bag(suffixes.remove_repeats(docs), "id", "n_bytes", "n_removed", "n_spans")
+    want = Counter({(1, len(long), 500, 1): 1, (2, 399, 0, 0): 1, (3, 510, 500, 1): 1, (4, 0, 0, 0): 2, (None, 500, 500, 1): 1, (5, 411, 411, 1): 300} | {(10 + i, 405, 405, 1): 100 for i in range(3)})
+    assert got == want
+    assert suffixes.remove_repeats(empty).count() == 0
+    words = " ".join(f"w{i % 50}x{i % 31}" for i in range(40))
+    many = spark.createDataFrame([(7, words)] * 10_000 + [(8, words + " more"), (9, "other " * 3)], "doc_id long, text string").repartition(4)
+    assert bag(phrases.remove_phrases(many), "id", "n_words", "n_removed") == Counter({(7, 40, 40): 10_000, (8, 41, 40): 1, (9, 3, 0): 1})
+
+
+def test_phrases_of_hot_anchors(docs):
+    """Salted shards find what one shard finds, and nothing is found without automata."""
+    assert bag(phrases.remove_phrases(docs, hot=1), "id", "n_removed", "kept_sha256") == bag(phrases.remove_phrases(docs), "id", "n_removed", "kept_sha256")
+    shard = phrases.Shard([(1, b"a b c"), (2, b"b c"), (3, b"z")])
+    assert sorted(shard.locate(b"b c x a b c")) == [(0, 2, 2), (3, 3, 1), (4, 2, 2)]
+    assert phrases.Shard([]).locate(b"a b c") == []
+
+
+def test_family_lasts(spark):
+    """Levels are folders: a second family at the same place knows what the first took in; equal ranks have merged."""
+    folder = new_path(spark, "test-family")
+    rows = lambda xs: spark.createDataFrame([(x.encode(), hash(x) % 1000, 1) for x in xs], "suffix binary, fp long, m long")
+    first = suffixes.IndexFamily(spark, folder)
+    assert [first.add(rows([c + str(i) for i in range(20)])).count() for c in "abc"] == [0, 0, 0]
+    assert [r for r, _ in first.levels()] == [0, 1]
+    again = suffixes.IndexFamily(spark, folder)
+    assert {r["fp"] for r in again.add(rows(["a3", "c7", "new", "new2"])).collect()} == {hash("a3") % 1000, hash("c7") % 1000}
+    assert [r for r, _ in again.levels()] == [2] and again.add(rows(["new", "new", "x", "x"])).count() == 2
+    level = [bytes(r["suffix"]) for r in again.read(again.levels()[-1][1]).coalesce(1).collect()]
+    assert len(level) == len(set(level)) == 62
+    again.drop()
+    assert again.levels() == []
+
+
 # ---- lines
 
 
