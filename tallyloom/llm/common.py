@@ -12,6 +12,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -109,6 +110,39 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
 
 
+def text_key(text: str) -> tuple[Column, Column]:
+    """128 bits that stand for a text; null and empty texts are one."""
+    own = F.coalesce(F.col(text), F.lit(""))
+    return F.xxhash64(own).alias("k1"), F.xxhash64(F.lit(1), own).alias("k2")
+
+
+@dataclass
+class Texts:
+    """rows: (id, k1, k2) of every row; bodies: (k1, k2, m, ids, id, r, text), each distinct text once: the numbers of its rows
+    and of their distinct ids, the least id (null last) and its hash."""
+
+    rows: DataFrame
+    bodies: DataFrame
+
+    def with_lists(self, lists: DataFrame, how: str = "inner") -> DataFrame:
+        return self.bodies.join(small(lists), ["k1", "k2"], how)
+
+
+def distinct_texts(docs: DataFrame, id: str, text: str) -> Texts:
+    k1, k2 = text_key(text)
+    rows = docs.select(F.col(id).alias("id"), k1, k2)
+    each = rows.withColumn("h", F.xxhash64("id")).groupBy("k1", "k2", "h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id"))
+    least = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "h", "c")).alias("r")
+    each = each.groupBy("k1", "k2").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("ids"), least)
+    stored = stash(each.select("k1", "k2", "m", "ids", "r.id", F.col("r.h").alias("r"), (F.col("r.c") > 1).alias("again")), "distinct-texts")
+    # the row of least id stands for its text; no equality of columns, so that texts stay dealt by (k1, k2)
+    found = docs.select(k1, k2, F.xxhash64(id).alias("h"), F.col(text).alias("text")).join(small(stored), ["k1", "k2"]).where(F.col("h").bitwiseXOR(F.col("r")) == 0)
+    bodies = found.where("NOT again")
+    if stored.where("again").limit(1).count():
+        bodies = bodies.unionByName(found.where("again").dropDuplicates(["k1", "k2"]))
+    return Texts(rows, bodies.select("k1", "k2", "m", "ids", "id", "r", "text"))
+
+
 def words_of(text: Column) -> Column:
     """Array of words; null and blank texts give an empty array."""
     cut = F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS)), BLANK_RUN)

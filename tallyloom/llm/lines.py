@@ -3,12 +3,14 @@
 A rolling hash over the hashes of the last SPAN lines ends a chunk where it is divisible by DIVISOR, so boundaries move with
 the content: lines put in before a passage don't shift its chunks, but for the first few.  Chunks have LEAST to MOST lines
 (the last one of a text may be shorter).  Of a chunk of two or more lines with words that occurs more than once, the
-occurrence of smallest (id, text hash, place) stays, null ids last; the others go if they equal it byte by byte.
-Occurrences that share its hash but not its bytes are grouped anew by their bytes.
-
-Null texts stay null and empty ones empty; a text that loses all its lines becomes empty, its row stays.  Rows with the same
-id and the same text are one row repeated: they get the same result and aren't copies of each other.  An empty
-table gives an empty result.  All other columns are passed on as they are.
+occurrence of smallest (id, text hash, place) stays, null ids last; the others go.  A chunk's occurrences are compared byte
+by byte (least against greatest, which partial aggregation finds for a chunk of any frequency); those that share a hash but
+not their bytes are grouped anew by their bytes.
+
+Each distinct text is cut once, however many rows have it: the row of least id keeps the chunks that are its text's, rows of
+other ids lose all that occur again.  Null texts stay null and empty ones empty; a text that loses all its lines becomes
+empty, its row stays.  Rows with the same id and the same text are one row repeated: they get the same result and aren't
+copies of each other.  An empty table gives an empty result.  All other columns are passed on as they are.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_stash, slices, small, stash, table
+from .common import distinct_texts, scratch, slices, small, stash, table, text_key
 
-SPAN, DIVISOR, LEAST, MOST = 3, 4, 2, 32
+SPAN, DIVISOR, LEAST, MOST = 2, 2, 2, 32
 _STEP, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -50,9 +52,13 @@ def counted(lines: list[bytes]) -> bool:
     return sum(1 for x in lines if x.split()) >= 2
 
 
-def chunk_rows(rows: DataFrame) -> DataFrame:
-    """(k1, k2, a, b, h, id) of the chunks that count."""
-    schema = T.StructType([T.StructField(k, T.LongType()) for k in ("k1", "k2")] + [T.StructField(k, T.IntegerType()) for k in ("a", "b")] + [T.StructField("h", T.LongType()), rows.schema["id"]])
+KEYS = ["k1", "k2"]
+
+
+def chunk_rows(bodies: DataFrame) -> DataFrame:
+    """(k1, k2, ids, id, r, a, b, h) of the chunks that count, of (k1, k2, ids, id, r, text)."""
+    keep = [*KEYS, "ids", "id", "r"]
+    schema = T.StructType([bodies.schema[k] for k in keep] + [T.StructField(k, T.IntegerType()) for k in ("a", "b")] + [T.StructField("h", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -69,63 +75,63 @@ def chunk_rows(rows: DataFrame) -> DataFrame:
                         b.append(y)
                         h.append(digest - (1 << 64) if digest >> 63 else digest)
             at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("k1").take(at), batch.column("k2").take(at), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(h, pa.int64()), batch.column("id").take(at)], names=["k1", "k2", "a", "b", "h", "id"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keep), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(h, pa.int64())], names=[*keep, "a", "b", "h"])
 
-    return rows.select("k1", "k2", "id", "text").mapInArrow(run, schema)
+    return bodies.select(*keep, "text").mapInArrow(run, schema)
 
 
-def texts_of(rows: DataFrame) -> DataFrame:
-    """(k1, k2, id, h, a, first, chunk) of the listed chunks of (k1, k2, id, text, runs)."""
-    schema = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), rows.schema["id"], T.StructField("h", T.LongType()), T.StructField("a", T.IntegerType()), T.StructField("first", T.BooleanType()), T.StructField("chunk", T.BinaryType())])
+def chunk_bytes(listed: DataFrame) -> DataFrame:
+    """(k1, k2, id, h, a, chunk) of the listed chunks of (k1, k2, id, text, runs)."""
+    keep = [*KEYS, "id"]
+    schema = T.StructType([listed.schema[k] for k in keep] + [T.StructField("h", T.LongType()), T.StructField("a", T.IntegerType()), T.StructField("chunk", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=4 << 20):
-            at, h, a, first, chunk = [], [], [], [], []
-            for i, (text, listed) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True)):
+            at, h, a, chunk = [], [], [], []
+            for i, (text, runs) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True)):
                 lines = text.split(b"\n")
-                for r in listed:
+                for r in runs:
                     at.append(i)
                     h.append(r["h"])
                     a.append(r["a"])
-                    first.append(r["first"])
                     chunk.append(b"\n".join(lines[r["a"] : r["b"]]))
             at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("k1").take(at), batch.column("k2").take(at), batch.column("id").take(at), pa.array(h, pa.int64()), pa.array(a, pa.int32()), pa.array(first, pa.bool_()), pa.array(chunk, pa.binary())], names=["k1", "k2", "id", "h", "a", "first", "chunk"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keep), pa.array(h, pa.int64()), pa.array(a, pa.int32()), pa.array(chunk, pa.binary())], names=[*keep, "h", "a", "chunk"])
 
-    return rows.mapInArrow(run, schema)
+    return listed.select(*keep, "text", "runs").mapInArrow(run, schema)
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
     """docs, with all their columns, without the repeated chunks; counts: also __line_all and __line_gone, numbers of lines."""
-    keys = [F.xxhash64(id).alias("k1"), F.xxhash64(text).alias("k2")]
-    found = stash(chunk_rows(docs.select(*keys, F.col(id).alias("id"), F.col(text).alias("text"))), "line-chunks")
     place = F.struct(F.col("id").isNull().alias("n"), "id", "k1", "k2", "a")
-    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("p")).where("times > 1").select("h", "p")
-    told = found.join(small(stash(again, "line-again")), "h").withColumn("first", place == F.col("p"))
-    lists = stash(told.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "a", "b", "first")).alias("runs")), "line-lists")
-    drop_stash(found)
+    with scratch():
+        texts = distinct_texts(docs, id, text)
+        found = stash(chunk_rows(texts.bodies), "line-chunks")
+        again = found.groupBy("h").agg(F.sum("ids").alias("times"), F.min(place).alias("p")).where("times > 1").select("h", "p")
+        told = found.join(small(stash(again, "line-again")), "h").withColumn("first", place == F.col("p"))
+        lists = told.groupBy(*KEYS).agg(F.min("r").alias("r"), F.collect_list(F.struct("h", "a", "b", "first")).alias("runs"))  # a text's own chunks
+        lists = stash(lists, "line-lists")
+        cut = chunk_bytes(texts.bodies.join(lists.drop("r").hint("merge"), KEYS))  # the same plan at every size
+        odd = stash(cut.groupBy("h").agg(F.min("chunk").alias("x"), F.max("chunk").alias("y")).where("x <> y").select("h"), "line-odd")
+        if odd.limit(1).count():  # hash collisions: what is the first of its bytes stays too
+            firsts = cut.join(odd, "h").groupBy("h", "chunk").agg(F.min(place).alias("p"))
+            spared = stash(firsts.groupBy(F.col("p.k1").alias("k1"), F.col("p.k2").alias("k2")).agg(F.collect_list("p.a").alias("spared")), "line-spared")
+            lists = lists.join(spared, KEYS, "left")
+        else:
+            lists = lists.withColumn("spared", F.lit(None).cast("array<int>"))
+        lists = stash(lists.drop("h"), "line-decided", keep=True)
     own = lambda c: f"__line_{c}"
-    named = lists.select(*(F.col(c).alias(own(c)) for c in lists.columns)).hint("merge")  # the same plan at every size
-    joined = docs.withColumns({own("k1"): F.xxhash64(id), own("k2"): F.xxhash64(text)}).join(named, [own("k1"), own("k2")], "left")
-    state = stash(joined, "line-state")
-    drop_stash(lists)
-    listed = state.where(F.col(own("runs")).isNotNull()).select(F.col(own("k1")).alias("k1"), F.col(own("k2")).alias("k2"), F.col(id).alias("id"), F.col(text).alias("text"), F.col(own("runs")).alias("runs"))
-    bodies = texts_of(listed)
-    kept = bodies.where("first").groupBy("h").agg(F.min("chunk").alias("kept"))
-    other = stash(bodies.where("NOT first").join(kept, "h").where("chunk <> kept").drop("kept"), "line-other")
-    # hash collisions: group by the bytes; what is the first of its bytes stays too
-    firsts = other.groupBy("h", "chunk").agg(F.min(place).alias("p"))
-    spared = other.join(firsts, ["h", "chunk"]).where(place == F.col("p")).groupBy(F.col("k1").alias(own("k1")), F.col("k2").alias(own("k2"))).agg(F.collect_list("a").alias(own("spared")))
-    state = state.join(small(stash(spared, "line-spared")), [own("k1"), own("k2")], "left")
+    k1, k2 = text_key(text)
+    named = lists.select(*(F.col(c).alias(own(c)) for c in lists.columns)).hint("merge")
+    state = docs.withColumns({own("k1"): k1, own("k2"): k2, own("own"): F.xxhash64(id)}).join(named, [own("k1"), own("k2")], "left")
     keep = docs.columns
-    types = {c: docs.schema[c] for c in keep}
-    schema = T.StructType([types[c] for c in keep] + [T.StructField(own(c), T.LongType()) for c in ("all", "gone")])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(own(c), T.LongType()) for c in ("all", "gone")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             texts, n, gone = [], [], []
-            for x, runs, spare in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column(own("runs")).to_pylist(), batch.column(own("spared")).to_pylist(), strict=True):
-                out = {r["a"]: r["b"] for r in runs or () if not r["first"] and r["a"] not in (spare or ())}
+            for x, runs, spare, mine in zip(batch.column(text).cast(pa.binary()).to_pylist(), *(batch.column(own(c)).to_pylist() for c in ("runs", "spared", "mine")), strict=True):
+                out = {r["a"]: r["b"] for r in runs or () if not (mine and (r["first"] or r["a"] in (spare or ())))}
                 lines = x.split(b"\n") if x is not None else []
                 n.append(len(lines))
                 gone.append(sum(b - a for a, b in out.items()))
@@ -139,7 +145,8 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", counts: bool
             new = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays([*(new if c == text else batch.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*keep, own("all"), own("gone")])
 
-    out = state.select(*(F.col(f"`{c}`") for c in keep), own("runs"), own("spared")).mapInArrow(run, schema)
+    mine = (F.col(own("own")) == F.col(own("r"))).alias(own("mine"))
+    out = state.select(*(F.col(f"`{c}`") for c in keep), own("runs"), own("spared"), mine).mapInArrow(run, schema)
     return out if counts else out.drop(own("all"), own("gone"))
 
 

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch, slices, small, stash, table
-from .windows import Texts, anchor_rows, compared_windows, distinct_texts, finished, parts_of, run_groups
+from .common import Texts, distinct_texts, scratch, slices, small, stash, table
+from .windows import anchor_rows, compared_windows, finished, run_groups
 
 WINDOW, GRAM = 35, 16
 #: Bytes of passages in an automaton, occurrences of an anchor in a shard, and the least number of shards.

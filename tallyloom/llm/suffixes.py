@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import folder_of, new_path, scratch, small, stash, table
-from .windows import anchor_rows, compared_windows, distinct_texts, finished, run_groups
+from .common import distinct_texts, folder_of, new_path, scratch, small, stash, table
+from .windows import anchor_rows, compared_windows, finished, run_groups
 
 WINDOW, GRAM = 400, 100
 #: Bytes of named suffixes in a batch, and the least number of batches.

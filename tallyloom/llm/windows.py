@@ -12,16 +12,15 @@ repeated rows cost more than their keys.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, small, stash
+from .common import Texts, slices, small, stash
 
 #: Windows that are worked on at once, so that memory doesn't follow a text's length.
 PIECE = 1 << 19
@@ -117,37 +116,6 @@ def signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
-def text_key(text: str) -> tuple[Column, Column]:
-    """128 bits that stand for a text; null and empty texts are one."""
-    own = F.coalesce(F.col(text), F.lit(""))
-    return F.xxhash64(own).alias("k1"), F.xxhash64(F.lit(1), own).alias("k2")
-
-
-@dataclass
-class Texts:
-    """rows: (id, k1, k2) of every row; bodies: (k1, k2, m, text), each distinct text once, with its number of rows."""
-
-    rows: DataFrame
-    bodies: DataFrame
-    stored: DataFrame
-
-    def with_lists(self, lists: DataFrame, how: str = "inner") -> DataFrame:
-        return self.bodies.join(small(lists), ["k1", "k2"], how)
-
-
-def distinct_texts(docs: DataFrame, id: str, text: str) -> Texts:
-    k1, k2 = text_key(text)
-    rows = docs.select(F.col(id).alias("id"), k1, k2, F.xxhash64(id).alias("h"))
-    each = rows.groupBy("k1", "k2", "h").agg(F.count(F.lit(1)).alias("c")).groupBy("k1", "k2").agg(F.sum("c").alias("m"), F.min(F.struct("h", "c")).alias("r"))
-    stored = stash(each.select("k1", "k2", "m", F.col("r.h").alias("r"), (F.col("r.c") > 1).alias("again")), "windows-texts")
-    # the row of least id hash stands for its text; no equality of columns, so that texts stay dealt by (k1, k2)
-    found = docs.select(k1, k2, F.xxhash64(id).alias("h"), F.col(text).alias("text")).join(small(stored), ["k1", "k2"]).where(F.col("h").bitwiseXOR(F.col("r")) == 0)
-    bodies = found.where("NOT again")
-    if stored.where("again").limit(1).count():
-        bodies = bodies.unionByName(found.where("again").dropDuplicates(["k1", "k2"]))
-    return Texts(rows.select("id", "k1", "k2"), bodies.select("k1", "k2", "m", "text"), stored)
-
-
 def anchor_rows(bodies: DataFrame, window: int, k: int, words: bool, suffix: bool = False) -> DataFrame:
     """(k1, k2, m, i1, i2, fp, ctx): a run of windows, its anchor's hash, and the hash of all that the run's windows hold.
 

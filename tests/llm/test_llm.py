@@ -168,11 +168,22 @@ def test_chunks_resist_shifts():
     assert len(a & b) >= len(a) - 3
 
 
+def test_lines_of_repeated_rows(spark):
+    """Ten thousand equal rows are one; copies by other ids lose all; the cost is that of one text and its keys."""
+    t = "\n".join(f"line {i} of the text" for i in range(200))
+    rows = spark.createDataFrame([(5, t)] * 10_000 + [(6, t)] * 50 + [(None, t), (7, "a\nb")], "doc_id long, text string").repartition(4)
+    out = lines.dedup(rows, counts=True).groupBy("doc_id", "__line_gone").count().collect()
+    left = len(t.split("\n")) - sum(b - a for a, b in lines.chunks(t.encode().split(b"\n")) if b - a > 1)
+    assert {(r["doc_id"], r["__line_gone"], r["count"]) for r in out} == {(5, 0, 10_000), (6, 200 - left, 50), (None, 200 - left, 1), (7, 0, 1)}
+
+
 def test_lines_with_equal_hashes(spark, docs, monkeypatch):
     monkeypatch.setattr(lines.xxhash, "xxh3_64_intdigest", lambda b: 7)
     rows = spark.createDataFrame([(1, "a\nb"), (2, "c\nd"), (3, "a\nb"), (4, "c\nd")], "doc_id long, text string").coalesce(1)
+    from pyspark.sql import functions as own_f
+
     own = lines.chunk_rows  # workers don't see the patch: give them the rows
-    monkeypatch.setattr(lines, "chunk_rows", lambda r: own(r).selectExpr("k1", "k2", "a", "b", "CAST(7 AS BIGINT) AS h", "id"))
+    monkeypatch.setattr(lines, "chunk_rows", lambda r: own(r).withColumn("h", own_f.lit(7).cast("long")))
     assert {r["doc_id"]: r["text"] for r in lines.dedup(rows).collect()} == {1: "a\nb", 2: "c\nd", 3: "", 4: ""}
 
 
