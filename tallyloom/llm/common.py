@@ -24,7 +24,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 #: Rows, and bytes on disk, that a stored table may have at most to be broadcast.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -125,7 +125,7 @@ class Texts:
     bodies: DataFrame
 
     def with_lists(self, lists: DataFrame, how: str = "inner") -> DataFrame:
-        return self.bodies.join(small(lists), ["k1", "k2"], how)
+        return self.bodies.join(lists.hint("merge"), ["k1", "k2"], how)  # the same plan at every size
 
 
 def distinct_texts(docs: DataFrame, id: str, text: str) -> Texts:

@@ -144,7 +144,7 @@ def remove_phrases(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
         texts = distinct_texts(docs, id, text)
         rows = stash(anchor_rows(texts.bodies, window, gram, True), "windows-runs")
         known = stash(rows.groupBy("fp").agg(F.sum("m").alias("all"), F.count(F.lit(1)).alias("places")).where("all > 1"), "windows-known")
-        found = stash(rows.join(small(known.select("fp", "places")), "fp").withColumn("n", F.col("i2") - F.col("i1")), "windows-found")
+        found = stash(rows.join(known.select("fp", "places").hint("merge"), "fp").withColumn("n", F.col("i2") - F.col("i1")), "windows-found")
         passages = stash(proposed(texts, found, window), "phrase-passages")
         size = passages.agg(F.sum(F.octet_length("passage"))).first()[0] or 0
         shards = max(SHARDS, -(-size // SHARD))

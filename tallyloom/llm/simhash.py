@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, drop_stash, slices, small, stash, table
+from .common import connected_components, distinct_texts, drop_stash, scratch, slices, small, stash, table, text_key
 
 SEED, STEP = 42, 1 << 14
 
@@ -109,6 +109,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHINGLE, SIMILAR = 5, 0.8  # SIMILAR is 4/5, which the bounds below use as whole numbers
 HOT_SAMPLE, HOT_LEAST, HOT_MOST = 16, 4, 1 << 20
 PARTS = 4
+#: Classes of a sketch, and shingles below which a text is not judged by it.
+SKETCH, SURE = 128, 256
 
 
 def shingle_set(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -206,38 +208,78 @@ def near_pairs(texts: DataFrame) -> DataFrame:
     return close.union(compared(rest, texts))
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The least hash of each of SKETCH classes of a set, half of each hash; the greatest number for an empty class."""
+    out = np.full(SKETCH, 0xFFFFFFFF, np.uint32)
+    np.minimum.at(out, (shingles & np.uint64(SKETCH - 1)).astype(np.int64), (shingles >> np.uint64(32)).astype(np.uint32))
+    return out
+
+
+def sketches(body: DataFrame) -> DataFrame:
+    """(u, n, k): number of shingles and sketch of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [shingle_set(x or b"") for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("u"), pa.array([len(x) for x in found], pa.int32()), pa.array([sketch(x).tobytes() for x in found], pa.binary())], names=["u", "n", "k"])
+
+    return body.mapInArrow(run, "u long, n int, k binary")
+
+
+def plausible(pairs: DataFrame) -> DataFrame:
+    """(u, v) of pairs (u, v, n, o, a, b) that their sketches don't rule out.
+
+    Of the classes that either text has, a share equal to the similarity agrees, but for chance.  A pair goes if under half of them
+    agree; for texts of 0.8 or more that is over eight standard deviations away.  Texts of few shingles are always kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "a", 2 << 20):
+            n, o = (batch.column(c).to_numpy() for c in ("n", "o"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, SKETCH) for c in ("a", "b"))
+            some = (a != 0xFFFFFFFF) | (b != 0xFFFFFFFF)
+            keep = (np.minimum(n, o) < SURE) | (2 * ((a == b) & some).sum(1) >= some.sum(1))
+            keep &= 5 * np.minimum(n, o).astype(np.int64) >= 4 * np.maximum(n, o).astype(np.int64)
+            yield batch.select(["u", "v"]).filter(pa.array(keep))
+
+    return pairs.select("u", "v", "n", "o", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def bodies_in(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
+    need = small(stash(pairs.select("u").union(pairs.select("v")).distinct(), label))
+    return texts.join(need, "u", "left_semi")
+
+
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v) of the pairs whose texts are similar."""
-    need = small(stash(pairs.select("u").union(pairs.select("v")).distinct(), "near-need"))
-    body = texts.join(need, "u", "left_semi").groupBy("u").agg(F.min("text").alias("text"))
-    shingled = stash(sets(body), "near-sets")
+    """(u, v) of the pairs whose texts are similar: sketches rule most others out, whole sets decide."""
+    own = stash(sketches(bodies_in(pairs, texts, "near-need")), "near-sketches")
+    left, right = own.select("u", "n", F.col("k").alias("a")), own.select(F.col("u").alias("v"), F.col("n").alias("o"), F.col("k").alias("b"))
+    likely = stash(plausible(pairs.join(left, "u").join(right, "v")), "near-likely")
+    drop_stash(own)
+    drop_stash(pairs)
+    shingled = stash(sets(bodies_in(likely, texts, "near-need")), "near-sets")
     left, right = shingled.withColumnRenamed("s", "a"), shingled.select(F.col("u").alias("v"), F.col("s").alias("b"))
     out = None
     for k in range(PARTS):  # one part's sets are on disk at a time
-        own = F.pmod("u", F.lit(PARTS)) == k
-        part = stash(near(pairs.where(own).join(left.where(own), "u").join(right, "v")), "near-close")
+        mine = F.pmod("u", F.lit(PARTS)) == k
+        part = stash(near(likely.where(mine).join(left.where(mine), "u").join(right, "v")), "near-close")
         out = part if out is None else out.union(part)
     drop_stash(shingled)
-    drop_stash(pairs)
     return out
 
 
 def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k1, k2) of the rows that stay: hashes of id and text.
+    """(k1, k2, r) of the rows that stay: hashes of text and id.
 
     A pair links if its five-word shingles have a Jaccard similarity of SIMILAR or more, on whole texts; every such pair
     is found (near_pairs).  Equal texts are one from the start.  In a group the row of least id, then least hashes, stays."""
-    key = [F.xxhash64(id).alias("k1"), F.xxhash64(text).alias("k2")]
-    rows = docs.select(F.col(id).alias("id"), *key)
-    # one row for each text: exact copies need no comparison; a null id comes last
-    first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "k1")).alias("r")
-    named = stash(rows.groupBy("k2").agg(first), "near-rows")
-    one = small(named.select(F.col("r.k1").alias("k1"), "k2"))
-    bodies = docs.select(*key, F.col(text).alias("text")).join(one, ["k1", "k2"], "left_semi").select(F.col("k2").alias("u"), "text")
-    groups = connected_components(near_pairs(bodies), "near-links")
-    named = named.join(groups, named.k2 == groups.node, "left").withColumn("g", F.coalesce("component", "k2"))
-    stay = named.groupBy("g").agg(F.min(F.struct("r", "k2")).alias("m")).select(F.col("m.r.k1").alias("k1"), F.col("m.k2").alias("k2"))
-    return stash(stay, "near-stay")
+    with scratch():
+        texts = distinct_texts(docs, id, text)
+        rows = texts.bodies.select(F.col("k1").alias("u"), "text")
+        groups = connected_components(near_pairs(rows), "near-links")
+        named = stash(texts.bodies.select("k1", "k2", "id", "r"), "near-rows")
+        named = named.join(groups, named.k1 == groups.node, "left").withColumn("g", F.coalesce("component", "k1"))
+        stay = named.groupBy("g").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "r", "k1", "k2")).alias("m")).select("m.k1", "m.k2", "m.r")
+        return stash(stay, "near-stay", keep=True)
 
 
 def sets(body: DataFrame) -> DataFrame:
@@ -268,10 +310,11 @@ def near(pairs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without near copies: of each group one row stays, with all its columns."""
     stay = near_groups(docs, id, text)
-    own = [c for c in docs.columns]
-    rows = docs.withColumn("__near_k1", F.xxhash64(id)).withColumn("__near_k2", F.xxhash64(text))
-    out = rows.join(stay.select(F.col("k1").alias("__near_k1"), F.col("k2").alias("__near_k2")), ["__near_k1", "__near_k2"], "left_semi")
-    return out.dropDuplicates(["__near_k1", "__near_k2"]).select(*(F.col(f"`{c}`") for c in own))
+    k1, k2 = text_key(text)
+    own = {"__near_1": k1, "__near_2": k2, "__near_3": F.xxhash64(id)}
+    named = stay.select(F.col("k1").alias("__near_1"), F.col("k2").alias("__near_2"), F.col("r").alias("__near_3"))
+    out = docs.withColumns(own).join(named, list(own), "left_semi")
+    return out.dropDuplicates(list(own)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 QUERIES = {"op8_simhash": (op8_simhash, None)}

@@ -1,14 +1,14 @@
 """Exact long repeats by a logarithmic family of sparse suffix arrays.
 
 Every window of WINDOW bytes names one suffix of its text, the one that begins at its anchor (see windows.py), so any two
-equal windows name suffixes that share GRAM bytes.  A batch's suffix array holds its named suffixes, cut at GRAM bytes, in
-the order of their bytes.  A new batch is merge-scanned against every level of the family: a suffix that both hold is a
-match of GRAM bytes, compared byte by byte.  Then it becomes a level itself, and levels of equal rank merge, so a suffix is
-rewritten once for each doubling of the corpus.  A family is a folder, so later batches can be added by another session.
+equal windows name suffixes that share GRAM bytes.  A batch's suffix array holds its named suffixes in the order of their
+first HEAD bytes, then of a hash of the first GRAM bytes.  A new batch is merge-scanned against every level of the family: a
+suffix that both hold is a match, compared byte by byte over HEAD bytes and by hash over GRAM bytes.  Then it becomes a level
+itself, and levels of equal rank merge, so a suffix is rewritten once for each doubling of the corpus.  A family is a folder, so later batches can be added by another session.
 
 What the scans find decides which suffixes are extended: the windows on both sides of them, to the left and to the right,
 are told apart by hashes of 64 bits beside the 64 of their suffix.  Only named suffixes are in the arrays, about one
-byte in 150; arrays over all bytes need 5 bytes each and don't fit the limit of disk (README).
+byte in 100; arrays over all bytes need 5 bytes each and don't fit the limit of disk (README).
 
 Null and empty texts have no bytes to remove.  Texts are compared as UTF-8 and a removed span may begin or end within a
 character.  Equal texts, repeated rows too, of WINDOW bytes or more lose everything; each is worked on once.  Null and
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import distinct_texts, folder_of, new_path, scratch, small, stash, table
 from .windows import anchor_rows, compared_windows, finished, run_groups
 
-WINDOW, GRAM = 400, 100
+WINDOW, GRAM, HEAD = 400, 200, 48
 #: Bytes of named suffixes in a batch, and the least number of batches.
 BATCH_BYTES, BATCHES = 64 << 30, 4
 
@@ -54,17 +54,16 @@ class IndexFamily:
 
     def _write(self, rows: DataFrame, rank: int) -> str:
         path = f"{self.folder}/{rank:04d}-{uuid.uuid4().hex}"
-        array = rows.groupBy("suffix").agg(F.min("fp").alias("fp")).sortWithinPartitions("suffix")
+        array = rows.select("suffix", "fp").distinct().sortWithinPartitions("suffix", "fp")
         array.write.option("compression", "zstd").parquet(path)
         return path
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Takes in a batch (suffix, fp, m: how often it counts); (fp) of the suffixes that it repeats, itself or a level's."""
-        counted = stash(batch.groupBy("suffix").agg(F.min("fp").alias("fp"), F.sum("m").alias("m")), "suffix-batch")
+        counted = stash(batch.groupBy("suffix", "fp").agg(F.sum("m").alias("m")), "suffix-batch")
         seen = counted.where("m > 1").select("fp")
         for _, path in self.levels():
-            level = self.read(path).select("suffix").hint("merge")
-            seen = seen.union(counted.select("suffix", "fp").join(level, "suffix").select("fp"))
+            seen = seen.union(counted.select("suffix", "fp").join(self.read(path).hint("merge"), ["suffix", "fp"]).select("fp"))
         seen = stash(seen.distinct(), "suffix-seen")
         rank, own = 0, self._write(counted, 0)
         while other := next((p for r, p in self.levels() if r == rank and p != own), None):
@@ -114,18 +113,18 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     repeated suffix are hashed one by one, with one run of each kind that occurs again for comparison."""
     with scratch():
         texts = distinct_texts(docs, id, text)
-        rows = stash(anchor_rows(texts.bodies, window, gram, False, suffix=True), "windows-runs")
+        rows = stash(anchor_rows(texts.bodies, window, gram, False, suffix=min(HEAD, gram)), "windows-runs")
         if batches is None:
-            batches = max(BATCHES, -(-rows.count() * gram // BATCH_BYTES))
+            batches = max(BATCHES, -(-rows.count() * HEAD // BATCH_BYTES))
         family = IndexFamily(docs.sparkSession, new_path(docs.sparkSession, "suffix-family"))
         known = stash(family_prints(family, rows, batches), "windows-known")
         family.drop()
-        found = stash(rows.drop("suffix").join(small(known), "fp").withColumn("n", F.col("i2") - F.col("i1")), "windows-found")
+        found = stash(rows.drop("suffix").join(known.hint("merge"), "fp").withColumn("n", F.col("i2") - F.col("i1")), "windows-found")
         groups = run_groups(found)
         windows = compared_windows(texts, groups, window, False)
         twice = small(stash(windows.groupBy("fp", "wh").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "windows-twice"))
         hits = windows.where("lone").join(twice, ["fp", "wh"]).select("k1", "k2", F.col("i").alias("i1"), F.col("i").alias("i2"))
-        sure = found.join(small(stash(groups.where("times > 1").select("fp", "ctx", "n"), "windows-again")), ["fp", "ctx", "n"]).select("k1", "k2", "i1", "i2")
+        sure = found.join(stash(groups.where("times > 1").select("fp", "ctx", "n"), "windows-again").hint("merge"), ["fp", "ctx", "n"]).select("k1", "k2", "i1", "i2")
         spans = sure.union(hits).groupBy("k1", "k2").agg(F.collect_list(F.struct("i1", "i2")).alias("spans"))  # a text's own
         spans = stash(spans, "windows-spans")
         n = 5 if kept else 4

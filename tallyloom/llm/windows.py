@@ -116,11 +116,11 @@ def signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
-def anchor_rows(bodies: DataFrame, window: int, k: int, words: bool, suffix: bool = False) -> DataFrame:
+def anchor_rows(bodies: DataFrame, window: int, k: int, words: bool, suffix: int = 0) -> DataFrame:
     """(k1, k2, m, i1, i2, fp, ctx): a run of windows, its anchor's hash, and the hash of all that the run's windows hold.
 
-    suffix: also the bytes of the anchor's gram."""
-    names = ["k1", "k2", "m", "i1", "i2", "fp", "ctx"] + ["suffix"] * suffix
+    suffix: also that many units' bytes from the anchor on."""
+    names = ["k1", "k2", "m", "i1", "i2", "fp", "ctx"] + ["suffix"] * bool(suffix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=4 << 20):
@@ -134,14 +134,14 @@ def anchor_rows(bodies: DataFrame, window: int, k: int, words: bool, suffix: boo
                 for held, x in zip(out, (np.full(len(i1), i), i1, i2, fp, digests(data, place, i1, i2 + window, int(words))), strict=True):
                     held.append(x)
                 if suffix:
-                    tails += [data[a:b] for a, b in zip(place[at].tolist(), (place[at + k] - int(words)).tolist(), strict=True)]
+                    tails += [data[a:b] for a, b in zip(place[at].tolist(), (place[at + suffix] - int(words)).tolist(), strict=True)]
             if out[0]:
                 at, i1, i2, fp, ctx = map(np.concatenate, out)
                 at = pa.array(at)
                 own = [batch.column("k1").take(at), batch.column("k2").take(at), batch.column("m").take(at), pa.array(i1.astype(np.int32)), pa.array(i2.astype(np.int32)), signed(fp), signed(ctx)]
-                yield pa.RecordBatch.from_arrays(own + [pa.array(tails, pa.binary())] * suffix, names=names)
+                yield pa.RecordBatch.from_arrays(own + [pa.array(tails, pa.binary())] * bool(suffix), names=names)
 
-    return bodies.mapInArrow(run, "k1 long, k2 long, m long, i1 int, i2 int, fp long, ctx long" + ", suffix binary" * suffix)
+    return bodies.mapInArrow(run, "k1 long, k2 long, m long, i1 int, i2 int, fp long, ctx long" + ", suffix binary" * bool(suffix))
 
 
 def flat(a: list[np.ndarray]) -> bytes:
