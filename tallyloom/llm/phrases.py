@@ -1,7 +1,9 @@
 """Repeated-phrase removal by sharded Aho-Corasick automata over words.
 
-1. Passages are proposed: a run of windows that as a whole occurs again, and single windows that occur again elsewhere than
-   in such a run (windows.py).  Of each only the words are kept, cut from one of its texts, and not where else it stands.
+1. Passages are proposed: a run of windows that as a whole occurs again, and windows that occur again elsewhere than in such
+   a run (windows.py).  Neighbouring windows that stand in the same runs make one passage: all windows of an anchor are
+   aligned by it, so each of their runs has the passage as a whole.  Of a passage only the words are kept, cut from one of
+   its texts, and not where else it stands.
 2. A passage belongs to the shard that its anchor's hash names.  Each shard's distinct passages are compiled into one
    automaton (pyahocorasick, words as numbers), and every document's parts with an anchor of the shard are streamed
    through it.  That filter loses nothing: all windows of a passage have its anchor, and so has each of its occurrences.
@@ -34,18 +36,26 @@ SHARD, HOT, SHARDS = 2 << 20, 20_000, 16
 
 
 def cut_parts(listed: DataFrame) -> DataFrame:
-    """(fp, k1, k2, m, i1, part): the words i1..i2-1 of each text's listed parts (k1, k2, m, text, parts: i1, i2, fp)."""
+    """(fp, k1, k2, m, i1, part): the words i1..i2-1 of each text's listed parts (k1, k2, m, text, parts: i1, i2, fp, tag).
+
+    Parts with the same anchor and tag whose starts follow one another are one; those without a tag stay apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 20):
             at, fp, first, part = [], [], [], []
             for i, (text, own) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("parts").to_pylist(), strict=True)):
                 words = (text or b"").split()
-                for r in own:
+                joined: list[list] = []
+                for a, b, f, tag in sorted(((r["i1"], r["i2"], r["fp"], r["tag"]) for r in own), key=lambda r: (r[3] is not None, r[:3])):
+                    if tag is not None and joined and joined[-1][2:] == [f, tag] and a == joined[-1][1] - (b - a) + 1:
+                        joined[-1][1] = b
+                    else:
+                        joined.append([a, b, f, tag])
+                for a, b, f, _ in joined:
                     at.append(i)
-                    fp.append(r["fp"])
-                    first.append(r["i1"])
-                    part.append(b" ".join(words[r["i1"] : r["i2"]]))
+                    fp.append(f)
+                    first.append(a)
+                    part.append(b" ".join(words[a:b]))
             row = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), *(batch.column(k).take(row) for k in ("k1", "k2", "m")), pa.array(first, pa.int32()), pa.array(part, pa.binary())], names=["fp", "k1", "k2", "m", "i1", "part"])
 
@@ -53,17 +63,19 @@ def cut_parts(listed: DataFrame) -> DataFrame:
 
 
 def listed(parts: DataFrame, label: str) -> DataFrame:
-    """A text's own parts (k1, k2, i1, i2, fp) as one list."""
-    return stash(parts.groupBy("k1", "k2").agg(F.collect_list(F.struct("i1", "i2", "fp")).alias("parts")), label)
+    """A text's own parts (k1, k2, i1, i2, fp, tag) as one list."""
+    return stash(parts.groupBy("k1", "k2").agg(F.collect_list(F.struct("i1", "i2", "fp", "tag")).alias("parts")), label)
 
 
 def proposed(texts: Texts, found: DataFrame, window: int) -> DataFrame:
     """(fp, passage): words of runs and windows that seem to recur."""
+    whole_tag = F.lit(None).cast("string").alias("tag")
     groups = stash(run_groups(found), "phrase-groups")
-    whole = groups.where("times > 1").select(F.col("r.k1").alias("k1"), F.col("r.k2").alias("k2"), F.col("r.i1").alias("i1"), (F.col("r.i1") + F.col("n") + window).alias("i2"), "fp")
+    whole = groups.where("times > 1").select(F.col("r.k1").alias("k1"), F.col("r.k2").alias("k2"), F.col("r.i1").alias("i1"), (F.col("r.i1") + F.col("n") + window).alias("i2"), "fp", whole_tag)
     windows = compared_windows(texts, groups, window, True)
-    again = windows.groupBy("fp", "wh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "i")).alias("r")).where("c > 1")
-    single = again.select(F.col("r.k1").alias("k1"), F.col("r.k2").alias("k2"), F.col("r.i").alias("i1"), (F.col("r.i") + window).alias("i2"), "fp")
+    runs = F.bit_xor(F.xxhash64("k1", "k2", "i1"))  # with their number, which runs a window stands in
+    again = windows.groupBy("fp", "wh").agg(F.count(F.lit(1)).alias("c"), runs.alias("x"), F.min(F.struct("k1", "k2", "i")).alias("r")).where("c > 1")
+    single = again.select(F.col("r.k1").alias("k1"), F.col("r.k2").alias("k2"), F.col("r.i").alias("i1"), (F.col("r.i") + window).alias("i2"), "fp", F.concat_ws(" ", "c", "x").alias("tag"))
     return cut_parts(texts.with_lists(listed(whole.union(single), "phrase-places"))).select("fp", F.col("part").alias("passage")).distinct()
 
 
@@ -153,7 +165,7 @@ def remove_phrases(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
         copies, salt = F.coalesce("copies", F.lit(1)), F.col("fp").bitwiseXOR(F.col("k1"))
         own = F.pmod(F.xxhash64("fp"), F.lit(shards)).cast("int")
         dealt = passages.join(spread, "fp", "left").withColumn("shard", F.explode(F.transform(F.sequence(F.lit(0), copies - 1), lambda c: F.pmod(own + c, F.lit(shards)).cast("int"))))
-        parts = cut_parts(texts.with_lists(listed(found.select("k1", "k2", "i1", (F.col("i2") + window).alias("i2"), "fp"), "phrase-parts")))
+        parts = cut_parts(texts.with_lists(listed(found.select("k1", "k2", "i1", (F.col("i2") + window).alias("i2"), "fp", F.lit(None).cast("string").alias("tag")), "phrase-parts")))
         parts = parts.join(spread, "fp", "left").withColumn("shard", F.pmod(own + F.pmod(F.xxhash64(salt), copies), F.lit(shards)).cast("int"))
         places = stash(located(dealt.select("shard", "fp", "passage").distinct(), parts, shards), "phrase-located")
         confirmed = stash(places.groupBy("pid").agg(F.sum("m").alias("c")).where("c > 1").select("pid"), "phrase-confirmed")

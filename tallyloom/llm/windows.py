@@ -159,23 +159,23 @@ def merged(i1: np.ndarray, i2: np.ndarray, window: int) -> np.ndarray:
 
 
 def window_rows(listed: DataFrame, window: int, words: bool) -> DataFrame:
-    """(k1, k2, i, fp, wh, lone): every window of the listed runs (k1, k2, text, runs: i1, i2, fp, lone), with its hash."""
+    """(k1, k2, i1, i, fp, wh, lone): every window i of the listed runs (k1, k2, text, runs: i1, i2, fp, lone), with its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 20):
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for row, (text, own) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True)):
                 i1, i2, fp, lone = (np.array([r[k] for r in own], np.int64) for k in ("i1", "i2", "fp", "lone"))
                 _, data, place = parts_of(text or b"", words)
                 size = i2 - i1 + 1
                 at = np.repeat(i1 - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-                for held, x in zip(cols, (np.full(len(at), row), at, np.repeat(fp, size), digests(data, place, at, at + window, int(words)), np.repeat(lone, size)), strict=True):
+                for held, x in zip(cols, (np.full(len(at), row), np.repeat(i1, size), at, np.repeat(fp, size), digests(data, place, at, at + window, int(words)), np.repeat(lone, size)), strict=True):
                     held.append(x)
-            row, at, fp, wh, lone = map(np.concatenate, cols)
+            row, i1, at, fp, wh, lone = map(np.concatenate, cols)
             row = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("k1").take(row), batch.column("k2").take(row), pa.array(at.astype(np.int32)), pa.array(fp), signed(wh), pa.array(lone > 0)], names=["k1", "k2", "i", "fp", "wh", "lone"])
+            yield pa.RecordBatch.from_arrays([batch.column("k1").take(row), batch.column("k2").take(row), pa.array(i1.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(fp), signed(wh), pa.array(lone > 0)], names=["k1", "k2", "i1", "i", "fp", "wh", "lone"])
 
-    return listed.select("k1", "k2", "text", "runs").mapInArrow(run, "k1 long, k2 long, i int, fp long, wh long, lone boolean")
+    return listed.select("k1", "k2", "text", "runs").mapInArrow(run, "k1 long, k2 long, i1 int, i int, fp long, wh long, lone boolean")
 
 
 def run_groups(found: DataFrame) -> DataFrame:
