@@ -282,48 +282,54 @@ def test_mixing_prefers_no_source_within_its_share(spark):
 # ---- language models
 
 
-def test_lm(docs, empty, spark):
+@pytest.mark.parametrize(("vocabulary", "slice_bytes"), [(lm.VOCABULARY, lm.SLICE), (20, 2000)])
+def test_lm(docs, empty, spark, vocabulary, slice_bytes):
+    """Against plain counts of words and pairs, for whole texts of any length, with and without other words and several slices."""
     from math import log
 
+    import xxhash
+
     labels = spark.createDataFrame([(10, 1, 0), (10, 1, 0), (11, 0, 0), (9, 1, 1), (None, 1, 0), (999, 1, 0), (8, None, None)], "doc_id long, quality int, toxic int")
     rows = docs.collect()
+    words = lambda r: (r["text"] or "").encode().lower().split()
+    signed = lambda w: (h := xxhash.xxh3_64_intdigest(w)) - (h >> 63 << 64)
+    seen = Counter(w for r in rows for w in words(r))
+    known = set(sorted(seen, key=lambda w: (-seen[w], signed(w)))[:vocabulary])
 
     def model(texts):
-        n = [Counter() for _ in range(3)]
-        for t in texts:
-            b = b"\xff\xff" + t
-            for i in range(2, len(b)):
-                for k in range(3):
-                    n[k][b[i - k : i + 1]] += 1
-        before = [Counter(), Counter()]
-        for k in (1, 2):
-            for g, c in n[k].items():
-                before[k - 1][g[:-1]] += c
-        total, m = sum(n[0].values()), lm.MASS
-
-        def p(g):
-            p1 = (n[0][g[2:]] + 1) / (total + 256)
-            p2 = (n[1][g[1:]] + m * p1) / (before[0][g[1:2]] + m)
-            return (n[2][g] + m * p2) / (before[1][g[:2]] + m)
-
-        return p
-
-    text = lambda r: (r["text"] or "").encode()
-    target, back = model([text(r) for r in rows if r["doc_id"] == 10]), model([text(r) for r in rows])
-    got = defaultdict(list)
-    for r in lm.score(docs, labels).collect():
-        got[r["doc_id"]].append((r["n_tokens"], r["target_loss"], r["background_loss"]))
+        texts = [[w if w in known else None for w in t] for t in texts]
+        one = Counter(w for t in texts for w in t)
+        pairs = Counter(p for t in texts if t for p in zip(["<s>", *t], t, strict=False))
+        before = Counter()
+        for (v, _), n in pairs.items():
+            before[v] += n
+        total, m = sum(one.values()), lm.MASS
+        return lambda v, w: (pairs[v, w] + m * (one[w] + 1) / (total + len(known) + 1)) / (before[v] + m)
+
+    models = model([words(r) for r in rows if r["doc_id"] == 10]), model([words(r) for r in rows])
+    want = []
     for r in rows:
-        b = b"\xff\xff" + text(r)
-        if len(b) > 4000:
-            continue
-        loss = [sum(-log(p(b[i - 2 : i + 1])) for i in range(2, len(b))) / max(1, len(b) - 2) for p in (target, back)]
-        assert any(n == len(b) - 2 and abs(x - loss[0]) < 1e-4 and abs(y - loss[1]) < 1e-4 for n, x, y in got[r["doc_id"]])
+        t = [w if w in known else None for w in words(r)]
+        loss = [sum(-log(p(v, w)) for v, w in zip(["<s>", *t], t, strict=False)) / max(1, len(t)) for p in models]
+        want.append((-1 if r["doc_id"] is None else r["doc_id"], len(t), *loss))
+    got = [(-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["target_loss"], r["background_loss"]) for r in lm.score(docs, labels, vocabulary=vocabulary, slice_bytes=slice_bytes).collect()]
+    assert np.allclose(sorted(got), sorted(want), atol=1e-9)
     assert lm.score(empty, labels).count() == 0
     scores = {r["doc_id"]: r["score"] for r in lm.score(docs, labels).collect()}
     assert scores[10] < scores[11]  # nearer to the target
 
 
+def test_lm_tells_documents_that_occur_twice(spark):
+    """The background of the whole corpus knows pairs of words of texts that it has twice."""
+    rnd = random.Random(8)
+    word = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rnd.choice(word) for _ in range(120)) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[i]) for i in range(50)]
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["background_loss"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), none).collect()}
+    assert max(got[i] for i in range(50)) < min(got[i] for i in range(50, 200))
+
+
 # ---- decontamination
 
 
