@@ -27,56 +27,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Texts, distinct_texts, scratch, slices, small, stash, table
+from .common import Texts, distinct_texts, drop_stash, scratch, slices, small, stash, table
 from .windows import anchor_rows, compared_windows, finished, run_groups
 
 WINDOW, GRAM = 35, 16
-#: Bytes of passages in an automaton, occurrences of an anchor in a shard, and the least number of shards.
-SHARD, HOT, SHARDS = 2 << 20, 20_000, 16
+#: Words of passages in an automaton before they are merged, places of an anchor in a shard, and the least number of shards.
+SHARD, HOT, SHARDS = 1 << 20, 20_000, 16
 
 
 def cut_parts(listed: DataFrame) -> DataFrame:
-    """(fp, k1, k2, m, i1, part): the words i1..i2-1 of each text's listed parts (k1, k2, m, text, parts: i1, i2, fp, tag).
+    """(kind, fp, copies, k1, k2, m, i1, part): the words i1..i2-1 of each text's listed parts (k1, k2, m, text, parts: kind, i1, i2, fp, copies, tag).
 
-    Parts with the same anchor and tag whose starts follow one another are one; those without a tag stay apart."""
+    Passages with the same anchor and tag whose starts follow one another are one; parts without a tag stay apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 20):
-            at, fp, first, part = [], [], [], []
+            out: list[list] = []
             for i, (text, own) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("parts").to_pylist(), strict=True)):
-                words = (text or b"").split()
-                joined: list[list] = []
-                for a, b, f, tag in sorted(((r["i1"], r["i2"], r["fp"], r["tag"]) for r in own), key=lambda r: (r[3] is not None, r[:3])):
-                    if tag is not None and joined and joined[-1][2:] == [f, tag] and a == joined[-1][1] - (b - a) + 1:
-                        joined[-1][1] = b
-                    else:
-                        joined.append([a, b, f, tag])
-                for a, b, f, _ in joined:
-                    at.append(i)
-                    fp.append(f)
-                    first.append(a)
-                    part.append(b" ".join(words[a:b]))
+                words, last = (text or b"").split(), None
+                for r in sorted(own, key=lambda r: (r["tag"] or "", r["i1"])) if any(r["tag"] for r in own) else own:
+                    a, b, like = r["i1"], r["i2"], (r["fp"], r["tag"])
+                    if r["tag"] and last is not None and last[0] == like and a == last[2] - (b - a) + 1:
+                        last[2] = b
+                        continue
+                    last = [like, a, b]
+                    out.append([i, r["kind"], r["fp"], r["copies"], words, last])
+            at, kind, fp, copies, words, spans = zip(*out, strict=True) if out else ((),) * 6
+            part = [b" ".join(w[a:b]) for w, (_, a, b) in zip(words, spans, strict=True)]
             row = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), *(batch.column(k).take(row) for k in ("k1", "k2", "m")), pa.array(first, pa.int32()), pa.array(part, pa.binary())], names=["fp", "k1", "k2", "m", "i1", "part"])
+            own = [pa.array(kind, pa.int32()), pa.array(fp, pa.int64()), pa.array(copies, pa.int32()), *(batch.column(k).take(row) for k in ("k1", "k2", "m")), pa.array([s[1] for s in spans], pa.int32()), pa.array(part, pa.binary())]
+            yield pa.RecordBatch.from_arrays(own, names=["kind", "fp", "copies", "k1", "k2", "m", "i1", "part"])
 
-    return listed.select("k1", "k2", "m", "text", "parts").mapInArrow(run, "fp long, k1 long, k2 long, m long, i1 int, part binary")
+    return listed.select("k1", "k2", "m", "text", "parts").mapInArrow(run, "kind int, fp long, copies int, k1 long, k2 long, m long, i1 int, part binary")
 
 
-def listed(parts: DataFrame, label: str) -> DataFrame:
-    """A text's own parts (k1, k2, i1, i2, fp, tag) as one list."""
-    return stash(parts.groupBy("k1", "k2").agg(F.collect_list(F.struct("i1", "i2", "fp", "tag")).alias("parts")), label)
-
-
-def proposed(texts: Texts, found: DataFrame, window: int) -> DataFrame:
-    """(fp, passage): words of runs and windows that seem to recur."""
-    whole_tag = F.lit(None).cast("string").alias("tag")
+def places_of(texts: Texts, found: DataFrame, window: int) -> DataFrame:
+    """(kind, k1, k2, i1, i2, fp, copies, tag): where to cut passages that seem to recur (0), and all parts to search (1)."""
     groups = stash(run_groups(found), "phrase-groups")
-    whole = groups.where("times > 1").select(F.col("r.k1").alias("k1"), F.col("r.k2").alias("k2"), F.col("r.i1").alias("i1"), (F.col("r.i1") + F.col("n") + window).alias("i2"), "fp", whole_tag)
+    none = F.lit(None).cast("string").alias("tag")
+    whole = groups.where("times > 1").select(F.lit(0).alias("kind"), "r.k1", "r.k2", "r.i1", (F.col("r.i1") + F.col("n") + window).alias("i2"), "fp", "copies", none)
     windows = compared_windows(texts, groups, window, True)
     runs = F.bit_xor(F.xxhash64("k1", "k2", "i1"))  # with their number, which runs a window stands in
-    again = windows.groupBy("fp", "wh").agg(F.count(F.lit(1)).alias("c"), runs.alias("x"), F.min(F.struct("k1", "k2", "i")).alias("r")).where("c > 1")
-    single = again.select(F.col("r.k1").alias("k1"), F.col("r.k2").alias("k2"), F.col("r.i").alias("i1"), (F.col("r.i") + window).alias("i2"), "fp", F.concat_ws(" ", "c", "x").alias("tag"))
-    return cut_parts(texts.with_lists(listed(whole.union(single), "phrase-places"))).select("fp", F.col("part").alias("passage")).distinct()
+    again = windows.groupBy("fp", "wh").agg(F.count(F.lit(1)).alias("c"), F.max("copies").alias("copies"), runs.alias("x"), F.min(F.struct("k1", "k2", "i")).alias("r")).where("c > 1")
+    single = again.select(F.lit(0).alias("kind"), "r.k1", "r.k2", F.col("r.i").alias("i1"), (F.col("r.i") + window).alias("i2"), "fp", "copies", F.concat_ws(" ", "fp", "c", "x").alias("tag"))
+    parts = found.select(F.lit(1).alias("kind"), "k1", "k2", "i1", (F.col("i2") + window).alias("i2"), "fp", "copies", none)
+    every = whole.unionByName(single).unionByName(parts)
+    return stash(every.groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "i1", "i2", "fp", "copies", "tag")).alias("parts")), "phrase-places")  # a text's own
 
 
 class Shard:
@@ -85,47 +81,55 @@ class Shard:
     def __init__(self, passages: list[tuple[int, bytes]]):
         self.number: dict[bytes, int] = {}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for pid, passage in passages:
+        for pid, passage in set(passages):
             words = passage.split(b" ")
             self.automaton.add_word(tuple([self.number.setdefault(w, len(self.number)) for w in words]), (pid, len(words)))
         if passages:
             self.automaton.make_automaton()
         self.some = bool(passages)
+        self.seen: dict[bytes, list[tuple[int, int, int]]] = {}
 
     def locate(self, part: bytes) -> list[tuple[int, int, int]]:
-        """(first word, words, passage) of every occurrence in a part."""
-        if not self.some:
-            return []
-        get = self.number.get
-        return [(end + 1 - n, n, pid) for end, (pid, n) in self.automaton.iter(tuple([get(w, -1) & 0xFFFFFFFF for w in part.split(b" ")]))]
+        """(first word, words, passage) of every occurrence in a part; equal parts are searched once."""
+        found = self.seen.get(part)
+        if found is None:
+            get = self.number.get
+            hits = self.automaton.iter(tuple([get(w, 0xFFFFFFFF) for w in part.split(b" ")])) if self.some else ()
+            found = self.seen[part] = [(end + 1 - n, n, pid) for end, (pid, n) in hits]
+        return found
 
 
-def located(passages: DataFrame, parts: DataFrame, shards: int) -> DataFrame:
-    """(k1, k2, m, i1, i2, pid): occurrences of passages (shard, fp, passage) in parts (shard, k1, k2, m, i1, part), word by word."""
-    none = lambda c, t: F.lit(None).cast(t).alias(c)
-    a = passages.select("shard", F.lit(0).alias("kind"), F.xxhash64("fp", "passage").alias("pid"), none("k1", "long"), none("k2", "long"), none("m", "long"), none("i1", "int"), F.col("passage").alias("part"))
-    b = parts.select("shard", F.lit(1).alias("kind"), none("pid", "long"), "k1", "k2", "m", "i1", "part")
-    both = a.union(b).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+def located(parts: DataFrame, shards: int) -> DataFrame:
+    """(k1, k2, m, i1, i2, pid): occurrences of passages (kind 0) in parts (kind 1), word by word, shard by shard.
+
+    parts: (kind, fp, copies, k1, k2, m, i1, part)."""
+    own = F.pmod(F.xxhash64("fp"), F.lit(shards)).cast("int")
+    salt = F.pmod(F.xxhash64("k1", "i1"), F.col("copies")).cast("int")
+    some = F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array(salt))  # passages to all shards of their anchor
+    dealt = parts.withColumn("shard", F.explode(F.transform(some, lambda c: F.pmod(own + c, F.lit(shards)).cast("int"))))
+    dealt = dealt.select("shard", "kind", F.when(F.col("kind") == 0, F.xxhash64("fp", "part")).alias("pid"), "k1", "k2", "m", "i1", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, listed_, compiled = None, [], None
+        now, listed, compiled = None, [], None
         for batch in slices(batches, "part", 4 << 20):
-            out: list[list[int]] = [[], [], [], []]
+            rows, hits = [], []
             for i, (shard, kind, pid, part) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "pid", "part")), strict=True)):
                 if shard != now:
-                    now, listed_, compiled = shard, [], None
+                    now, listed, compiled = shard, [], None
                 if kind == 0:
-                    listed_.append((pid, part))
+                    listed.append((pid, part))
                     continue
                 if compiled is None:
-                    compiled, listed_ = Shard(listed_), []
-                for first, n, found in compiled.locate(part):
-                    for held, x in zip(out, (i, first, n, found), strict=True):
-                        held.append(x)
-            row = pa.array(out[0], pa.int64())
-            start = np.array(out[1], np.int32) + batch.column("i1").take(row).to_numpy(zero_copy_only=False).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in ("k1", "k2", "m")), pa.array(start), pa.array(start + np.array(out[2], np.int32)), pa.array(out[3], pa.int64())], names=["k1", "k2", "m", "i1", "i2", "pid"])
-
+                    compiled, listed = Shard(listed), []
+                own = compiled.locate(part)
+                hits += own
+                rows += [i] * len(own)
+            row = pa.array(rows, pa.int64())
+            first, n, pid = zip(*hits, strict=True) if hits else ((),) * 3
+            start = np.array(first, np.int32) + batch.column("i1").take(row).to_numpy(zero_copy_only=False).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in ("k1", "k2", "m")), pa.array(start), pa.array(start + np.array(n, np.int32)), pa.array(pid, pa.int64())], names=["k1", "k2", "m", "i1", "i2", "pid"])
+
+    both = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
     return both.mapInArrow(run, "k1 long, k2 long, m long, i1 int, i2 int, pid long")
 
 
@@ -155,19 +159,16 @@ def remove_phrases(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     with scratch():
         texts = distinct_texts(docs, id, text)
         rows = stash(anchor_rows(texts.bodies, window, gram, True), "windows-runs")
-        known = stash(rows.groupBy("fp").agg(F.sum("m").alias("all"), F.count(F.lit(1)).alias("places")).where("all > 1"), "windows-known")
-        found = stash(rows.join(known.select("fp", "places").hint("merge"), "fp").withColumn("n", F.col("i2") - F.col("i1")), "windows-found")
-        passages = stash(proposed(texts, found, window), "phrase-passages")
-        size = passages.agg(F.sum(F.octet_length("passage"))).first()[0] or 0
+        places = F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("copies")  # an anchor of many places has several shards
+        known = stash(rows.groupBy("fp").agg(F.sum("m").alias("all"), places).where("all > 1").drop("all"), "windows-known")
+        found = stash(rows.join(known.hint("merge"), "fp").withColumn("n", F.col("i2") - F.col("i1")), "windows-found")
+        drop_stash(rows)
+        lists = places_of(texts, found, window)
+        size = lists.select(F.explode("parts").alias("p")).where("p.kind = 0").agg(F.sum(F.col("p.i2") - F.col("p.i1"))).first()[0] or 0
+        drop_stash(found)
         shards = max(SHARDS, -(-size // SHARD))
-        # an anchor of many places has several shards, and its places are dealt over them by text
-        spread = small(stash(known.where(F.col("places") > hot).select("fp", F.ceil(F.col("places") / hot).cast("int").alias("copies")), "phrase-hot"))
-        copies, salt = F.coalesce("copies", F.lit(1)), F.col("fp").bitwiseXOR(F.col("k1"))
-        own = F.pmod(F.xxhash64("fp"), F.lit(shards)).cast("int")
-        dealt = passages.join(spread, "fp", "left").withColumn("shard", F.explode(F.transform(F.sequence(F.lit(0), copies - 1), lambda c: F.pmod(own + c, F.lit(shards)).cast("int"))))
-        parts = cut_parts(texts.with_lists(listed(found.select("k1", "k2", "i1", (F.col("i2") + window).alias("i2"), "fp", F.lit(None).cast("string").alias("tag")), "phrase-parts")))
-        parts = parts.join(spread, "fp", "left").withColumn("shard", F.pmod(own + F.pmod(F.xxhash64(salt), copies), F.lit(shards)).cast("int"))
-        places = stash(located(dealt.select("shard", "fp", "passage").distinct(), parts, shards), "phrase-located")
+        places = stash(located(cut_parts(texts.with_lists(lists)), shards), "phrase-located")
+        drop_stash(lists)
         confirmed = stash(places.groupBy("pid").agg(F.sum("m").alias("c")).where("c > 1").select("pid"), "phrase-confirmed")
         spans = places.join(small(confirmed), "pid").groupBy("k1", "k2").agg(F.collect_list(F.struct("i1", (F.col("i2") - window).alias("i2"))).alias("spans"))
         n = 4 if kept else 3

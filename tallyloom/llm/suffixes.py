@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import distinct_texts, folder_of, new_path, scratch, small, stash, table
+from .common import distinct_texts, drop_stash, folder_of, new_path, scratch, small, stash, table
 from .windows import anchor_rows, compared_windows, finished, run_groups
 
 WINDOW, GRAM, HEAD = 400, 200, 48
@@ -119,7 +119,8 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
         family = IndexFamily(docs.sparkSession, new_path(docs.sparkSession, "suffix-family"))
         known = stash(family_prints(family, rows, batches), "windows-known")
         family.drop()
-        found = stash(rows.drop("suffix").join(known.hint("merge"), "fp").withColumn("n", F.col("i2") - F.col("i1")), "windows-found")
+        found = stash(rows.drop("suffix").join(known.hint("merge"), "fp").withColumns({"n": F.col("i2") - F.col("i1"), "copies": F.lit(1)}), "windows-found")
+        drop_stash(rows)
         groups = run_groups(found)
         windows = compared_windows(texts, groups, window, False)
         twice = small(stash(windows.groupBy("fp", "wh").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "windows-twice"))

@@ -102,7 +102,7 @@ def parts_of(text: bytes, words: bool) -> tuple[np.ndarray, bytes, np.ndarray]:
         return BYTES[np.frombuffer(text, np.uint8)], text, np.arange(len(text) + 1)
     found = text.split()
     digest = xxhash.xxh3_64_intdigest
-    hashes = np.fromiter((digest(w) for w in found), np.uint64, len(found))
+    hashes = np.fromiter(map(digest, found), np.uint64, len(found))
     return hashes, b" ".join(found), np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)))
 
 
@@ -159,36 +159,36 @@ def merged(i1: np.ndarray, i2: np.ndarray, window: int) -> np.ndarray:
 
 
 def window_rows(listed: DataFrame, window: int, words: bool) -> DataFrame:
-    """(k1, k2, i1, i, fp, wh, lone): every window i of the listed runs (k1, k2, text, runs: i1, i2, fp, lone), with its hash."""
+    """(k1, k2, i1, i, fp, copies, wh, lone): every window i of the listed runs (k1, k2, text, runs: i1, i2, fp, copies, lone), with its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 20):
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], []]
             for row, (text, own) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs").to_pylist(), strict=True)):
-                i1, i2, fp, lone = (np.array([r[k] for r in own], np.int64) for k in ("i1", "i2", "fp", "lone"))
+                i1, i2, fp, copies, lone = (np.array([r[k] for r in own], np.int64) for k in ("i1", "i2", "fp", "copies", "lone"))
                 _, data, place = parts_of(text or b"", words)
                 size = i2 - i1 + 1
                 at = np.repeat(i1 - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-                for held, x in zip(cols, (np.full(len(at), row), np.repeat(i1, size), at, np.repeat(fp, size), digests(data, place, at, at + window, int(words)), np.repeat(lone, size)), strict=True):
+                for held, x in zip(cols, (np.full(len(at), row), np.repeat(i1, size), at, np.repeat(fp, size), np.repeat(copies, size), digests(data, place, at, at + window, int(words)), np.repeat(lone, size)), strict=True):
                     held.append(x)
-            row, i1, at, fp, wh, lone = map(np.concatenate, cols)
+            row, i1, at, fp, copies, wh, lone = map(np.concatenate, cols)
             row = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("k1").take(row), batch.column("k2").take(row), pa.array(i1.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(fp), signed(wh), pa.array(lone > 0)], names=["k1", "k2", "i1", "i", "fp", "wh", "lone"])
+            yield pa.RecordBatch.from_arrays([batch.column("k1").take(row), batch.column("k2").take(row), pa.array(i1.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(fp), pa.array(copies.astype(np.int32)), signed(wh), pa.array(lone > 0)], names=["k1", "k2", "i1", "i", "fp", "copies", "wh", "lone"])
 
-    return listed.select("k1", "k2", "text", "runs").mapInArrow(run, "k1 long, k2 long, i1 int, i int, fp long, wh long, lone boolean")
+    return listed.select("k1", "k2", "text", "runs").mapInArrow(run, "k1 long, k2 long, i1 int, i int, fp long, copies int, wh long, lone boolean")
 
 
 def run_groups(found: DataFrame) -> DataFrame:
-    """(fp, ctx, n, times, r, lone): runs of the same content, how often they occur, the least of them, and whether its anchor
-    also stands in a run that occurs once."""
-    groups = stash(found.groupBy("fp", "ctx", "n").agg(F.sum("m").alias("times"), F.min(F.struct("k1", "k2", "i1")).alias("r")), "windows-groups")
+    """(fp, ctx, n, times, copies, r, lone): runs of the same content, how often they occur, the least of them, and whether its
+    anchor also stands in a run that occurs once."""
+    groups = stash(found.groupBy("fp", "ctx", "n").agg(F.sum("m").alias("times"), F.max("copies").alias("copies"), F.min(F.struct("k1", "k2", "i1")).alias("r")), "windows-groups")
     alone = small(stash(groups.where("times = 1").select("fp").distinct().withColumn("lone", F.lit(True)), "windows-lone"))
     return groups.join(alone, "fp", "left").withColumn("lone", F.coalesce("lone", F.lit(False)))
 
 
 def compared_windows(texts: Texts, groups: DataFrame, window: int, words: bool) -> DataFrame:
     """window_rows of all runs that occur once and of one run of each kind that occurs again beside such a run."""
-    mine = groups.where("lone").select(F.col("r.k1").alias("k1"), F.col("r.k2").alias("k2"), F.struct(F.col("r.i1").alias("i1"), (F.col("r.i1") + F.col("n")).alias("i2"), "fp", (F.col("times") == 1).alias("lone")).alias("run"))
+    mine = groups.where("lone").select(F.col("r.k1").alias("k1"), F.col("r.k2").alias("k2"), F.struct(F.col("r.i1").alias("i1"), (F.col("r.i1") + F.col("n")).alias("i2"), "fp", "copies", (F.col("times") == 1).alias("lone")).alias("run"))
     lists = stash(mine.groupBy("k1", "k2").agg(F.collect_list("run").alias("runs")), "windows-open")  # a text's own runs
     return window_rows(texts.with_lists(lists), window, words)
 
