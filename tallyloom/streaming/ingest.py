@@ -1,46 +1,167 @@
-"""Continuous ingest: new transcript files to an event log, each record once, the latest content wins.
+"""Continuous ingest of transcripts that agents append to: each record once, the latest content wins.
 
-A file source reads each new segment once; its checkpoint is the cursor.  A micro-batch is parsed and written as one immutable
-folder named by its id (a repeated batch overwrites itself), so restarts neither lose nor double rows.  Readers see, for each
-(session, record key), the row of the latest batch.
+A sweep lists the files, compares them with the cursors of the last commit, reads the new complete lines of those that changed,
+and commits one numbered batch: events, quarantine, sessions and, last of all, the cursors.  The cursors' folder is the commit:
+a sweep that dies before it is repeated under the same number and overwrites itself, and one that finds that another has committed
+in the meantime gives up and starts anew.  A file goes on from its cursor if it provably still holds what was read (same first line,
+not shorter, same 4 KB before the cursor); else it is read again from its start as a new generation, and the keys of records keep
+those that are known from counting twice.
 """
 
 from __future__ import annotations
 
+import hashlib
+import time
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..sources import transcripts
+from ..operators import relational as O
+from ..sources import transcripts as T
+
+CURSOR = "source_path string, generation int, offset long, size long, mtime long, fingerprint string, checkpoint string, sid0 string, turn0 long, missing_since long"
+BLOCK = 4096
+
+
+class Stale(RuntimeError):
+    """Another sweep has committed since this one began."""
+
+
+def _hash(data: bytes) -> str | None:
+    return hashlib.sha256(data).hexdigest()[:16] if data else None
+
+
+def probe(files: DataFrame) -> DataFrame:
+    """(source_path, fingerprint, checkpoint) of files (source_path, offset): first line and the block before the offset."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out = []
+            for path, offset in zip(pdf["source_path"], pdf["offset"], strict=True):
+                store, base = fs.FileSystem.from_uri(T.uri(path))
+                with store.open_input_file(base) as f:
+                    size = f.size()
+                    first = f.read_at(min(BLOCK, size), 0).partition(b"\n")[0]
+                    at = max(0, int(offset) - BLOCK)
+                    out.append((path, _hash(first), _hash(f.read_at(int(offset) - at, at)) if 0 < offset <= size else None))
+            yield pd.DataFrame(out, columns=["source_path", "fingerprint", "checkpoint"])
+
+    return files.select("source_path", "offset").mapInPandas(run, "source_path string, fingerprint string, checkpoint string")
 
 
-def start(spark: SparkSession, root: str, out: str, checkpoint: str, files_per_batch: int = 1000) -> StreamingQuery:
-    """Reads what is there and stops (availableNow); run it again, or with another trigger, to go on."""
-    lines = (
-        spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("maxFilesPerTrigger", files_per_batch).load(root)
-        .select(F.col("path").alias("source_path"), F.posexplode(F.split(F.decode("content", "utf-8"), "\n")).alias("line_no", "line")).where(F.trim("line") != "")
-    )
+class Log:
+    """The event log in a folder."""
 
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+    def __init__(self, spark: SparkSession, out: str):
+        self.spark, self.out = spark, out
+
+    def last(self) -> int:
+        """Number of the last commit; -1 for none."""
+        store, base = fs.FileSystem.from_uri(T.uri(f"{self.out}/cursors"))
+        found = [i.path for i in store.get_file_info(fs.FileSelector(base, allow_not_found=True)) if i.type == fs.FileType.Directory]
+        done = [p for p in found if store.get_file_info(f"{p}/_SUCCESS").type == fs.FileType.File]
+        return max((int(p.rpartition("=")[2]) for p in done), default=-1)
+
+    def _table(self, name: str, at: int, schema: str) -> DataFrame:
+        return self.spark.createDataFrame([], schema) if at < 0 else self.spark.read.parquet(f"{self.out}/{name}/batch={at}")
+
+    def cursors(self) -> DataFrame:
+        return self._table("cursors", self.last(), CURSOR)
+
+    def sessions(self) -> DataFrame:
+        return self._table("sessions", self.last(), "id string, started_at long, last_event_at long, title string")
+
+    def events(self, excluded: tuple[str, ...] = (), tombstones: DataFrame | None = None) -> DataFrame:
+        """One row for each record, from the latest commit that has it; not those under excluded paths nor of forgotten sessions."""
+        rows = self.spark.read.parquet(f"{self.out}/events").where(F.col("batch") <= self.last())
+        newest = F.row_number().over(W.partitionBy("session_id", "record_key").orderBy(F.col("batch").desc(), "source_path", F.col("line_no").desc()))
+        rows = rows.withColumn("_n", newest).where("_n = 1").drop("_n")
+        for part in excluded:
+            rows = rows.where(~F.col("source_path").contains(part))
+        return rows if tombstones is None else O.forget(rows, tombstones, "session", "session_id")
+
+    def quarantine(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.out}/quarantine").where(F.col("batch") <= self.last()).dropDuplicates(["source_path", "line_no", "line"])
+
+    def lag(self, root: str, now: int, older: int = 300_000) -> DataFrame:
+        """(files, bytes) that have changed since they were read, over five minutes ago."""
+        files = T.listing(self.spark, T.find_files(root)[0])
+        behind = files.join(self.cursors().select("source_path", "offset"), "source_path", "left").where(F.col("mtime") < now - older).withColumn("unread", F.col("size") - F.coalesce("offset", F.lit(0))).where("unread > 0")
+        return behind.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("unread"), F.lit(0)).alias("bytes"))
+
+    def sweep(self, root: str, now: int | None = None, most_bytes: int | None = None, latest_first: bool = False, known: dict[str, str] | None = None) -> int:
+        """Reads what is new below a root and commits it; the batch's number, or the last one's if nothing is new.
+
+        most_bytes: unread bytes that a sweep takes on at most (at least one file), oldest or latest files first; the rest waits."""
+        now = int(time.time() * 1000) if now is None else now
+        at = self.last()
+        old = self.cursors().persist()
+        files = T.listing(self.spark, T.find_files(root)[0])
+        both = files.join(old.withColumnsRenamed({"size": "old_size", "mtime": "old_mtime"}), "source_path", "left").persist()
+        dirty = both.where("size > 0 AND (offset IS NULL OR size <> old_size OR mtime <> old_mtime)").withColumn("offset", F.coalesce("offset", F.lit(0)))
+        if most_bytes is not None:
+            order = [F.col("mtime").desc() if latest_first else F.col("mtime"), F.col("source_path")]
+            dirty = dirty.withColumn("_u", F.greatest(F.col("size") - F.col("offset"), F.lit(0)))
+            before = F.coalesce(F.sum("_u").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row for each file
+            dirty = dirty.withColumn("_b", before).where(F.col("_b") + F.col("_u") <= F.greatest(F.lit(most_bytes), F.col("_u") * (F.col("_b") == 0).cast("long"))).drop("_u", "_b")
+        gone = old.join(files, "source_path", "left_anti").where("missing_since IS NULL").limit(1).count() + both.where("missing_since IS NOT NULL").limit(1).count()
+        if not gone and not dirty.limit(1).count():
+            return at
+        seen = probe(dirty).withColumnsRenamed({"fingerprint": "fp", "checkpoint": "cp"})
+        dirty = dirty.join(seen, "source_path")
+        same = F.col("generation").isNotNull() & F.col("fingerprint").eqNullSafe(F.col("fp")) & (F.col("size") >= F.col("offset")) & F.col("checkpoint").eqNullSafe(F.col("cp"))
+        todo = dirty.select("source_path", "size", "mtime", "fp", same.alias("same"), F.when(same, F.col("generation")).otherwise(F.coalesce(F.col("generation") + 1, F.lit(0))).alias("generation"), F.when(same, F.col("offset")).otherwise(0).cast("long").alias("start"), F.when(same, F.col("sid0")).alias("sid0"), F.when(same, F.col("turn0")).otherwise(0).cast("long").alias("turn0")).persist()
+        lines = T.read_ranges(todo).persist()
         try:
-            transcripts.parse(batch).write.mode("overwrite").parquet(f"{out}/events/batch={batch_id}")
-            transcripts.quarantine(batch).write.mode("overwrite").parquet(f"{out}/quarantine/batch={batch_id}")
+            number, texts = at + 1, lines.where("line IS NULL OR trim(line) <> ''")
+            events = T.parse(texts.where("line IS NOT NULL"), known)
+            events.write.mode("overwrite").parquet(f"{self.out}/events/batch={number}")
+            T.quarantine(texts).write.mode("overwrite").parquet(f"{self.out}/quarantine/batch={number}")
+            fresh = self.spark.read.parquet(f"{self.out}/events/batch={number}")
+            O.upsert_sessions(self.sessions(), session_rows(fresh)).write.mode("overwrite").parquet(f"{self.out}/sessions/batch={number}")
+            ends = lines.groupBy("source_path").agg(F.max(F.col("line_no") + F.col("n_bytes")).alias("end"))
+            moved = todo.join(ends, "source_path", "left").withColumn("offset", F.coalesce("end", "start"))
+            moved = moved.join(T.state_after(lines.where("line IS NOT NULL")).withColumnsRenamed({"sid0": "sid1", "turn0": "turn1"}), "source_path", "left")
+            checked = probe(moved).select("source_path", "checkpoint")
+            moved = moved.join(checked, "source_path").select("source_path", "generation", "offset", "size", "mtime", F.col("fp").alias("fingerprint"), "checkpoint", F.coalesce("sid1", "sid0").alias("sid0"), F.coalesce("turn1", "turn0").alias("turn0"), F.lit(None).cast("long").alias("missing_since"))
+            rest = old.join(moved.select("source_path"), "source_path", "left_anti").join(files.select("source_path", F.lit(True).alias("here")), "source_path", "left")
+            rest = rest.withColumn("missing_since", F.when(F.col("here").isNull(), F.coalesce("missing_since", F.lit(now)))).drop("here")
+            cursors = moved.unionByName(rest)
+            if self.last() != at:
+                raise Stale(f"commit {self.last()} came before {number}")
+            cursors.write.mode("errorifexists").parquet(f"{self.out}/cursors/batch={number}")
         finally:
-            batch.unpersist()
+            for df in (lines, todo, both, old):
+                df.unpersist()
+        return number
+
+    def catch_up(self, root: str, attempts: int = 5, **options) -> int:
+        """Sweeps until nothing is new; a sweep that lost to another is repeated, up to `attempts` times."""
+        for _ in range(attempts):
+            try:
+                before = self.last()
+                if self.sweep(root, **options) == before:
+                    return before
+            except Stale:
+                continue
+        return self.last()
 
-    return lines.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def watch(self, root: str, checkpoint: str, seconds: int = 30, **options) -> StreamingQuery:
+        """Sweeps again and again as a streaming query; its clock is a source of one row a second."""
+        clock = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        return clock.writeStream.foreachBatch(lambda _, __: self.sweep(root, **options)).option("checkpointLocation", checkpoint).trigger(processingTime=f"{max(seconds, 1)} seconds").start()
 
 
-def events(spark: SparkSession, out: str) -> DataFrame:
-    """The log: one row for each record, from the latest batch that has it."""
-    rows = spark.read.parquet(f"{out}/events")
-    last = F.row_number().over(W.partitionBy("session_id", "record_key").orderBy(F.col("batch").desc(), F.col("source_path"), F.col("line_no").desc()))
-    return rows.withColumn("_n", last).where("_n = 1").drop("_n")
+def session_rows(events: DataFrame) -> DataFrame:
+    title = F.when(F.col("kind") == "title", F.col("text"))
+    return events.groupBy(F.col("session_id").alias("id")).agg(F.min("ts").alias("started_at"), F.max("ts").alias("last_event_at"), F.max_by(title, F.when(title.isNotNull(), F.col("line_no"))).alias("title"))
 
 
-def sessions(log: DataFrame) -> DataFrame:
-    """One row per session: start, end, title, number of prompts."""
-    return log.groupBy("session_id").agg(F.min("ts").alias("started_at"), F.max("ts").alias("last_event_at"), F.max_by(F.when(F.col("kind") == "title", F.col("text")), F.when(F.col("kind") == "title", F.col("line_no"))).alias("title"), F.count_if((F.col("kind") == "prompt") & F.col("label").isNull() & F.col("thread").isNull()).alias("prompts"))
+def human_prompts(events: DataFrame) -> DataFrame:
+    """Prompts that a person typed in the main thread."""
+    return events.where("kind = 'prompt' AND label IS NULL AND thread IS NULL")
