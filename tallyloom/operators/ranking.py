@@ -6,9 +6,16 @@ are aggregated; document frequencies, lengths and their mean are those of all do
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 K1, B = 1.2, 0.75
 WORD = r"[\p{L}\p{N}]+"
@@ -24,11 +31,6 @@ def postings(docs: DataFrame, id: str, text: str) -> DataFrame:
     return t.select("doc", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def positions(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(doc, pos, term)."""
-    return docs.select(F.col(id).alias("doc"), F.posexplode(tokens(F.col(text))).alias("pos", "term"))
-
-
 def idf(n: Column, df: Column) -> Column:
     raw = F.log((n - df + 0.5) / (df + 0.5))
     return F.when(raw > 0, raw).otherwise(F.lit(1e-6))
@@ -49,6 +51,75 @@ def term_scores(docs: DataFrame, id: str, text: str, terms: DataFrame) -> DataFr
     return tf.join(df, "term").withColumn("s", s).join(asked, "term").select("q", "doc", "term", "s")
 
 
+#: Questions that a pass over the documents answers at once.
+QUESTIONS = 256
+
+
+def statistics(docs: DataFrame, id: str, text: str, terms: DataFrame) -> tuple[int, float, dict[str, int]]:
+    """Number of documents, their mean length, and document frequencies of the asked terms (q, term)."""
+    sized = docs.select(tokens(F.col(text)).alias("t"))
+    asked = [r["term"] for r in terms.select("term").distinct().collect()]  # words of a stated set of questions
+    own = F.broadcast(terms.select("term").distinct())
+    one = sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean")).first()
+    df = sized.select(F.explode(F.array_distinct("t")).alias("term")).join(own, "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    found = {r["term"]: r["df"] for r in df.collect()}
+    return one["n"], float(one["mean"] or 1), {t: found.get(t, 0) for t in asked}
+
+
+def top_scores(docs: DataFrame, id: str, text: str, terms: DataFrame, k: int, least: int = 1, pairs: bool = False, age: Column | None = None, known: tuple | None = None) -> DataFrame:
+    """(q, doc, score, words, rank): the k best documents by BM25 for each question of a stated set (q, term).
+
+    Scores of a batch of documents are one product of matrices, and only its k best of each question leave it, so no pair of
+    question and document is shuffled; ties go by id.  least: matched words; pairs: a word counts once for each pair it is
+    matched in; age: taken from the score; known: statistics() of the documents, if they are at hand."""
+    n, mean, df = known or statistics(docs, id, text, terms)
+    asked: dict = {}
+    for r in terms.select("q", "term").distinct().collect():
+        asked.setdefault(r["q"], []).append(r["term"])
+    questions = sorted(asked)
+    idf_of = {t: max(math.log((n - d + 0.5) / (d + 0.5)), 0) or 1e-6 for t, d in df.items()}
+    blocks = []
+    for at in range(0, len(questions), QUESTIONS):
+        qs = questions[at : at + QUESTIONS]
+        words = sorted({t for q in qs for t in asked[q]})
+        number = {t: i for i, t in enumerate(words)}
+        grid = np.zeros((len(words), len(qs)))
+        for j, q in enumerate(qs):
+            grid[[number[t] for t in asked[q]], j] = 1
+        blocks.append((qs, number, np.array([idf_of[t] for t in words]), grid))
+    model = docs.sparkSession.sparkContext.broadcast(blocks)
+    rows = docs.select(F.col(id).alias("doc"), tokens(F.col(text)).alias("t"), (F.lit(0.0) if age is None else age.cast("double")).alias("age"))
+    schema = T.StructType([terms.schema["q"], T.StructField("doc", docs.schema[id].dataType), T.StructField("score", T.DoubleType()), T.StructField("words", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                col, ids, age_ = batch.column("t"), batch.column("doc").to_pylist(), batch.column("age").to_numpy()
+                size = np.diff(col.offsets.to_numpy())
+                flat = col.flatten().dictionary_encode()
+                owner = np.repeat(np.arange(len(size)), size)
+                out: list[list] = [[], [], [], []]
+                for qs, number, weight, grid in model.value:
+                    code = np.array([number.get(w, -1) for w in flat.dictionary.to_pylist()] or [-1])[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, int)
+                    tf = np.zeros((len(size), len(number)))
+                    some = code >= 0
+                    np.add.at(tf, (owner[some], code[some]), 1)
+                    s = weight * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * size / mean))[:, None])
+                    score, matched = s @ grid, (tf > 0).astype(float) @ grid
+                    if pairs:
+                        score = score * (matched - 1)
+                    score = np.round(score - age_[:, None], 6)
+                    score[matched < least] = -np.inf
+                    cut = np.partition(score, max(0, len(size) - k), axis=0)[max(0, len(size) - k)]
+                    for j, i in zip(*np.nonzero((score >= cut).T & np.isfinite(score).T), strict=True):
+                        for held, x in zip(out, (qs[j], ids[i], float(score[i, j]), int(matched[i, j])), strict=True):
+                            held.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], to_arrow_type(schema[0].dataType)), pa.array(out[1], to_arrow_type(schema[1].dataType)), pa.array(out[2], pa.float64()), pa.array(out[3], pa.int64())], names=["q", "doc", "score", "words"])
+
+    return ranked(rows.mapInArrow(run, schema), "score", "doc", k=k)
+
+
 def any_word(scores: DataFrame) -> DataFrame:
     """(q, doc, score, words): the sum over matched words."""
     return scores.groupBy("q", "doc").agg(F.sum("s").alias("score"), F.count(F.lit(1)).alias("words"))
@@ -95,12 +166,23 @@ def gate_and_fill(words: DataFrame, meaning: DataFrame, relevance: float, fill:
     return out.where(F.col("rank") <= limit).select("q", "id", "part", "rank")
 
 
-def phrase_hits(pos: DataFrame, phrase: DataFrame) -> DataFrame:
-    """(q, doc, tf): places where the words of (q, i, term; i from 0) stand side by side."""
-    size = phrase.groupBy("q").agg(F.count(F.lit(1)).alias("size"))
-    at = pos.join(phrase, "term").select("q", "doc", (F.col("pos") - F.col("i")).alias("at"), "i").distinct()
-    full = at.groupBy("q", "doc", "at").agg(F.count(F.lit(1)).alias("n")).join(size, "q").where("n = size")
-    return full.groupBy("q", "doc").agg(F.count(F.lit(1)).alias("tf"))
+def _gram(n: int):
+    return lambda i: F.array_join(F.slice("t", i, F.lit(n)), " ")
+
+
+def phrase_hits(docs: DataFrame, id: str, text: str, phrase: DataFrame) -> DataFrame:
+    """(q, doc, tf): places where the words of (q, i, term; i from 0) stand side by side.
+
+    Runs of words as long as the phrases meet them in a hash join inside the scan; only hits are shuffled."""
+    words = F.transform(F.array_sort(F.collect_list(F.struct("i", "term"))), lambda x: x["term"])
+    asked = phrase.groupBy("q").agg(words.alias("w")).select("q", F.array_join("w", " ").alias("gram"), F.size("w").alias("n")).cache()
+    t = docs.select(F.col(id).alias("doc"), tokens(F.col(text)).alias("t"))
+    out = None
+    for n in sorted(r["n"] for r in asked.select("n").distinct().collect()):
+        grams = F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), _gram(n))
+        one = t.where(F.size("t") >= n).select("doc", F.explode(grams).alias("gram")).join(F.broadcast(asked.where(F.col("n") == n).select("q", "gram")), "gram")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("q", "doc").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def recall_terms(text: Column, stop_words: tuple[str, ...], most: int = 12) -> Column:
