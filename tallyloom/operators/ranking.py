@@ -55,9 +55,14 @@ def term_scores(docs: DataFrame, id: str, text: str, terms: DataFrame) -> DataFr
 QUESTIONS = 256
 
 
-def statistics(docs: DataFrame, id: str, text: str, terms: DataFrame) -> tuple[int, float, dict[str, int]]:
+def columns_of(text: str | dict[str, float]) -> dict[str, float]:
+    """Text columns and their weights."""
+    return text if isinstance(text, dict) else {text: 1.0}
+
+
+def statistics(docs: DataFrame, id: str, text: str | dict[str, float], terms: DataFrame) -> tuple[int, float, dict[str, int]]:
     """Number of documents, their mean length, and document frequencies of the asked terms (q, term)."""
-    sized = docs.select(tokens(F.col(text)).alias("t"))
+    sized = docs.select(F.concat(*(tokens(F.col(c)) for c in columns_of(text))).alias("t"))
     asked = [r["term"] for r in terms.select("term").distinct().collect()]  # words of a stated set of questions
     own = F.broadcast(terms.select("term").distinct())
     one = sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean")).first()
@@ -66,12 +71,13 @@ def statistics(docs: DataFrame, id: str, text: str, terms: DataFrame) -> tuple[i
     return one["n"], float(one["mean"] or 1), {t: found.get(t, 0) for t in asked}
 
 
-def top_scores(docs: DataFrame, id: str, text: str, terms: DataFrame, k: int, least: int = 1, pairs: bool = False, age: Column | None = None, known: tuple | None = None) -> DataFrame:
+def top_scores(docs: DataFrame, id: str, text: str | dict[str, float], terms: DataFrame, k: int, least: int = 1, pairs: bool = False, age: Column | None = None, known: tuple | None = None) -> DataFrame:
     """(q, doc, score, words, rank): the k best documents by BM25 for each question of a stated set (q, term).
 
     Scores of a batch of documents are one product of matrices, and only its k best of each question leave it, so no pair of
     question and document is shuffled; ties go by id.  least: matched words; pairs: a word counts once for each pair it is
-    matched in; age: taken from the score; known: statistics() of the documents, if they are at hand."""
+    matched in; age: taken from the score; known: statistics() of the documents, if they are at hand.  text: a column, or
+    columns with the weight that a word's occurrence has in each."""
     n, mean, df = known or statistics(docs, id, text, terms)
     asked: dict = {}
     for r in terms.select("q", "term").distinct().collect():
@@ -88,7 +94,10 @@ def top_scores(docs: DataFrame, id: str, text: str, terms: DataFrame, k: int, le
             grid[[number[t] for t in asked[q]], j] = 1
         blocks.append((qs, number, np.array([idf_of[t] for t in words]), grid))
     model = docs.sparkSession.sparkContext.broadcast(blocks)
-    rows = docs.select(F.col(id).alias("doc"), tokens(F.col(text)).alias("t"), (F.lit(0.0) if age is None else age.cast("double")).alias("age"))
+    weights = list(columns_of(text).values())
+    parts = [tokens(F.col(c)) for c in columns_of(text)]
+    sizes = F.array(*map(F.size, parts))  # where one column's words end and the next one's begin
+    rows = docs.select(F.col(id).alias("doc"), F.concat(*parts).alias("t"), sizes.alias("sizes"), (F.lit(0.0) if age is None else age.cast("double")).alias("age"))
     schema = T.StructType([terms.schema["q"], T.StructField("doc", docs.schema[id].dataType), T.StructField("score", T.DoubleType()), T.StructField("words", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,12 +108,13 @@ def top_scores(docs: DataFrame, id: str, text: str, terms: DataFrame, k: int, le
                 size = np.diff(col.offsets.to_numpy())
                 flat = col.flatten().dictionary_encode()
                 owner = np.repeat(np.arange(len(size)), size)
+                heavy = np.repeat(np.tile(weights, len(size)), batch.column("sizes").flatten().to_numpy())
                 out: list[list] = [[], [], [], []]
                 for qs, number, weight, grid in model.value:
                     code = np.array([number.get(w, -1) for w in flat.dictionary.to_pylist()] or [-1])[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, int)
                     tf = np.zeros((len(size), len(number)))
                     some = code >= 0
-                    np.add.at(tf, (owner[some], code[some]), 1)
+                    np.add.at(tf, (owner[some], code[some]), heavy[some])
                     s = weight * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * size / mean))[:, None])
                     score, matched = s @ grid, (tf > 0).astype(float) @ grid
                     if pairs:
