@@ -176,33 +176,48 @@ def prefixes(texts: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     return texts.mapInArrow(run, "s long, u long, n int, i int")
 
 
+def rest_of(n: str) -> str:
+    """Shingles behind a prefix."""
+    return f"((4L * {n} + 4L) DIV 5L - 1L)"
+
+
 def within(a: str, b: str) -> str:
-    """Whether texts that share their first shingle at places a.i and b.i can have Jaccard 0.8: 9 x shared >= 4 x (a.n + b.n)."""
-    return f"9L * least({a}n - {a}i, {b}n - {b}i) >= 4L * ({a}n + {b}n)"
+    """Whether texts that share their first shingle at places a.i and b.i can have Jaccard 0.8, 9 x shared >= 4 x (a.n + b.n).
+
+    They share at most what is behind these places, and at most what other texts' prefixes have of either's prefix (c) and
+    what is behind the prefix that ends first in the common order."""
+    bound = f"least({a}n - {a}i, {b}n - {b}i, least({a}c, {b}c) + greatest({rest_of(a + 'n')}, {rest_of(b + 'n')}))"
+    return f"9L * {bound} >= 4L * ({a}n + {b}n)"
 
 
 def near_pairs(texts: DataFrame) -> DataFrame:
     """(u, v): enough of the pairs of similar texts (u, text) to connect all of them, and no others.
 
-    Candidates are complete: all pairs that share a shingle of their prefixes at places that allow the similarity.  First each
-    text meets one other, the commonest among the least and the greatest of its shingles' texts; then the pairs that these
-    leave unconnected are compared, all of them.  A shingle whose texts are connected already has nothing left to list."""
+    Candidates are complete: all pairs that share a shingle of their prefixes and can be similar by the bounds of within().
+    First each text meets one other, the commonest among two of each of its shingles' texts: the one with the fewest shingles of
+    its own, near copies' likely original, and the longest.  Then the pairs that these leave unconnected are compared, all of
+    them.  A shingle whose texts are connected already has nothing left to list."""
     found = stash(prefixes(texts, hot_shingles(texts)), "near-prefixes")
     lists = found.repartition("s")  # one shuffle for both sides of the join
-    ends = F.struct("n", "u", "i")
-    many = lists.groupBy("s").agg(F.min(ends).alias("lo"), F.max(ends).alias("hi")).where("lo.u <> hi.u")
-    shared = stash(lists.join(many, "s"), "near-shared")
+    many = lists.groupBy("s").agg(F.min("u").alias("x"), F.max("u").alias("y")).where("x <> y").select("s")
+    known = stash(lists.join(many, "s"), "near-known")
     drop_stash(found)
-    lo, hi = (shared.where(f"u <> {e}.u AND {within('', e + '.')}").select("u", F.col(f"{e}.u").alias("v")) for e in ("lo", "hi"))
-    best = lo.union(hi).groupBy("u", "v").agg(F.count(F.lit(1)).alias("k")).groupBy("u").agg(F.max(F.struct("k", "v")).alias("b"))
+    counts = known.groupBy("u").agg(F.count(F.lit(1)).alias("c"))
+    shared = stash(known.join(counts.hint("merge"), "u").withColumn("q", F.expr(f"n - {rest_of('n')} - c")), "near-shared")
+    drop_stash(known)
+    ends = shared.groupBy("s").agg(F.min(F.struct("q", "n", "u", "i", "c")).alias("lo"), F.max(F.struct("n", "u", "i", "c")).alias("hi"))
+    met = shared.join(ends.hint("merge"), "s")
+    both = F.array(*(F.struct(F.col(f"{e}.u").alias("u"), F.col(f"{e}.n").alias("n"), F.col(f"{e}.i").alias("i"), F.col(f"{e}.c").alias("c")) for e in ("lo", "hi")))
+    pairs = met.select("u", "n", "i", "c", F.explode(both).alias("e")).where(f"u <> e.u AND {within('', 'e.')}").select("u", F.col("e.u").alias("v"))
+    best = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k")).groupBy("u").agg(F.max(F.struct("k", "v")).alias("b"))
     close = compared(stash(best.select(F.greatest("u", "b.v").alias("u"), F.least("u", "b.v").alias("v")).distinct(), "near-ends"), texts)
     first = stash(connected_components(close, "near-links"), "near-first")
-    marked = shared.select("s", "u", "n", "i").join(first.withColumnRenamed("node", "u"), "u", "left").withColumn("c", F.coalesce("component", "u")).drop("component")
-    split = marked.groupBy("s").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("s")
+    marked = shared.select("s", "u", "n", "i", "c").join(first.withColumnRenamed("node", "u"), "u", "left").withColumn("g", F.coalesce("component", "u")).drop("component")
+    split = marked.groupBy("s").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("s")
     left = stash(marked.join(split, "s", "left_semi"), "near-left")
     drop_stash(shared)
     a, b = left.alias("a"), left.alias("b")
-    rest = a.join(b, F.expr(f"a.s = b.s AND a.u > b.u AND a.c <> b.c AND {within('a.', 'b.')}")).select(F.col("a.u").alias("u"), F.col("b.u").alias("v")).distinct()
+    rest = a.join(b, F.expr(f"a.s = b.s AND a.u > b.u AND a.g <> b.g AND {within('a.', 'b.')}")).select(F.col("a.u").alias("u"), F.col("b.u").alias("v")).distinct()
     rest = stash(rest, "near-rest")
     drop_stash(left)
     return close.union(compared(rest, texts))

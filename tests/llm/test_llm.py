@@ -479,6 +479,34 @@ def test_near_groups_are_those_of_all_pairs(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == want
 
 
+def test_near_copies_of_the_given_table(spark):
+    """Every pair of Jaccard 0.8 or more among whole texts of the table, by counting shared shingles: recall 1 in each band."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    least, has = {}, defaultdict(list)
+    for r in docs.collect():
+        least[r["text"] or ""] = min(r["doc_id"], least.get(r["text"] or "", 1 << 60))
+    texts = list(least)
+    sets = [simhash.shingle_set(t.encode()).tolist() for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, own in enumerate(sets):
+        for j, k in Counter(j for x in own for j in has[x]).items():
+            if 5 * k >= 4 * (len(own) + len(sets[j]) - k):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        for x in own:
+            has[x].append(i)
+    first = {}
+    for i, t in enumerate(texts):
+        first[find(i)] = min(least[t], first.get(find(i), 1 << 60))
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).select("doc_id").collect()) == sorted(first.values())
+
+
 # ---- archives
 
 
