@@ -1,8 +1,9 @@
 """Language-model scoring by cross-entropy difference (Moore and Lewis, 2010).
 
 Two word-bigram models with the same vocabulary, order and smoothing: the target from documents labelled good and not toxic,
-the background from all documents.  Tokens are words with A-Z lower-cased.  The shared vocabulary holds the VOCABULARY most
-frequent words of all documents (ties by hash), a class for all other words, and a mark of the start.
+the background from all documents.  Tokens are words with A-Z lower-cased.  The shared vocabulary holds the most frequent words of all
+documents, whole classes of frequency (16 to a doubling) as long as they are VOCABULARY words at most, a class for all other
+words, and a mark of the start.
 
     p1(w) = (n(w) + 1) / (n + V + 1);   p2(w|v) = (n(vw) + m p1(w)) / (n(v.) + m)
 
@@ -69,6 +70,10 @@ def word_counts(docs: DataFrame, text: str, flag: str, most: int) -> DataFrame:
     return each.groupBy("w").agg(*(F.sum(c).alias(c) for c in ("n", "t", "cn", "ct")))
 
 
+def frequency_class(n):
+    return F.floor(F.log2(n.cast("double")) * 16).cast("int")
+
+
 class Vocabulary:
     """Sorted hashes of the words, and their counts, the other words' after them; log probabilities of words."""
 
@@ -199,7 +204,13 @@ def score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
         words = stash(word_counts(flagged, text, flag, slice_bytes), "lm-words")
         names = ("n", "t", "cn", "ct")
         sums = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first().asDict()
-        most = words.orderBy(F.desc("n"), "w").limit(vocabulary).toPandas()  # VOCABULARY rows at most
+        level = words.withColumn("level", frequency_class(F.col("n")))
+        kept, least = 0, None
+        for r in level.groupBy("level").count().orderBy(F.desc("level")).collect():  # 16 x 64 rows at most
+            if kept + r["count"] > vocabulary:
+                break
+            kept, least = kept + r["count"], r["level"]
+        most = level.where(F.lit(False) if least is None else F.col("level") >= least).toPandas()  # VOCABULARY rows at most
         starts = tuple(sums[a] - sums[b] for a, b in (("n", "cn"), ("t", "ct")))  # each text with words has one last word
         model = spark.sparkContext.broadcast(Vocabulary(most["w"].to_numpy(np.int64).view(np.uint64), {k: most[k].to_numpy(np.int64) for k in names}, sums, starts))
         bits = max(4, (-(-sums["n"] // ENTRIES) - 1).bit_length())

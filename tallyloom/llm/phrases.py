@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import Texts, distinct_texts, drop_stash, scratch, slices, small, stash, table
 from .windows import anchor_rows, compared_windows, finished, run_groups
 
-WINDOW, GRAM = 35, 16
+WINDOW, GRAM = 35, 8
 #: Words of passages in an automaton before they are merged, places of an anchor in a shard, and the least number of shards.
 SHARD, HOT, SHARDS = 1 << 20, 20_000, 16
 
@@ -42,20 +42,26 @@ def cut_parts(listed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 20):
-            out: list[list] = []
-            for i, (text, own) in enumerate(zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("parts").to_pylist(), strict=True)):
-                words, last = (text or b"").split(), None
-                for r in sorted(own, key=lambda r: (r["tag"] or "", r["i1"])) if any(r["tag"] for r in own) else own:
-                    a, b, like = r["i1"], r["i2"], (r["fp"], r["tag"])
-                    if r["tag"] and last is not None and last[0] == like and a == last[2] - (b - a) + 1:
-                        last[2] = b
-                        continue
-                    last = [like, a, b]
-                    out.append([i, r["kind"], r["fp"], r["copies"], words, last])
-            at, kind, fp, copies, words, spans = zip(*out, strict=True) if out else ((),) * 6
-            part = [b" ".join(w[a:b]) for w, (_, a, b) in zip(words, spans, strict=True)]
-            row = pa.array(at, pa.int64())
-            own = [pa.array(kind, pa.int32()), pa.array(fp, pa.int64()), pa.array(copies, pa.int32()), *(batch.column(k).take(row) for k in ("k1", "k2", "m")), pa.array([s[1] for s in spans], pa.int32()), pa.array(part, pa.binary())]
+            col = batch.column("parts")
+            ends, field = col.offsets.to_numpy(), lambda n: col.values.field(n).to_numpy(zero_copy_only=False)  # noqa: B023
+            kind, i1, i2, fp, copies, tag = map(field, ("kind", "i1", "i2", "fp", "copies", "tag"))
+            held, part = [], []
+            for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+                words = (text or b"").split()
+                data, place = b" ".join(words), np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)))
+                at = np.arange(ends[i], ends[i + 1])
+                at = at[np.lexsort((i1[at], fp[at], tag[at]))]
+                first = np.ones(len(at), bool)
+                same = (tag[at[1:]] != 0) & (tag[at[1:]] == tag[at[:-1]]) & (fp[at[1:]] == fp[at[:-1]]) & (i1[at[1:]] == i1[at[:-1]] + 1)
+                first[1:] = ~same
+                begin = np.flatnonzero(first)
+                last = np.append(begin[1:], len(at)) - 1
+                a, b = i1[at[begin]], i2[at[last]]
+                part += [data[x:y] for x, y in zip(place[a].tolist(), (place[b] - 1).tolist(), strict=True)]
+                held.append((np.full(len(begin), i), at[begin]))
+            row, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            row = pa.array(row)
+            own = [pa.array(kind[at]), pa.array(fp[at]), pa.array(copies[at]), *(batch.column(k).take(row) for k in ("k1", "k2", "m")), pa.array(i1[at]), pa.array(part, pa.binary())]
             yield pa.RecordBatch.from_arrays(own, names=["kind", "fp", "copies", "k1", "k2", "m", "i1", "part"])
 
     return listed.select("k1", "k2", "m", "text", "parts").mapInArrow(run, "kind int, fp long, copies int, k1 long, k2 long, m long, i1 int, part binary")
@@ -64,12 +70,12 @@ def cut_parts(listed: DataFrame) -> DataFrame:
 def places_of(texts: Texts, found: DataFrame, window: int) -> DataFrame:
     """(kind, k1, k2, i1, i2, fp, copies, tag): where to cut passages that seem to recur (0), and all parts to search (1)."""
     groups = stash(run_groups(found), "phrase-groups")
-    none = F.lit(None).cast("string").alias("tag")
+    none = F.lit(0).cast("long").alias("tag")
     whole = groups.where("times > 1").select(F.lit(0).alias("kind"), "r.k1", "r.k2", "r.i1", (F.col("r.i1") + F.col("n") + window).alias("i2"), "fp", "copies", none)
     windows = compared_windows(texts, groups, window, True)
-    runs = F.bit_xor(F.xxhash64("k1", "k2", "i1"))  # with their number, which runs a window stands in
+    runs = F.bit_xor(F.xxhash64("k1", "k2", "i1"))  # with their number: which runs a window stands in
     again = windows.groupBy("fp", "wh").agg(F.count(F.lit(1)).alias("c"), F.max("copies").alias("copies"), runs.alias("x"), F.min(F.struct("k1", "k2", "i")).alias("r")).where("c > 1")
-    single = again.select(F.lit(0).alias("kind"), "r.k1", "r.k2", F.col("r.i").alias("i1"), (F.col("r.i") + window).alias("i2"), "fp", "copies", F.concat_ws(" ", "fp", "c", "x").alias("tag"))
+    single = again.select(F.lit(0).alias("kind"), "r.k1", "r.k2", F.col("r.i").alias("i1"), (F.col("r.i") + window).alias("i2"), "fp", "copies", F.xxhash64("c", "x").alias("tag"))
     parts = found.select(F.lit(1).alias("kind"), "k1", "k2", "i1", (F.col("i2") + window).alias("i2"), "fp", "copies", none)
     every = whole.unionByName(single).unionByName(parts)
     return stash(every.groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "i1", "i2", "fp", "copies", "tag")).alias("parts")), "phrase-places")  # a text's own

@@ -287,14 +287,15 @@ def test_lm(docs, empty, spark, vocabulary, slice_bytes):
     """Against plain counts of words and pairs, for whole texts of any length, with and without other words and several slices."""
     from math import log
 
-    import xxhash
+    from math import floor, log2
 
     labels = spark.createDataFrame([(10, 1, 0), (10, 1, 0), (11, 0, 0), (9, 1, 1), (None, 1, 0), (999, 1, 0), (8, None, None)], "doc_id long, quality int, toxic int")
     rows = docs.collect()
     words = lambda r: (r["text"] or "").encode().lower().split()
-    signed = lambda w: (h := xxhash.xxh3_64_intdigest(w)) - (h >> 63 << 64)
     seen = Counter(w for r in rows for w in words(r))
-    known = set(sorted(seen, key=lambda w: (-seen[w], signed(w)))[:vocabulary])
+    level = {w: floor(log2(n) * 16) for w, n in seen.items()}
+    least = min((x for x in level.values() if sum(y >= x for y in level.values()) <= vocabulary), default=99)
+    known = {w for w in seen if level[w] >= least}
 
     def model(texts):
         texts = [[w if w in known else None for w in t] for t in texts]
