@@ -31,13 +31,20 @@ def without_sensitive(df: DataFrame, include: bool = False) -> DataFrame:
     return df if include else df.where(F.coalesce("type", F.lit("")) != "sensitive")
 
 
+#: Words that give a reason (anywhere in the text), and words of assent.
+REASONS = ("because", "since", "so that", "so we", "karena", "supaya", "biar", "to avoid", "reason", "why")
+ASSENT = ("ok", "okay", "yes", "yep", "sure", "go", "ahead", "do", "it", "let's", "lets", "with", "option", "please", "that", "use", "pick", "agree", "approved", "approve", "ya", "lanjut")
+
+
 def go_ahead(text: Column) -> Column:
-    """A short assent that gives no reason of its own."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}']+"), lambda w: w != "")
-    assent = ("yes", "ok", "okay", "go", "ahead", "do", "it", "please", "sure", "continue", "proceed", "fine", "good")
-    reason = ("because", "since", "but", "instead", "why")
-    rest = F.filter(words, lambda w: ~w.isin(*assent))
-    return (F.length(text) <= 60) & ~text.contains("?") & (F.size(F.filter(words, lambda w: w.isin(*reason))) == 0) & (F.size(words) > 0) & (F.size(rest) <= 2)
+    """A short assent or choice, by letter or number, that gives no reason of its own and has at most two other words."""
+    low = F.lower(F.trim(text))
+    words = F.filter(F.split(low, r"[^\p{L}\p{N}']+"), lambda w: w != "")
+    reason = F.lit(False)
+    for r in REASONS:
+        reason = reason | low.contains(r)
+    rest = F.filter(words, lambda w: ~w.isin(*ASSENT) & ~w.rlike("^[a-z0-9]$"))
+    return (F.length(low) <= 60) & ~low.contains("?") & ~reason & (F.size(words) > 0) & (F.size(rest) <= 2)
 
 
 # ---- joins

@@ -49,30 +49,9 @@ def _(s, sf):
     return S.rank_mode("hybrid", *_lists(s, sf), 5)
 
 
-@query("said_matching", f"SELECT id, length(text) AS chars FROM ev WHERE kind IN ('prompt', 'assistant') AND length(text) BETWEEN 40 AND 600 AND ts >= {T0 + 3_600_000} AND contains(lower(text), 'th') ORDER BY id LIMIT 60", "ev")
-def _(s, sf):
-    e = view(s, sf, "ev").where(F.col("kind").isin("prompt", "assistant") & F.length("text").between(40, 600) & (F.col("ts") >= T0 + 3_600_000) & F.lower("text").contains("th"))
-    return e.orderBy("id").limit(60).select("id", F.length("text").alias("chars"))
-
-
 _T = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 
-@query("rare_word_prompts", f"WITH p AS (SELECT id, {_T} AS t FROM ev WHERE kind = 'prompt'), n AS (SELECT count(*) AS n FROM p), x AS (SELECT DISTINCT id, unnest(t) AS term FROM p), d AS (SELECT term, count(*) AS df FROM x GROUP BY term) SELECT id, count(*) AS rare FROM x JOIN d USING (term), n WHERE df * 100 < n GROUP BY id", "ev")
-def _(s, sf):
-    p = view(s, sf, "ev").where("kind = 'prompt'")
-    n = p.count()
-    x = p.select("id", F.explode(F.array_distinct(R.tokens(F.col("text")))).alias("term"))
-    rare = x.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") * 100 < n)
-    return x.join(rare, "term").groupBy("id").agg(F.count(F.lit(1)).alias("rare"))
-
-
-@query("window_memories", None)
-def _(s, sf):
-    m = view(s, sf, "mem").withColumn("tier", S.weight_tier(F.col("title"), F.col("type"), F.lit("observation")))
-    return S.window_memories(m.select("id", "project", "created_at", "tier"), T0 + 20 * 3_600_000, T0 + 400 * 3_600_000)
-
-
 _TIER = "CASE WHEN (title ILIKE '%shipped%' OR title ILIKE '%released%' OR title ILIKE '%merged%' OR regexp_matches(title, 'v[0-9]\\.[0-9]')) AND NOT (title ILIKE '%not %' OR title ILIKE '%unreleased%') THEN 0 WHEN type IN ('feature', 'bugfix', 'decision') THEN 1 WHEN type IN ('change', 'refactor') THEN 3 ELSE 4 END"
 
 
@@ -84,11 +63,6 @@ def _(s, sf):
 _D = f"SELECT session_id, max(id) FILTER (WHERE kind = 'prompt') AS asked, max(id) FILTER (WHERE kind = 'assistant') AS answered, count_if(kind = 'assistant') AS did, max(ts) AS latest FROM ev WHERE session_id <> 'conv:3' AND ts > {T0 + 30_000_000} AND ts <= {T0 + 51_600_000} GROUP BY session_id"
 
 
-@query("session_delta", f"WITH g AS ({_D}) SELECT * FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN did > 0 THEN 0 ELSE 1 END, latest DESC, session_id) AS rank FROM g) WHERE rank <= 3", "ev")
-def _(s, sf):
-    return S.session_delta(view(s, sf, "ev"), "conv:3", T0 + 30_000_000, 21_600_000)
-
-
 @query("memory_detail", "SELECT m.id, m.type, string_agg(e.id::VARCHAR, ',' ORDER BY e.id) AS evidence, max(e.ts) AS stale_after FROM mem m LEFT JOIN ev e ON e.session_id = m.session_id AND e.turn < 3 WHERE m.id < 50 GROUP BY m.id, m.type", "mem", "ev")
 def _(s, sf):
     e = view(s, sf, "ev").where("turn < 3").select("session_id", F.col("id").alias("eid"), "ts")
@@ -104,24 +78,6 @@ def _(s, sf):
     return r.join(m, "memory").where("own <> session_id").select("id", "memory").distinct()
 
 
-@query("named_project", r"WITH w AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM benchmark), p AS (SELECT DISTINCT 'src' || substr(t, 1, 1) AS project, t FROM w WHERE length(t) = 9) SELECT item_id, min(project) AS project FROM w JOIN p USING (t) GROUP BY item_id HAVING count(DISTINCT project) = 1")
-def _(s, sf):
-    w = table(s, sf, "benchmark").select("item_id", F.explode(F.array_distinct(R.tokens(F.col("text")))).alias("t"))
-    p = w.where("length(t) = 9").select(F.concat(F.lit("src"), F.substring("t", 1, 1)).alias("project"), "t").distinct()
-    return w.join(p, "t").groupBy("item_id").agg(F.count_distinct("project").alias("n"), F.min("project").alias("project")).where("n = 1").drop("n")
-
-
-@query("attribution_trace", None)
-def _(s, sf):
-    d = table(s, sf, "documents").select(F.concat(F.lit("f"), F.col("doc_id") % 5).alias("path"), F.col("doc_id").alias("line"), F.when(F.col("n_chars") % 3 > 0, F.concat(F.lit("s"), F.col("n_chars") % 3)).alias("session_id"))
-    return S.trace(d)
-
-
-@query("attribution_totals", "SELECT source, count(*) AS added, count_if(n_chars % 3 > 0) AS attributed, count(DISTINCT lang) AS commits FROM documents GROUP BY source")
-def _(s, sf):
-    return table(s, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("added"), F.count_if(F.col("n_chars") % 3 > 0).alias("attributed"), F.count_distinct("lang").alias("commits"))
-
-
 @query("turn_chunks", None)
 def _(s, sf):
     e = view(s, sf, "ev").withColumn("bytes", F.octet_length("text"))
@@ -153,21 +109,14 @@ def _(s, sf):
     return S.settings_diff(a, b, "j")
 
 
-_SAY = "CASE turn % 4 WHEN 0 THEN 'Yes, go ahead' WHEN 1 THEN 'ok but not now' WHEN 2 THEN 'please do it for all files here' ELSE substr(text, 1, 40) END"
+_SAY = "CASE turn % 4 WHEN 0 THEN 'Yes, B it is' WHEN 1 THEN 'ok since it fits' WHEN 2 THEN 'please do it for all files here' ELSE substr(text, 1, 40) END"
 
 
-@query("go_ahead_prompts", f"WITH t AS (SELECT id, {_SAY} AS t FROM ev), w AS (SELECT id, t, list_filter(string_split_regex(lower(t), '[^\\p{{L}}'']+'), lambda x: x <> '') AS w FROM t) SELECT id FROM w WHERE length(t) <= 60 AND NOT contains(t, '?') AND len(w) > 0 AND len(list_filter(w, lambda x: x IN ('because', 'since', 'but', 'instead', 'why'))) = 0 AND len(list_filter(w, lambda x: x NOT IN ('yes', 'ok', 'okay', 'go', 'ahead', 'do', 'it', 'please', 'sure', 'continue', 'proceed', 'fine', 'good'))) <= 2", "ev")
+@query("go_ahead_prompts", f"WITH t AS (SELECT id, lower(trim({_SAY})) AS t FROM ev), w AS (SELECT id, t, list_filter(string_split_regex(t, '[^\\p{{L}}\\p{{N}}'']+'), lambda x: x <> '') AS w FROM t) SELECT id FROM w WHERE length(t) <= 60 AND NOT contains(t, '?') AND NOT regexp_matches(t, 'because|since|so that|so we|karena|supaya|biar|to avoid|reason|why') AND len(w) > 0 AND len(list_filter(w, lambda x: x NOT IN ('ok', 'okay', 'yes', 'yep', 'sure', 'go', 'ahead', 'do', 'it', 'let''s', 'lets', 'with', 'option', 'please', 'that', 'use', 'pick', 'agree', 'approved', 'approve', 'ya', 'lanjut') AND NOT regexp_full_match(x, '[a-z0-9]'))) <= 2", "ev")
 def _(s, sf):
     return view(s, sf, "ev").withColumn("t", F.expr(_SAY)).where(O.go_ahead(F.col("t"))).select("id")
 
 
-@query("recent_files", r"WITH p AS (SELECT page_id, page_id % 10 AS session_id, regexp_extract(url, '://([^/?#:]+)', 1) AS path FROM pages), g AS (SELECT session_id, path, max(page_id) AS latest FROM p GROUP BY session_id, path) SELECT session_id, path, latest FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY latest DESC, path) AS r FROM g) WHERE r <= 8")
-def _(s, sf):
-    p = table(s, sf, "pages").select("page_id", (F.col("page_id") % 10).alias("session_id"), F.regexp_extract("url", "://([^/?#:]+)", 1).alias("path"))
-    g = p.groupBy("session_id", "path").agg(F.max("page_id").alias("latest"))
-    return O.top_per_key(g, ["session_id"], 8, F.col("latest").desc(), "path").select("session_id", "path", "latest")
-
-
 @query("random_access", "SELECT conv_id, turn, length(text) AS chars FROM conversations JOIN (SELECT DISTINCT doc_id % 50 AS conv_id, doc_id % 4 AS turn FROM documents) USING (conv_id, turn)")
 def _(s, sf):
     want = table(s, sf, "documents").select((F.col("doc_id") % 50).alias("conv_id"), (F.col("doc_id") % 4).alias("turn")).distinct()

@@ -51,4 +51,6 @@ def sql(body: str, *names: str) -> str:
     if not names:
         return body
     own = ", ".join(f"{n} AS ({_DUCK[n]})" for n in names)
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {own}, {body[15:]}"
     return f"WITH {own}, {body[5:]}" if body.startswith("WITH ") else f"WITH {own} {body}"
