@@ -65,3 +65,104 @@ def bootstrap_auc(scores: DataFrame, group: str, a: str, b: str, positive: str,
 
     d = one(a).join(one(b), "round").withColumn("d", F.col(f"auc_{a}") - F.col(f"auc_{b}")).where("d IS NOT NULL")
     return d.agg(F.round(F.percentile("d", F.lit(0.025)), 4).alias("low"), F.round(F.percentile("d", F.lit(0.975)), 4).alias("high"), F.round(F.avg((F.col("d") > 0).cast("double")), 4).alias("share"))
+
+
+def percentile_by_counts(df: DataFrame, keys: list[str], value: str, p: float, rule: str, name: str = "value") -> DataFrame:
+    """(keys, name, n): an element of each group's sorted values; see the rules below.  Values are counted first, and no group is held
+    as a list: rounded (half away from zero) or floor of (n - 1) p, nearest rank of n p, or half (n // 2)."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    n = counts.groupBy(*keys).agg(F.sum("_c").alias("n"))
+    rows = counts.join(n, keys).withColumn("_to", F.sum("_c").over(W.partitionBy(*keys).orderBy(value)))
+    at = {"rounded": F.round((F.col("n") - 1) * p), "floor": F.floor((F.col("n") - 1) * p), "nearest": F.least(F.greatest(F.ceil(F.col("n") * p), F.lit(1)), F.col("n")) - 1, "half": F.floor(F.col("n") / 2)}[rule]
+    return rows.where(F.col("_to") > at).groupBy(*keys, "n").agg(F.min(value).alias(name))
+
+
+def recall_report(cases: DataFrame, ranked: DataFrame) -> DataFrame:
+    """One row from cases (q, targets: ids, empty where nothing should come) and ranked (q, id, rank): cases, hit1, hit5, mrr, precision5
+    over cases with results, silent, negatives, false_alarms."""
+    hits = ranked.join(cases.select("q", "targets"), "q").withColumn("hit", F.array_contains("targets", F.col("id")))
+    g = hits.groupBy("q").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"), F.avg(F.when(F.col("rank") <= 5, F.col("hit").cast("double"))).alias("precision"), F.count(F.lit(1)).alias("n"))
+    r = cases.join(g, "q", "left").withColumn("positive", F.size("targets") > 0)
+    yes = lambda c: F.when(F.col("positive"), c)
+    share = lambda c: F.round(F.coalesce(F.avg(yes(c)), F.lit(0.0)), 6)
+    first = F.coalesce("first", F.lit(1 << 30))
+    return r.agg(
+        F.count_if("positive").alias("cases"), F.count_if(F.col("positive") & (first <= 1)).alias("hit1"), F.count_if(F.col("positive") & (first <= 5)).alias("hit5"), share(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"),
+        share(F.col("precision")).alias("precision5"), F.count_if(F.col("positive") & F.col("n").isNull()).alias("silent"), F.count_if(~F.col("positive")).alias("negatives"), F.count_if(~F.col("positive") & F.col("n").isNotNull()).alias("false_alarms"),
+    )
+
+
+def judged_report(ranked: DataFrame, judgments: DataFrame, other: DataFrame, first: int = 5) -> DataFrame:
+    """One row from ranked (q, id, rank), judgments (q, id, relevant) and another ranking: shown, right, prompts with a right one, shown
+    ones without a judgment, and those that the other ranking shows, too."""
+    top = ranked.where(F.col("rank") <= first)
+    j = top.join(judgments, ["q", "id"], "left").join(other.where(F.col("rank") <= first).select("q", "id", F.lit(True).alias("_o")), ["q", "id"], "left")
+    return j.agg(F.count(F.lit(1)).alias("shown"), F.count_if("relevant").alias("right"), F.count_distinct(F.when(F.col("relevant"), F.col("q"))).alias("helped"), F.count_if(F.col("relevant").isNull()).alias("unjudged"), F.count_if(F.coalesce("_o", F.lit(False))).alias("overlap"))
+
+
+def target_cosines(near: DataFrame, targets: DataFrame, pool: int = 500) -> DataFrame:
+    """(q, target, wrong): cosine of each question's own memory (targets: q, id) and of the best other one, both among the first `pool`."""
+    rows = near.where(F.col("rank") <= pool).join(targets.select("q", F.col("id").alias("_t")), "q")
+    return rows.groupBy("q").agg(F.max(F.when(F.col("id") == F.col("_t"), F.col("cosine"))).alias("target"), F.max(F.when(F.col("id") != F.col("_t"), F.col("cosine"))).alias("wrong"))
+
+
+def majority(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, passed, pass, points, worst, ms) of repeated runs (keys, run, pass, points, ms): passed if most did; points and run of the
+    worst one (failed before passed, then fewest points); the middle time."""
+    g = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("pass").alias("passed"), F.min(F.struct("pass", "points", "run")).alias("w"))
+    ms = percentile_by_counts(runs, keys, "ms", 0.5, "half", "ms").drop("n")
+    return g.join(ms, keys, "left").select(*keys, "n", "passed", (F.col("passed") * 2 > F.col("n")).alias("pass"), F.col("w.points").alias("points"), F.col("w.run").alias("worst"), "ms")
+
+
+def class_report(cases: DataFrame, without_answer: tuple[str, ...] = ("neg", "control")) -> DataFrame:
+    """(part, class, total, passed) of cases (class, pass): by class, and all that have an answer against all that have none."""
+    one = lambda part, by: cases.groupBy(by.alias("class")).agg(F.count(F.lit(1)).alias("total"), F.count_if("pass").alias("passed")).select(F.lit(part).alias("part"), "class", "total", "passed")
+    return one("class", F.col("class")).unionByName(one("kind", F.when(F.col("class").isin(*without_answer), "neg").otherwise("answerable")))
+
+
+#: Rules of a release: (metric, how, slack).  drop: at most so much below the baseline; rise: at most so much above; least and most:
+#: fixed limits, whatever the baseline has.
+RULES: tuple[tuple[str, str, float], ...] = (
+    ("cases", "least", 1), ("hit1", "drop", 0.026), ("hit5", "drop", 0.026), ("mrr", "drop", 0.02), ("precision5", "drop", 0.03), ("silent", "rise", 2), ("false_alarms", "rise", 1), ("vague_hit5", "drop", 0.05),
+    ("vague_silent", "rise", 2), ("real_right", "drop", 3), ("real_helped", "drop", 3), ("real_shown", "rise", 30), ("real_unjudged", "most", 25), ("recent_hit5", "drop", 0.05), ("files_right", "drop", 3),
+    ("files_shown", "rise", 20), ("search_hit1", "drop", 0.026), ("search_hit5", "drop", 0.026), ("search_mrr", "drop", 0.02), ("leaks", "most", 0), ("before_leaks", "most", 0), ("p50_ms", "rise", 20), ("p95_ms", "most", 300),
+    ("hook_failures", "most", 0), ("history_passed", "drop", 1),
+)
+
+
+def gate(baseline: DataFrame, candidate: DataFrame, rules: tuple[tuple[str, str, float], ...] = RULES) -> DataFrame:
+    """(metric, baseline, candidate, limit, pass) of two tables (metric, value); a metric that the candidate lacks fails, one that the
+    baseline lacks is held to fixed limits only."""
+    r = baseline.sparkSession.createDataFrame([(m, h, float(x)) for m, h, x in rules], "metric string, how string, slack double")
+    j = r.join(baseline.select("metric", F.col("value").alias("b")), "metric", "left").join(candidate.select("metric", F.col("value").alias("c")), "metric", "left")
+    limit = F.when(F.col("how") == "drop", F.col("b") - F.col("slack")).when(F.col("how") == "rise", F.col("b") + F.col("slack")).otherwise(F.col("slack"))
+    good = F.when(F.col("how").isin("drop", "least"), F.col("c") >= limit - 1e-9).otherwise(F.col("c") <= limit + 1e-9)
+    return j.select("metric", F.round("b", 6).alias("baseline"), F.round("c", 6).alias("candidate"), F.round(limit, 6).alias("limit"), F.when(F.col("c").isNull(), False).when(limit.isNull(), True).otherwise(good).alias("pass"))
+
+
+def as_metrics(row: DataFrame, prefix: str = "") -> DataFrame:
+    """(metric, value) of a table of one row."""
+    return row.select(F.explode(F.array(*(F.struct(F.lit(prefix + c).alias("metric"), F.col(c).cast("double").alias("value")) for c in row.columns))).alias("x")).select("x.*")
+
+
+def history_pass(cases: DataFrame, answers: DataFrame) -> DataFrame:
+    """(case, class, points, pass) of answers (case, text, abstained) to cases (case, class, expect, must_not, abstain): a case that has no
+    answer passes if the reply abstains; others if all expected words come, none that must not, and the reply doesn't abstain."""
+    a = cases.join(answers, "case", "left").withColumn("t", F.lower(F.coalesce("text", F.lit(""))))
+    found = F.size(F.filter("expect", lambda w: F.contains(F.col("t"), F.lower(w))))
+    bad = F.size(F.filter("must_not", lambda w: F.contains(F.col("t"), F.lower(w))))
+    quiet = F.coalesce("abstained", F.lit(True))
+    return a.select("case", "class", found.alias("points"), F.when(F.col("abstain"), quiet).otherwise(~quiet & (found == F.size("expect")) & (bad == 0)).alias("pass"))
+
+
+def arms(cases: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(arm, cases, opened, top5) of a trial: ranks (case, arm, rank: of the target, opened)."""
+    r = cases.select("case").join(ranks, "case")
+    return r.groupBy("arm").agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.coalesce("opened", F.lit(False))).alias("opened"), F.count_if(F.coalesce(F.col("rank") <= 5, F.lit(False))).alias("top5"))
+
+
+def alerts(facts: DataFrame, limits: dict[str, tuple[str, float, str]]) -> DataFrame:
+    """(alert, value, severity) of facts (fact, value) beyond their limits (fact -> over or under, limit, severity); a missing fact is one, too."""
+    l = facts.sparkSession.createDataFrame([(k, *v) for k, v in limits.items()], "fact string, how string, bound double, severity string")
+    j = l.join(facts, "fact", "left")
+    return j.where(F.col("value").isNull() | F.when(F.col("how") == "over", F.col("value") > F.col("bound")).otherwise(F.col("value") < F.col("bound"))).select(F.col("fact").alias("alert"), "value", F.when(F.col("value").isNull(), "missing").otherwise(F.col("severity")).alias("severity"))

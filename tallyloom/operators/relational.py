@@ -84,13 +84,6 @@ def last_by(df: DataFrame, keys: list[str], order: str, **values: str) -> DataFr
     return df.groupBy(*keys).agg(*(F.max_by(v, order).alias(k) for k, v in values.items()))
 
 
-def percentile_index(values: Column, p: float, rule: str) -> Column:
-    """An element of the sorted values: rule rounded (half away from zero) or floor of (n - 1) p, or nearest rank of n p."""
-    s, n = F.sort_array(F.collect_list(values)), F.count(values)
-    at = {"rounded": F.round((n - 1) * p), "floor": F.floor((n - 1) * p), "nearest": F.least(F.greatest(F.ceil(n * p), F.lit(1)), n) - 1}[rule]
-    return F.get(s, at.cast("int"))
-
-
 # ---- ordered operators
 
 
@@ -206,16 +199,6 @@ def forget(df: DataFrame, tombstones: DataFrame, kind: str, key: str) -> DataFra
     return df.join(dead, F.col(key).cast("string") == F.col("_dead"), "left_anti")
 
 
-def merge_foreign(mine: DataFrame, theirs: DataFrame, key: str, project: str, prefix: str) -> DataFrame:
-    """Add-only merge: rows I have stay; theirs get new ids above mine, and projects that both have are renamed."""
-    top = mine.agg(F.max(key)).first()[0] or 0
-    shared = mine.select(project).distinct().join(theirs.select(project).distinct(), project).select(F.col(project).alias("_p"))
-    new = theirs.join(mine.select(key), key, "left_anti").join(F.broadcast(shared), F.col(project) == F.col("_p"), "left")
-    named = new.withColumn(project, F.when(F.col("_p").isNotNull(), F.concat(F.lit(prefix + "/"), F.col(project))).otherwise(F.col(project))).drop("_p")
-    numbered = named.withColumn("old_id", F.col(key)).withColumn(key, F.lit(top) + F.row_number().over(W.orderBy(key)))
-    return mine.withColumn("old_id", F.lit(None).cast(mine.schema[key].dataType)).unionByName(numbered)
-
-
 def export_lines(**tables: DataFrame) -> DataFrame:
     """One JSON object per row, tagged with its record kind."""
     out = None

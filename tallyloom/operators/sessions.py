@@ -103,15 +103,6 @@ def window_memories(memories: DataFrame, start: int, end: int, total: int = 120,
     return kept.withColumn("full", F.row_number().over(W.orderBy("tier", F.col("created_at").desc(), "id")) <= whole)  # `total` rows
 
 
-def session_delta(events: DataFrame, me: str, since: int, span: int, sessions: int = 3) -> DataFrame:
-    """What other sessions of the project did lately: last prompt and answer, edited files; productive ones first, then the latest."""
-    rows = events.where((F.col("session_id") != me) & (F.col("ts") > since) & (F.col("ts") <= since + span))
-    of = lambda k, v: F.max_by(F.when(F.col("kind") == k, F.col(v)), F.when(F.col("kind") == k, F.col("id")))
-    g = rows.groupBy("session_id").agg(of("prompt", "id").alias("asked"), of("assistant", "id").alias("answered"), F.count_if(F.col("kind") == "assistant").alias("did"), F.max("ts").alias("latest"))
-    order = W.orderBy((F.col("did") > 0).desc(), F.col("latest").desc(), "session_id")
-    return g.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sessions)
-
-
 def trace(lines: DataFrame) -> DataFrame:
     """(path, trace): JSON of the line ranges each session wrote, from (path, line, session_id); unattributed lines are null."""
     named = lines.where("session_id IS NOT NULL")
@@ -140,21 +131,6 @@ def snippet(text: Column, terms: list[str], width: int = 16) -> Column:
     return F.array_join(F.transform(cut, lambda w: F.when(hit(w), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w)), " ")
 
 
-def flatten_settings(df: DataFrame, json: str) -> DataFrame:
-    """(path, value): a JSON object's leaves by dotted path, two levels deep."""
-    top = df.select(F.explode(F.from_json(json, "map<string,string>")).alias("k", "v"))
-    deep = F.from_json("v", "map<string,string>")
-    nested = top.withColumn("m", F.when(F.col("v").startswith("{"), deep))
-    plain = nested.where("m IS NULL").select(F.col("k").alias("path"), F.col("v").alias("value"))
-    return plain.unionByName(nested.where("m IS NOT NULL").select("k", F.explode("m").alias("k2", "value")).select(F.concat_ws(".", "k", "k2").alias("path"), "value"))
-
-
-def settings_diff(a: DataFrame, b: DataFrame, json: str) -> DataFrame:
-    x = flatten_settings(a, json).withColumnRenamed("value", "a")
-    y = flatten_settings(b, json).withColumnRenamed("value", "b")
-    return x.join(y, "path", "full").where(~F.col("a").eqNullSafe(F.col("b")))
-
-
 def write_snapshot(tables: dict[str, DataFrame], folder: str) -> DataFrame:
     """Writes the tables and their manifest; a reader trusts the folder only with its manifest, which comes last."""
     for name, df in tables.items():

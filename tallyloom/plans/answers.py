@@ -49,9 +49,6 @@ def _(s, sf):
     return S.rank_mode("hybrid", *_lists(s, sf), 5)
 
 
-_T = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
-
-
 _TIER = "CASE WHEN (title ILIKE '%shipped%' OR title ILIKE '%released%' OR title ILIKE '%merged%' OR regexp_matches(title, 'v[0-9]\\.[0-9]')) AND NOT (title ILIKE '%not %' OR title ILIKE '%unreleased%') THEN 0 WHEN type IN ('feature', 'bugfix', 'decision') THEN 1 WHEN type IN ('change', 'refactor') THEN 3 ELSE 4 END"
 
 
@@ -60,13 +57,10 @@ def _(s, sf):
     return view(s, sf, "mem").select(S.weight_tier(F.col("title"), F.col("type"), F.lit("observation")).alias("tier")).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
 
 
-_D = f"SELECT session_id, max(id) FILTER (WHERE kind = 'prompt') AS asked, max(id) FILTER (WHERE kind = 'assistant') AS answered, count_if(kind = 'assistant') AS did, max(ts) AS latest FROM ev WHERE session_id <> 'conv:3' AND ts > {T0 + 30_000_000} AND ts <= {T0 + 51_600_000} GROUP BY session_id"
-
-
-@query("memory_detail", "SELECT m.id, m.type, string_agg(e.id::VARCHAR, ',' ORDER BY e.id) AS evidence, max(e.ts) AS stale_after FROM mem m LEFT JOIN ev e ON e.session_id = m.session_id AND e.turn < 3 WHERE m.id < 50 GROUP BY m.id, m.type", "mem", "ev")
+@query("memory_detail", "SELECT m.id, m.type, string_agg(e.id::VARCHAR, ',' ORDER BY e.id) AS evidence, max(e.ts) AS stale_after FROM mem m LEFT JOIN ev e ON e.session_id = m.session_id AND e.turn < 3 GROUP BY m.id, m.type", "mem", "ev")
 def _(s, sf):
     e = view(s, sf, "ev").where("turn < 3").select("session_id", F.col("id").alias("eid"), "ts")
-    g = view(s, sf, "mem").where("id < 50").join(e, "session_id", "left").groupBy("id", "type").agg(F.array_sort(F.collect_list("eid")).alias("ids"), F.max("ts").alias("stale_after"))
+    g = view(s, sf, "mem").join(e, "session_id", "left").groupBy("id", "type").agg(F.array_sort(F.collect_list("eid")).alias("ids"), F.max("ts").alias("stale_after"))
     return g.select("id", "type", F.when(F.size("ids") > 0, F.array_join(F.col("ids").cast("array<string>"), ",")).alias("evidence"), "stale_after")
 
 
@@ -102,13 +96,6 @@ def _(s, sf):
     return e.select("id", S.snippet(F.col("text"), ["the", "of"]).alias("snippet"))
 
 
-@query("settings_diff", "SELECT * FROM (VALUES ('b.c', '2', '3'), ('d', NULL, 'x')) AS t(path, a, b)")
-def _(s, sf):
-    a = s.createDataFrame([('{"a": 1, "b": {"c": 2, "e": 5}}',)], "j string")
-    b = s.createDataFrame([('{"a": 1, "b": {"c": 3, "e": 5}, "d": "x"}',)], "j string")
-    return S.settings_diff(a, b, "j")
-
-
 _SAY = "CASE turn % 4 WHEN 0 THEN 'Yes, B it is' WHEN 1 THEN 'ok since it fits' WHEN 2 THEN 'please do it for all files here' ELSE substr(text, 1, 40) END"
 
 

@@ -55,12 +55,6 @@ def _(s, sf):
     return k.join(m, "m", "left").join(e, "e", "left").select("key", F.coalesce("a", "b", F.lit("unknown")).alias("found"))
 
 
-@query("undistilled_sessions", "SELECT DISTINCT session_id FROM ev e WHERE turn > 3 AND NOT EXISTS (SELECT 1 FROM ev x WHERE x.session_id = e.session_id AND x.kind = 'compaction')", "ev")
-def _(s, sf):
-    e = view(s, sf, "ev")
-    return e.where("turn > 3").select("session_id").distinct().join(e.where("kind = 'compaction'").select("session_id"), "session_id", "left_anti")
-
-
 @query("summary_fields", "SELECT doc_id, regexp_extract(text, '(?m)^([^:\\n]{1,40}): (.*)$', 1) AS label, length(regexp_extract(text, '(?m)^([^:\\n]{1,40}): (.*)$', 2)) AS chars FROM documents WHERE regexp_matches(text, '(?m)^([^:\\n]{1,40}): (.*)$')")
 def _(s, sf):
     p = r"(?m)^([^:\n]{1,40}): (.*)$"
@@ -119,10 +113,10 @@ def _(s, sf):
     return R.as_of(e.where("kind = 'assistant'").select("session_id", "id"), p, "session_id", "id", "pid", "prompt_id").select("id", "prompt_id")
 
 
-@query("as_of_count", "SELECT o_orderkey, (SELECT count(*) FROM orders x WHERE x.o_custkey = o.o_custkey AND x.o_orderdate < o.o_orderdate) AS earlier FROM orders o WHERE o_orderkey % 5 = 0")
+@query("as_of_count", "SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) - 1 AS earlier FROM orders")
 def _(s, sf):
     o = table(s, sf, "orders").select("o_custkey", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_orderdate)").alias("at"), "o_orderkey")
-    return R.count_before(o.where("o_orderkey % 5 = 0"), o, "o_custkey", "at", "earlier").select("o_orderkey", "earlier")
+    return R.count_before(o, o, "o_custkey", "at", "earlier").select("o_orderkey", "earlier")
 
 
 @query("range_join_evidence", "SELECT m.id, count(*) AS events FROM (SELECT id, session_id, id % 4 AS a, id % 4 + 3 AS b FROM mem) m JOIN ev e ON e.session_id = m.session_id AND e.turn BETWEEN m.a AND m.b GROUP BY m.id", "mem", "ev")
@@ -148,20 +142,6 @@ def _(s, sf):
     return e.join(seen, "session_id", "left").where(F.col("turn") > F.greatest(F.lit(2), F.coalesce("through", F.lit(0)))).select("id")
 
 
-@query("line_attribution", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents), t AS (SELECT DISTINCT doc_id, trim(raw) AS line FROM l WHERE length(trim(raw)) >= 12) SELECT a.doc_id AS added, count(*) AS lines, max(w.doc_id) AS latest FROM t a JOIN t w ON a.line = w.line AND w.doc_id BETWEEN a.doc_id - 300 AND a.doc_id - 1 GROUP BY a.doc_id")
-def _(s, sf):
-    lines = table(s, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("raw")).select("doc_id", F.trim("raw").alias("line")).where("length(line) >= 12").distinct()
-    w = lines.select(F.col("doc_id").alias("wrote"), "line")
-    return lines.join(w, "line").where("wrote BETWEEN doc_id - 300 AND doc_id - 1").groupBy(F.col("doc_id").alias("added")).agg(F.count(F.lit(1)).alias("lines"), F.max("wrote").alias("latest"))
-
-
-@query("path_placement", r"WITH p AS (SELECT page_id, regexp_extract(url, '://[^/]+(/[^?#]*)', 1) AS path FROM pages), b AS (SELECT page_id, string_split(path, '/')[-1] AS name FROM p WHERE path <> ''), c AS (SELECT name, count(*) AS n, min(page_id) AS page_id FROM b GROUP BY name) SELECT page_id, name FROM c WHERE n = 1")
-def _(s, sf):
-    p = table(s, sf, "pages").select("page_id", F.regexp_extract("url", r"://[^/]+(/[^?#]*)", 1).alias("path")).where("path <> ''")
-    b = p.withColumn("name", X.base_name(F.col("path")))
-    return b.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("page_id")).where("n = 1").select("page_id", "name")
-
-
 # ---- aggregates
 
 
@@ -186,11 +166,6 @@ def _(s, sf):
     return view(s, sf, "ev").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("lost_bytes", "SELECT count(*) AS files, count_if(n_chars > 3000) AS large, sum(greatest(n_chars - 1000, 0))::BIGINT AS lost FROM documents WHERE doc_id % 10 = 3")
-def _(s, sf):
-    return table(s, sf, "documents").where("doc_id % 10 = 3").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("n_chars") > 3000).alias("large"), F.sum(F.greatest(F.col("n_chars") - 1000, F.lit(0))).alias("lost"))
-
-
 @query("topic_elsewhere", "SELECT project, count(*) AS n FROM mem WHERE contains(lower(text), 'tion') GROUP BY project HAVING count(*) >= 3 ORDER BY n DESC, project LIMIT 5", "mem")
 def _(s, sf):
     return view(s, sf, "mem").where(F.lower("text").contains("tion")).groupBy("project").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").orderBy(F.col("n").desc(), "project").limit(5)
@@ -214,16 +189,6 @@ def _(s, sf):
     return g.select("session_id", F.substring("asked", 1, 600).alias("asked"), F.length("answer").alias("answered"), F.when(F.size("ids") > 0, F.aggregate("ids", F.lit(0).cast("long"), lambda x, y: x + y)).alias("first_ids"))
 
 
-@query("latency_nearest_rank", "SELECT what, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95 FROM logs GROUP BY what", "logs")
-def _(s, sf):
-    return view(s, sf, "logs").groupBy("what").agg(R.percentile_index(F.col("ms"), 0.5, "nearest").alias("p50"), R.percentile_index(F.col("ms"), 0.95, "nearest").alias("p95"))
-
-
-@query("latency_rounded_index", "SELECT what, list_sort(list(ms))[round((count(*) - 1) * 0.95)::INTEGER + 1] AS p95, list_sort(list(ms))[floor((count(*) - 1) * 0.95)::INTEGER + 1] AS p95_floor FROM logs GROUP BY what", "logs")
-def _(s, sf):
-    return view(s, sf, "logs").groupBy("what").agg(R.percentile_index(F.col("ms"), 0.95, "rounded").alias("p95"), R.percentile_index(F.col("ms"), 0.95, "floor").alias("p95_floor"))
-
-
 _AT = T0 + 20 * 86_400_000
 
 
@@ -415,19 +380,6 @@ def _(s, sf):
     return R.forget(R.forget(m, dead, "memory", "id"), dead, "project", "project").select("id")
 
 
-@query("merge_foreign", "WITH mine AS (SELECT id, project FROM mem WHERE id % 2 = 0), theirs AS (SELECT id, project FROM mem WHERE id % 3 = 0), top AS (SELECT max(id) AS t FROM mine), shared AS (SELECT project FROM mine INTERSECT SELECT project FROM theirs), new AS (SELECT * FROM theirs WHERE id NOT IN (SELECT id FROM mine)) SELECT id, project, NULL::BIGINT AS old_id FROM mine UNION ALL SELECT t + row_number() OVER (ORDER BY id), CASE WHEN project IN (SELECT project FROM shared) THEN 'peer/' || project ELSE project END, id FROM new, top", "mem")
-def _(s, sf):
-    m = view(s, sf, "mem").select("id", "project")
-    return R.merge_foreign(m.where("id % 2 = 0"), m.where("id % 3 = 0"), "id", "project", "peer").select("id", "project", "old_id")
-
-
-@query("pins", "SELECT id, project, row_number() OVER (ORDER BY CASE WHEN project = '*' THEN 1 ELSE 0 END, created_at DESC, id) AS rank FROM (SELECT id, CASE WHEN id % 4 = 0 THEN '*' ELSE project END AS project, created_at FROM mem WHERE id % 50 = 0) ORDER BY rank LIMIT 20", "mem")
-def _(s, sf):
-    m = view(s, sf, "mem").where("id % 50 = 0").select("id", F.when(F.col("id") % 4 == 0, "*").otherwise(F.col("project")).alias("project"), "created_at")
-    top = m.orderBy(F.when(F.col("project") == "*", 1).otherwise(0), F.col("created_at").desc(), "id").limit(20)
-    return top.withColumn("rank", F.row_number().over(W.orderBy(F.when(F.col("project") == "*", 1).otherwise(0), F.col("created_at").desc(), "id"))).select("id", "project", "rank")
-
-
 @query("export_lines", "SELECT 'region' AS record, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation")
 def _(s, sf):
     lines = R.export_lines(region=table(s, sf, "region"), nation=table(s, sf, "nation"))

@@ -1,5 +1,5 @@
 """All queries of the library: name -> (function of (spark, sf_dir), DuckDB SQL or None)."""
 
-from . import answers, asking, ingest, quality, recalling, record, scalars, search
+from . import answers, asking, ingest, keeping, quality, recalling, record, scalars, search
 
-QUERIES = {**search.QUERIES, **record.QUERIES, **quality.QUERIES, **answers.QUERIES, **scalars.QUERIES, **ingest.QUERIES, **recalling.QUERIES, **asking.QUERIES}
+QUERIES = {**search.QUERIES, **record.QUERIES, **quality.QUERIES, **answers.QUERIES, **scalars.QUERIES, **ingest.QUERIES, **recalling.QUERIES, **asking.QUERIES, **keeping.QUERIES}

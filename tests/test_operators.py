@@ -30,6 +30,8 @@ def as_dict(df):
 
 def test_bm25_matches_sqlite(spark):
     assert as_dict(R.any_word(scores(spark, ["quick", "fox"]))) == fts("quick OR fox")
+    weighted = R.top_scores(spark.createDataFrame(DOCS, "id int, text string"), "id", {"text": 1.0}, spark.createDataFrame([(1, "quick"), (1, "fox")], "q int, term string"), 9)
+    assert {r["doc"]: r["score"] for r in weighted.collect()} == fts("quick OR fox")
     three = ["quick", "brown", "fox"]
     assert as_dict(R.two_of(scores(spark, three))) == fts("(quick AND brown) OR (quick AND fox) OR (brown AND fox)")
     terms = spark.createDataFrame([(1, "brown"), (1, "fox")], "q int, term string")
@@ -111,12 +113,82 @@ def test_session_folds(spark, tmp_path):
 def test_traces_hold_all_lines(spark):
     import json
 
-    from tallyloom.plans.answers import QUERIES
+    from tallyloom.operators import sessions as S
+
+    rows = [("f", i, "ab"[i // 3 % 2] if i % 7 else None) for i in range(1, 40)]
+    got = {(x["session_id"], i) for r in S.trace(spark.createDataFrame(rows, "path string, line int, session_id string")).collect() for x in json.loads(r["trace"]) for y in x["ranges"] for i in range(y["start"], y["end"] + 1)}
+    assert got == {(s, i) for _, i, s in rows if s}
+
+
+def test_scope_of_a_question():
+    import pytest
+
+    from tallyloom.operators import asking as A
+
+    now, known = 1_710_500_000_000, ["/w/garden", "x/alpha", "y/alpha", "/w/code"]
+    assert A.resolve("how is garden doing", now, known, here="h") == A.Scope("/w/garden")
+    assert A.resolve("how is alpha doing in code", now, known, here="h").project == "h"
+    assert A.resolve("what happened yesterday", now, known, here="h").project is None
+    assert A.resolve("garden", now, known, project="p").project == "p" and A.resolve("garden", now, known, everywhere=True).project is None
+    w = A.resolve("x", now, known, since="2024-03-01", until="2024-03-02", offset_min=60).window
+    assert w.end - w.start == 2 * A.DAY and w.start % A.DAY == A.DAY - 3_600_000
+    early = A.resolve("today", now, known, as_of="2024-01-05T10:00:00")
+    assert early.before == early.window.end == 1_704_448_800_000
+    for bad in ({"since": "soon"}, {"since": "2024-03-02", "until": "2024-03-01"}):
+        with pytest.raises(ValueError):
+            A.resolve("x", now, known, **bad)
+    assert A.reports_on("Daily update for yesterday, 13 march", now) == A.when.window("13 march", now).start
+    assert A.reports_on("recap of yesterday", now) == A.when.window("yesterday", now).start
+    assert A.reports_on("yesterday was fine", now) is None and A.reports_on("x" * 300 + "update yesterday", now) is None
+
+
+def test_limits_of_models():
+    from tallyloom.operators import recall as C
+
+    assert (C.limits("all-MiniLM-L6").relevance, C.limits("potion-8M").fill, C.limits("other", fill=0.9).fill) == (0.30, 0.55, 0.9)
+
+
+def test_hashed_vectors(spark):
+    from tallyloom.operators import recall as C
+
+    rows = spark.createDataFrame([(1, "red fox"), (2, "fox red"), (3, ""), (4, "blue sky")], "id int, t string").withColumn("v", C.hashed_vector(F.col("t")))
+    v = {r["id"]: r["v"] for r in rows.collect()}
+    assert v[1] == v[2] and abs(sum(x * x for x in v[1]) - 1) < 1e-9 and not any(v[3]) and v[4] != v[1]
+
+
+def test_edit_lines_of_three_formats(spark):
+    import json
+
+    from tallyloom.operators import files as P
+
+    calls = [{"old_string": "short\nthe old line here", "new_string": "the new line here"}, {"edits": [{"oldText": "one old line more", "newText": "one new line more"}]}, {"diff": "--- a/x\n+++ b/x\n-gone for ever now\n+here for ever now\n same"}, {"content": "a whole new file\nx"}, {}]
+    got = {r["id"]: (r["old"], r["new"]) for r in P.edit_lines(spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(calls)], "id int, input string")).collect()}
+    assert got == {0: (["the old line here"], ["the new line here"]), 1: (["one old line more"], ["one new line more"]), 2: (["gone for ever now"], ["here for ever now"]), 3: ([], ["a whole new file"]), 4: ([], [])}
+
+
+def test_numbers_without_one_task(spark):
+    from tallyloom.operators import lifecycle as L
+
+    ids = [3, 9, 10, 11, 500, 501, 7000, 7]
+    out = {r["id"]: r["n"] for r in L.numbered(spark.createDataFrame([(i,) for i in ids], "id long").repartition(3), "id", 100, "n", width=8).collect()}
+    assert out == {i: 100 + k for k, i in enumerate(sorted(ids))}
+
+
+def test_snapshots_rotate_and_come_back(spark, tmp_path):
+    import pytest
+
+    from tallyloom.operators import lifecycle as L
 
-    sf = "/root/testdata/sf0.01"
-    got = {(r["path"], x["session_id"], i) for r in QUERIES["attribution_trace"][0](spark, sf).collect() for x in json.loads(r["trace"]) for y in x["ranges"] for i in range(y["start"], y["end"] + 1)}
-    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars").collect()
-    assert got == {(f"f{r['doc_id'] % 5}", f"s{r['n_chars'] % 3}", r["doc_id"]) for r in rows if r["n_chars"] % 3}
+    t = {"rows": spark.range(5)}
+    for i in range(4):
+        last = L.snapshot(t, str(tmp_path / "snaps"), keep=2, stamp=f"2025010{i}")
+    assert sorted(p.name for p in (tmp_path / "snaps").iterdir()) == ["snapshot-20250102", "snapshot-20250103"]
+    home = str(tmp_path / "home")
+    L.restore(spark, last, home, lambda tables: tables["rows"].count() == 5)
+    first = (tmp_path / "home/CURRENT").read_text()
+    with pytest.raises(ValueError):
+        L.restore(spark, last, home, lambda tables: False)
+    assert (tmp_path / "home/CURRENT").read_text() == first and L.current(spark, home)["rows"].count() == 5
 
 
 def test_bootstrap_query_has_all_rounds(spark):
