@@ -1,8 +1,9 @@
 """Quality rules by weak supervision, in DataFrame functions only.
 
 Rules vote 1 (good), -1 (bad) or 0 (abstain) on each document.  Expectation-maximisation over the counts of vote
-patterns (3^rules rows at most, however large the corpus) estimates each rule's accuracy and the share of good
-documents; a document's posterior probability of being good replaces "all rules must pass".
+patterns (3^rules rows at most, however large the corpus) estimates the share of good documents and two accuracies of each
+rule: how often its vote is right on good documents and how often on bad ones.  A rule that seldom votes against a good
+document weighs much when it does.  A document's posterior probability of being good replaces "all rules must pass".
 
 Nulls and blank texts have no words: all counts are 0, the base check fails and they aren't kept.  Repeated rows are
 judged one by one and alike.  An empty table gives an empty result.  A posterior of exactly `least` is kept.
@@ -18,6 +19,7 @@ from .common import BLANK_RUN, BLANKS, stash, table
 #: Frequent function words of the four languages; their share of a text is a rule.
 STOP_WORDS = ("the", "of", "and", "to", "in", "is", "that", "for", "de", "la", "le", "les", "des", "et", "que", "en", "el", "los", "por", "para", "der", "die", "das", "und", "den", "von")
 ROUNDS, LEAST, SMOOTH = 40, 0.5, 2.0
+LOW, HIGH = 0.02, 0.98  # bounds of what is estimated, so that no rule decides alone
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_stops", "n_ends")
 OWN = "__quality_"
 
@@ -93,40 +95,57 @@ def votes(rules=RULES) -> list[Column]:
 
 
 def fit(patterns: DataFrame, k: int, rounds: int = ROUNDS) -> list[float]:
-    """[share of good documents, accuracy of each rule] from (v: array<int>, n: long), one row for each pattern.
+    """[share of good documents, each rule's share of good votes on good documents, the same on bad ones] from (v: array<int>, n: long),
+    one row for each pattern.
 
-    All rounds are one SQL expression over the bounded list of patterns; only the k + 1 estimates reach the driver.
-    Accuracies stay within 0.5 and 0.95, so that a rule can't turn into its opposite or decide alone."""
+    All rounds are one SQL expression over the bounded list of patterns; only the 2 k + 1 estimates reach the driver.  A rule
+    votes for bad documents at most as often as for good ones, so that it can't turn into its opposite."""
     rows = patterns.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("p"))
     p = F.col("p")
-    odds = lambda x: F.log(x / (1 - x))
     total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
+    bound = lambda x: F.least(F.greatest(x, F.lit(LOW)), F.lit(HIGH))
 
     def step(theta: Column, _: Column) -> Column:
+        g, b = F.slice(theta, 2, k), F.slice(theta, 2 + k, k)
+        weights = F.zip_with(g, b, lambda x, y: F.struct(F.log(x / y).alias("for"), F.log((1 - x) / (1 - y)).alias("against")))
+        share = F.element_at(theta, 1)
+
         def of(x: Column) -> Column:
-            vote = F.aggregate(F.zip_with(x["v"], F.slice(theta, 2, k), lambda v, a: v * odds(a)), F.lit(0.0), lambda s, y: s + y)
-            return F.struct(x["v"].alias("v"), x["n"].cast("double").alias("n"), (1 / (1 + F.exp(-(odds(F.element_at(theta, 1)) + vote)))).alias("q"))
+            said = F.zip_with(x["v"], weights, lambda v, w: F.when(v == 1, w["for"]).when(v == -1, w["against"]).otherwise(0.0))
+            vote = F.aggregate(said, F.lit(0.0), lambda s, y: s + y)
+            return F.struct(x["v"].alias("v"), x["n"].cast("double").alias("n"), (1 / (1 + F.exp(-(F.log(share / (1 - share)) + vote)))).alias("q"))
 
         def renew(post: Column) -> Column:
-            share = (total(post, lambda x: x["n"] * x["q"]) + SMOOTH / 2) / (total(post, lambda x: x["n"]) + SMOOTH)
-            right = lambda i: total(post, lambda x: x["n"] * F.when(F.element_at(x["v"], i) == 1, x["q"]).when(F.element_at(x["v"], i) == -1, 1 - x["q"]).otherwise(0.0))
-            voted = lambda i: total(post, lambda x: x["n"] * F.abs(F.element_at(x["v"], i)))
-            rates = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.least(F.greatest((right(i) + SMOOTH * 0.8) / (voted(i) + SMOOTH), F.lit(0.5)), F.lit(0.95)))
-            return F.concat(F.array(F.least(F.greatest(share, F.lit(0.05)), F.lit(0.95))), rates)
+            new = bound((total(post, lambda x: x["n"] * x["q"]) + SMOOTH / 2) / (total(post, lambda x: x["n"]) + SMOOTH))
+
+            def rate(i: Column, side) -> tuple[Column, Column]:
+                good = total(post, lambda x: x["n"] * side(x["q"]) * (F.element_at(x["v"], i) == 1).cast("double"))
+                return good, total(post, lambda x: x["n"] * side(x["q"]) * F.abs(F.element_at(x["v"], i)))
+
+            def on_good(i: Column) -> Column:
+                right, voted = rate(i, lambda q: q)
+                return bound((right + SMOOTH * 0.8) / (voted + SMOOTH))
+
+            def on_bad(i: Column) -> Column:
+                wrong, voted = rate(i, lambda q: 1 - q)
+                return F.least(bound((wrong + SMOOTH * 0.2) / (voted + SMOOTH)), on_good(i))
+
+            each = F.sequence(F.lit(1), F.lit(k))
+            return F.concat(F.array(new), F.transform(each, on_good), F.transform(each, on_bad))
 
         return _let(F.transform(p, of), renew)
 
-    theta = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.array(*[F.lit(0.8)] * (k + 1)), step)
+    theta = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.array(F.lit(0.8), *[F.lit(0.8)] * k, *[F.lit(0.2)] * k), step)
     return list(rows.select(theta.alias("t")).first()["t"])
 
 
 def posterior(theta: list[float], rules=RULES) -> Column:
     import math
 
-    odds = [math.log(x / (1 - x)) for x in theta]
-    score = F.lit(odds[0])
-    for v, o in zip(votes(rules), odds[1:], strict=True):
-        score = score + v * F.lit(o)
+    k = len(rules)
+    score = F.lit(math.log(theta[0] / (1 - theta[0])))
+    for v, g, b in zip(votes(rules), theta[1 : 1 + k], theta[1 + k :], strict=True):
+        score = score + F.when(v == 1, math.log(g / b)).when(v == -1, math.log((1 - g) / (1 - b))).otherwise(0.0)
     return 1 / (1 + F.exp(-score))
 
 
@@ -168,6 +187,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _K = len(RULES)
+_SCORE = "ln(t[1] / (1 - t[1]))" + "".join(f" + CASE v[{k}] WHEN 1 THEN ln(t[{k + 1}] / t[{k + 1 + _K}]) WHEN -1 THEN ln((1 - t[{k + 1}]) / (1 - t[{k + 1 + _K}])) ELSE 0 END" for k in range(1, _K + 1))
 OP2_SQL = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -194,16 +214,18 @@ WITH RECURSIVE d AS (
 ), p AS (
   SELECT v, count(*)::DOUBLE AS n FROM v WHERE NOT base_failed GROUP BY v
 ), em AS (
-  SELECT 0 AS it, [{", ".join(["0.8::DOUBLE"] * (_K + 1))}] AS t
+  SELECT 0 AS it, [0.8::DOUBLE, {", ".join(["0.8::DOUBLE"] * _K + ["0.2::DOUBLE"] * _K)}] AS t
   UNION ALL
   SELECT it + 1, (
-    SELECT [least(greatest((sum(n * q) + {SMOOTH / 2}) / (sum(n) + {SMOOTH}), 0.05::DOUBLE), 0.95::DOUBLE),
-      {", ".join(f"least(greatest((sum(n * CASE v[{k}] WHEN 1 THEN q WHEN -1 THEN 1 - q ELSE 0 END) + {SMOOTH * 0.8}) / (sum(n * abs(v[{k}])) + {SMOOTH}), 0.5::DOUBLE), 0.95::DOUBLE)" for k in range(1, _K + 1))}]
-    FROM (SELECT v, n, 1 / (1 + exp(-(ln(t[1] / (1 - t[1])) + {" + ".join(f"v[{k}] * ln(t[{k + 1}] / (1 - t[{k + 1}]))" for k in range(1, _K + 1))}))) AS q FROM p)
+    SELECT list_concat([share], list_concat(g, list_transform(list_zip(g, b), lambda x: least(x[1], x[2])))) FROM (
+      SELECT least(greatest((sum(n * q) + {SMOOTH / 2}) / (sum(n) + {SMOOTH}), {LOW}::DOUBLE), {HIGH}::DOUBLE) AS share,
+        [{", ".join(f"least(greatest((sum(CASE v[{k}] WHEN 1 THEN n * q ELSE 0 END) + {SMOOTH * 0.8}) / (sum(n * q * abs(v[{k}])) + {SMOOTH}), {LOW}::DOUBLE), {HIGH}::DOUBLE)" for k in range(1, _K + 1))}] AS g,
+        [{", ".join(f"least(greatest((sum(CASE v[{k}] WHEN 1 THEN n * (1 - q) ELSE 0 END) + {SMOOTH * 0.2}) / (sum(n * (1 - q) * abs(v[{k}])) + {SMOOTH}), {LOW}::DOUBLE), {HIGH}::DOUBLE)" for k in range(1, _K + 1))}] AS b
+      FROM (SELECT v, n, 1 / (1 + exp(-({_SCORE}))) AS q FROM p))
   ) FROM em WHERE it < {ROUNDS}
 ), best AS (SELECT t FROM em WHERE it = {ROUNDS}
 ), r AS (
-  SELECT v.*, 1 / (1 + exp(-(ln(t[1] / (1 - t[1])) + {" + ".join(f"v[{k}] * ln(t[{k + 1}] / (1 - t[{k + 1}]))" for k in range(1, _K + 1))}))) AS q FROM v, best
+  SELECT v.*, 1 / (1 + exp(-({_SCORE}))) AS q FROM v, best
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND q >= {LEAST} AS kept, round(q, 4) AS quality_prob

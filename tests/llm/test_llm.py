@@ -210,7 +210,19 @@ def test_quality(docs, empty, spark):
     assert out.columns == docs.columns and not [r for r in out.collect() if brute_counts(r["text"])[0] < 50]
     assert quality.judge(empty).count() == 0
     theta = quality.fit(spark.createDataFrame([([1, 1, 0], 90), ([-1, -1, 1], 8), ([1, 1, -1], 6), ([1, -1, 1], 2)], "v array<int>, n long"), 3)
-    assert theta[0] > 0.8 and theta[1] > theta[3] and all(0.5 <= x <= 0.95 for x in theta[1:])
+    good, bad = theta[1:4], theta[4:]
+    assert theta[0] > 0.8 and good[0] > 0.9 > bad[0] and all(quality.LOW <= b <= g <= quality.HIGH for g, b in zip(good, bad, strict=True))
+
+
+def test_quality_agrees_with_labels(spark):
+    """Of documents of the table with labels that pass the base check: the bad ones go, the good ones stay."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality IS NOT NULL").collect()}
+    kept = {r["doc_id"] for r in quality.judge(docs).select("doc_id").collect()}
+    known = [(labels[r["doc_id"]], r["doc_id"] in kept) for r in docs.collect() if r["doc_id"] in labels and brute_counts(r["text"])[0] >= 50 and 2 * brute_counts(r["text"])[4] <= brute_counts(r["text"])[0]]
+    good, bad = [k for q, k in known if q == 1], [k for q, k in known if q == 0]
+    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
 # ---- tokens
