@@ -1,8 +1,10 @@
 """Mixing sources to target weights by Pareto order sampling (Rosén, 1997).
 
-Each document of a source is owed target / source size copies.  Whole copies are certain; the rest is an inclusion
-probability p.  Documents are ranked by random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)), and the first
-ones that fill the source's remaining words are taken once more.  u is a hash of the id and a seed, so reruns agree.
+Each document of a source is owed target / source size copies.  Whole copies are certain; the rest r gives each document an
+inclusion probability that grows with its size, p = least(r * 2 size / (size + mean size), (1 + r) / 2): a document of mean
+size is in with r, a fragment with less, a long one with up to twice as much.  Documents are ranked by random odds over
+inclusion odds, (u / (1 - u)) / (p / (1 - p)), and the first ones that fill the source's remaining words are taken once more.
+u is a hash of the id and a seed, for a null id of the text's hash, so reruns agree.
 
 The ranks of a source are never sorted in one task: sums over two levels of rank buckets find the one small bucket that
 holds the cut, and only its rows are ordered.
@@ -41,17 +43,20 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, most
     })
     given = given.withColumn("level", F.when(F.col("cap") * F.col("open") >= F.col("w") * F.col("left"), F.col("left") / F.col("open")))
     given = given.withColumn("level", F.max("level").over(every))  # of the first that is not capped; later ones are lower
-    return given.select("source", "source_size", F.least("cap", F.coalesce(F.col("w") * F.col("level"), F.col("cap"))).alias("target"))
+    kept = [c for c in sizes.columns if c not in ("source", "source_size")]
+    return given.select("source", "source_size", *kept, F.least("cap", F.coalesce(F.col("w") * F.col("level"), F.col("cap"))).alias("target"))
 
 
 def draw(rows: DataFrame, seed: str = "mix") -> DataFrame:
-    """Adds `copies` to rows (id, source, size, tie, source_size, target): how often the mix takes each."""
+    """Adds `copies` to rows (id, source, size, tie, source_size, n_docs, target): how often the mix takes each."""
     owed = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("id").cast("string"), F.col("tie").cast("string")))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     rows = rows.withColumns({"whole": F.floor(owed + 1e-9), "u": u})
-    rows = rows.withColumn("p", F.greatest(owed - F.col("whole"), F.lit(0.0)))
+    left, mean = F.greatest(owed - F.col("whole"), F.lit(0.0)), F.col("source_size") / F.col("n_docs")
+    p = F.least(left * 2 * F.col("size") / (F.col("size") + mean), 0.5 + left / 2)
+    rows = rows.withColumn("p", F.when((left > 1e-9) & (F.col("size") > 0), p).otherwise(0.0))
     odds = F.col("u") / (1 - F.col("u"))
-    rank = F.when((F.col("p") > 1e-9) & (F.col("size") > 0), odds * (1 - F.col("p")) / F.col("p"))
+    rank = F.when(F.col("p") > 0, odds * (1 - F.col("p")) / F.col("p"))
     rows = rows.withColumn("rank", rank).withColumn("place", F.col("rank") / (1 + F.col("rank")))
     rows = rows.withColumn("b1", F.floor(F.col("place") * BUCKETS).cast("int"))
     rows = rows.withColumn("b2", F.floor((F.col("place") * BUCKETS - F.col("b1")) * BUCKETS).cast("int"))
@@ -80,13 +85,13 @@ def draw(rows: DataFrame, seed: str = "mix") -> DataFrame:
     below = (F.col("b1") < F.col("c1")) | ((F.col("b1") == F.col("c1")) & (F.col("b2") < F.col("c2")))
     rest = rows.where(~F.coalesce(here, F.lit(False))).withColumn("more", F.coalesce(below, F.lit(False)).cast("int"))
     both = edge.unionByName(rest)
-    return both.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(0).cast("int")).drop("rank", "place", "b1", "b2", "c1", "c2", "need2", "sid", "more", "u", "p", "whole")
+    return both.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(0).cast("int")).drop("rank", "place", "b1", "b2", "c1", "c2", "need2", "sid", "more", "u", "p", "whole", "n_docs")
 
 
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(id, source, size, tie, source_size, target, copies) for every row of docs; tie is the hash of the text."""
     rows = stash(docs.select(F.col(id).alias("id"), F.col(source).alias("source"), count_words(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("tie")), "mix-rows")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n_docs"))
     targets = small(stash(source_targets(sizes), "mix-targets")).withColumnRenamed("source", "s")
     return draw(rows.join(targets, rows.source.eqNullSafe(targets.s), "left").drop("s"))
 
@@ -110,7 +115,7 @@ OP4_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), s AS (
-  SELECT source, sum(size)::BIGINT AS source_size, ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS w FROM d GROUP BY source
+  SELECT source, sum(size)::BIGINT AS source_size, count(CASE WHEN size > 0 THEN 1 END) AS n_docs, ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS w FROM d GROUP BY source
 ), c AS (
   SELECT *, {MOST}::DOUBLE * source_size AS cap,
     {TOTAL}::DOUBLE * sum(source_size) OVER () - coalesce(sum({MOST}::DOUBLE * source_size) OVER (ORDER BY {MOST}::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
@@ -118,15 +123,16 @@ WITH d AS (
   FROM s
 ), l AS (SELECT max(rest / o) FILTER (WHERE cap * o >= w * rest) AS level FROM c
 ), t AS (
-  SELECT source, source_size, least(cap, coalesce(w * level, cap)) AS target FROM c, l
+  SELECT source, source_size, n_docs, least(cap, coalesce(w * level, cap)) AS target FROM c, l
 ), r AS (
-  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS owed,
+  SELECT d.*, source_size, n_docs, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS owed,
     (('0x' || substr(md5('mix:' || doc_id), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), p AS (
-  SELECT *, floor(owed + 1e-9) AS whole, greatest(owed - floor(owed + 1e-9), 0) AS p FROM r
+  SELECT *, CASE WHEN rest > 1e-9 AND size > 0 THEN least(rest * 2 * size / (size + source_size::DOUBLE / n_docs), 0.5::DOUBLE + rest / 2) END AS p
+  FROM (SELECT *, floor(owed + 1e-9) AS whole, greatest(owed - floor(owed + 1e-9), 0) AS rest FROM r)
 ), k AS (
-  SELECT *, CASE WHEN p > 1e-9 AND size > 0 THEN u / (1 - u) * (1 - p) / p END AS rank FROM p
+  SELECT *, u / (1 - u) * (1 - p) / p AS rank FROM p
 ), x AS (
   SELECT *, coalesce(sum(size) FILTER (WHERE rank IS NOT NULL) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run,
     target - whole * source_size AS need
