@@ -216,11 +216,12 @@ class Index:
 def find(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", least: float = LEAST, overlap: float = OVERLAP) -> DataFrame:
     """One row for each item verified in a document: docs' columns but the text, item_id, score, question_overlap, answer_overlap.
 
-    items: (item_id, text)."""
+    items: (item_id, text), ids whole numbers.  Columns of docs with one of the four new names are left out."""
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = items.count()
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c not in (text, "item_id", "score", "question_overlap", "answer_overlap")]
+    docs = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("item_id", T.LongType())] + [T.StructField(k, T.DoubleType()) for k in ("score", "question_overlap", "answer_overlap")])
     blocks = max(1, -(-rows // ITEMS))
     items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))

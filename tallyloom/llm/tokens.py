@@ -282,14 +282,14 @@ def counter(path: str) -> Counter:
 
 
 def token_counts(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """docs' other columns, n_bytes and n_tokens; clashing columns of docs are not allowed for the two.
+    """docs' other columns, n_bytes and n_tokens; columns of docs with one of these two names are left out.
 
     path: the vocabulary file, in the same place on all executors."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens")]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +299,7 @@ def token_counts(docs: DataFrame, text: str = "text", path: str | None = None) -
             own = [pa.array([len(x) for x in texts], pa.int64()), pa.array([of.count(x.decode()) for x in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + own, names=[*keep, "n_bytes", "n_tokens"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text)).mapInArrow(run, schema)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
