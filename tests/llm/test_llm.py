@@ -284,6 +284,13 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_long_documents_are_likelier(spark):
+    rows = spark.createDataFrame([(i, "w " * (10 if i % 2 else 200), "a" if i < 2000 else "b") for i in range(6000)], "doc_id long, text string, source string")
+    got = mixing.mix(rows).where("source = 'b'").groupBy("size").avg("copies").collect()  # b is owed less than a second copy of all
+    share = {r["size"]: r[1] % 1 for r in got}
+    assert share[200] > 1.5 * share[10] > 0
+
+
 def test_mixing_prefers_no_source_within_its_share(spark):
     rows = spark.createDataFrame([(i, "w " * (i % 17 + 1), "ab"[i % 2]) for i in range(4000)], "doc_id long, text string, source string")
     got = mixing.mix(rows).groupBy("source").agg({"target": "max", "source_size": "max"}).collect()
@@ -564,3 +571,83 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near-dedup", "decontamination", "source mix"]
     assert out.columns == [*docs.columns, "copies"] and 0 < out.count() < docs.count()
     assert not json.dumps([r["copies"] for r in out.collect()]).count("null")
+
+
+def plain_lines(rows):
+    """Line dedup of (id, text), one chunk after the other in the order of ids."""
+    first, out = {}, {}
+    for i, t in sorted(rows):
+        kept, ls = [], t.encode().split(b"\n")
+        for a, b in lines.chunks(ls):
+            c = b"\n".join(ls[a:b])
+            if not (b - a > 1 and lines.counted(ls[a:b]) and first.setdefault(c, (i, a)) != (i, a)):
+                kept += ls[a:b]
+        out[i] = b"\n".join(kept).decode()
+    return out
+
+
+def plain_near(rows):
+    """Ids that stay of (id, text): the least of each group of texts that all pairs connect."""
+    ids = sorted(rows)
+    sets = {i: set(simhash.shingle_set(rows[i].encode()).tolist()) for i in ids}
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {find(i) for i in ids}
+
+
+def plain_leaks(text, items):
+    """Whether a text has 0.8 of the shingles of both parts of any item."""
+    words = decontaminate.terms(text)
+    for item in items:
+        shares = []
+        for part in decontaminate.parts(item):
+            width = min(decontaminate.SHINGLE, len(part))
+            own = decontaminate.shingles(part, width) if part else set()
+            have = decontaminate.shingles(words, width) if part and len(words) >= width else set()
+            shares.append(len(own & have) / len(own) if own else 1.0)
+        if decontaminate.terms(item) and min(shares) >= decontaminate.OVERLAP:
+            return True
+    return False
+
+
+def test_pipeline_against_plain_versions(spark, tmp_path):
+    """Every stage's rows on the given table: SQL for the rules and the mix, plain loops for the three between."""
+    import corpus_pipeline
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = {r[0]: r[1] for r in con.execute(f"SELECT doc_id, text FROM documents JOIN (SELECT doc_id FROM ({quality.OP2_SQL}) WHERE kept) USING (doc_id)").fetchall()}
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), [r["text"] or "" for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    whole = {r["doc_id"]: tuple(r) for r in docs.collect()}
+
+    def step(n):
+        nonlocal docs
+        out = corpus_pipeline.STAGES[n][1](spark, docs, sf)
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        return {r["doc_id"]: r["text"] for r in docs.collect()}
+
+    assert step(0) == want
+    want = plain_lines(want.items())
+    assert step(1) == want
+    want = {i: want[i] for i in plain_near(want)}
+    assert step(2) == want
+    want = {i: t for i, t in want.items() if not plain_leaks(t, items)}
+    assert step(3) == want
+    docs.toPandas().to_parquet(tmp_path / "left.parquet")
+    con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/left.parquet'")
+    copies = {r[0]: r[1] // r[2] for r in con.execute(f"SELECT doc_id, taken, size FROM ({mixing.OP4_SQL}) WHERE taken > 0").fetchall()}
+    assert step(4).keys() == copies.keys() and {r["doc_id"]: r["copies"] for r in docs.collect()} == copies
+    assert all(tuple(r)[2:-1] == whole[r["doc_id"]][2:] for r in docs.collect())
