@@ -3,7 +3,8 @@
 Pages are written in order of their reversed-host URL key: one gzip member per record, archives of about ARCHIVE_MB.
 The same task cuts the index lines of its records into blocks of BLOCK lines, compresses each and appends it to an index
 file; the sparse directory keeps one row per block (first key, file, offset, length).  A lookup finds the last
-directory row not after its key, reads that block's range, searches it, and range-reads the records.
+directory row not after its key, reads that block's range, searches it, and range-reads the records.  Many keys are looked
+up at once, segment by segment of the directory.
 
 Of records with equal payloads of at least LEAST bytes, that with the smallest page id is a response and the others
 revisit it.  Rows that share the smallest id are all responses; a null id is never the smallest one unless all are null,
@@ -16,6 +17,7 @@ reports are ever read, so lost executors and repeated attempts leave nothing wro
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import json
 import uuid
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import new_path, small, stash, table
 
 LEAST, BLOCK, ARCHIVE_MB, LEVEL = 100, 256, 32, 5
+READ, SEGMENT = 4 << 20, 512  # bytes of a read, blocks of a segment of the directory
 DATE = "2024-01-01T00:00:00Z"
 DIRECTORY = "first_key string, last_key string, file string, offset long, length long, n int"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -142,33 +145,114 @@ def block_lines(file: str, offset: int, length: int) -> list[list]:
     return [json.loads(x) for x in zlib.decompress(ranged(file, offset, length), 31).splitlines()]
 
 
+def records_of(folder: str, lines: list[list]) -> Iterator[dict]:
+    """The records of index lines, neighbours by one read of up to READ bytes."""
+    held: tuple = ()
+    for i, (_, _, _, name, at, n) in enumerate(lines):
+        if not held or held[0] != name or at < held[1] or at + n > held[1] + len(held[2]):
+            end = at + n
+            for other in lines[i + 1 :]:
+                if other[3] != name or other[4] != end or other[4] + other[5] - at > READ:
+                    break
+                end += other[5]
+            held = (name, at, ranged(f"{folder}/{name}", at, end - at))
+        yield parse(zlib.decompress(held[2][at - held[1] : at - held[1] + n], 31))
+
+
+_RECORDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+
+
+def batched(records: Iterator[dict], payload: bool) -> Iterator[pa.RecordBatch]:
+    out, size = [], 0
+    for r in records:
+        out.append(r if payload else r | {"payload": None})
+        size += len(out[-1]["payload"] or b"") + 1000
+        if size > READ:
+            yield pa.RecordBatch.from_pylist(out, _RECORDS)
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_pylist(out, _RECORDS)
+
+
 def read_records(directory: DataFrame, payload: bool = True) -> DataFrame:
-    """All records (RECORDS), read through the directory: each block's range, then the ranges of its records."""
+    """All records (RECORDS), block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                folder = row["file"].rpartition("/")[0]
-                out: list[dict] = []
-                held: tuple = ()
                 lines = block_lines(row["file"], row["offset"], row["length"])
-                for i, (_, _, _, name, at, n) in enumerate(lines):
-                    if not held or held[0] != name or at + n > held[1] + len(held[2]):  # neighbours come with one read of up to 4 MB
-                        end = at + n
-                        for other in lines[i + 1 :]:
-                            if other[3] != name or other[4] != end or other[4] + other[5] - at > 4 << 20:
-                                break
-                            end += other[5]
-                        held = (name, at, ranged(f"{folder}/{name}", at, end - at))
-                    found = parse(zlib.decompress(held[2][at - held[1] : at - held[1] + n], 31))
-                    out.append(found if payload else found | {"payload": None})
-                yield pa.RecordBatch.from_pylist(out, schema)
-
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+                yield from batched(records_of(row["file"].rpartition("/")[0], lines), payload)
+
     spread = directory.repartition(max(directory.sparkSession.sparkContext.defaultParallelism, directory.count() // 16), "file", "offset")
     return spread.mapInArrow(run, RECORDS)
 
 
+def blocks_of(directory: DataFrame, keys: DataFrame) -> DataFrame:
+    """(file, offset, length, key): the index blocks that can hold each of the keys (key), by binary search.
+
+    The directory is cut into segments at the first keys of about one block in SEGMENT, all that the driver and each task hold of
+    it; keys and blocks meet in their segment, where the keys are searched.  A block that reaches into the next segments is in
+    these, too."""
+    cuts = sorted({r["first_key"] for r in directory.where(F.pmod(F.xxhash64("file", "offset"), F.lit(SEGMENT)) == 0).select("first_key").collect()})
+    top = directory.sparkSession.sparkContext.broadcast(cuts)
+    asked = keys.select(F.lit(1).alias("kind"), F.col("key").alias("first_key"), F.col("key").alias("last_key"), F.lit("").alias("file"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("length")).distinct()
+    both = directory.select(F.lit(0).alias("kind"), "first_key", "last_key", "file", "offset", "length").unionByName(asked)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = [bisect.bisect_right(top.value, x) for x in batch.column("first_key").to_pylist()]
+            high = [bisect.bisect_right(top.value, x) for x in batch.column("last_key").to_pylist()]
+            at = [i for i, (a, b) in enumerate(zip(low, high, strict=True)) for _ in range(a, b + 1)]
+            own = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([k for a, b in zip(low, high, strict=True) for k in range(a, b + 1)], pa.int32()), *own.columns], names=["segment", *own.schema.names])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blocks, firsts, lasts = None, [], [], []
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["segment"] != now:
+                    now, blocks, firsts, lasts = r["segment"], [], [], []
+                if r["kind"] == 0:  # in order of first keys, and so of last ones
+                    blocks.append((r["file"], r["offset"], r["length"]))
+                    firsts.append(r["first_key"])
+                    lasts.append(r["last_key"])
+                else:
+                    out += [(*blocks[i], r["first_key"]) for i in range(bisect.bisect_left(lasts, r["first_key"]), bisect.bisect_right(firsts, r["first_key"]))]
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["file", "offset", "length", "key"])
+
+    parts = max(directory.sparkSession.sparkContext.defaultParallelism, len(cuts) + 1)
+    dealt = both.mapInArrow(deal, "segment int, kind int, first_key string, last_key string, file string, offset long, length long")
+    return dealt.repartition(parts, "segment").sortWithinPartitions("segment", "kind", "first_key", "last_key", "file", "offset").mapInArrow(search, "file string, offset long, length long, key string")
+
+
+def lookup_all(directory: DataFrame, keys: DataFrame, payload: bool = True) -> DataFrame:
+    """The records (RECORDS) of all keys (key): directory, then blocks, then records, by binary searches and range reads."""
+    found = blocks_of(directory, keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def records() -> Iterator[dict]:
+            held, lines, names, hits = None, [], [], []
+            for batch in batches:
+                for r in batch.to_pylist():
+                    place = (r["file"], r["offset"])
+                    if place != held:
+                        if hits:
+                            yield from records_of(held[0].rpartition("/")[0], hits)
+                        held, hits = place, []
+                        lines = block_lines(r["file"], r["offset"], r["length"])
+                        names = [x[0] for x in lines]
+                    hits += lines[bisect.bisect_left(names, r["key"]) : bisect.bisect_right(names, r["key"])]
+            if hits:
+                yield from records_of(held[0].rpartition("/")[0], hits)
+
+        yield from batched(records(), payload)
+
+    parts = max(directory.sparkSession.sparkContext.defaultParallelism, directory.count() // 16)
+    return found.repartition(parts, "file", "offset").sortWithinPartitions("file", "offset", "key").mapInArrow(run, RECORDS)
+
+
 def lookup(directory: DataFrame, url: str) -> list[dict]:
     """All records of a URL's key: sparse directory, block, then records; revisits are given with their response's id."""
     spark = directory.sparkSession
@@ -189,9 +273,10 @@ def lookup(directory: DataFrame, url: str) -> list[dict]:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes an archive of all pages and reads it back through its index."""
-    directory = write_archives(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
-    return read_records(directory, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Writes an archive of all pages and looks all of their URLs up in it."""
+    pages = table(spark, sf_dir, "pages")
+    directory = write_archives(pages, new_path(spark, "warc"))
+    return lookup_all(directory, pages.select(url_key(F.col("url")).alias("key")), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP9_SQL = f"""

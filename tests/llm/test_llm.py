@@ -546,12 +546,24 @@ def test_warc(spark, tmp_path):
         want[p, len(b), hashlib.sha256(b).hexdigest(), "response" if to is None else "revisit", to] += 1
     out = warc.read_records(directory)
     assert bag(out, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == want
+    assert bag(warc.lookup_all(directory, pages.select(warc.url_key(pages.url).alias("key"))), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == want
     assert {bytes(r["payload"]).decode() for r in out.where("record_type = 'response'").collect()} == {h or "" for _, _, h in rows}
     assert sorted(x["page_id"] for x in warc.lookup(directory, "http://A.example.com/x?q=1")) == [3, 5]
     assert warc.lookup(directory, "http://none.org/") == []
     assert warc.read_records(warc.write_archives(pages.limit(0), new_path(spark, "none"))).count() == 0
 
 
+@pytest.mark.parametrize("segment", [1, 2, 512])
+def test_many_keys_are_looked_up(spark, monkeypatch, segment):
+    """Keys of many pages, of none, one key over several blocks; segments of any size."""
+    monkeypatch.setattr(warc, "SEGMENT", segment)
+    pages = spark.range(1500).selectExpr("id AS page_id", "CASE WHEN id % 3 = 0 THEN 'http://same.org/' ELSE concat('http://h', id % 7, '.org/p', id) END AS url", "repeat(cast(id AS string), 50) AS html")
+    directory = warc.write_archives(pages, new_path(spark, "many")).cache()
+    keys = pages.where("page_id % 6 < 4").select(warc.url_key(pages.url).alias("key")).union(spark.createDataFrame([("none",), ("zzz",), ("",)], "key string"))
+    got = Counter(r["page_id"] for r in warc.lookup_all(directory, keys, payload=False).collect())
+    assert got == Counter(i for i in range(1500) if i % 3 == 0 or i % 6 < 4)
+
+
 def test_blocks_are_searched(spark):
     pages = spark.range(1000).selectExpr("id AS page_id", "concat('http://h', id % 7, '.org/p', id) AS url", "repeat(cast(id AS string), 50) AS html")
     directory = warc.write_archives(pages, new_path(spark, "blocks"))
