@@ -55,13 +55,6 @@ def _(s, sf):
     return k.join(m, "m", "left").join(e, "e", "left").select("key", F.coalesce("a", "b", F.lit("unknown")).alias("found"))
 
 
-@query("summary_fields", "SELECT doc_id, regexp_extract(text, '(?m)^([^:\\n]{1,40}): (.*)$', 1) AS label, length(regexp_extract(text, '(?m)^([^:\\n]{1,40}): (.*)$', 2)) AS chars FROM documents WHERE regexp_matches(text, '(?m)^([^:\\n]{1,40}): (.*)$')")
-def _(s, sf):
-    p = r"(?m)^([^:\n]{1,40}): (.*)$"
-    d = table(s, sf, "documents").where(F.col("text").rlike(p))
-    return d.select("doc_id", F.regexp_extract("text", p, 1).alias("label"), F.length(F.regexp_extract("text", p, 2)).alias("chars"))
-
-
 @query("scripted_sessions", "SELECT DISTINCT session_id FROM ev WHERE kind = 'prompt' AND regexp_matches(text, '[0-9]{3}|the the')", "ev")
 def _(s, sf):
     return view(s, sf, "ev").where((F.col("kind") == "prompt") & F.col("text").rlike("[0-9]{3}|the the")).select("session_id").distinct()
@@ -126,15 +119,6 @@ def _(s, sf):
     return m.join(view(s, sf, "ev").select("session_id", "turn"), "session_id").where("turn BETWEEN a AND b").groupBy("id").agg(F.count(F.lit(1)).alias("events"))
 
 
-_PAIR = "SELECT o.id FROM logs o WHERE o.what = 'offer' AND EXISTS (SELECT 1 FROM logs f WHERE f.what = 'fetch' AND f.session = o.session AND f.at_ms BETWEEN o.at_ms AND o.at_ms + 86400000)"
-
-
-@query("interval_join_fetch", _PAIR, "logs")
-def _(s, sf):
-    x = view(s, sf, "logs")
-    return R.within(x.where("what = 'offer'"), x.where("what = 'fetch'"), ["session"], "at_ms", "at_ms", 86_400_000).select("id")
-
-
 @query("unseen_events", "SELECT e.id FROM ev e LEFT JOIN (SELECT session_id, max(turn) AS through FROM ev WHERE id % 3 = 0 GROUP BY session_id) x USING (session_id) WHERE e.turn > greatest(2, coalesce(x.through, 0))", "ev")
 def _(s, sf):
     e = view(s, sf, "ev").select("id", "session_id", "turn")
@@ -166,11 +150,6 @@ def _(s, sf):
     return view(s, sf, "ev").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("topic_elsewhere", "SELECT project, count(*) AS n FROM mem WHERE contains(lower(text), 'tion') GROUP BY project HAVING count(*) >= 3 ORDER BY n DESC, project LIMIT 5", "mem")
-def _(s, sf):
-    return view(s, sf, "mem").where(F.lower("text").contains("tion")).groupBy("project").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").orderBy(F.col("n").desc(), "project").limit(5)
-
-
 @query("final_answer", "SELECT session_id, arg_max(id, id) AS id, length(arg_max(text, id)) AS chars FROM ev WHERE kind = 'assistant' GROUP BY session_id", "ev")
 def _(s, sf):
     return R.last_by(view(s, sf, "ev").where("kind = 'assistant'"), ["session_id"], "id", id="id", text="text").select("session_id", "id", F.length("text").alias("chars"))
@@ -198,14 +177,6 @@ def _(s, sf):
     return view(s, sf, "logs").agg(F.count_if(age.between(0, 86_400_000)).alias("pending"), F.count_if((age > 86_400_000) & (age <= 604_800_000)).alias("at_risk"), F.count_if(age > 604_800_000).alias("expired"), F.sum(F.when((F.col("what") == "fetch") & age.between(0, 86_400_000), 1).otherwise(0)).alias("requests"))
 
 
-@query("uptake_report", f"WITH f AS ({_PAIR}) SELECT session % 7 AS source, count(*) AS offers, count(DISTINCT session) AS sessions, count_if(id IN (SELECT id FROM f)) AS fetched, min(at_ms) AS since FROM logs WHERE what = 'offer' GROUP BY session % 7", "logs")
-def _(s, sf):
-    x = view(s, sf, "logs")
-    offers = x.where("what = 'offer'")
-    hit = R.within(offers, x.where("what = 'fetch'"), ["session"], "at_ms", "at_ms", 86_400_000).select("id", F.lit(1).alias("hit"))
-    return offers.join(hit, "id", "left").groupBy((F.col("session") % 7).alias("source")).agg(F.count(F.lit(1)).alias("offers"), F.count_distinct("session").alias("sessions"), F.count("hit").alias("fetched"), F.min("at_ms").alias("since"))
-
-
 @query("vote_winner", "SELECT lang, source FROM (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, source) AS r FROM documents GROUP BY lang, source) WHERE r = 1")
 def _(s, sf):
     n = table(s, sf, "documents").groupBy("lang", "source").count()
