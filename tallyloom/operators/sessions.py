@@ -122,15 +122,6 @@ def apply_replies(replies: DataFrame, most: int = 8) -> DataFrame:
     return rows.select("session_id", "n", kind.alias("type"), F.col("o.title").alias("title"), F.coalesce("o.narrative", F.lit("")).alias("narrative"), F.coalesce("o.facts", F.array().cast("array<string>")).alias("facts"), F.coalesce("o.evidence", F.array().cast("array<string>")).alias("evidence"))
 
 
-def snippet(text: Column, terms: list[str], width: int = 16) -> Column:
-    """The first window of `width` tokens that begins at a matched one, matches in brackets."""
-    words = F.split(F.trim(text), r"\s+")
-    hit = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "").isin(*terms)
-    first = F.array_position(F.transform(words, lambda w: hit(w).cast("int")), F.lit(1)).cast("int")
-    cut = F.slice(words, F.greatest(first, F.lit(1)), F.lit(width))
-    return F.array_join(F.transform(cut, lambda w: F.when(hit(w), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w)), " ")
-
-
 def write_snapshot(tables: dict[str, DataFrame], folder: str) -> DataFrame:
     """Writes the tables and their manifest; a reader trusts the folder only with its manifest, which comes last."""
     for name, df in tables.items():

@@ -55,13 +55,13 @@ def _(s, sf):
     return view(s, sf, "mem").select(S.weight_tier(F.col("title"), F.col("type"), F.lit("observation")).alias("tier")).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("turn_chunks", None)
+@query("turn_chunks", "WITH RECURSIVE t AS (SELECT session_id, id, octet_length(encode(text)) AS b, row_number() OVER (PARTITION BY session_id ORDER BY id) AS n FROM ev), r AS (SELECT session_id, id, n, 0 AS chunk, b AS held FROM t WHERE n = 1 UNION ALL SELECT t.session_id, t.id, t.n, CASE WHEN held > 0 AND held + b > 2000 THEN chunk + 1 ELSE chunk END, CASE WHEN held > 0 AND held + b > 2000 THEN b ELSE held + b END FROM r JOIN t ON t.session_id = r.session_id AND t.n = r.n + 1) SELECT session_id, id, chunk FROM r", "ev")
 def _(s, sf):
     e = view(s, sf, "ev").withColumn("bytes", F.octet_length("text"))
     return S.chunk_turns(e, "session_id", "id", "bytes", 2000)
 
 
-@query("ring_dedupe", None)
+@query("ring_dedupe", "WITH RECURSIVE t AS (SELECT session, id, what, row_number() OVER (PARTITION BY session ORDER BY id) AS n FROM logs), r AS (SELECT session, id, what, n, true AS keep, [what] AS ring FROM t WHERE n = 1 UNION ALL SELECT t.session, t.id, t.what, t.n, NOT list_contains(ring, t.what), CASE WHEN list_contains(ring, t.what) THEN ring ELSE list_append(ring, t.what)[-2:] END FROM r JOIN t ON t.session = r.session AND t.n = r.n + 1) SELECT session, id, what FROM r WHERE keep", "logs")
 def _(s, sf):
     return S.ring_dedupe(view(s, sf, "logs").select("session", "id", "what"), "session", "id", "what", 2)
 
@@ -73,12 +73,6 @@ def _(s, sf):
     return S.apply_replies(r).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("type") == "feature").alias("features"))
 
 
-@query("event_snippets", None)
-def _(s, sf):
-    e = view(s, sf, "ev").where(F.lower("text").contains("the "))
-    return e.select("id", S.snippet(F.col("text"), ["the", "of"]).alias("snippet"))
-
-
 _SAY = "CASE turn % 4 WHEN 0 THEN 'Yes, B it is' WHEN 1 THEN 'ok since it fits' WHEN 2 THEN 'please do it for all files here' ELSE substr(text, 1, 40) END"
 
 

@@ -295,7 +295,7 @@ def _(s, sf):
     return view(s, sf, "ev").select("session_id").distinct().withColumn("arm", (F.conv(F.substring(F.sha2("session_id", 256), 2, 1), 16, 10).cast("int") % 2))
 
 
-@query("fair_share", None)
+@query("fair_share", "WITH RECURSIVE c AS (SELECT project AS g, count(*) AS n FROM mem GROUP BY project), k AS (SELECT *, row_number() OVER (ORDER BY n, g) AS i, count(*) OVER () AS every FROM c), t AS (SELECT 0::BIGINT AS i, 120::BIGINT AS rest, NULL::VARCHAR AS g, 0::BIGINT AS n, 0::BIGINT AS take UNION ALL SELECT k.i, rest - least(k.n, rest // (every - k.i + 1)), k.g, k.n, least(k.n, rest // (every - k.i + 1)) FROM t JOIN k ON k.i = t.i + 1) SELECT g, n, take FROM t WHERE i > 0", "mem")
 def _(s, sf):
     return R.fair_share(view(s, sf, "mem").groupBy(F.col("project").alias("g")).agg(F.count(F.lit(1)).alias("n")), 120)
 
@@ -357,9 +357,9 @@ def _(s, sf):
     return lines.where(F.get_json_object("line", "$.record") == F.col("record")).groupBy("record").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("snapshot_manifest", None)
+@query("snapshot_manifest", "SELECT 'region' AS name, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'orders', count(*) FROM orders")
 def _(s, sf):
-    return R.manifest(region=table(s, sf, "region"), nation=table(s, sf, "nation"), orders=table(s, sf, "orders"))
+    return R.manifest(region=table(s, sf, "region"), nation=table(s, sf, "nation"), orders=table(s, sf, "orders")).where("check IS NOT NULL").select("name", "n")
 
 
 def _masked(t: str) -> str:

@@ -67,6 +67,6 @@ def _(s, sf):
     return view(s, sf, "ev").select("id", F.concat(F.lit("["), F.array_join(P.shown_citations(said, shown).cast("array<string>"), ", "), F.lit("]")).alias("cited"))
 
 
-@query("excerpts", None)
+@query("excerpts", r"WITH c AS (SELECT id, text, substr(text, 1, 120) AS c, regexp_extract(substr(text, 1, 120), '(?s)^(.{59,}[.!?;])\s', 1) AS a, regexp_extract(substr(text, 1, 120), '(?s)^(.{60,})\s', 1) AS b FROM ev) SELECT id, CASE WHEN length(text) > 120 THEN rtrim(CASE WHEN a <> '' THEN a WHEN b <> '' THEN b ELSE c END, ' ') || '…' ELSE text END AS excerpt FROM c", "ev")
 def _(s, sf):
     return view(s, sf, "ev").select("id", P.excerpt(F.col("text"), 120).alias("excerpt"))
