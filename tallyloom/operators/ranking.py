@@ -55,6 +55,33 @@ def term_scores(docs: DataFrame, id: str, text: str, terms: DataFrame) -> DataFr
 QUESTIONS = 256
 
 
+def words_in(docs: DataFrame, column: str) -> Column:
+    """A column's words: tokens of a text, or the array that stemmed() made of one."""
+    return F.col(column) if isinstance(docs.schema[column].dataType, T.ArrayType) else tokens(F.col(column))
+
+
+def stemmed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """docs with arrays of stems in place of texts: lower case, without marks, by Porter's rules; each different word of a batch is
+    stemmed once."""
+    from ..functions.stem import stem
+    from ..functions.text import unaccented
+
+    rows = docs.withColumns({c: tokens(unaccented(F.coalesce(F.col(c), F.lit("")))) for c in columns})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = []
+            for name, col in zip(batch.schema.names, batch.columns, strict=True):
+                if name in columns:
+                    words = col.flatten().dictionary_encode()
+                    stems = pa.array([stem(w) for w in words.dictionary.to_pylist()], pa.string())
+                    col = pa.ListArray.from_arrays(pa.array(col.offsets.to_numpy() - (col.offsets[0].as_py() if len(col) else 0), pa.int32()), stems.take(words.indices))
+                cols.append(col)
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def columns_of(text: str | dict[str, float]) -> dict[str, float]:
     """Text columns and their weights."""
     return text if isinstance(text, dict) else {text: 1.0}
@@ -62,7 +89,7 @@ def columns_of(text: str | dict[str, float]) -> dict[str, float]:
 
 def statistics(docs: DataFrame, id: str, text: str | dict[str, float], terms: DataFrame) -> tuple[int, float, dict[str, int]]:
     """Number of documents, their mean length, and document frequencies of the asked terms (q, term)."""
-    sized = docs.select(F.concat(*(tokens(F.col(c)) for c in columns_of(text))).alias("t"))
+    sized = docs.select(F.concat(*(words_in(docs, c) for c in columns_of(text))).alias("t"))
     asked = [r["term"] for r in terms.select("term").distinct().collect()]  # words of a stated set of questions
     own = F.broadcast(terms.select("term").distinct())
     one = sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean")).first()
@@ -95,7 +122,7 @@ def top_scores(docs: DataFrame, id: str, text: str | dict[str, float], terms: Da
         blocks.append((qs, number, np.array([idf_of[t] for t in words]), grid))
     model = docs.sparkSession.sparkContext.broadcast(blocks)
     weights = list(columns_of(text).values())
-    parts = [tokens(F.col(c)) for c in columns_of(text)]
+    parts = [words_in(docs, c) for c in columns_of(text)]
     sizes = F.array(*map(F.size, parts))  # where one column's words end and the next one's begin
     rows = docs.select(F.col(id).alias("doc"), F.concat(*parts).alias("t"), sizes.alias("sizes"), (F.lit(0.0) if age is None else age.cast("double")).alias("age"))
     schema = T.StructType([terms.schema["q"], T.StructField("doc", docs.schema[id].dataType), T.StructField("score", T.DoubleType()), T.StructField("words", T.LongType())])

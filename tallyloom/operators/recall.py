@@ -237,3 +237,13 @@ def ranked_feed(memories: DataFrame, prompts: DataFrame, offset: int, limit: int
     page = a.unionByName(b).orderBy("part", "by", "id").limit(offset + limit)
     return page.withColumn("place", F.row_number().over(W.orderBy("part", "by", "id"))).where(F.col("place") > offset).select("kind", "id", "place")  # a page's rows
 
+
+
+def passage_gate(sources: DataFrame, query: DataFrame, least: float) -> DataFrame:
+    """(q, id, best): sources (id, passages: array of vectors) of which any passage is as close to the query (q, v) as `least`; the
+    queries are a stated set, so each source meets each of them once."""
+    from .vectors import cosine
+
+    p = sources.select("id", F.explode("passages").alias("_p"))
+    best = p.join(F.broadcast(query), F.size("v") == F.size("_p")).groupBy("q", "id").agg(F.round(F.max(cosine(F.col("v"), F.col("_p"))), 6).alias("best"))
+    return best.where(F.col("best") >= least)

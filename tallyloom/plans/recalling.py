@@ -214,3 +214,17 @@ def _(s, sf):
     n, mean, df = R.statistics(p, "id", "text", t)
     few_ = t.where(F.col("term").isin([w for w, d in df.items() if 0 < d < 0.01 * n] or [""]))
     return R.top_scores(p.where("length(text) <= 600"), "id", "text", few_, 3, known=(n, mean, df)).select("q", F.col("doc").alias("id"), "rank")
+
+
+@query("passage_gate", "WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), b AS (SELECT q.id AS q, p.id // 3 AS id, max(round(list_cosine_similarity(q.v, p.v), 6)) AS best FROM v q JOIN v p ON q.id % 100 = 0 GROUP BY ALL) SELECT q, id, best FROM b WHERE best >= 0.3")
+def _(s, sf):
+    v = table(s, sf, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    sources = v.groupBy(F.floor(F.col("id") / 3).alias("id")).agg(F.collect_list("v").alias("passages"))
+    return C.passage_gate(sources, v.where("id % 100 = 0").select(F.col("id").alias("q"), "v"), 0.3)
+
+
+@query("hashed_vectors", rf"SELECT item_id AS id, len({TOK.format('text')}) > 0 AS some, true AS unit FROM benchmark")
+def _(s, sf):
+    v = table(s, sf, "benchmark").select(F.col("item_id").alias("id"), C.hashed_vector(F.col("text"), 16).alias("v"))
+    size = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    return v.select("id", (size > 0).alias("some"), ((F.abs(size - 1) < 1e-9) | (size == 0)).alias("unit"))

@@ -197,3 +197,48 @@ def test_bootstrap_query_has_all_rounds(spark):
     sf = "/root/testdata/sf0.001"
     want = E.bootstrap_auc(quality._scored(spark, sf), "doc_id", "score", "other", "good", rounds=1000).collect()
     assert quality.QUERIES["auc_bootstrap"][0](spark, sf).collect() == want
+
+
+def test_git_as_tables(spark, tmp_path):
+    import subprocess
+
+    from tallyloom.operators import files as P
+    from tallyloom.sources import git as G
+
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
+    run("init", "-q")
+    (tmp_path / "a.txt").write_text("one line of text\ntwo lines of text\n++ odd one here\n")
+    run("add", "."), run("commit", "-qm", "x")
+    (tmp_path / "a.txt").write_text("one line of text\nput between them\ntwo lines of text\n++ odd one here\nand at the end\n")
+    (tmp_path / "b.txt").write_text("another file's line\n")
+    run("add", "."), run("commit", "-qm", "y")
+    (tmp_path / "c.txt").write_text("new")
+    root = str(tmp_path)
+    show = G.said(spark, root, *G.SHOW)
+    added = G.added_lines(show).collect()
+    second = {r["commit"] for r in added if r["path"] == "b.txt"}
+    assert sorted((r["path"], r["line"], r["text"]) for r in added if r["commit"] in second) == [("a.txt", 2, "put between them"), ("a.txt", 5, "and at the end"), ("b.txt", 1, "another file's line")]
+    assert sorted((r["line"], r["text"]) for r in added if r["commit"] not in second) == [(1, "one line of text"), (2, "two lines of text"), (3, "++ odd one here")]
+    log = G.said(spark, root, *G.LOG)
+    assert G.commits(log).count() == 2 and {r["parent"] for r in G.commits(log).collect()} - {None} <= {r["commit"] for r in G.commits(log).collect()}
+    assert sorted((r["path"], r["added"], r["removed"]) for r in G.changes(log).collect()) == [("a.txt", 2, 0), ("a.txt", 3, 0), ("b.txt", 1, 0)]
+    assert [(r["path"], r["how"]) for r in G.state(G.said(spark, root, "status", "--porcelain")).collect()] == [("c.txt", "unknown")]
+    assert G.said(spark, str(tmp_path / "none"), *G.LOG).count() == 0
+    at = next(r["authored"] for r in added)
+    wrote = spark.createDataFrame([("b.txt", "another file's line", at * 1000 - 5, "s1")], "path string, text string, ts long, session_id string")
+    got = P.attribute(G.added_lines(show).drop("root"), wrote).where("session_id IS NOT NULL").collect()
+    assert [(r["path"], r["line"], r["session_id"]) for r in got] == [("b.txt", 1, "s1")]
+
+
+def test_stemmed_bm25_matches_sqlite(spark):
+    docs = [(1, "Running runners ran"), (2, "a run of café houses"), (3, "housing the cafe"), (4, "nothing"), (5, "more of nothing"), (6, "hopping along")]
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE t USING fts5(text, more, tokenize='porter unicode61')")
+    con.executemany("INSERT INTO t(rowid, text, more) VALUES (?, ?, ?)", [(i, t, t[:9]) for i, t in docs])
+    rows = spark.createDataFrame([(i, t, t[:9]) for i, t in docs], "id int, text string, more string")
+    for query in ("run OR house", "cafés", "hops OR running"):
+        want = {r[0]: round(-r[1], 6) for r in con.execute("SELECT rowid, bm25(t, 5.0, 2.0) FROM t WHERE t MATCH ?", (query.replace("é", "e"),))}
+        words = spark.createDataFrame([(1, w) for w in query.split(" OR ")], "q int, w string")
+        terms = R.stemmed(words, ["w"]).select("q", F.explode("w").alias("term"))
+        got = R.top_scores(R.stemmed(rows, ["text", "more"]), "id", {"text": 5.0, "more": 2.0}, terms, 9)
+        assert {r["doc"]: r["score"] for r in got.collect()} == want
