@@ -48,14 +48,14 @@ def window(question: str, now: int, offset_min: int = 0) -> Span | None:
         if 1 <= mo <= 12:
             start = day_start(y, mo, d, offset_min)
             return span(start, now if re.search(r"\bsince\b", text) else start + DAY, m[0])
-    for m in re.finditer(r"\b(?:(\d{1,2})\s+([a-z]{3,})|([a-z]{3,})\s+(\d{1,2}))\b(?:,?\s+(\d{4}))?", text):
-        mo, d = month(m[2] or m[3]), int(m[1] or m[4])
+    for m in re.finditer(r"(?=(\b(?:(\d{1,2})\s+([a-z]{3,})|([a-z]{3,})\s+(\d{1,2}))\b(?:,?\s+(\d{4}))?))", text):  # at every place: "done 1 march"
+        mo, d = month(m[3] or m[4]), int(m[2] or m[5])
         if mo and 1 <= d <= 31:
-            y = int(m[5]) if m[5] else today.year
+            y = int(m[6]) if m[6] else today.year
             start = day_start(y, mo, d, offset_min)
-            if not m[5] and start > now:
+            if not m[6] and start > now:
                 start = day_start(y - 1, mo, d, offset_min)
-            return span(start, now if re.search(r"\bsince\b", text) else start + DAY, m[0])
+            return span(start, now if re.search(r"\bsince\b", text) else start + DAY, m[1])
     if re.search(r"\btoday\b", text):
         return span(at(today), at(today) + DAY, "today")
     if re.search(r"\byesterday\b", text):

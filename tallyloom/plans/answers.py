@@ -81,9 +81,3 @@ def _(s, sf):
     return view(s, sf, "ev").withColumn("t", F.expr(_SAY)).where(O.go_ahead(F.col("t"))).select("id")
 
 
-@query("random_access", "SELECT conv_id, turn, length(text) AS chars FROM conversations JOIN (SELECT DISTINCT doc_id % 50 AS conv_id, doc_id % 4 AS turn FROM documents) USING (conv_id, turn)")
-def _(s, sf):
-    want = table(s, sf, "documents").select((F.col("doc_id") % 50).alias("conv_id"), (F.col("doc_id") % 4).alias("turn")).distinct()
-    return table(s, sf, "conversations").join(want, ["conv_id", "turn"]).select("conv_id", "turn", F.length("text").alias("chars"))
-
-
