@@ -7,6 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+BUCKETS = 1024
+
+
 def recall_metrics(ranks: DataFrame) -> DataFrame:
     """One row from (q, rank): rank of the target, null if it isn't found."""
     hit = lambda k: F.round(F.avg((F.coalesce(F.col("rank"), F.lit(1 << 30)) <= k).cast("double")), 6)
@@ -16,9 +19,15 @@ def recall_metrics(ranks: DataFrame) -> DataFrame:
 def auc(scores: DataFrame, score: str, positive: str) -> DataFrame:
     """(pos, neg, auc): the chance that a positive scores above a negative, ties half, by average ranks.
 
-    Scores are counted first; the window runs over distinct scores."""
+    Scores are counted first, then summed by BUCKETS ranges of equal width: a window runs over the ranges, and one over the distinct
+    scores of each."""
     n = scores.groupBy(score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum((~F.col(positive)).cast("long")).alias("m"))
-    below = F.coalesce(F.sum("m").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ends = scores.agg(F.min(score).cast("double").alias("a"), F.max(score).cast("double").alias("z")).first()
+    wide = ((ends["z"] or 0.0) - (ends["a"] or 0.0)) or 1.0
+    n = n.withColumn("_b", F.floor((F.col(score).cast("double") - (ends["a"] or 0.0)) / wide * BUCKETS))
+    first = n.groupBy("_b").agg(F.sum("m").alias("_m")).withColumn("_f", F.coalesce(F.sum("_m").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_m")
+    n = n.join(F.broadcast(first), "_b")  # BUCKETS rows
+    below = F.col("_f") + F.coalesce(F.sum("m").over(W.partitionBy("_b").orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     won = n.withColumn("w", F.col("p") * (below + F.col("m") / 2.0))
     return won.agg(F.sum("p").alias("pos"), F.sum("m").alias("neg"), F.round(F.sum("w") / (F.sum("p") * F.sum("m")), 6).alias("auc"))
 

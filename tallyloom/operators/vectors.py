@@ -32,15 +32,24 @@ def quantised_dot(query: Column, q: Column, scale: Column) -> Column:
     return F.when(F.size(query) == F.size(q), dot(query, q) * scale).otherwise(-1.0)
 
 
+#: Queries that are compared with all vectors at once.
+QUERIES = 10_000
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(q, id, cosine, rank): the k nearest of (id, v) for each query (q, v), exact; v of unit length.
 
-    Queries are a stated set in one broadcast block; filters on vectors belong before the call, so that rows which don't qualify
-    take no places."""
+    Queries are a stated set, taken in blocks of about QUERIES, each broadcast; filters on vectors belong before the call, so that rows
+    which don't qualify take no places."""
     asked = queries.select("q", F.col("v").alias("qv"))
-    pairs = vectors.join(F.broadcast(asked), F.size("v") == F.size("qv"))
-    scored = pairs.select("q", "id", F.round(dot(F.col("qv"), F.col("v")), 6).alias("cosine"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.col("cosine").desc(), "id"))).where(F.col("rank") <= k)
+    blocks, out = max(1, -(-asked.count() // QUERIES)), None
+    for b in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
+        pairs = vectors.join(F.broadcast(block), F.size("v") == F.size("qv"))
+        scored = pairs.select("q", "id", F.round(dot(F.col("qv"), F.col("v")), 6).alias("cosine"))
+        top = scored.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.col("cosine").desc(), "id"))).where(F.col("rank") <= k)
+        out = top if out is None else out.unionByName(top)
+    return out
 
 
 def passages(text: Column, least: int = 20, width: int = 3, step: int = 2, most: int = 6) -> Column:

@@ -87,6 +87,21 @@ def test_statistics(spark):
     assert k["kappa"] == 1.0
 
 
+def test_auc_over_ranges_and_neighbours_in_blocks(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice([rnd.random() * 1e6, float(rnd.randint(0, 5))]), rnd.random() < 0.4) for _ in range(500)]
+    pos, neg = [x for x, g in rows if g], [x for x, g in rows if not g]
+    want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+    assert abs(E.auc(spark.createDataFrame(rows, "s double, g boolean"), "s", "g").first()["auc"] - want) < 1e-6
+    v = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(60)], "id int, v array<double>")
+    q = v.selectExpr("id AS q", "v")
+    one = sorted(map(tuple, V.nearest(v, q, 3).collect()))
+    monkeypatch.setattr(V, "QUERIES", 7)
+    assert sorted(map(tuple, V.nearest(v, q, 3).collect())) == one
+
+
 def test_session_folds(spark, tmp_path):
     from tallyloom.operators import sessions as S
 
