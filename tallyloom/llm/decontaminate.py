@@ -7,7 +7,7 @@ Items of similar length share a shelf, with lists and passages of their own, so
 
 Posting lists are cut into blocks with their greatest weight.  WAND moves the lists' pivot by the terms' greatest weights,
 then by those of the blocks, and only scores items that can reach the threshold.  Before, running sums of the terms'
-greatest weights rule out passages in which no item could reach it.
+greatest weights, each term once in each half of a passage, rule out passages in which no item could reach it.
 
 A retrieved item is verified on its words in the whole text: question (all but the last sentence) and answer (the last
 sentence) must both overlap by `overlap` of their shingles of five words (fewer words: the whole).
@@ -144,7 +144,9 @@ class _Numbers(dict):
         self.number = number
 
     def __missing__(self, word: str) -> int:
-        t = _OUTER.sub("", word.lower())
+        t = word.lower()
+        if not t.isalnum():
+            t = _OUTER.sub("", t)
         n = self.number.get(t, 0) if t else -1
         if len(self) > 200_000:
             self.clear()
@@ -172,6 +174,7 @@ class Index:
         each = max(1, -(-len(entries) // SHELVES))
         self.shelves = [Shelf([e[:2] for e in part], part[-1][2], len(number) + 1) for part in (entries[i : i + each] for i in range(0, len(entries), each))]
         self.bounds = np.stack([s.bound for s in self.shelves]) if self.shelves else np.zeros((0, 1))
+        self.steps = np.array([[s.longest] for s in self.shelves])  # passages begin at multiples of it and are two steps long
 
     def hits(self, text: str, least: float, overlap: float) -> list[tuple[int, float, float, float]]:
         """(item id, score, question overlap, answer overlap) of the items verified in a text."""
@@ -183,8 +186,14 @@ class Index:
             numbers = numbers[numbers >= 0]
         best: dict[int, float] = {}
         n = len(numbers)
+        order = np.argsort(numbers, kind="stable")
+        again = numbers[order[1:]] == numbers[order[:-1]]
+        before = np.full(n, -1)  # where a word stood last
+        before[order[1:][again]] = order[:-1][again]
+        weights = self.bounds[:, numbers]
+        weights[before >= np.arange(n) // self.steps * self.steps] = 0  # a word counts once in each step of a shelf
         sums = np.zeros((len(self.shelves), n + 1))
-        np.cumsum(self.bounds[:, numbers], axis=1, out=sums[:, 1:])
+        np.cumsum(weights, axis=1, out=sums[:, 1:])
         for shelf, own in zip(self.shelves, sums, strict=True):
             starts = np.arange(0, max(1, n - shelf.longest), shelf.longest)
             ends = np.minimum(starts + 2 * shelf.longest, n)
