@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, distinct_texts, drop_stash, scratch, slices, small, stash, table, text_key
+from .common import arrow_rows, connected_components, distinct_texts, drop_stash, scratch, slices, small, stash, table, text_key
 
 SEED, STEP = 42, 1 << 14
 
@@ -108,7 +108,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SHINGLE, SIMILAR = 5, 0.8  # SIMILAR is 4/5, which the bounds below use as whole numbers
 HOT_SAMPLE, HOT_LEAST, HOT_MOST = 16, 4, 1 << 20
-PARTS = 4
+PARTS, PAIRS = 4, 256  # parts of the comparison, and pairs with their sets in a batch
 #: Classes of a sketch, and shingles below which a text is not judged by it.
 SKETCH, SURE = 128, 256
 
@@ -276,7 +276,8 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     out = None
     for k in range(PARTS):  # one part's sets are on disk at a time
         mine = F.pmod("u", F.lit(PARTS)) == k
-        part = stash(near(likely.where(mine).join(left.where(mine), "u").join(right, "v")), "near-close")
+        with arrow_rows(texts.sparkSession, PAIRS):
+            part = stash(near(likely.where(mine).join(left.where(mine), "u").join(right, "v")), "near-close")
         out = part if out is None else out.union(part)
     drop_stash(shingled)
     return out
