@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from . import ranking as R
 from . import relational as O
+from .index import TextIndex, cut
 
 
 @dataclass(frozen=True)
@@ -89,19 +90,27 @@ def in_scope(memories: DataFrame, seen: DataFrame | None = None, session: str |
     return m if scripted is None else m.join(scripted.select("session_id").distinct(), "session_id", "left_anti")
 
 
-def keyword_rank(memories: DataFrame, scope: DataFrame, prompts: DataFrame, stop_words: tuple[str, ...], limit: int, now: int, weights: dict[str, float], rare: float = 0.10, before: int | None = None) -> DataFrame:
+def keyword_rank(memories: DataFrame, scope: DataFrame, prompts: DataFrame, stop_words: tuple[str, ...], limit: int, now: int, weights: dict[str, float], rare: float = 0.10, before: int | None = None, index: TextIndex | None = None) -> DataFrame:
     """(q, id, rank): the memories in scope that match a prompt best.
 
     A prompt needs a term that under `rare` of all memories have (as of `before`); a memory needs two of its terms as
-    substrings.  Order is by BM25 with column weights, less a point for each 300 days of age."""
-    known = memories if before is None else memories.where(F.coalesce("created_at", F.lit(0)) < before)
-    terms = asked_terms(prompts, stop_words).cache()
-    n, mean, df = R.statistics(known, "id", weights, terms)
-    few = [t for t, d in df.items() if d < rare * max(n, 1)]
-    asks = terms.where(F.col("term").isin(few) if few else F.lit(False)).select("q").distinct()
-    open_ = terms.join(asks, "q", "left_semi")
-    age = (F.lit(now) - F.col("created_at")) / F.lit(2.592e10)
-    best = R.top_scores(scope, "id", weights, open_, limit * 4, age=age, known=(n, mean, df))
+    substrings.  Order is by BM25 with column weights, less a point for each 300 days of age.  index: a stored index of all
+    memories' columns (their times with it); it saves reading the texts, but for what is shown, and knows no `before`."""
+    if index is not None and before is None:
+        terms = cut(asked_terms(prompts, stop_words))
+        df = cut(index.frequencies(terms))
+        rare_ones = terms.join(df, "term", "left").where(F.coalesce("df", F.lit(0)) < F.lit(rare * max(index.size()[0], 1)))
+        open_ = cut(terms.join(rare_ones.select("q").distinct(), "q", "left_semi"))
+        best = cut(index.top(open_, limit * 4, age=(now, 2.592e10), weights=weights, within=scope.select("id"), df=df))
+    else:
+        known = memories if before is None else memories.where(F.coalesce("created_at", F.lit(0)) < before)
+        terms = cut(asked_terms(prompts, stop_words))
+        n, mean, df = R.statistics(known, "id", weights, terms)
+        few = [t for t, d in df.items() if d < rare * max(n, 1)]
+        asks = terms.where(F.col("term").isin(few) if few else F.lit(False)).select("q").distinct()
+        open_ = terms.join(asks, "q", "left_semi")
+        age = (F.lit(now) - F.col("created_at")) / F.lit(2.592e10)
+        best = R.top_scores(scope, "id", weights, open_, limit * 4, age=age, known=(n, mean, df))
     body = F.lower(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in weights)))
     told = best.withColumnRenamed("doc", "id").join(scope.select("id", body.alias("body")), "id").join(open_.groupBy("q").agg(F.collect_list("term").alias("terms")), "q")
     two = F.size(F.filter("terms", lambda t: F.contains(F.col("body"), t))) >= 2
@@ -145,8 +154,10 @@ def search_events(events: DataFrame, terms: DataFrame, k: int, now: int, kinds:
     if order == "relevance":
         age = (F.lit(now) - F.col("ts")) / F.lit(2.592e9)
         return R.top_scores(events, "id", "text", terms, k, age=age).select("q", F.col("doc").alias("id"), "rank")
-    need = terms.groupBy("q").agg(F.collect_set("term").alias("all"))
-    hits = events.select("id", "ts", R.tokens(F.col("text")).alias("t")).join(F.broadcast(need), F.size(F.array_except("all", "t")) == 0)  # a stated set of questions
+    asked = terms.select("q", "term").distinct()
+    need = asked.groupBy("q").agg(F.count(F.lit(1)).alias("need"))
+    words = events.select("id", "ts", F.explode(F.array_distinct(R.tokens(F.col("text")))).alias("term"))
+    hits = words.join(asked, "term").groupBy("q", "id", "ts").agg(F.count(F.lit(1)).alias("n")).join(need, "q").where("n = need")
     rows = hits.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.col("ts").desc(), "id")))
     return rows.where(F.col("rank") <= k).select("q", "id", "rank")
 

@@ -8,7 +8,8 @@ from ..operators import ranking as R
 from ..operators import recall as C
 from ..operators import vectors as V
 from .search import RECALL, STOP, TOK
-from .views import AS_OF, T0, sql, table, view
+from ..operators.index import cut
+from .views import AS_OF, T0, index_of, sql, table, view
 
 QUERIES: dict = {}
 
@@ -43,7 +44,7 @@ def scope(s, sf):
 
 
 def keyword(s, sf):
-    return C.keyword_rank(view(s, sf, "mem"), scope(s, sf), prompts(s, sf), STOP, 10, AS_OF, WEIGHTS)
+    return C.keyword_rank(view(s, sf, "mem"), scope(s, sf), prompts(s, sf), STOP, 10, AS_OF, WEIGHTS, index=index_of(s, sf, "mem"))
 
 
 @query("recall_by_keywords", f"{_KEYWORD} SELECT q, id, rank FROM kw WHERE rank <= 10", "mem", "ev", "logs")
@@ -88,14 +89,8 @@ f AS (SELECT q, id, sum(s) AS score, min(seen) AS seen, max(w) AS w, max(m) AS m
 SELECT q, id, CASE WHEN w + m = 2 THEN 'both' WHEN w = 1 THEN 'words' ELSE 'meaning' END AS label, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, seen, id) AS rank FROM f) WHERE rank <= 10""",
 )
 def _(s, sf):
-    d, t = table(s, sf, "documents"), few(s, sf)
-    age = (F.lit(AS_OF) - (F.lit(T0) + F.col("doc_id") * 3_600_000)) / F.lit(2.592e9)
-    known = R.statistics(d, "doc_id", "text", t)
-    some = R.top_scores(d, "doc_id", "text", t, 20, age=age, known=known).select("q", F.col("doc").alias("id"), "rank")
-    single = t.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
-    every = R.top_scores(d, "doc_id", "text", t.join(single.where("n = 2"), "q").drop("n"), 20, least=2, age=age, known=known)
-    one = R.top_scores(d, "doc_id", "text", t.join(single.where("n = 1"), "q").drop("n"), 20, age=age, known=known)
-    every = every.unionByName(one).select("q", F.col("doc").alias("id"), "rank")
+    hits = cut(index_of(s, sf, "documents").top(few(s, sf), 20, age=(AS_OF, 2.592e9), every=True))
+    some, every = (R.ranked(x, "score", "doc", k=20).select("q", F.col("doc").alias("id"), "rank") for x in (hits, hits.where("words = need")))
     return C.search(every, some, near(s, sf)).where("rank <= 10")
 
 
@@ -113,9 +108,8 @@ def _(s, sf):
 
 
 def _both(s, sf):
-    d, t, e = table(s, sf, "documents"), few(s, sf), view(s, sf, "ev")
-    age = (F.lit(AS_OF) - (F.lit(T0) + F.col("doc_id") * 3_600_000)) / F.lit(2.592e9)
-    m = R.top_scores(d, "doc_id", "text", t, 6, age=age).select("q", F.col("doc").alias("id"), "rank", (F.lit(T0) + F.col("doc") * 3_600_000).alias("at"))
+    t, e = few(s, sf), view(s, sf, "ev")
+    m = index_of(s, sf, "documents").top(t, 6, age=(AS_OF, 2.592e9)).select("q", F.col("doc").alias("id"), "rank", (F.lit(T0) + F.col("doc") * 3_600_000).alias("at"))
     h = C.search_events(e, t, 6, AS_OF, ("prompt", "assistant"), "p").join(e.select("id", F.col("ts").alias("at")), "id").select("q", "id", "rank", "at")
     return m, h
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking as R
 from ..operators import vectors as V
-from .views import AS_OF, T0, sql, table, view
+from .views import AS_OF, T0, index_of, sql, table, view
 
 STOP = ("the", "and", "for", "that", "with", "this", "from")
 D30, D100, D300 = 2.592e9, 8.64e9, 2.592e10
@@ -31,7 +31,7 @@ def scores(spark, sf):
 
 
 def bm25_top5(spark, sf):
-    return R.top_scores(table(spark, sf, "documents"), "doc_id", "text", asked(spark, sf), 5)
+    return index_of(spark, sf, "documents").top(asked(spark, sf), 5)
 
 
 BM25 = f"WITH {SCORES}, r AS (SELECT q, doc, round(sum(s), 6) AS score, count(*) AS words FROM sc GROUP BY q, doc) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS rank FROM r) WHERE rank <= 5"
@@ -39,8 +39,7 @@ BM25 = f"WITH {SCORES}, r AS (SELECT q, doc, round(sum(s), 6) AS score, count(*)
 
 def recency(per):
     def run(spark, sf):
-        age = (F.lit(AS_OF) - (F.lit(T0) + F.col("doc_id") * 3_600_000)) / F.lit(float(per))
-        return R.top_scores(table(spark, sf, "documents"), "doc_id", "text", asked(spark, sf), 10, age=age).drop("words")
+        return index_of(spark, sf, "documents").top(asked(spark, sf), 10, age=(AS_OF, per)).drop("words")
 
     return run, f"WITH {SCORES}, r AS (SELECT q, doc, round(sum(s) - ({AS_OF} - ({T0} + doc * 3600000)) / {per}::DOUBLE, 6) AS score FROM sc GROUP BY q, doc) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc) AS rank FROM r) WHERE rank <= 10"
 
@@ -48,7 +47,7 @@ def recency(per):
 def two_of(spark, sf):
     few = asked(spark, sf)
     few = R.ranked(few.withColumn("n", F.octet_length("term")), "n", "term", k=8).select("q", "term")
-    return R.top_scores(table(spark, sf, "documents"), "doc_id", "text", few, 5, least=2, pairs=True)
+    return index_of(spark, sf, "documents").top(few, 5, least=2, pairs=True)
 
 
 TWO_OF = f"""WITH {SCORES}, few AS (SELECT q, term FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY octet_length(encode(term)) DESC, term) AS n FROM asked) WHERE n <= 8),
@@ -70,8 +69,7 @@ SELECT q, count(*) AS docs, round(max(score), 6) AS best FROM r JOIN need USING
 
 
 def document_frequency(spark, sf):
-    p = R.postings(table(spark, sf, "documents"), "doc_id", "text")
-    return p.join(asked(spark, sf).select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("len").alias("longest"))
+    return index_of(spark, sf, "documents").frequencies(asked(spark, sf))
 
 
 DF = f"WITH {SCORES} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(len) AS longest FROM tf WHERE term IN (SELECT term FROM asked) GROUP BY term"
@@ -79,7 +77,7 @@ DF = f"WITH {SCORES} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(len
 
 def phrases(spark, sf):
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("q"), F.posexplode(F.slice(R.tokens(F.col("text")), 1, 3)).alias("i", "term"))
-    return R.phrase_hits(table(spark, sf, "documents"), "doc_id", "text", items)
+    return index_of(spark, sf, "documents").phrases(items)
 
 
 PHRASES = rf"""WITH d AS (SELECT doc_id AS doc, {TOK.format("text")} AS t FROM documents), w AS (SELECT doc, t, unnest(range(1, len(t) + 1)) AS i FROM d),
@@ -139,7 +137,7 @@ SELECT id, round(scale, 8) AS scale, list_sum(q)::BIGINT AS total, list_max(q)::
 
 def fused(spark, sf):
     """Word ranks and vector ranks of the same ids, fused: items' documents by BM25, and neighbours of the vector of the item's number."""
-    words = R.top_scores(table(spark, sf, "documents"), "doc_id", "text", asked(spark, sf), 20).select("q", F.col("doc").alias("id"), "rank")
+    words = index_of(spark, sf, "documents").top(asked(spark, sf), 20).select("q", F.col("doc").alias("id"), "rank")
     v = _units(spark, sf)
     near = V.nearest(v, v.join(table(spark, sf, "benchmark").select(F.col("item_id").alias("id")), "id").select(F.col("id").alias("q"), "v"), 20)
     return R.fuse((words, 1.0), (near, 0.2)).where("rank <= 10").select("q", "id", F.round("score", 8).alias("score"), "rank")

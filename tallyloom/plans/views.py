@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.index import TextIndex, stored
 
 T0 = 1_704_067_200_000  # 2024-01-01, in ms
 AS_OF = T0 + 200_000 * 3_600_000
@@ -31,6 +34,17 @@ def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.sql(_SPARK[name].replace(f"FROM {_BASE[name]}", "FROM {t}"), t=table(spark, sf, _BASE[name]))
 
 
+def index_of(spark: SparkSession, sf: str, name: str) -> TextIndex:
+    """The stored full-text index of documents, or of memories' titles and narratives."""
+
+    def docs() -> tuple[DataFrame, str, list[str], str]:
+        if name == "mem":
+            return view(spark, sf, "mem"), "id", ["title", "narrative"], "created_at"
+        return table(spark, sf, name).withColumn("at", F.lit(T0) + F.col("doc_id") * 3_600_000), "doc_id", ["text"], "at"
+
+    return stored(spark, name, f"{sf.rstrip('/')}/{_BASE.get(name, name)}.parquet", docs)
+
+
 def _plain_counts(body: str) -> str:
     """count_if(x) as a count of a CASE, which is a long in DuckDB too."""
     out, at = "", 0
