@@ -88,7 +88,7 @@ def per_document(docs: DataFrame, id: str, columns: list[str], at: str | None, b
 
 def posting_rows(each: DataFrame) -> DataFrame:
     """The rows of `postings`, of (block, id, len, col, term, tf, first, places)."""
-    own = F.array_sort(F.collect_list(F.struct("id", "len", "tf", "first", "places")))  # a block's documents at most
+    own = F.sort_array(F.collect_list(F.struct("id", "len", "tf", "first", "places")))  # a block's documents at most
     bounds = [F.count(F.lit(1)).alias("n"), F.count_if("first").alias("fresh"), F.sum("tf").alias("cf"), F.max("tf").alias("most"), F.min("len").alias("shortest"), F.max("len").alias("longest")]
     rows = each.where("term IS NOT NULL").groupBy("block", "term", "col").agg(own.alias("l"), *bounds)
     names = {"ids": "id", "lens": "len", "tfs": "tf", "firsts": "first", "places": "places"}
@@ -121,7 +121,9 @@ class TextIndex:
         if self.columns and self.columns != columns:
             raise ValueError(f"the index has the columns {self.columns}")
         dead = self._dead(docs.select(F.col(id).alias("id"))) if self.segments else {}
-        many = docs.count()
+        many, tasks = docs.count(), self.spark.sparkContext.defaultParallelism
+        docs = docs.select(id, *columns, *([at] if at and at not in (id, *columns) else []))
+        docs = docs.repartition(tasks, id) if docs.rdd.getNumPartitions() < tasks else docs  # a table of few files
         each = per_document(docs, id, columns, at, max(1, math.ceil(many / block)))
         return self._commit(columns, self._alive(dead) + [self._write(each)])
 
@@ -151,7 +153,7 @@ class TextIndex:
         each = self.spark.read.schema(each.schema).parquet(f"{path}/each")
         posting_rows(each).sortWithinPartitions("term", "col", "block").write.options(**keep).parquet(f"{path}/postings")
         one = each.where("first OR term IS NULL").groupBy("block", "id").agg(F.max("len").alias("len"), F.max("at").alias("at"))
-        docs = one.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("id", "len", "at"))).alias("l"))  # a block's documents
+        docs = one.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "len", "at"))).alias("l"))  # a block's documents
         docs.select("block", F.col("l.id").alias("ids"), F.col("l.len").alias("lens"), F.col("l.at").alias("ats"), F.array_max("l.at").alias("newest")).write.options(**keep).parquet(f"{path}/docs")
         store, at = opened(self.spark, f"{path}/each")
         store.delete(at, True)

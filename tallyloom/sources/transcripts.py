@@ -126,6 +126,18 @@ def _lines_of(f, r: dict) -> Iterator[list[dict]]:
         yield out
 
 
+def last_line_end(f, size: int) -> int:
+    """The byte behind the last newline before `size`; 0 if there is none."""
+    at = size
+    while at > 0:
+        begin = max(0, at - (1 << 16))
+        cut = f.read_at(at - begin, begin).rfind(b"\n")
+        if cut >= 0:
+            return begin + cut + 1
+        at = begin
+    return 0
+
+
 def read_lines(spark: SparkSession, root: str) -> DataFrame:
     """LINES of all transcripts below a root; line_no is the offset in bytes."""
     files = listing(spark, find_files(root)[0]).where("size > 0")
@@ -310,7 +322,13 @@ def pi(lines: DataFrame) -> DataFrame:
     return _events(r, found, F.concat(F.lit("pi:"), F.col("sid")))
 
 
-def parse(lines: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
-    """Events of all lines, by the agent of their path (known: folders of the agents, see roots)."""
-    of = agent_of(F.col("source_path"), known)
-    return claude(lines.where(of == "claude")).unionByName(codex(lines.where(of == "codex"))).unionByName(pi(lines.where(of == "pi")))
+ADAPTERS = {"claude": claude, "codex": codex, "pi": pi}
+
+
+def parse(lines: DataFrame, known: dict[str, str] | None = None, agents: list[str] | None = None) -> DataFrame:
+    """Events of all lines, by the agent of their path (known: folders of the agents, see roots; agents: those that have lines)."""
+    of, out = agent_of(F.col("source_path"), known), None
+    for name in ADAPTERS if not agents else [a for a in ADAPTERS if a in agents]:
+        one = ADAPTERS[name](lines.where(of == name))
+        out = one if out is None else out.unionByName(one)
+    return out

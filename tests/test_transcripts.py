@@ -96,9 +96,10 @@ def test_files_grow_and_change(spark, tmp_path):
     assert sorted(r["text"] for r in rows) == ["first wave", "second wave"] and {r["session_id"] for r in rows} == {"codex:tide"}  # the session goes on, the tail waits
     cursor = log.cursors().first()
     assert cursor["generation"] == 0 and cursor["offset"] < os.path.getsize(path) and cursor["turn0"] == 1
-    assert log.lag(root, now=10**14).first()["files"] == 1
+    assert log.lag(root, now=10**14).first()["files"] == 0  # its last line isn't complete
     with open(path, "ab") as f:
         f.write(b"\n")
+    assert tuple(log.lag(root, now=10**14).first()) == (1, os.path.getsize(path) - cursor["offset"])
     log.catch_up(root, now=3000)
     batch = T.parse(T.read_lines(spark, root))
     assert sorted((r["session_id"], r["record_key"], r["text"]) for r in log.events().collect()) == sorted((r["session_id"], r["record_key"], r["text"]) for r in batch.collect())
@@ -138,10 +139,17 @@ def test_sweeps_that_lose_and_sweeps_that_die(spark, tmp_path, monkeypatch):
     assert log.catch_up(root) == 0 and log.events().count() == 1
     assert [(r["reason"], "broken" in r["line"]) for r in log.quarantine().collect()] == [("not a JSON object", True)]
     write(f"{root}/claude/p/red.jsonl", [say("user", 2, "one more", session="red")])
-    numbers = iter([0, 1])  # another sweep commits between this one's begin and its end
-    monkeypatch.setattr(log, "last", lambda: next(numbers, 1))
-    with pytest.raises((ingest.Stale, Exception)):
+    real_parse = T.parse
+
+    def slow(lines, *a):  # another sweep commits between this one's begin and its end
+        monkeypatch.setattr(T, "parse", real_parse)
+        assert ingest.Log(spark, log.out).sweep(root) == 1
+        return real_parse(lines, *a)
+
+    monkeypatch.setattr(T, "parse", slow)
+    with pytest.raises(ingest.Stale):
         log.sweep(root)
+    assert log.last() == 1 and log.events().count() == 2
 
 
 def test_a_budget_of_bytes(spark, tmp_path):
@@ -154,3 +162,105 @@ def test_a_budget_of_bytes(spark, tmp_path):
     assert {r["session_id"] for r in log.events().collect()} == {"claude:s2"}
     log.catch_up(root, most_bytes=500)
     assert log.events().count() == 3
+
+
+def test_two_sweeps_at_once(spark, tmp_path):
+    """Of sweeps that start from the same commit one wins; all records are there once."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "home")
+    write(f"{root}/claude/p/blue.jsonl", [say("user", i, f"said {i}") for i in range(5)])
+
+    def sweep(_):
+        try:
+            return ingest.Log(spark, str(tmp_path / "log")).sweep(root)
+        except ingest.Stale:
+            return None
+
+    with ThreadPoolExecutor(3) as pool:
+        numbers = list(pool.map(sweep, range(3)))
+    log = ingest.Log(spark, str(tmp_path / "log"))
+    assert numbers.count(0) == 1 and log.last() == 0 and log.events().count() == 5
+
+
+def test_runs_are_merged(spark, tmp_path):
+    root, log = str(tmp_path / "home"), ingest.Log(spark, str(tmp_path / "log"))
+    path = f"{root}/claude/p/blue.jsonl"
+    for i in range(5):
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "ab") as f:
+            f.write((json.dumps(say("user", i, f"said {i}")) + "\n").encode())
+        log.sweep(root, now=i)
+    state = log.commits.last()[1]
+    assert len(state["events"]) == 5 and [r["rows"] for r in state["sessions"]] == [1] and [r["rows"] for r in state["cursors"]] == [1]  # what is superseded is out of the way
+    before = sorted(map(tuple, log.events().collect()))
+    log.compact()
+    assert len(log.commits.last()[1]["events"]) == 1 and sorted(map(tuple, log.events().collect())) == before
+    assert log.compact() == log.last()
+
+
+def brief(rows):
+    """All but the line: of a record that stands twice a batch read has the first, a log the latest."""
+    return sorted((r["session_id"] or "", r["record_key"], r["kind"], r["text"], r["source_path"]) for r in rows.collect())
+
+
+def test_stream(spark, tmp_path, monkeypatch):
+    """Small batches, killed before and after a commit, growth, a rewritten and a missing file: the rows are those of a batch read."""
+    root, out, checkpoint = str(tmp_path / "home"), str(tmp_path / "log"), str(tmp_path / "cp")
+    log, codex = ingest.Log(spark, out), f"{root}/codex/s/r.jsonl"
+    task = {"timestamp": stamp(1), "type": "event_msg", "payload": {"type": "task_started", "turn_id": "a"}}
+    write(codex, [{"timestamp": stamp(0), "type": "session_meta", "payload": {"id": "tide"}}, task, said(2, "wave 2"), said(3, "wave 2"), task, said(4, "wave 2"), *[said(n, f"wave {n}") for n in range(5, 12)]])
+    for i in range(3):
+        write(f"{root}/claude/p/s{i}.jsonl", [say("user", n, f"text {n}", session=f"s{i}") for n in range(4)] + [b"\xff broken"])
+    real = ingest.Log._batch
+    calls = []
+
+    def dies(self, *a):
+        calls.append(1)
+        if len(calls) == 3:
+            raise OSError("killed before its commit")
+        return real(self, *a)
+
+    monkeypatch.setattr(ingest.Log, "_batch", dies)
+    put = log.commits.put
+    kills = iter([False, True, *[False] * 50])
+
+    def after(number, state):
+        made = put(number, state)
+        if next(kills):
+            raise OSError("killed after its commit")
+        return made
+
+    monkeypatch.setattr(log.commits, "put", after)
+    ended = 0
+    for _ in range(8):
+        query = log.stream(root, checkpoint, most_bytes=1200)
+        try:
+            query.processAllAvailable()
+            ended += 1
+            break
+        except Exception:
+            continue
+        finally:
+            query.stop()
+    assert ended == 1 and len(calls) > 3 and log.last() > 1
+    monkeypatch.undo()
+    batch = lambda: brief(T.parse(T.read_lines(spark, root)))
+    assert brief(log.events()) == batch()
+    assert log.quarantine().count() == 3
+    with open(codex, "ab") as f:
+        f.write((json.dumps(said(20, "wave 2")) + "\n" + json.dumps(said(21, "not yet"))).encode())
+    turn = log.run(root, checkpoint, str(tmp_path / "backups"), now=10**14)
+    assert brief(log.events()) == batch() and {"read", "missing", "merged", "health", "backup"} == set(turn)
+    health = log.table("health").rows().first()
+    assert (health["files_behind"], health["missing"], health["quarantined"], health["backup_age"]) == (0, 0, 3, None)  # the tail isn't a line yet
+    os.remove(f"{root}/claude/p/s0.jsonl")
+    body = open(f"{root}/claude/p/s1.jsonl", "rb").read().replace(b"text 3", b"next 3")
+    open(f"{root}/claude/p/s1.jsonl", "wb").write(body)
+    os.utime(f"{root}/claude/p/s1.jsonl", (2_000_000_000, 2_000_000_000))
+    turn = log.run(root, checkpoint, str(tmp_path / "backups"), now=10**14 + 1000)
+    assert "health" not in turn and "backup" not in turn
+    texts = {(r["session_id"], r["text"]) for r in log.events().collect()}
+    assert ("claude:s1", "next 3") in texts and ("claude:s1", "text 3") not in texts and ("claude:s0", "text 3") in texts
+    assert [r["source_path"][-8:] for r in log.cursors().where("missing_since IS NOT NULL").collect()] == ["s0.jsonl"]
+    assert spark.read.parquet(f"{tmp_path}/backups/{10**14:015d}/events").count() == len(batch()) + 4
