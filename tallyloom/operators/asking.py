@@ -155,6 +155,20 @@ def reports_on(text: str, at: int, offset_min: int = 0) -> int | None:
     return day.start if day and day.label == "yesterday" else None
 
 
+def days_reported(text: Column, at: Column, offset_min: Column | None = None) -> Column:
+    """`reports_on` as a column."""
+    low = F.lower(F.substring(text, 1, 240))
+    places = F.filter(F.array(*(F.instr(low, w) for w in REPORT_WORDS)), lambda i: i > 0)
+    dated = lambda w: F.when(w["label"].rlike("[0-9]") & ~w["label"].startswith("last") & ~w["label"].startswith("past"), w["start"])
+    yesterday = lambda w: F.when(w["label"] == "yesterday", w["start"])
+
+    def read(tail: Column) -> Column:
+        named = when.windows(F.replace(tail, F.lit("yesterday"), F.lit("")), at, offset_min)
+        return F.coalesce(when.bound(named, dated), when.bound(when.windows(tail, at, offset_min), yesterday))
+
+    return F.when(F.size(places) > 0, when.bound(F.substring(low, F.array_min(places), F.lit(240)), read))
+
+
 def overlaps(day: Column, start: int, end: int) -> Column:
     return (day + DAY > start) & (day < end)
 

@@ -3,58 +3,113 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import relational as R
 
 
+def folded(rows: DataFrame, key: str, order: str, value: str, fold: Callable[[], Callable], out: T.StructField | None) -> DataFrame:
+    """rows with what a fold gives for each value, in the order of each key (ties by value); with no column for it, the rows that
+    it keeps.
+
+    A task reads its sorted rows as they come and holds the fold's state alone, whatever a key's size."""
+    schema = T.StructType([*rows.schema.fields, out]) if out else rows.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, step = None, None
+        for batch in batches:
+            got = []
+            for k, v in zip(batch.column(key).to_pylist(), batch.column(value).to_pylist(), strict=True):
+                if step is None or k != now:
+                    now, step = k, fold()
+                got.append(step(v))
+            if out is None:
+                yield batch.filter(pa.array(got, pa.bool_()))
+            else:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, to_arrow_type(out.dataType))], names=schema.names)
+
+    return rows.repartition(key).sortWithinPartitions(key, order, value).mapInArrow(run, schema)
+
+
 def chunk_turns(turns: DataFrame, key: str, order: str, size: str, most: int = 16_000) -> DataFrame:
-    """(key, order, chunk): turns packed in order into chunks of at most `most` bytes; a larger turn has one of its own.
+    """(key, order, chunk): turns packed in order into chunks of at most `most` bytes; a larger turn has one of its own."""
 
-    A fold over one session at a time; only numbers reach Python."""
-    rows = turns.select(key, order, size)
+    def pack() -> Callable[[int], int]:
+        chunk = held = 0
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, chunk, held, out = pdf.sort_values(order), 0, 0, []
-        for n in pdf[size]:
+        def step(n: int) -> int:
+            nonlocal chunk, held
             if held and held + n > most:
                 chunk, held = chunk + 1, 0
             held += n
-            out.append(chunk)
-        return pd.DataFrame({key: pdf[key], order: pdf[order], "chunk": out})
+            return chunk
+
+        return step
 
-    return rows.groupBy(key).applyInPandas(pack, f"{key} {rows.schema[key].dataType.simpleString()}, {order} {rows.schema[order].dataType.simpleString()}, chunk int")
+    return folded(turns.select(key, order, size), key, order, size, pack, T.StructField("chunk", T.IntegerType())).drop(size)
 
 
 def ring_dedupe(rows: DataFrame, key: str, order: str, value: str, size: int = 32) -> DataFrame:
     """Rows whose value isn't among the last `size` different ones of their key."""
-    schema = rows.schema
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        ring: deque = deque(maxlen=size)
-        pdf = pdf.sort_values(order)
-        keep = []
-        for v in pdf[value]:
-            keep.append(v not in ring)
-            if keep[-1]:
-                ring.append(v)
-        return pdf[keep]
-
-    return rows.groupBy(key).applyInPandas(fold, schema)
-
-
-def balanced_split(sizes: list[tuple[str, int]]) -> dict[str, int]:
-    """Sessions, largest first (then by name), each to the smaller half; a driver-side step over a few counts."""
-    totals, out = [0, 0], {}
-    for name, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        half = int(totals[1] < totals[0])
-        totals[half] += n
-        out[name] = half
-    return out
+
+    def ring() -> Callable:
+        held: deque = deque(maxlen=size)
+
+        def step(v) -> bool:
+            new = v not in held
+            if new:
+                held.append(v)
+            return new
+
+        return step
+
+    return folded(rows, key, order, value, ring, None)
+
+
+def balanced(sizes: DataFrame, key: str, n: str) -> DataFrame:
+    """(key, half): the largest first (then by key), each to the smaller half, the first one if they are even.
+
+    Only the different sizes (at most twice the square root of their sum) are walked through: a run of equal sizes first goes to the
+    smaller half until the halves' order turns, then to each in turn, so that what its k-th key gets is a formula of k."""
+    runs = sizes.groupBy(F.col(n).alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.col("n").desc())
+    a = b = 0
+    rules = []
+    for r in runs.collect():
+        size, count = r["n"] or 0, r["c"]
+        side = int(b < a)  # the smaller half takes keys until it is not
+        low, high = (b, a) if side else (a, b)
+        if size == 0:
+            lead = count
+        elif side:
+            lead = min(count, -(-(high - low) // size))
+        else:
+            lead = min(count, (high - low) // size + 1)
+        rest = count - lead
+        rules.append((r["n"], side, lead))
+        gain = [0, 0]
+        gain[side] += size * lead
+        a, b = a + gain[0], b + gain[1]
+        for i in range(min(rest, 2)):  # which half the next two take; from then on they alternate
+            to = int(b < a)
+            rules[-1] = (*rules[-1], to)
+            a, b = (a + size, b) if to == 0 else (a, b + size)
+        if rest > 2:
+            pairs, odd = divmod(rest - 2, 2)
+            a, b = a + pairs * size, b + pairs * size
+            if odd:
+                a, b = (a + size, b) if rules[-1][3] == 0 else (a, b + size)
+        rules[-1] = (*rules[-1], *[None] * (5 - len(rules[-1])))
+    plan = sizes.sparkSession.createDataFrame(rules, "n long, side int, lead long, third int, fourth int")
+    order = sizes.withColumn("i", F.row_number().over(W.partitionBy(n).orderBy(key)) - 1).withColumnRenamed(n, "n")
+    turn = F.when((F.col("i") - F.col("lead")) % 2 == 0, F.col("third")).otherwise(F.col("fourth"))
+    return order.join(plan, order["n"].eqNullSafe(plan["n"])).select(key, F.when(F.col("i") < F.col("lead"), F.col("side")).otherwise(turn).cast("int").alias("half"))
 
 
 def shrink(sections: dict[str, list[str]], order: list[str], most: int, floor: int = 10) -> dict[str, list[str]]:

@@ -27,14 +27,6 @@ def query(name: str, sql_text: str | None, *names: str):
 # ---- files and lines
 
 
-@query("path_placement", r"SELECT * FROM (VALUES (1, 'exact'), (2, 'no'), (3, 'exact'), (4, 'no'), (5, 'exact'), (6, 'ending'), (7, 'no'), (8, 'no'), (9, 'exact'), (10, 'no'), (11, 'exact')) AS t(id, how)")
-def _(s, sf):
-    rows = [(1, "/w/app/src/a.py", None), (2, "/w/app/lib/a.py", None), (3, "/home/z/App/src/a.py", None), (4, "/home/z/other/src/a.py", None), (5, "a.py", "/w/app/src"), (6, "x/src/a.py", None), (7, "a.py", None), (8, "", None), (9, "p/x/src/a.py", None), (10, "q/p/x/src/a.py", None), (11, "../src/./a.py", "/w/app/lib")]
-    d = s.createDataFrame(rows, "id int, path string, cwd string")
-    rel = F.when(F.col("id").isin(6, 9, 10), "p/x/src/a.py").otherwise("src/a.py")
-    return d.select("id", P.placement(F.col("path"), F.col("cwd"), F.lit("/w/app"), rel, F.array(F.lit("app"))).alias("how"))
-
-
 _URL = r"regexp_extract(url, '://[^/]+(/[^?#]*)', 1)"
 
 
@@ -106,12 +98,6 @@ def _(s, sf):
     return P.edit_samples(ev2(s, sf).withColumn("cwd", F.lit("src")), 20, "seed")
 
 
-@query("projects_resolved", "SELECT * FROM (VALUES (1, 'h.org/t/app'), (2, 'h.org/t/app#app2'), (3, '/w/x'), (4, '/w/y')) AS t(id, project)")
-def _(s, sf):
-    d = s.createDataFrame([(1, "git@h.org:t/App.git", "/w/app/", "/w/app"), (2, "https://u@h.org/t/app", "/w/app2", "/w/app2/src"), (3, None, "/w/x", "/w/x/y"), (4, "", None, "/w/y")], "id int, origin string, root string, cwd string")
-    return d.select("id", P.project_of(F.col("origin"), F.col("root"), F.col("cwd")).alias("project"))
-
-
 # ---- life of the record
 
 
@@ -226,13 +212,6 @@ def _(s, sf):
     return out.where(F.get_json_object("line", "$.record") == F.col("record")).groupBy("record").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("settings_diff", "SELECT * FROM (VALUES ('a.b.c', '2', '3', false), ('d', NULL, 'x', false), ('a.api_key', '[redacted]', '[redacted]', true), ('list', '[1,2]', '[1,3]', false)) AS t(path, a, b, sensitive)")
-def _(s, sf):
-    a = s.createDataFrame([('{"a": {"b": {"c": 2, "z": {}}, "api_key": "k1"}, "e": 5, "list": [1, 2]}',)], "j string")
-    b = s.createDataFrame([('{"a": {"b": {"c": 3, "z": {}}, "api_key": "k2"}, "e": 5, "d": "x", "list": [1, 3]}',)], "j string")
-    return L.settings_diff(a, b, "j")
-
-
 # ---- trials
 
 

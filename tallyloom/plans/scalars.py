@@ -25,11 +25,6 @@ def _values(items) -> str:
 _MODELS = ("claude-x", "proxy/gpt-9", "o3-mini", "opus", "team/gemini-1", "codex-2", "other/thing")
 
 
-@query("model_ids", f"SELECT x, CASE WHEN regexp_matches(b, '^claude') THEN 'anthropic/' || b WHEN regexp_matches(b, '^(gpt|codex|o[0-9])') THEN 'openai/' || b WHEN regexp_matches(b, '^gemini') THEN 'google/' || b ELSE x END AS id FROM (SELECT x, string_split(x, '/')[-1] AS b FROM {_values(_MODELS)})")
-def _(s, sf):
-    return s.createDataFrame([(x,) for x in _MODELS], "x string").select("x", P.model_id(F.col("x")).alias("id"))
-
-
 @query("record_ids", "SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || CASE WHEN substr(h, 17, 1) IN ('0','4','8','c') THEN '8' WHEN substr(h, 17, 1) IN ('1','5','9','d') THEN '9' WHEN substr(h, 17, 1) IN ('2','6','a','e') THEN 'a' ELSE 'b' END || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM (SELECT doc_id, sha256('tallyloom-record:' || doc_id) AS h FROM documents)")
 def _(s, sf):
     return table(s, sf, "documents").select("doc_id", P.record_id(F.col("doc_id").cast("string")).alias("id"))
@@ -42,19 +37,9 @@ def _any(words) -> str:
     return "(" + " OR ".join(f"contains(lower(x), '{w}')" for w in words) + ")"
 
 
-@query("failure_actions", f"SELECT x, CASE WHEN {_any(P.SIGN_IN)} THEN 'sign_in' ELSE 'next_model' END AS action, CASE WHEN {_any(P.SIGN_IN)} THEN NULL WHEN {_any(P.QUOTA)} THEN 30 WHEN {_any(P.MODEL)} THEN 360 ELSE 5 END AS wait_min FROM {_values(_FAILED)}")
-def _(s, sf):
-    return s.createDataFrame([(x,) for x in _FAILED], "x string").withColumn("f", P.failure(F.col("x"))).select("x", "f.action", "f.wait_min")
-
-
 _NAMES = ("team-a", " /x.y/ ", "no spaces here", "", "a" * 41)
 
 
-@query("merge_prefixes", f"SELECT x, CASE WHEN regexp_full_match(p, '[A-Za-z0-9._-]{{1,40}}') THEN p END AS prefix, CASE WHEN d = '' THEN 'team' ELSE d END AS fallback FROM (SELECT x, regexp_replace(trim(x), '^/+|/+$', '', 'g') AS p, substr(regexp_replace(x, '[^A-Za-z0-9._-]', '', 'g'), 1, 40) AS d FROM {_values(_NAMES)})")
-def _(s, sf):
-    return s.createDataFrame([(x,) for x in _NAMES], "x string").select("x", P.merge_prefix(F.col("x")).alias("prefix"), P.default_prefix(F.col("x")).alias("fallback"))
-
-
 @query("survival_phrases", "SELECT doc_id, CASE WHEN k * 5 >= o * 4 THEN 'intact' WHEN k * 5 >= o THEN k || ' of ' || o ELSE 'gone' END AS left_over FROM (SELECT doc_id, n_chars % 10 AS k, 10 AS o FROM documents)")
 def _(s, sf):
     return table(s, sf, "documents").select("doc_id", P.survival(F.col("n_chars") % 10, F.lit(10)).alias("left_over"))

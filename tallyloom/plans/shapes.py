@@ -1,79 +1,13 @@
-"""Functions on stated cases: inputs go through the function, the SQL holds what must come out."""
+"""Records by place in a file, lookups in order, halves of like size."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import records as P
-from ..functions import text as X
-from ..functions import when
-from ..operators import asking as A
-from ..operators import relational as O
 from ..operators import sessions as S
-from ..sources import transcripts as T
 from .views import sql, table, view
 
 QUERIES: dict = {}
-NOW = 1_710_500_000_000  # Friday, 15 March 2024, 10:53:20 UTC
-
-
-def _lit(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, (int, float)) and not isinstance(v, bool):
-        return str(v)
-    return "'" + str(v).replace("'", "''") + "'"
-
-
-def cases(name: str, fn, rows: list[tuple], kind: str = "string") -> None:
-    """A query of (id, result) of a column function over its cases (input, wanted)."""
-
-    def run(s, sf):
-        d = s.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "id int, x string")
-        return d.select("id", fn(F.col("x")).cast(kind).alias("result"))
-
-    cast = {"string": "VARCHAR", "long": "BIGINT", "boolean": "BOOLEAN"}[kind]
-    QUERIES[name] = (run, "SELECT id, result::" + cast + " AS result FROM (VALUES " + ", ".join(f"({i}, {_lit(w)})" for i, (_, w) in enumerate(rows)) + ") AS t(id, result)")
-
-
-def asked(name: str, fn, rows: list[tuple]) -> None:
-    """The same for functions of one question, which run on the driver."""
-
-    def run(s, sf):
-        return s.createDataFrame([(i, fn(x)) for i, (x, _) in enumerate(rows)], "id int, result long")
-
-    QUERIES[name] = (run, "SELECT id, result::BIGINT AS result FROM (VALUES " + ", ".join(f"({i}, {_lit(w)})" for i, (_, w) in enumerate(rows)) + ") AS t(id, result)")
-
-
-D = 86_400_000
-MAR1, MAR14, MAR15 = 1_709_251_200_000, 1_710_374_400_000, 1_710_460_800_000
-
-cases("clean_texts", lambda c: X.clean(c, 30), [("  hello there  ", "hello there"), ("a token = 0123456789abcdef", "a token = [redacted]"), ("x" * 40, "x" * 30 + "…"), ("w " * 40_000 + "<private>p</private>", "w " * 15 + "…"), ("w " * 40_000, "w " * 15 + "…"), (None, None)])
-cases("error_digests", lambda c: X.error_digest(c, 1, 2, 40), [("a\n\nb\nc\nd\ne", "a\n…\nd\ne"), ("one\ntwo", "one\ntwo"), ("l" * 300, "l" * 40 + "…"), ("", "")])
-cases("tails", lambda c: X.tail_lines(c, 2, 10), [("a\nb\nc", "b\nc"), ("only", "only"), ("x\n" + "y" * 20, "…" + "y" * 10)])
-cases("pasted_blocks", P.strip_pasted, [("a <pasted_content id=1>xé</pasted_content> b", "a [pasted 3 chars] b"), ("<pasted_content>no end", "[pasted 6+ chars]"), ("plain", "plain")])
-cases("times_read", X.parse_ts, [("2024-03-15T00:00:00Z", MAR15), ("2024-03-15T02:00:00+02:00", MAR15), ("2024-03-15 00:00:00.123456", MAR15 + 123), ("2024-03-15", None), ("not a time, surely not", None), (None, None)], "long")
-cases("excerpts_cut", lambda c: P.excerpt(c, 20), [("short", "short"), ("One two three. Four five six", "One two three.…"), ("alpha beta gamma delta epsilon", "alpha beta gamma…"), ("abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrst…")])
-cases("prompts_classified", lambda c: F.concat_ws("|", T.classify_prompt(c, ("^auto:",))["text"], F.coalesce(T.classify_prompt(c, ("^auto:",))["label"], F.when(T.classify_prompt(c, ("^auto:",)).isNotNull(), F.lit("-")))), [
-    ("fix the gate", "fix the gate|-"), ("  ", ""), ("[Request interrupted by user]", ""), ("<reminder>only wrapped</reminder>", ""), ("<command-name>/go</command-name><command-args> now </command-args>", "/go now|-"), ("<command-name>/go</command-name>", "/go|-"),
-    ("⁣from afar", "from afar|harness"), ("<file name=x>", "<file name=x>|harness"), ("auto: nightly", "auto: nightly|harness"), ("<pasted_content>zz</pasted_content>", "[pasted 2 chars]|-"),
-])
-cases("errors_classified", X.error_class, [
-    ("The user doesn't want to proceed with this tool use", None), ("String to replace not found in file", "edit_mismatch"), ("2 tests FAILED", "test_fail"), ("2 tests failed to compile", "test_fail"), ("an assertion", "nonzero_exit"), ("AssertionError: 1", "test_fail"), ("bash: x: command not found", "not_found"),
-    ("file not found", "nonzero_exit"), ("Timed out after 5 s", "timeout"), ("Error: no", "error"), ("exit 2", "nonzero_exit"), ("Patch failed: timeout", "edit_mismatch"),
-])
-cases("inputs_in_brief", P.brief, [('{"a": "x", "n": 3, "o": {"p": 1}, "l": [1]}', "a=x n=3"), ('"' + "q" * 210 + '"', "q" * 200 + "…"), ("[1]", ""), ("{}", "")])
-cases("remotes", X.remote_id, [("git@h.org:T/Repo.git", "h.org/t/repo"), ("https://u:p@h.org/t/repo/", "h.org/t/repo"), ("ssh://git@h.org:22/t/r.git", "h.org:22/t/r"), ("h.org/t/r", "h.org/t/r")])
-cases("paths_cleaned", lambda c: F.array_join(X.clean_parts(c), "/"), [("/a/./b/../c\\d", "a/c/d"), ("~/x//y", "x/y"), ("../z", "z"), ("", "")])
-cases("tools_named", X.canonical_tool, [("Bash", "shell"), ("exec_command", "shell"), ("NotebookEdit", "edit"), ("MultiEdit", "edit"), ("create", "write"), ("View", "read"), ("WebFetch", "webfetch")])
-cases("side_threads", T.thread_of, [("/r/p/subagents/one.jsonl", "one"), ("/r/p/subagents/wf/deep/two.jsonl", "two"), ("/r/p/main.jsonl", None)])
-cases("agents_of_paths", lambda c: T.agent_of(c, {"/h/.claude": "claude", "/h/.claude/odd": "pi", "/h/.codex": "codex"}), [("/h/.claude/p/x.jsonl", "claude"), ("/h/.claude/odd/x.jsonl", "pi"), ("/h/.codex/x.jsonl", "codex"), ("/h/.claudex/x.jsonl", None)])
-cases("go_ahead_texts", O.go_ahead, [("B", "true"), ("A please", "true"), ("ok let's do AGPL", "true"), ("yes because it is small", "false"), ("go?", "false"), ("", "false"), ("rename all of the old modules", "false")], "boolean")
-asked("window_starts", lambda q: (w := when.window(q, NOW)) and w.start, [("what did I do today", MAR15), ("yesterday", MAR14), ("on 2024-03-01", MAR1), ("1 march", MAR1), ("last week", MAR15 - 11 * D), ("this week", MAR15 - 4 * D), ("last month", MAR1 - 29 * D), ("past 3 days", NOW - 3 * D), ("20 december", 1_703_030_400_000), ("how", None)])
-asked("window_ends", lambda q: (w := when.window(q, NOW)) and w.end, [("today", NOW), ("yesterday", MAR15), ("since 2024-03-01", NOW), ("on 2024-03-01", MAR1 + D), ("last week", MAR15 - 4 * D), ("last month", MAR1), ("how", None)])
-asked("months", when.month, [("sep", 9), ("agu", 8), ("maret", 3), ("ma", None), ("xyz", None), ("mei", 5)])
-asked("reports_on_days", lambda t: A.reports_on(t, NOW), [("Update for yesterday, 13 march", MAR14 - D), ("recap of yesterday", MAR14), ("done 1 march", MAR1), ("yesterday", None), ("all is well", None)])
-
 
 def _raw(s, sf):
     c = table(s, sf, "conversations").select("conv_id", "turn", F.concat(F.lit('{"t":"'), "turn", F.lit('"}'), F.coalesce("text", F.lit(""))).alias("line"))
@@ -105,8 +39,7 @@ QUERIES["lookup_in_order"] = (lookup_in_order, sql("SELECT rank, id, type, title
 
 def balanced_split(s, sf):
     """Sessions in two halves, the largest first, each to the smaller half."""
-    sizes = [(r["session_id"], r["n"]) for r in view(s, sf, "ev").groupBy("session_id").agg(F.sum("turn").alias("n")).orderBy("session_id").limit(40).collect()]  # a trial's few sessions
-    return s.createDataFrame(list(S.balanced_split(sizes).items()), "session_id string, half int")
+    return S.balanced(view(s, sf, "ev").groupBy("session_id").agg(F.sum("turn").alias("n")), "session_id", "n")
 
 
-QUERIES["balanced_split"] = (balanced_split, sql("WITH RECURSIVE c AS (SELECT session_id, sum(turn)::BIGINT AS n FROM ev GROUP BY session_id ORDER BY session_id LIMIT 40), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, session_id) AS i FROM c), t AS (SELECT 0::BIGINT AS i, 0::BIGINT AS a, 0::BIGINT AS b, NULL::VARCHAR AS session_id, 0 AS half UNION ALL SELECT k.i, CASE WHEN b < a THEN a ELSE a + n END, CASE WHEN b < a THEN b + n ELSE b END, k.session_id, CASE WHEN b < a THEN 1 ELSE 0 END FROM t JOIN k ON k.i = t.i + 1) SELECT session_id, half FROM t WHERE i > 0", "ev"))
+QUERIES["balanced_split"] = (balanced_split, sql("WITH RECURSIVE c AS (SELECT session_id, sum(turn)::BIGINT AS n FROM ev GROUP BY session_id), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, session_id) AS i FROM c), t AS (SELECT 0::BIGINT AS i, 0::BIGINT AS a, 0::BIGINT AS b, NULL::VARCHAR AS session_id, 0 AS half UNION ALL SELECT k.i, CASE WHEN b < a THEN a ELSE a + n END, CASE WHEN b < a THEN b + n ELSE b END, k.session_id, CASE WHEN b < a THEN 1 ELSE 0 END FROM t JOIN k ON k.i = t.i + 1) SELECT session_id, half FROM t WHERE i > 0", "ev"))

@@ -109,7 +109,18 @@ def test_session_folds(spark, tmp_path):
     assert [r["chunk"] for r in S.chunk_turns(turns, "s", "t", "n", 18).orderBy("t").collect()] == [0, 0, 1, 2, 3]
     rows = spark.createDataFrame([("a", i, v) for i, v in enumerate("xyxzx")], "s string, t int, v string")
     assert [r["t"] for r in S.ring_dedupe(rows, "s", "t", "v", 2).orderBy("t").collect()] == [0, 1, 3, 4]
-    assert S.balanced_split([("a", 5), ("b", 5), ("c", 9), ("d", 1)]) == {"c": 0, "a": 1, "b": 1, "d": 0}
+    import random
+
+    rnd = random.Random(3)
+    for top in (3, 9, 40):
+        sizes = [(f"k{i:03d}", rnd.randrange(top)) for i in range(120)]
+        halves, want = [0, 0], {}
+        for name, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
+            want[name] = int(halves[1] < halves[0])
+            halves[want[name]] += n
+        assert {r["k"]: r["half"] for r in S.balanced(spark.createDataFrame(sizes, "k string, n long"), "k", "n").collect()} == want
+    long = spark.range(300_000).selectExpr("'one' AS s", "id AS t", "id % 7 AS n")
+    assert S.chunk_turns(long, "s", "t", "n", 50).agg(F.max("chunk")).first()[0] == S.chunk_turns(long.where("t < 0").unionByName(long), "s", "t", "n", 50).agg(F.count_distinct("chunk")).first()[0] - 1
     cut = S.shrink({"o": ["x" * 10] * 40, "t": ["y" * 10] * 5}, ["o", "t"], 120)
     assert len(cut["o"]) == 10 and len(cut["t"]) == 2
     bad = spark.createDataFrame([("s", "not json"), ("t", '{"observations": [{"type": "new", "title": "x"}]}')], "session_id string, reply string")
