@@ -426,17 +426,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(spark: SparkSession, name: str, path: str, docs: Callable[[], tuple[DataFrame, str, list[str], str | None]]) -> TextIndex:
-    """The index of a table's texts, kept in the shared folder and built where there is none for its files as they are now.
-
-    docs: what `add` takes."""
+def kept_folder(spark: SparkSession, name: str, path: str) -> str:
+    """The folder, below the shared one, for what is made of a table's files as they are now."""
     store, at = opened(spark, path)
     files = store.listFiles(at, True)
     said = [name, path]
     while files.hasNext():
         f = files.next()
         said += [f.getPath().toString(), str(f.getLen()), str(f.getModificationTime())]
-    index = TextIndex(spark, f"{shared_dir(spark)}/index-{name}-{hashlib.sha256(chr(10).join(said).encode()).hexdigest()[:16]}")
+    return f"{shared_dir(spark)}/index-{name}-{hashlib.sha256(chr(10).join(said).encode()).hexdigest()[:16]}"
+
+
+def stored(spark: SparkSession, name: str, path: str, docs: Callable[[], tuple[DataFrame, str, list[str], str | None]]) -> TextIndex:
+    """The index of a table's texts, kept in the shared folder and built where there is none for its files as they are now.
+
+    docs: what `add` takes."""
+    index = TextIndex(spark, kept_folder(spark, name, path))
     if index.number >= 0:
         return index
     try:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking as R
 from ..operators import vectors as V
-from .views import AS_OF, T0, index_of, sql, table, view
+from .views import AS_OF, T0, index_of, neighbours_of, sql, table, view
 
 STOP = ("the", "and", "for", "that", "with", "this", "from")
 D30, D100, D300 = 2.592e9, 8.64e9, 2.592e10
@@ -122,6 +122,13 @@ def knn_filtered(spark, sf):
     return V.nearest(v.where("label % 2 = 0"), v.where("id % 50 = 0").select(F.col("id").alias("q"), "v"), 5)
 
 
+def knn_by_cells(spark, sf):
+    """knn_exact from a stored index of cells and blocks."""
+    v = _units(spark, sf)
+    index = neighbours_of(spark, sf, v.select("id", "v"))
+    return index.find(v, v.where("id % 50 = 0").select(F.col("id").alias("q"), "v"), 5)
+
+
 KNN_F = KNN.replace("ON a.id % 50 = 0)", "ON a.id % 50 = 0 AND b.l % 2 = 0)").replace("AS v FROM embeddings", "AS v, label AS l FROM embeddings")
 
 
@@ -193,6 +200,6 @@ BACKLOG = sql("SELECT id, substr(sha256(text), 1, 16) AS text_hash FROM mem WHER
 QUERIES = {
     "bm25_top5": (bm25_top5, BM25), "bm25_recency_30d": recency(D30), "bm25_recency_100d": recency(D100), "bm25_recency_300d": recency(D300),
     "two_of_query": (two_of, TWO_OF), "every_word_query": (every_word, EVERY), "document_frequency": (document_frequency, DF), "phrase_match": (phrases, PHRASES),
-    "recall_terms": (recall_terms, RECALL), "stemmed_frequency": (stemmed_frequency, None), "knn_exact": (knn, KNN), "knn_filtered": (knn_filtered, KNN_F), "vector_quantise": (quantised, QUANT),
+    "recall_terms": (recall_terms, RECALL), "stemmed_frequency": (stemmed_frequency, None), "knn_exact": (knn, KNN), "knn_filtered": (knn_filtered, KNN_F), "knn_by_cells": (knn_by_cells, KNN), "vector_quantise": (quantised, QUANT),
     "rank_fusion": (fused, FUSED), "gate_and_fill": (gated, GATED), "passages": (passages, None), "search_by_date": (memory_search_by_date, BY_DATE), "embed_backlog": (embed_backlog, BACKLOG),
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.index import TextIndex, stored
+from ..operators.index import TextIndex, kept_folder, stored
+from ..operators.neighbours import VectorIndex
 
 T0 = 1_704_067_200_000  # 2024-01-01, in ms
 AS_OF = T0 + 200_000 * 3_600_000
@@ -45,6 +46,13 @@ def index_of(spark: SparkSession, sf: str, name: str) -> TextIndex:
     return stored(spark, name, f"{sf.rstrip('/')}/{_BASE.get(name, name)}.parquet", docs)
 
 
+def neighbours_of(spark: SparkSession, sf: str, vectors: DataFrame) -> VectorIndex:
+    """The stored index of a table's vectors (id, v)."""
+    folder = kept_folder(spark, "vectors", f"{sf.rstrip('/')}/embeddings.parquet")
+    index = VectorIndex(spark, folder)
+    return index if index.state else VectorIndex.build(spark, folder, vectors)
+
+
 def _plain_counts(body: str) -> str:
     """count_if(x) as a count of a CASE, which is a long in DuckDB too."""
     out, at = "", 0
