@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lifecycle import numbered
 
 BUCKETS = 1024
 
@@ -55,25 +56,38 @@ def sweep(candidates: DataFrame, first: int = 5, steps: int = 20) -> DataFrame:
     return kept.groupBy("t").agg(F.count_if("helpful").alias("helpful"), F.count_if(~F.col("helpful")).alias("unhelpful"), F.count_distinct(F.when(F.col("helpful"), F.col("q"))).alias("prompts"))
 
 
-def bootstrap_auc(scores: DataFrame, group: str, a: str, b: str, positive: str, rounds: int = 1000, seed: int = 7) -> DataFrame:
-    """(low, high, share): 95 % interval of the difference of two scores' AUC over resampled groups, and the share above 0.
+def draws(groups: int, rounds: int, seed: int) -> Column:
+    """The group, from 0, that a draw falls on: `id` counts draws, `groups` of them for each round; 48 bits of a hash of seed, round
+    and place, so a draw is the same wherever it is made."""
+    place = F.concat_ws(":", F.lit(seed), F.floor(F.col("id") / groups).cast("long"), F.col("id") % groups)
+    return F.conv(F.substring(F.md5(place.cast("binary")), 1, 12), 16, 10).cast("long") % groups
+
 
-    Each round's weight of a group is a Poisson draw from a hash, so rounds are independent of partitions and run as one aggregation."""
-    u = (F.pmod(F.xxhash64(F.col(group), "round", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    draw, cut, p = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(8):
-        cut += p
-        draw = draw + (u > cut).cast("int")
-        p /= k + 1
-    rows = scores.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", draw).where("w > 0")
+def bootstrap_auc(scores: DataFrame, group: str, a: str, b: str, positive: str, rounds: int = 1000, seed: int = 7) -> DataFrame:
+    """(mean, low, high, share): of the difference of two scores' AUC over resampled groups the mean, the 95 % interval and the share
+    above 0.
+
+    Each round draws as many groups as there are, with replacement, from counter-based random numbers: a plan of any partitions
+    draws the same.  Bounds are elements floor((n - 1) p) of the sorted differences; rounds that lack either kind don't count.
+    group: a whole number."""
+    known = numbered(scores.select(group).distinct(), group, 0, "_g")
+    n = known.count()
+    if not n:
+        return scores.sparkSession.createDataFrame([(None,) * 4], "mean double, low double, high double, share double")
+    spark = scores.sparkSession
+    picked = spark.range(n * rounds).select(F.floor(F.col("id") / n).alias("round"), draws(n, rounds, seed).alias("_g")).groupBy("round", "_g").agg(F.count(F.lit(1)).alias("w"))
+    rows = picked.join(scores.join(known, group), "_g")
 
     def one(score: str) -> DataFrame:
         n = rows.groupBy("round", score).agg(F.sum(F.col("w") * F.col(positive).cast("int")).alias("p"), F.sum(F.col("w") * (~F.col(positive)).cast("int")).alias("m"))
         below = F.coalesce(F.sum("m").over(W.partitionBy("round").orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        return n.withColumn("x", F.col("p") * (below + F.col("m") / 2.0)).groupBy("round").agg((F.sum("x") / (F.sum("p") * F.sum("m"))).alias(f"auc_{score}"))
+        won = n.withColumn("x", F.col("p") * (below + F.col("m") / 2.0)).groupBy("round").agg(F.sum("x").alias("x"), F.sum("p").alias("p"), F.sum("m").alias("m"))
+        return won.where("p > 0 AND m > 0").select("round", (F.col("x") / (F.col("p") * F.col("m"))).alias(f"auc_{score}"))
 
-    d = one(a).join(one(b), "round").withColumn("d", F.col(f"auc_{a}") - F.col(f"auc_{b}")).where("d IS NOT NULL")
-    return d.agg(F.round(F.percentile("d", F.lit(0.025)), 4).alias("low"), F.round(F.percentile("d", F.lit(0.975)), 4).alias("high"), F.round(F.avg((F.col("d") > 0).cast("double")), 4).alias("share"))
+    d = one(a).join(one(b), "round").select(F.round(F.col(f"auc_{a}") - F.col(f"auc_{b}"), 9).alias("d"))
+    d = d.withColumns({"i": F.row_number().over(W.orderBy("d")) - 1, "n": F.count(F.lit(1)).over(W.partitionBy())})  # a row for each round
+    at = lambda p: F.max(F.when(F.col("i") == F.floor((F.col("n") - 1) * p), F.col("d")))
+    return d.agg(F.round(F.avg("d"), 6).alias("mean"), F.round(at(0.025), 6).alias("low"), F.round(at(0.975), 6).alias("high"), F.round(F.avg((F.col("d") > 0).cast("double")), 6).alias("share"))
 
 
 def percentile_by_counts(df: DataFrame, keys: list[str], value: str, p: float, rule: str, name: str = "value") -> DataFrame:
@@ -175,3 +189,30 @@ def alerts(facts: DataFrame, limits: dict[str, tuple[str, float, str]]) -> DataF
     l = facts.sparkSession.createDataFrame([(k, *v) for k, v in limits.items()], "fact string, how string, bound double, severity string")
     j = l.join(facts, "fact", "left")
     return j.where(F.col("value").isNull() | F.when(F.col("how") == "over", F.col("value") > F.col("bound")).otherwise(F.col("value") < F.col("bound"))).select(F.col("fact").alias("alert"), "value", F.when(F.col("value").isNull(), "missing").otherwise(F.col("severity")).alias("severity"))
+
+
+#: Parts of names of models that don't write text, and words of names of the cheaper ones.
+NOT_TEXT = ("image", "embedding", "tts", "whisper", "review", "realtime", "audio")
+CHEAP = ("lite", "flash", "haiku", "luna", "mini", "nano", "small")
+
+
+def http_failure(code: Column) -> Column:
+    """struct(action, wait_min): what a call's HTTP status asks for; a rejected key is the endpoint's fault and no model's."""
+    wait = F.when(code.isin(402, 429), 30).when(code.isin(403, 404), 360).when(code != 401, 5)
+    return F.struct(F.when(code == 401, "endpoint").otherwise("next_model").alias("action"), wait.alias("wait_min"))
+
+
+def looks_cheap(model: Column) -> Column:
+    """Whether one of a name's words, not only a part of one, marks a cheaper model."""
+    return F.arrays_overlap(F.split(F.lower(model), "[^a-z0-9]"), F.array(*map(F.lit, CHEAP)))
+
+
+def model_order(models: DataFrame, group: str, order: str, now: Column, auto: bool = True) -> DataFrame:
+    """models (group, order, model, place, available, until) with `rank`, the order in which a group tries them: the chain by its places,
+    then, with auto, other models of text, the cheaper first; not those unavailable or cooling down until later than now."""
+    told = F.lower("model")
+    text = ~F.array_contains(F.transform(F.array(*map(F.lit, NOT_TEXT)), lambda x: F.contains(told, x)), True)
+    open_ = F.col("available") & (F.coalesce(F.col("until"), now) <= now)
+    kept = models.where(open_ & (F.col("place").isNotNull() | (F.lit(auto) & text)))
+    cheap = F.when(F.col("place").isNull(), ~looks_cheap(F.col("model")))
+    return kept.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(F.col("place").isNull(), "place", cheap, order)))

@@ -124,6 +124,29 @@ def shrink(sections: dict[str, list[str]], order: list[str], most: int, floor: i
     return sections
 
 
+def fitted(fixed: Column, observations: Column, sessions: Column, turns: int, most: int, floor: int = 10) -> Column:
+    """struct(observations, turns, sessions, bytes): how much of a context fits into `most` bytes.
+
+    fixed: bytes of what always stands; observations: bytes of each; sessions: array of struct(head, turns: bytes of each).  The cuts
+    come in one order, each smaller than the one before: observations are halved until there are no more than `floor`, then each
+    session loses turns down to one, then sessions go down to one, then the observations.  The first that fits is taken, or
+    the last; sizes come from sums of prefixes, so no text is put together for the cuts that don't fit."""
+    n, m = F.size(observations), F.size(sessions)
+    halved = F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct(F.floor(n / F.pow(F.lit(2), i)).cast("int").alias("o"), F.when(i > 0, F.floor(n / F.pow(F.lit(2), i - 1))).otherwise(n + floor + 1).alias("before"))), lambda x: x["before"] > floor)
+    step = lambda o, t, k: F.struct(o.cast("int").alias("observations"), t.cast("int").alias("turns"), k.cast("int").alias("sessions"))
+    few = F.element_at(halved, -1)["o"]
+    down = lambda top: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(top, F.lit(1))), lambda i: top - i), lambda i: i >= 1)
+    cuts = F.concat(F.transform(halved, lambda x: step(x["o"], F.lit(turns), m)), F.transform(down(F.lit(turns)), lambda t: step(few, t, m)), F.transform(down(m), lambda k: step(few, F.lit(min(turns, 1)), k)), F.array(step(F.lit(0), F.lit(min(turns, 1)), F.least(m, F.lit(1)))))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+
+    def size(c: Column) -> Column:
+        own = F.transform(F.slice(sessions, F.lit(1), c["sessions"]), lambda s: s["head"] + total(F.slice(s["turns"], F.lit(1), c["turns"])))
+        return fixed + total(F.slice(observations, F.lit(1), c["observations"])) + total(own)
+
+    sized = F.transform(cuts, lambda c: F.struct(c["observations"].alias("observations"), c["turns"].alias("turns"), c["sessions"].alias("sessions"), size(c).alias("bytes")))
+    return F.coalesce(F.get(F.filter(sized, lambda c: c["bytes"] <= most), F.lit(0)), F.element_at(sized, -1))
+
+
 def weight_tier(title: Column, type: Column, kind: Column) -> Column:
     """How much a memory weighs in an answer: 0 for what shipped, then features, fixes and decisions, summaries, changes, the rest."""
     shipped = title.ilike("%shipped%") | title.ilike("%released%") | title.ilike("%merged%") | title.rlike(r"v[0-9]\.[0-9]")

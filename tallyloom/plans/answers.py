@@ -81,3 +81,30 @@ def _(s, sf):
     return view(s, sf, "ev").withColumn("t", F.expr(_SAY)).where(O.go_ahead(F.col("t"))).select("id")
 
 
+_FIT = """WITH RECURSIVE tn AS (SELECT session_id, project, conv, turn, octet_length(encode(text)) AS b FROM (SELECT *, id // 100 AS conv FROM ev)),
+one AS (SELECT session_id, any_value(project) AS project, any_value(conv) AS conv, sum(b) AS whole FROM tn GROUP BY session_id),
+ob AS (SELECT session_id, octet_length(encode(title)) AS b, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id) AS n FROM mem WHERE type <> 'sensitive'),
+ps AS (SELECT a.session_id, b.session_id AS other, row_number() OVER (PARTITION BY a.session_id ORDER BY b.conv DESC) AS k FROM one a JOIN one b ON a.project = b.project AND b.conv < a.conv),
+pt AS (SELECT ps.session_id, k, b, row_number() OVER (PARTITION BY ps.session_id, k ORDER BY turn DESC) AS t FROM ps JOIN tn ON tn.session_id = ps.other WHERE k <= 6),
+ct AS (SELECT session_id, (SELECT least(count(*), 40) FROM ob WHERE ob.session_id = one.session_id) AS o, 3 AS t, (SELECT least(count(*), 6) FROM ps WHERE ps.session_id = one.session_id) AS k FROM one),
+sz AS (SELECT session_id, o, t, k, 200 + coalesce((SELECT sum(b) FROM ob WHERE ob.session_id = ct.session_id AND n <= o), 0) + 60 * k + coalesce((SELECT sum(b) FROM pt WHERE pt.session_id = ct.session_id AND pt.k <= ct.k AND pt.t <= ct.t), 0) AS bytes FROM ct),
+go AS (SELECT session_id, o, t, k, bytes, bytes <= 2000 OR (o = 0 AND t <= 1 AND k <= 1) AS done FROM sz
+ UNION ALL SELECT session_id, o2, t2, k2, bytes2, bytes2 <= 2000 OR (o2 = 0 AND t2 <= 1 AND k2 <= 1) FROM (SELECT session_id, o2, t2, k2, 200 + coalesce((SELECT sum(b) FROM ob WHERE ob.session_id = nx.session_id AND n <= o2), 0) + 60 * k2 + coalesce((SELECT sum(b) FROM pt WHERE pt.session_id = nx.session_id AND pt.k <= k2 AND pt.t <= t2), 0) AS bytes2
+  FROM (SELECT session_id, CASE WHEN o > 10 THEN o // 2 WHEN t > 1 OR k > 1 THEN o ELSE 0 END AS o2, CASE WHEN o <= 10 AND t > 1 THEN t - 1 ELSE t END AS t2, CASE WHEN o <= 10 AND t <= 1 AND k > 1 THEN k - 1 ELSE k END AS k2 FROM go WHERE NOT done) nx))
+SELECT session_id, o::INTEGER AS observations, t::INTEGER AS turns, k::INTEGER AS sessions, bytes::BIGINT AS bytes FROM go WHERE done"""
+
+
+@query("contexts_fitted", _FIT, "ev", "mem")
+def _(s, sf):
+    """For each session the context of at most 2000 bytes: titles of its memories, and the six sessions of its project before it."""
+    from pyspark.sql import Window as W
+
+    e = view(s, sf, "ev").withColumn("b", F.octet_length("text").cast("long"))
+    latest = F.transform(F.sort_array(F.collect_list(F.struct("turn", "b")), asc=False), lambda x: x["b"])
+    one = e.groupBy("session_id").agg(F.first("project").alias("project"), F.min(F.floor(F.col("id") / 100)).alias("conv"), F.slice(latest, 1, 3).alias("turns"))
+    before = W.partitionBy("project").orderBy(F.col("conv")).rowsBetween(-6, -1)
+    own = F.reverse(F.collect_list(F.struct(F.lit(60).cast("long").alias("head"), "turns")).over(before))  # six sessions
+    m = view(s, sf, "mem").where("type <> 'sensitive'").withColumn("n", F.row_number().over(W.partitionBy("session_id").orderBy(F.col("created_at").desc(), "id"))).where("n <= 40")
+    o = m.groupBy("session_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", F.octet_length("title").cast("long").alias("b")))), lambda x: x["b"]).alias("o"))
+    rows = one.withColumn("s", own).join(o, "session_id", "left").withColumn("o", F.coalesce("o", F.array().cast("array<bigint>")))
+    return rows.withColumn("c", S.fitted(F.lit(200).cast("long"), F.col("o"), F.col("s"), 3, 2000)).select("session_id", "c.observations", "c.turns", "c.sessions", "c.bytes")

@@ -40,7 +40,18 @@ def _(s, sf):
     return E.auc(_scored(s, sf), "score", "good")
 
 
-@query("auc_bootstrap", None)
+_ROUND = lambda score: f"(WITH n AS (SELECT round, {score} AS s, sum(CASE WHEN good THEN w ELSE 0 END) AS p, sum(CASE WHEN good THEN 0 ELSE w END) AS m FROM rw GROUP BY ALL), c AS (SELECT round, p, m, p * (coalesce(sum(m) OVER (PARTITION BY round ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + m / 2.0::DOUBLE) AS x FROM n) SELECT round, sum(x)::DOUBLE / (sum(p)::DOUBLE * sum(m)::DOUBLE) AS auc FROM c GROUP BY round HAVING sum(p) > 0 AND sum(m) > 0)"
+
+
+@query(
+    "auc_bootstrap",
+    f"""WITH x AS (SELECT doc_id, n_chars % 997 AS score, n_chars % 101 AS other, quality = 1 AS good FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+g AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS g FROM (SELECT DISTINCT doc_id FROM x)), k AS (SELECT count(*) AS n FROM g),
+dr AS (SELECT r.round, ('0x' || substr(md5('7:' || r.round || ':' || i.i), 1, 12))::BIGINT % n AS g FROM (SELECT unnest(range(1000)) AS round) r, (SELECT unnest(range(n)) AS i, n FROM k) i),
+pk AS (SELECT round, g, count(*) AS w FROM dr GROUP BY ALL), rw AS (SELECT round, w, score, other, good FROM pk JOIN g USING (g) JOIN x USING (doc_id)),
+d AS (SELECT round(a.auc - b.auc, 9) AS d FROM {_ROUND("score")} a JOIN {_ROUND("other")} b USING (round)), o AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM d)
+SELECT round(avg(d), 6) AS mean, round(max(CASE WHEN i = floor((n - 1) * 0.025::DOUBLE) THEN d END), 6) AS low, round(max(CASE WHEN i = floor((n - 1) * 0.975::DOUBLE) THEN d END), 6) AS high, round(avg(CASE WHEN d > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share FROM o""",
+)
 def _(s, sf):
     return E.bootstrap_auc(_scored(s, sf), "doc_id", "score", "other", "good")
 
@@ -80,3 +91,22 @@ def _(s, sf):
 def _(s, sf):
     e = view(s, sf, "ev").select("session_id").distinct().withColumn("c", F.col("session_id"))
     return view(s, sf, "mem").select("project", "session_id").distinct().join(e, "session_id", "left").groupBy("project").agg(F.count_distinct("session_id").alias("sessions"), F.count_distinct("c").alias("captured"))
+
+
+_MODELS = ("gpt-5", "claude-haiku", "gemini-flash", "gemini-pro", "tts-one", "house/mini.2", "minimal", "claude-opus", "gpt-image", "nano-x", "o3-small", "whisper-lite")
+_OFFERS = f"SELECT event_id % 997 AS user_id, event_id, ({list(_MODELS)})[event_id % 12 + 1] || CASE WHEN event_id % 5 = 0 THEN '' ELSE '-' || (event_id % 40) END AS model, CASE WHEN event_id % 12 IN (0, 1, 3) THEN event_id % 12 END AS place, event_id % 7 <> 0 AS available, CASE WHEN event_id % 11 = 0 THEN event_id % 2 END AS cooling FROM events"
+
+
+@query("model_order", f"""WITH o AS ({_OFFERS}), k AS (SELECT *, NOT regexp_matches(lower(model), '(^|[^a-z0-9])(lite|flash|haiku|luna|mini|nano|small)($|[^a-z0-9])') AS dear FROM o WHERE available AND coalesce(cooling, 0) <= 0 AND (place IS NOT NULL OR NOT regexp_matches(lower(model), 'image|embedding|tts|whisper|review|realtime|audio')))
+SELECT user_id, event_id, model, row_number() OVER (PARTITION BY user_id ORDER BY place IS NULL, place, CASE WHEN place IS NULL THEN dear END, event_id) AS rank FROM k""")
+def _(s, sf):
+    e, k = table(s, sf, "events"), F.col("event_id")
+    name = F.concat(F.element_at(F.array(*map(F.lit, _MODELS)), (k % 12 + 1).cast("int")), F.when(k % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("-"), (k % 40).cast("string"))))
+    rows = e.select((k % 997).alias("user_id"), "event_id", name.alias("model"), F.when((k % 12).isin(0, 1, 3), k % 12).alias("place"), (k % 7 != 0).alias("available"), F.when(k % 11 == 0, k % 2).alias("until"))
+    return E.model_order(rows, "user_id", "event_id", F.lit(0)).select("user_id", "event_id", "model", "rank")
+
+
+@query("http_failures", "SELECT event_id, code, CASE WHEN code = 401 THEN 'endpoint' ELSE 'next_model' END AS action, CASE WHEN code IN (402, 429) THEN 30 WHEN code IN (403, 404) THEN 360 WHEN code <> 401 THEN 5 END AS wait_min FROM (SELECT event_id, (400 + event_id % 130)::INTEGER AS code FROM events)")
+def _(s, sf):
+    rows = table(s, sf, "events").select("event_id", (400 + F.col("event_id") % 130).cast("int").alias("code"))
+    return rows.withColumn("f", E.http_failure(F.col("code"))).select("event_id", "code", "f.action", "f.wait_min")

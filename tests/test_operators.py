@@ -217,12 +217,51 @@ def test_snapshots_rotate_and_come_back(spark, tmp_path):
     assert (tmp_path / "home/CURRENT").read_text() == first and L.current(spark, home)["rows"].count() == 5
 
 
-def test_bootstrap_query_has_all_rounds(spark):
-    from tallyloom.plans import quality
+def test_bootstrap_draws(spark):
+    """Each round draws as many groups as there are; all groups are as likely; the interval is that of a plain resampling of the same draws."""
+    import hashlib
 
-    sf = "/root/testdata/sf0.001"
-    want = E.bootstrap_auc(quality._scored(spark, sf), "doc_id", "score", "other", "good", rounds=1000).collect()
-    assert quality.QUERIES["auc_bootstrap"][0](spark, sf).collect() == want
+    draw = lambda r, i, n: int(hashlib.md5(f"7:{r}:{i}".encode()).hexdigest()[:12], 16) % n
+    rows = [(g, float((g * 37 + c * 5) % 23), float((g * 11 + c * 7) % 19), (g + c) % 3 == 0) for g in range(12) for c in range(3)]
+
+    def area(rows, at):
+        pos, neg = [r[at] for r in rows if r[3]], [r[at] for r in rows if not r[3]]
+        return sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+
+    diffs = []
+    for r in range(60):
+        picked = [x for i in range(12) for x in rows if x[0] == draw(r, i, 12)]
+        diffs.append(round(area(picked, 1) - area(picked, 2), 9))
+    diffs.sort()
+    got = E.bootstrap_auc(spark.createDataFrame(rows, "g long, a double, b double, good boolean").repartition(3), "g", "a", "b", "good", rounds=60).first()
+    want = (sum(diffs) / 60, diffs[int(59 * 0.025)], diffs[int(59 * 0.975)], sum(d > 0 for d in diffs) / 60)
+    assert all(abs(x - y) < 1e-5 for x, y in zip(got, want, strict=True))
+
+
+def test_contexts_are_cut_step_by_step(spark):
+    import random
+
+    from tallyloom.operators import sessions as S
+
+    rnd, rows, want = random.Random(8), [], []
+    for i in range(60):
+        obs, own, most = [rnd.randrange(60) for _ in range(rnd.choice([0, 3, 10, 11, 45, 90]))], [(rnd.randrange(30), [rnd.randrange(200) for _ in range(rnd.randrange(5))]) for _ in range(rnd.randrange(6))], 900
+        rows.append((i, obs, own))
+        size = lambda o, t, k: 50 + sum(obs[:o]) + sum(h + sum(x[:t]) for h, x in own[:k])  # noqa: B023, E731
+        o, t, k = len(obs), 4, len(own)
+        while size(o, t, k) > most and not (o == 0 and t <= 1 and k <= 1):
+            if o > 10:
+                o //= 2
+            elif t > 1:
+                t -= 1
+            elif k > 1:
+                k -= 1
+            else:
+                o = 0
+        want.append((o, t, k, size(o, t, k)))
+    d = spark.createDataFrame(rows, "i int, o array<long>, s array<struct<head long, turns array<long>>>")
+    got = d.withColumn("c", S.fitted(F.lit(50).cast("long"), F.col("o"), F.col("s"), 4, 900)).orderBy("i").select("c.*").collect()
+    assert [tuple(r) for r in got] == want
 
 
 def test_git_as_tables(spark, tmp_path):
