@@ -113,3 +113,20 @@ def uptake(offers: DataFrame, fetched: DataFrame, cited: DataFrame) -> DataFrame
     """(source, offers, sessions, fetched, cited, since) of offers (offer, id, source, session_id, at): memories counted one by one."""
     o = offers.join(fetched.withColumn("_f", F.lit(1)), ["offer", "id"], "left").join(cited.withColumn("_c", F.lit(1)), ["offer", "id"], "left")
     return o.groupBy("source").agg(F.count(F.lit(1)).alias("offers"), F.count_distinct("session_id").alias("sessions"), F.count("_f").alias("fetched"), F.count("_c").alias("cited"), F.min("at").alias("since"))
+
+
+def others_since(events: DataFrame, viewers: DataFrame, seen: DataFrame, span_ms: int = 21_600_000, scripted: DataFrame | None = None) -> DataFrame:
+    """(viewer, other, id): what other sessions of a viewer's project have done within the last `span_ms` that the viewer hasn't seen.
+
+    viewers: (viewer, project, floor, at: its time); seen: (viewer, other, through).  An event counts if its id is over both the
+    viewer's floor and what it has seen of that session.  Events of the main thread: replies, edits, errors, a person's prompts.
+    Times are dealt into spans, so a viewer meets the events of its project in two spans, not all of them."""
+    e = events.where("kind IN ('assistant', 'file_edit', 'error') OR kind = 'prompt'" + (" AND label IS NULL" if "label" in events.columns else ""))
+    e = e.where("thread IS NULL") if "thread" in e.columns else e
+    e = e.select(F.col("session_id").alias("other"), "project", "id", "ts", F.floor(F.col("ts") / span_ms).alias("_b"))
+    e = e if scripted is None else e.join(scripted.select(F.col("session_id").alias("other")).distinct(), "other", "left_anti")
+    now = F.floor(F.col("at") / span_ms)
+    v = viewers.withColumn("_b", F.explode(F.array(now - 1, now)))
+    met = v.join(e, ["project", "_b"]).where((F.col("other") != F.col("viewer")) & (F.col("ts") > F.col("at") - span_ms) & (F.col("ts") <= F.col("at")) & (F.col("id") > F.col("floor")))
+    met = met.join(seen, ["viewer", "other"], "left").where(F.col("id") > F.coalesce("through", F.lit(0)))
+    return met.select("viewer", "other", "id")

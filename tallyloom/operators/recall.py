@@ -250,6 +250,20 @@ def ranked_feed(memories: DataFrame, prompts: DataFrame, offset: int, limit: int
 
 
 
+def typed_id(text: Column) -> Column:
+    """struct(kind, id) of a name like 12, #12 or E12: a memory or an event; null for other texts."""
+    plain = F.regexp_replace(F.trim(text), "^#+", "")
+    number = F.regexp_extract(plain, r"^[Ee]?([+-]?[0-9]{1,19})$", 1).try_cast("long")
+    return F.when(number.isNotNull(), F.struct(F.when(plain.rlike("^[Ee]"), "event").otherwise("memory").alias("kind"), number.alias("id")))
+
+
+def looked_up(keys: DataFrame, memories: DataFrame, events: DataFrame) -> DataFrame:
+    """keys (key, ...) with kind (memory, event, or null for what is no id), id, and found: whether there is such a one."""
+    k = keys.withColumn("_t", typed_id(F.col("key"))).withColumns({"kind": F.col("_t.kind"), "id": F.col("_t.id")}).drop("_t")
+    there = memories.select(F.lit("memory").alias("kind"), "id").unionByName(events.select(F.lit("event").alias("kind"), "id")).distinct().withColumn("_f", F.lit(True))
+    return k.join(there, ["kind", "id"], "left").withColumn("found", F.coalesce("_f", F.lit(False))).drop("_f")
+
+
 def passage_gate(sources: DataFrame, query: DataFrame, least: float) -> DataFrame:
     """(q, id, best): sources (id, passages: array of vectors) of which any passage is as close to the query (q, v) as `least`; the
     queries are a stated set, so each source meets each of them once."""

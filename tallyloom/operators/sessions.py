@@ -200,6 +200,21 @@ def apply_replies(replies: DataFrame, most: int = 8) -> DataFrame:
     return rows.select("session_id", "n", kind.alias("type"), F.col("o.title").alias("title"), F.coalesce("o.narrative", F.lit("")).alias("narrative"), F.coalesce("o.facts", F.array().cast("array<string>")).alias("facts"), F.coalesce("o.evidence", F.array().cast("array<string>")).alias("evidence"))
 
 
+def distil(chunks: DataFrame, replies: DataFrame, most: int = 8) -> tuple[DataFrame, DataFrame]:
+    """What a model's replies to chunks of sessions come to: memories, each with its evidence, and how far each session is done.
+
+    chunks: (session_id, chunk, first_id, last_id); replies: (session_id, chunk, reply: JSON).  memories: (session_id, chunk, n, type,
+    title, narrative, facts, first_id, last_id), the first `most` observations of a reply.  marks: (session_id, through): the last
+    event of the last chunk before which no chunk lacks a reply that is JSON with observations, so that the rest is asked again."""
+    said = chunks.join(replies, ["session_id", "chunk"], "left").withColumn("good", F.coalesce(F.from_json("reply", "observations array<string>")["observations"].isNotNull(), F.lit(False)))
+    by = W.partitionBy("session_id").orderBy("chunk")
+    done = said.withColumn("done", F.min(F.col("good").cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0)) == 1)
+    marks = done.where("done").groupBy("session_id").agg(F.max("last_id").alias("through"))
+    one = said.where("good").select(F.struct("session_id", "chunk", "first_id", "last_id").alias("session_id"), "reply")
+    found = apply_replies(one, most).select("session_id.*", "n", "type", "title", "narrative", "facts")
+    return found, marks
+
+
 def write_snapshot(tables: dict[str, DataFrame], folder: str) -> DataFrame:
     """Writes the tables and their manifest; a reader trusts the folder only with its manifest, which comes last."""
     for name, df in tables.items():

@@ -108,3 +108,28 @@ def _(s, sf):
     o = m.groupBy("session_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", F.octet_length("title").cast("long").alias("b")))), lambda x: x["b"]).alias("o"))
     rows = one.withColumn("s", own).join(o, "session_id", "left").withColumn("o", F.coalesce("o", F.array().cast("array<bigint>")))
     return rows.withColumn("c", S.fitted(F.lit(200).cast("long"), F.col("o"), F.col("s"), 3, 2000)).select("session_id", "c.observations", "c.turns", "c.sessions", "c.bytes")
+
+
+_CHUNKS = QUERIES["turn_chunks"][1]
+_DISTIL = f"WITH tc AS ({_CHUNKS}), e AS (SELECT conv_id * 100 + turn AS id, conv_id, turn FROM conversations), c AS (SELECT tc.session_id, chunk, e.conv_id, e.id, e.turn, row_number() OVER (PARTITION BY tc.session_id, chunk ORDER BY e.id) - 1 AS n, min(e.id) OVER (PARTITION BY tc.session_id, chunk) AS first_id, max(e.id) OVER (PARTITION BY tc.session_id, chunk) AS last_id, (conv_id * 7 + chunk) % 5 = 0 AS bad FROM tc JOIN e USING (id))"
+
+
+def _distilled(s, sf):
+    """Sessions in chunks, and for each a reply with an observation for each turn; one in five isn't JSON."""
+    e = view(s, sf, "ev").withColumn("bytes", F.octet_length("text"))
+    turns = S.chunk_turns(e, "session_id", "id", "bytes", 2000)
+    o = F.struct(F.when(F.col("id") % 4 == 1, "feature").otherwise("odd").alias("type"), F.concat(F.lit("turn "), F.col("id") % 100).alias("title"))
+    g = turns.groupBy("session_id", "chunk").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("id", o.alias("o")))), lambda x: x["o"]).alias("observations"))).alias("reply"))
+    bad = (F.floor(F.col("first_id") / 100) * 7 + F.col("chunk")) % 5 == 0
+    g = g.withColumn("reply", F.when(bad, "sorry, no").otherwise(F.col("reply")))
+    return S.distil(g.drop("reply"), g.select("session_id", "chunk", "reply"))
+
+
+@query("distilled_chunks", f"{_DISTIL} SELECT session_id, chunk, n::INTEGER AS n, CASE WHEN id % 4 = 1 THEN 'feature' ELSE 'discovery' END AS type, 'turn ' || turn AS title, first_id, last_id FROM c WHERE NOT bad AND n < 8")
+def _(s, sf):
+    return _distilled(s, sf)[0].select("session_id", "chunk", "n", "type", "title", "first_id", "last_id")
+
+
+@query("distil_marks", f"{_DISTIL}, g AS (SELECT DISTINCT session_id, chunk, last_id, bad FROM c), d AS (SELECT *, count(CASE WHEN bad THEN 1 END) OVER (PARTITION BY session_id ORDER BY chunk) AS b FROM g) SELECT session_id, max(last_id) AS through FROM d WHERE b = 0 GROUP BY session_id")
+def _(s, sf):
+    return _distilled(s, sf)[1]

@@ -222,3 +222,21 @@ def _(s, sf):
     v = table(s, sf, "benchmark").select(F.col("item_id").alias("id"), C.hashed_vector(F.col("text"), 16).alias("v"))
     size = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     return v.select("id", (size > 0).alias("some"), ((F.abs(size - 1) < 1e-9) | (size == 0)).alias("unit"))
+
+
+@query("details_by_id", "WITH k AS (SELECT id AS row, CASE id % 5 WHEN 0 THEN 'memory' WHEN 1 THEN 'event' WHEN 2 THEN 'memory' WHEN 4 THEN 'event' END AS kind, CASE WHEN id % 5 <> 3 THEN id END AS id FROM ev) SELECT k.row, k.kind, k.id, CASE WHEN k.kind = 'event' THEN true WHEN k.kind = 'memory' THEN m.id IS NOT NULL ELSE false END AS found FROM k LEFT JOIN mem m ON m.id = k.id", "ev", "mem")
+def _(s, sf):
+    e, i = view(s, sf, "ev"), F.col("id").cast("string")
+    key = F.when(F.col("id") % 5 == 0, i).when(F.col("id") % 5 == 1, F.concat(F.lit("E"), i)).when(F.col("id") % 5 == 2, F.concat(F.lit(" ##"), i)).when(F.col("id") % 5 == 3, F.concat(F.lit("no"), i)).otherwise(F.concat(F.lit("#e"), i, F.lit(" ")))
+    return C.looked_up(e.select(F.col("id").alias("row"), key.alias("key")), view(s, sf, "mem"), e).select("row", "kind", "id", "found")
+
+
+@query("others_since", "WITH v AS (SELECT session_id AS viewer, any_value(project) AS project, min(id) - 2000 AS floor, max(ts) AS tm FROM ev GROUP BY session_id), x AS (SELECT v.viewer, e.session_id AS other, max(e.id) AS through FROM v JOIN ev e ON e.project = v.project AND e.session_id <> v.viewer AND e.turn = 1 AND e.id % 3 = 0 GROUP BY ALL) SELECT v.viewer, e.session_id AS other, e.id FROM v JOIN ev e ON e.project = v.project AND e.session_id <> v.viewer AND e.ts > v.tm - 86400000 AND e.ts <= v.tm AND e.id > v.floor LEFT JOIN x ON x.viewer = v.viewer AND x.other = e.session_id WHERE e.kind <> 'compaction' AND e.id > coalesce(x.through, 0)", "ev")
+def _(s, sf):
+    from ..operators.feeds import others_since
+
+    e = view(s, sf, "ev")
+    v = e.groupBy(F.col("session_id").alias("viewer")).agg(F.first("project").alias("project"), (F.min("id") - 2000).alias("floor"), F.max("ts").alias("at"))
+    through = e.where("turn = 1 AND id % 3 = 0").groupBy(F.col("session_id").alias("other"), "project").agg(F.max("id").alias("through"))
+    seen = v.select("viewer", "project").join(through, "project").where("viewer <> other").drop("project")
+    return others_since(e, v, seen, 86_400_000)
