@@ -52,6 +52,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return out
 
 
+def pooled(docs: DataFrame, id: str, text: str, tokens: DataFrame, dim: int, most: int | None = None) -> DataFrame:
+    """(id, known, v): the mean of a text's token vectors, of length 1, as static models embed a text; zeros where no token is known.
+
+    tokens: (term, v: `dim` numbers); known: how many of the text's tokens it has; most: how many tokens a model reads of a text.
+    A token that occurs often in a text is met once with its number, sums of all dimensions are made before rows are dealt by
+    text, and a table of tokens that is too large to broadcast is joined by term, where frequent terms are split."""
+    from . import ranking
+    from .index import bounded
+
+    said = ranking.words_in(docs, text) if most is None else F.slice(ranking.words_in(docs, text), 1, most)
+    tf = docs.select(F.col(id).alias("id"), F.explode(said).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    met = tf.join(bounded(tokens.select("term", F.col("v").alias("tv"))), "term")
+    sums = met.groupBy("id").agg(F.sum("tf").alias("known"), *(F.sum(F.col("tf") * F.get("tv", F.lit(i)).cast("double")).alias(f"s{i}") for i in range(dim)))
+    size = F.sqrt(sum((F.col(f"s{i}") * F.col(f"s{i}") for i in range(dim)), F.lit(0.0)))
+    unit = sums.withColumn("size", size).select("id", "known", F.array(*(F.when(F.col("size") > 0, F.col(f"s{i}") / F.col("size")).otherwise(0.0) for i in range(dim))).alias("v"))
+    every = docs.select(F.col(id).alias("id")).distinct().join(unit, "id", "left")
+    return every.select("id", F.coalesce("known", F.lit(0)).alias("known"), F.coalesce("v", F.array_repeat(F.lit(0.0), dim)).alias("v"))
+
+
 def passages(text: Column, least: int = 20, width: int = 3, step: int = 2, most: int = 6) -> Column:
     """Sentences of over `least` bytes in overlapping windows; the whole text if it has no more than `width`."""
     sentences = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda s: F.octet_length(s) > least)

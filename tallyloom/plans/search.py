@@ -122,6 +122,24 @@ def knn_filtered(spark, sf):
     return V.nearest(v.where("label % 2 = 0"), v.where("id % 50 = 0").select(F.col("id").alias("q"), "v"), 5)
 
 
+def pooled_vectors(spark, sf):
+    """Documents' vectors from those of their tokens; a token's vector is that of the row of `embeddings` that its hash names."""
+    d, e = table(spark, sf, "documents"), table(spark, sf, "embeddings")
+    terms = d.select(F.explode(F.array_distinct(R.tokens(F.col("text")))).alias("term")).distinct()
+    own = F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 8), 16, 10).cast("long") % F.lit(e.count())
+    tokens = terms.withColumn("vec_id", own).join(e.select("vec_id", F.col("embedding").alias("v")), "vec_id").select("term", "v")
+    p = V.pooled(d, "doc_id", "text", tokens, 64)
+    at = lambda i: F.round(F.get("v", F.lit(i)), 5) + 0.0
+    return p.select(F.col("id").alias("doc_id"), "known", at(0).alias("v0"), at(17).alias("v17"), at(63).alias("v63"))
+
+
+POOLED = f"""WITH t AS (SELECT doc_id, unnest({TOK.format("text")}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM embeddings), j AS (SELECT doc_id, tf, embedding::DOUBLE[] AS v FROM tf, n JOIN embeddings ON vec_id = ('0x' || substr(md5(term), 1, 8))::BIGINT % n),
+s AS (SELECT doc_id, i, sum(tf * v[i]) AS x FROM j, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL), z AS (SELECT doc_id, sqrt(sum(x * x)) AS z FROM s GROUP BY doc_id), k AS (SELECT doc_id, sum(tf)::BIGINT AS known FROM j GROUP BY doc_id),
+o AS (SELECT doc_id, max(CASE WHEN i = 1 THEN x / z END) AS v0, max(CASE WHEN i = 18 THEN x / z END) AS v17, max(CASE WHEN i = 64 THEN x / z END) AS v63 FROM s JOIN z USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, coalesce(known, 0) AS known, round(coalesce(v0, 0), 5) + 0.0::DOUBLE AS v0, round(coalesce(v17, 0), 5) + 0.0::DOUBLE AS v17, round(coalesce(v63, 0), 5) + 0.0::DOUBLE AS v63 FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN k USING (doc_id) LEFT JOIN o USING (doc_id)"""
+
+
 def knn_by_cells(spark, sf):
     """knn_exact from a stored index of cells and blocks."""
     v = _units(spark, sf)
@@ -200,6 +218,6 @@ BACKLOG = sql("SELECT id, substr(sha256(text), 1, 16) AS text_hash FROM mem WHER
 QUERIES = {
     "bm25_top5": (bm25_top5, BM25), "bm25_recency_30d": recency(D30), "bm25_recency_100d": recency(D100), "bm25_recency_300d": recency(D300),
     "two_of_query": (two_of, TWO_OF), "every_word_query": (every_word, EVERY), "document_frequency": (document_frequency, DF), "phrase_match": (phrases, PHRASES),
-    "recall_terms": (recall_terms, RECALL), "stemmed_frequency": (stemmed_frequency, None), "knn_exact": (knn, KNN), "knn_filtered": (knn_filtered, KNN_F), "knn_by_cells": (knn_by_cells, KNN), "vector_quantise": (quantised, QUANT),
+    "recall_terms": (recall_terms, RECALL), "stemmed_frequency": (stemmed_frequency, None), "knn_exact": (knn, KNN), "knn_filtered": (knn_filtered, KNN_F), "knn_by_cells": (knn_by_cells, KNN), "pooled_vectors": (pooled_vectors, POOLED), "vector_quantise": (quantised, QUANT),
     "rank_fusion": (fused, FUSED), "gate_and_fill": (gated, GATED), "passages": (passages, None), "search_by_date": (memory_search_by_date, BY_DATE), "embed_backlog": (embed_backlog, BACKLOG),
 }

@@ -307,3 +307,12 @@ def test_stemmed_bm25_matches_sqlite(spark):
         terms = R.stemmed(words, ["w"]).select("q", F.explode("w").alias("term"))
         got = R.top_scores(R.stemmed(rows, ["text", "more"]), "id", {"text": 5.0, "more": 2.0}, terms, 9)
         assert {r["doc"]: r["score"] for r in got.collect()} == want
+
+
+def test_pooled_vectors(spark):
+    docs = spark.createDataFrame([(1, "Red red blue"), (2, "green?"), (3, None), (4, "blue red")], "id int, text string")
+    tokens = spark.createDataFrame([("red", [1.0, 0.0]), ("blue", [0.0, 2.0]), ("other", [5.0, 5.0])], "term string, v array<double>")
+    got = {r["id"]: (r["known"], [round(x, 6) for x in r["v"]]) for r in V.pooled(docs, "id", "text", tokens, 2).collect()}
+    half, fifth = round(0.5**0.5, 6), round(0.2**0.5, 6)
+    assert got == {1: (3, [half, half]), 2: (0, [0.0, 0.0]), 3: (0, [0.0, 0.0]), 4: (2, [fifth, round(2 * 0.2**0.5, 6)])}
+    assert {r["id"]: r["known"] for r in V.pooled(docs, "id", "text", tokens, 2, most=1).collect()} == {1: 1, 2: 0, 3: 0, 4: 1}
