@@ -117,7 +117,7 @@ def edit_lines(calls: DataFrame) -> DataFrame:
     news = F.concat(F.array(F.coalesce("j.new_string", "j.content")), F.transform(F.coalesce("j.edits", F.array().cast(f"array<{pair}>")), lambda e: F.coalesce(e["new_string"], e["newText"])))
     diff = F.split(F.coalesce("j.diff", "j.patch", F.lit("")), "\n")
     side = lambda mark: F.transform(F.filter(diff, lambda x: x.startswith(mark) & ~x.startswith(mark * 3)), lambda x: F.substring(x, 2, 1 << 20))
-    lines = lambda texts, mark: F.filter(F.transform(F.concat(F.flatten(F.transform(F.filter(texts, lambda t: t.isNotNull()), lambda t: F.split(t, "\n"))), side(mark)), F.trim), lambda x: F.length(x) >= LEAST)
+    lines = lambda texts, mark: F.filter(F.transform(F.concat(F.flatten(F.transform(F.filter(texts, lambda t: t.isNotNull()), lambda t: F.split(t, "\n"))), side(mark)), lambda x: F.trim(x)), lambda x: F.length(x) >= LEAST)
     return r.select("id", lines(olds, "-").alias("old"), lines(news, "+").alias("new"))
 
 
