@@ -108,7 +108,7 @@ def reredact(rows: DataFrame, key: str, columns: list[str], version: int) -> Dat
 
 def import_foreign(mine: DataFrame, observations: DataFrame, summaries: DataFrame, prompts: DataFrame, my_events: DataFrame, base: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(memories, events) to add from another record: observations keep their ids unless taken, summaries get ids from `base` (above
-    mine, if that is taken), prompts come only for sessions that have none; what was imported before (origin) doesn't come again.
+    mine and theirs, if that is taken), prompts come only for sessions that have none; what was imported before (origin) doesn't come again.
 
     mine: (id, origin); observations, summaries: (id, session_id, project, title); prompts: (id, session_id, text).  A session's project
     is the one most of its observations name, ties by name."""
@@ -117,7 +117,7 @@ def import_foreign(mine: DataFrame, observations: DataFrame, summaries: DataFram
     tagged = lambda rows, kind: rows.withColumn("origin", F.concat(F.lit(f"import:{kind}:"), F.col("id"))).join(mine.select("origin"), "origin", "left_anti").join(winner, "session_id", "left").withColumn("project", F.coalesce("_p", "project")).drop("_p").withColumn("kind", F.lit(kind))
     o = tagged(observations, "observation")
     taken = o.join(mine.select("id"), "id", "left_semi")
-    top = max(base, (mine.agg(F.max("id")).first()[0] or 0) + 1)
+    top = max(base, (mine.select("id").union(observations.select("id")).agg(F.max("id")).first()[0] or 0) + 1)
     free = o.join(mine.select("id"), "id", "left_anti")
     moved = numbered(taken.withColumn("_a", F.lit(0)).unionByName(tagged(summaries, "summary").withColumn("_a", F.lit(1))).withColumn("_k", F.col("id") * 2 + F.col("_a")), "_k", top, "_id").drop("_k", "_a")
     cols = ["id", "origin", "kind", "session_id", "project", "title"]

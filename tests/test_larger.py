@@ -47,3 +47,9 @@ def test_lines_that_end_in_their_number(spark, larger):
     text = "CASE doc_id % 3 WHEN 0 THEN '0 of ten lines' || chr(10) || 'line of number 1' || chr(10) || ' 2 and two more 2' ELSE 'line of number 1' || chr(10) || '2 and two more 2' END"
     made = larger(documents=f"SELECT doc_id, {text} AS text, 'd' || doc_id // 3 AS lang, source, n_chars FROM documents WHERE doc_id < 30")
     assert as_sql(spark, made, "edits_kept") == 10
+
+
+@pytest.mark.parametrize("first", [500_000, 999_960, 3_000_000])
+def test_import_of_ids_around_the_base(spark, larger, first):
+    made = larger(documents=f"SELECT * REPLACE (doc_id + {first} AS doc_id) FROM documents")
+    assert as_sql(spark, made, "import_foreign") > 50

@@ -316,3 +316,13 @@ def test_pooled_vectors(spark):
     half, fifth = round(0.5**0.5, 6), round(0.2**0.5, 6)
     assert got == {1: (3, [half, half]), 2: (0, [0.0, 0.0]), 3: (0, [0.0, 0.0]), 4: (2, [fifth, round(2 * 0.2**0.5, 6)])}
     assert {r["id"]: r["known"] for r in V.pooled(docs, "id", "text", tokens, 2, most=1).collect()} == {1: 1, 2: 0, 3: 0, 4: 1}
+
+
+def test_import_leaves_ids_of_both_alone(spark):
+    from tallyloom.operators import lifecycle as L
+
+    mine = spark.createDataFrame([(5, None)], "id long, origin string")
+    rows = lambda *ids: spark.createDataFrame([(i, "s", "p", "t") for i in ids], "id long, session_id string, project string, title string")
+    none = spark.createDataFrame([], "id long, session_id string, text string, kind string")
+    new, _ = L.import_foreign(mine, rows(5, 101), rows(7), none.drop("kind"), none, base=100)
+    assert sorted((r["id"], r["kind"]) for r in new.collect()) == [(101, "observation"), (102, "observation"), (103, "summary")]
