@@ -120,7 +120,7 @@ def keyword_rank(memories: DataFrame, scope: DataFrame, prompts: DataFrame, stop
 
 def shown(ranked: DataFrame, memories: DataFrame, now: int, limit: Limits = MODELS["potion"]) -> DataFrame:
     """(q, id, n, line): lines for a prompt, near-equal openings once, until the budget of bytes would be passed."""
-    line = F.concat(F.lit("#"), F.col("id").cast("string"), F.lit(" "), F.col("type"), F.lit(" · "), X.ago(F.lit(now) - F.col("created_at")), F.lit(" ago · "), X.head(F.col("title"), 110), F.lit("\n"))
+    line = F.concat(F.lit("#"), F.col("id").cast("string"), F.lit(" "), F.col("type"), F.lit(" · "), X.ago_in_hours(F.lit(now) - F.col("created_at")), F.lit(" ago · "), X.head(F.col("title"), 110), F.lit("\n"))
     rows = ranked.where(F.col("rank") <= limit.top).join(memories.select("id", "type", "title", "created_at"), "id").withColumn("line", line).withColumn("opening", F.substring(F.lower("title"), 1, limit.opening))
     first = O.first_per_key(rows, ["q", "opening"], "rank")
     return O.budget_prefix(first, ["q"], "rank", "line", limit.budget).select("q", "id", F.row_number().over(W.partitionBy("q").orderBy("rank")).alias("n"), "line")

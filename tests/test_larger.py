@@ -53,3 +53,8 @@ def test_lines_that_end_in_their_number(spark, larger):
 def test_import_of_ids_around_the_base(spark, larger, first):
     made = larger(documents=f"SELECT * REPLACE (doc_id + {first} AS doc_id) FROM documents")
     assert as_sql(spark, made, "import_foreign") > 50
+
+
+def test_memories_of_times_to_come(spark, larger):
+    made = larger(documents="SELECT * REPLACE (doc_id + 199900 AS doc_id) FROM documents")
+    assert as_sql(spark, made, "prompt_recall") > 50
