@@ -35,3 +35,35 @@ def test_small_tables(spark, tmp_path):
     assert index.find(v, asked, 5).count() == 4 and index.find(v, asked.limit(0), 5).count() == 0
     none = N.VectorIndex.build(spark, f"{tmp_path}/b", v.limit(0))
     assert none.find(v.limit(0), asked, 3).count() == 0
+
+
+def plain(v, q, k):
+    """nearest by the plain join."""
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    pairs = v.join(q.withColumnRenamed("v", "qv"), F.size("v") == F.size("qv")).select("q", "id", F.round(V.dot(F.col("qv"), F.col("v")), 6).alias("cosine"))
+    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.col("cosine").desc(), "id"))).where(F.col("rank") <= k)
+
+
+def table_of(df):
+    return sorted((repr(tuple(r)) for r in df.collect()))
+
+
+def test_odd_vectors_and_copies(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = [(i, unit([rnd.gauss(0, 1) for _ in range(5)])) for i in range(300)] + [(1000 + i, unit([1.0, 2.0, 3.0, 4.0, 5.0])) for i in range(200)]
+    rows += [(2000, [0.0] * 5), (2001, [1.0, 0.0]), (2002, None), (2003, [float("nan"), 1.0, 0.0, 0.0, 0.0]), (2004, [0.6, 0.8]), (2005, []), (-1, unit([1.0, 2, 3, 4, 5.000001]))]
+    v = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    q = v.where("id % 7 = 0 OR id >= 2000").selectExpr("concat('q', id) AS q", "v")
+    for slab, rows_ in ((2048, 1024), (16, 4)):
+        monkeypatch.setattr(V, "SLAB", slab), monkeypatch.setattr(V, "ROWS", rows_)
+        for k in (1, 6, 400):
+            assert table_of(V.nearest(v, q, k)) == table_of(plain(v, q, k))
+
+
+def test_tasks_give_the_best_only(spark):
+    rows = [(i, unit([1.0, (i % 50) / 50, 0.5])) for i in range(3000)]
+    v = spark.createDataFrame(rows, "id long, v array<double>").repartition(2)
+    asked = v.where("id % 50 = 0").selectExpr("id AS q", "v AS qv")
+    assert V.close(v, asked, 5).count() <= 2 * 5 * 60  # 180,000 pairs, of which a task keeps the best
