@@ -266,9 +266,11 @@ def looked_up(keys: DataFrame, memories: DataFrame, events: DataFrame) -> DataFr
 
 def passage_gate(sources: DataFrame, query: DataFrame, least: float) -> DataFrame:
     """(q, id, best): sources (id, passages: array of vectors) of which any passage is as close to the query (q, v) as `least`; the
-    queries are a stated set, so each source meets each of them once."""
-    from .vectors import cosine
+    queries are a stated set, so each source meets each of them once, in blocks and by products of matrices."""
+    from . import vectors as V
 
-    p = sources.select("id", F.explode("passages").alias("_p"))
-    best = p.join(F.broadcast(query), F.size("v") == F.size("_p")).groupBy("q", "id").agg(F.round(F.max(cosine(F.col("v"), F.col("_p"))), 6).alias("best"))
-    return best.where(F.col("best") >= least)
+    out = None
+    for block in V.in_blocks(query.select("q", F.col("v").alias("qv"))):
+        best = V.close_passages(sources, block, least).groupBy("q", "id").agg(F.round(F.max("c"), 6).alias("best"))
+        out = best if out is None else out.unionByName(best)
+    return out.where(F.col("best") >= least)

@@ -67,3 +67,20 @@ def test_tasks_give_the_best_only(spark):
     v = spark.createDataFrame(rows, "id long, v array<double>").repartition(2)
     asked = v.where("id % 50 = 0").selectExpr("id AS q", "v AS qv")
     assert V.close(v, asked, 5).count() <= 2 * 5 * 60  # 180,000 pairs, of which a task keeps the best
+
+
+def test_labels_and_passages(spark):
+    from pyspark.sql import functions as F
+
+    from tallyloom.operators import recall as C
+
+    rnd = random.Random(3)
+    v = spark.createDataFrame([(i, i % 4 if i % 9 else None, unit([rnd.gauss(0, 1) for _ in range(4)]) if i % 11 else [0.0] * 4) for i in range(80)], "id long, label int, v array<double>").repartition(3)
+    q = v.where("id % 5 = 0").withColumnRenamed("id", "q")
+    x = v.join(q.select("q", F.col("label").alias("ql"), F.col("v").alias("qv")), F.col("id") != F.col("q")).select("q", (F.col("label") == F.col("ql")).alias("own"), F.round(V.dot(F.col("qv"), F.col("v")), 6).alias("c"))
+    assert table_of(V.nearest_by_label(v, q)) == table_of(x.groupBy("q", "own").agg(F.max("c").alias("cosine")))
+    s = v.groupBy((F.col("id") % 30).alias("id")).agg(F.collect_list("v").alias("passages")).union(spark.createDataFrame([(90, []), (91, None)], "id long, passages array<array<double>>"))
+    for least in (0.3, 0.0, -1.0):
+        p = s.select("id", F.explode("passages").alias("p")).join(q.select("q", "v"), F.size("v") == F.size("p"))
+        want = p.groupBy("q", "id").agg(F.round(F.max(V.cosine(F.col("v"), F.col("p"))), 6).alias("best")).where(F.col("best") >= least)
+        assert table_of(C.passage_gate(s, q.select("q", "v"), least)) == table_of(want)
