@@ -118,7 +118,8 @@ def uptake(offers: DataFrame, fetched: DataFrame, cited: DataFrame) -> DataFrame
 def others_since(events: DataFrame, viewers: DataFrame, seen: DataFrame, span_ms: int = 21_600_000, scripted: DataFrame | None = None) -> DataFrame:
     """(viewer, other, id): what other sessions of a viewer's project have done within the last `span_ms` that the viewer hasn't seen.
 
-    viewers: (viewer, project, floor, at: its time); seen: (viewer, other, through).  An event counts if its id is over both the
+    viewers: (viewer, project, floor, at: its time); seen: (viewer, other, through), or (other, project, through) where all viewers of a
+    project have seen the same, which needs no row for each pair.  An event counts if its id is over both the
     viewer's floor and what it has seen of that session.  Events of the main thread: replies, edits, errors, a person's prompts.
     Times are dealt into spans, so a viewer meets the events of its project in two spans, not all of them."""
     e = events.where("kind IN ('assistant', 'file_edit', 'error') OR kind = 'prompt'" + (" AND label IS NULL" if "label" in events.columns else ""))
@@ -128,5 +129,5 @@ def others_since(events: DataFrame, viewers: DataFrame, seen: DataFrame, span_ms
     now = F.floor(F.col("at") / span_ms)
     v = viewers.withColumn("_b", F.explode(F.array(now - 1, now)))
     met = v.join(e, ["project", "_b"]).where((F.col("other") != F.col("viewer")) & (F.col("ts") > F.col("at") - span_ms) & (F.col("ts") <= F.col("at")) & (F.col("id") > F.col("floor")))
-    met = met.join(seen, ["viewer", "other"], "left").where(F.col("id") > F.coalesce("through", F.lit(0)))
+    met = met.join(seen, ["viewer", "other"] if "viewer" in seen.columns else ["other", "project"], "left").where(F.col("id") > F.coalesce("through", F.lit(0)))
     return met.select("viewer", "other", "id")

@@ -84,3 +84,14 @@ def test_labels_and_passages(spark):
         p = s.select("id", F.explode("passages").alias("p")).join(q.select("q", "v"), F.size("v") == F.size("p"))
         want = p.groupBy("q", "id").agg(F.round(F.max(V.cosine(F.col("v"), F.col("p"))), 6).alias("best")).where(F.col("best") >= least)
         assert table_of(C.passage_gate(s, q.select("q", "v"), least)) == table_of(want)
+
+
+def test_seen_by_all_viewers(spark):
+    from tallyloom.operators.feeds import others_since
+
+    e = spark.createDataFrame([(i, f"s{i % 4}", "p" if i % 4 < 3 else "r", "prompt", i * 10) for i in range(40)], "id long, session_id string, project string, kind string, ts long")
+    v = spark.createDataFrame([(f"s{i}", "p", 5, 395) for i in range(3)], "viewer string, project string, floor long, at long")
+    seen = spark.createDataFrame([("s1", "p", 21), ("s2", "p", 14)], "other string, project string, through long")
+    pairs = seen.crossJoin(v.select("viewer")).select("viewer", "other", "through")
+    got = table_of(others_since(e, v, seen, 300))
+    assert got == table_of(others_since(e, v, pairs, 300)) and len(got) > 20
