@@ -190,13 +190,28 @@ def within(a: str, b: str) -> str:
     return f"9L * {bound} >= 4L * ({a}n + {b}n)"
 
 
+def print_pairs(texts: DataFrame) -> DataFrame:
+    """(u, v), u > v: texts (u, text) whose fingerprints link, those of one fingerprint by their least text."""
+    rows = stash(fingerprints(texts.select("u", "text"), width=SHINGLE), "near-prints")
+    classes = stash(rows.groupBy("fp").agg(F.min("u").alias("v")), "near-classes")
+    same = rows.join(classes, "fp").where("u <> v").select("u", "v")
+    ends = [classes.select(F.col("fp").alias(e), F.col("v").alias(f"{e}_text")) for e in ("u", "v")]
+    between = links(classes.select("fp")).join(ends[0], "u").join(ends[1], "v").select(F.greatest("u_text", "v_text").alias("u"), F.least("u_text", "v_text").alias("v"))
+    out = stash(same.union(between).distinct(), "near-alike")
+    drop_stash(rows)
+    drop_stash(classes)
+    return out
+
+
 def near_pairs(texts: DataFrame) -> DataFrame:
     """(u, v): enough of the pairs of similar texts (u, text) to connect all of them, and no others.
 
-    Candidates are complete: all pairs that share a shingle of their prefixes and can be similar by the bounds of within().
-    First each text meets one other, the commonest among two of each of its shingles' texts: the one with the fewest shingles of
+    Fingerprints come first: texts whose fingerprints link by the covering masks are compared whole.  A fingerprint misses a part of
+    the similar pairs, which a join on shingles adds; its candidates are complete: all pairs that share a shingle of their prefixes and can be similar by the bounds of within().
+    There each text first meets one other, the commonest among two of each of its shingles' texts: the one with the fewest shingles of
     its own, near copies' likely original, and the longest.  Then the pairs that these leave unconnected are compared, all of
     them.  A shingle whose texts are connected already has nothing left to list."""
+    alike = compared(print_pairs(texts), texts)
     found = stash(prefixes(texts, hot_shingles(texts)), "near-prefixes")
     lists = found.repartition("s")  # one shuffle for both sides of the join
     many = lists.groupBy("s").agg(F.min("u").alias("x"), F.max("u").alias("y")).where("x <> y").select("s")
@@ -210,7 +225,8 @@ def near_pairs(texts: DataFrame) -> DataFrame:
     both = F.array(*(F.struct(F.col(f"{e}.u").alias("u"), F.col(f"{e}.n").alias("n"), F.col(f"{e}.i").alias("i"), F.col(f"{e}.c").alias("c")) for e in ("lo", "hi")))
     pairs = met.select("u", "n", "i", "c", F.explode(both).alias("e")).where(f"u <> e.u AND {within('', 'e.')}").select("u", F.col("e.u").alias("v"))
     best = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k")).groupBy("u").agg(F.max(F.struct("k", "v")).alias("b"))
-    close = compared(stash(best.select(F.greatest("u", "b.v").alias("u"), F.least("u", "b.v").alias("v")).distinct(), "near-ends"), texts)
+    first = best.select(F.greatest("u", "b.v").alias("u"), F.least("u", "b.v").alias("v")).distinct().join(alike, ["u", "v"], "left_anti")
+    close = alike.union(compared(stash(first, "near-ends"), texts))
     first = stash(connected_components(close, "near-links"), "near-first")
     marked = shared.select("s", "u", "n", "i", "c").join(first.withColumnRenamed("node", "u"), "u", "left").withColumn("g", F.coalesce("component", "u")).drop("component")
     split = marked.groupBy("s").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("s")
@@ -286,7 +302,7 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(k1, k2, r) of the rows that stay: hashes of text and id.
 
-    A pair links if its five-word shingles have a Jaccard similarity of SIMILAR or more, on whole texts; every such pair
+    Fingerprints propose pairs, a join on shingles those they miss.  A pair links if its five-word shingles have a Jaccard similarity of SIMILAR or more, on whole texts; every such pair
     is found (near_pairs).  Equal texts are one from the start.  In a group the row of least id, then least hashes, stays."""
     with scratch():
         texts = distinct_texts(docs, id, text)

@@ -722,3 +722,15 @@ def test_pipeline_against_plain_versions(spark, tmp_path):
     copies = {r[0]: r[1] // r[2] for r in con.execute(f"SELECT doc_id, taken, size FROM ({mixing.OP4_SQL}) WHERE taken > 0").fetchall()}
     assert step(4).keys() == copies.keys() and {r["doc_id"]: r["copies"] for r in docs.collect()} == copies
     assert all(tuple(r)[2:-1] == whole[r["doc_id"]][2:] for r in docs.collect())
+
+
+def test_near_dedup_proposes_by_fingerprints(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = {1: " ".join(words), 2: " ".join(words).upper(), 3: " ".join([*words[:-1], "x"]), 4: " ".join(reversed(words)), 5: "", 6: " "}
+    prints = {u: simhash.fingerprint(t.encode(), simhash.SHINGLE) for u, t in texts.items()}
+    with simhash.scratch():
+        pairs = {(r["u"], r["v"]) for r in simhash.print_pairs(spark.createDataFrame(list(texts.items()), "u long, text string")).collect()}
+    assert (2, 1) in pairs and (6, 5) in pairs
+    assert all((prints[u] ^ prints[v]).bit_count() <= 2 for u, v in pairs) and not any(4 in p for p in pairs)
+    docs = spark.createDataFrame([(u, t) for u, t in texts.items()], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [1, 4, 5]
