@@ -50,3 +50,20 @@ def plain(v):
 def rows_of(names, rows):
     order = sorted(range(len(names)), key=lambda i: names[i])
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
+
+
+def moved(spark, work):
+    """What work() gives, and the bytes that it shuffled and spilled."""
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+        kind = spark._jvm.java.lang.Class.forName("org.apache.spark.status.StageDataWrapper", True, spark._jvm.java.lang.Thread.currentThread().getContextClassLoader())
+        stages, out = spark.sparkContext._jsc.sc().statusStore().store().view(kind).iterator(), {}
+        while stages.hasNext():
+            x = stages.next().info()
+            out[x.stageId(), x.attemptId()] = x.shuffleWriteBytes() + x.diskBytesSpilled()
+        return out
+
+    before = total()
+    got = work()
+    return got, sum(v - before.get(k, 0) for k, v in total().items() if k in before or not before or k[0] > min(before)[0])
