@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from . import ranking as R
 from . import relational as O
-from .index import TextIndex, cut
+from .index import TextIndex, bounded, cut
 
 
 @dataclass(frozen=True)
@@ -112,9 +112,11 @@ def keyword_rank(memories: DataFrame, scope: DataFrame, prompts: DataFrame, stop
         age = (F.lit(now) - F.col("created_at")) / F.lit(2.592e10)
         best = R.top_scores(scope, "id", weights, open_, limit * 4, age=age, known=(n, mean, df))
     body = F.lower(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in weights)))
-    told = best.withColumnRenamed("doc", "id").join(scope.select("id", body.alias("body")), "id").join(open_.groupBy("q").agg(F.collect_list("term").alias("terms")), "q")
+    # the best are in scope; they meet the texts where these are read, and no text is shuffled
+    told = bounded(best.withColumnRenamed("doc", "id").join(open_.groupBy("q").agg(F.collect_list("term").alias("terms")), "q")).join(memories.select("id", body.alias("body")), "id")
     two = F.size(F.filter("terms", lambda t: F.contains(F.col("body"), t))) >= 2
-    kept = told.where(two).withColumn("n", F.row_number().over(W.partitionBy("q").orderBy("rank"))).where(F.col("n") <= limit)
+    told = cut(told.where(two).select("q", "id", "rank"))  # a report reads it more than once
+    kept = told.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy("rank"))).where(F.col("n") <= limit)
     return kept.select("q", "id", F.col("n").alias("rank"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import index as I
 from tallyloom.operators import ranking as R
+from tallyloom.operators import recall as C
 
 
 def bag(df):
@@ -70,3 +71,14 @@ def test_postings_are_packed_whole():
     for b, m, s, t in zip(begin, n, slots, tfs, strict=True):
         slot, tf = I.unpacked(held[8 * b : 8 * (b + m)])
         assert slot.tolist() == s and tf.tolist() == t
+
+
+def test_recall_shuffles_no_texts(spark, docs, built, size):
+    prompts = spark.createDataFrame([(q, f"title red of the blue {q}") for q in range(20)], "q long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as the sides of larger tables are
+    try:
+        run = lambda index: C.keyword_rank(docs, docs.where("id % 7 <> 0").join(docs.where("id % 5 = 0").select("id"), "id", "left_anti"), prompts, ("of", "the"), 5, 2_000_000, {"title": 5.0, "narrative": 1.0}, rare=2.0, index=index)
+        got, bytes_ = moved(spark, lambda: bag(run(built[0])))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == bag(run(None)) and len(got) > 50 and bytes_ < 0.3 * size
