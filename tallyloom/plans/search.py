@@ -125,10 +125,9 @@ def knn_filtered(spark, sf):
 def pooled_vectors(spark, sf):
     """Documents' vectors from those of their tokens; a token's vector is that of the row of `embeddings` that its hash names."""
     d, e = table(spark, sf, "documents"), table(spark, sf, "embeddings")
-    terms = d.select(F.explode(F.array_distinct(R.tokens(F.col("text")))).alias("term")).distinct()
-    own = F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 8), 16, 10).cast("long") % F.lit(e.count())
-    tokens = terms.withColumn("vec_id", own).join(e.select("vec_id", F.col("embedding").alias("v")), "vec_id").select("term", "v")
-    p = V.pooled(d, "doc_id", "text", tokens, 64)
+    n = e.count()
+    own = lambda term: F.conv(F.substring(F.md5(term.cast("binary")), 1, 8), 16, 10).cast("long") % F.lit(n)
+    p = V.pooled(d, "doc_id", "text", e.select(F.col("vec_id").alias("term"), F.col("embedding").alias("v")), 64, key=own)
     at = lambda i: F.round(F.get("v", F.lit(i)), 5) + 0.0
     return p.select(F.col("id").alias("doc_id"), "known", at(0).alias("v0"), at(17).alias("v17"), at(63).alias("v63"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import index as I
 from tallyloom.operators import ranking as R
 from tallyloom.operators import recall as C
+from tallyloom.operators import vectors as V
 
 
 def bag(df):
@@ -82,3 +83,17 @@ def test_recall_shuffles_no_texts(spark, docs, built, size):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == bag(run(None)) and len(got) > 50 and bytes_ < 0.3 * size
+
+
+def test_pooled_by_hashed_tokens_shuffles_sums_only(spark, docs, size, monkeypatch):
+    table = spark.createDataFrame([(i, [float(i % 3), float(i % 5)]) for i in range(40)], "term long, v array<double>")
+    key = lambda t: F.pmod(F.xxhash64(t), F.lit(40))
+    terms = docs.select(F.explode(R.tokens(F.col("narrative"))).alias("w")).distinct().withColumn("term", key(F.col("w")))
+    plain = terms.join(table, "term").select(F.col("w").alias("term"), "v")
+    rounded = lambda df: bag(df.select("id", "known", F.array_join(F.transform("v", lambda x: F.round(x, 9).cast("string")), " ").alias("v")))
+    got, bytes_ = moved(spark, lambda: rounded(V.pooled(docs, "id", "narrative", table, 2, key=key)))
+    assert bytes_ < 0.2 * size
+    monkeypatch.setattr(I, "ROWS", 15)  # three parts
+    assert got == rounded(V.pooled(docs, "id", "narrative", table, 2, key=key))
+    monkeypatch.setattr(I, "ROWS", 1)  # more than there are passes
+    assert got == rounded(V.pooled(docs, "id", "narrative", plain, 2))
