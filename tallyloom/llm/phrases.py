@@ -118,22 +118,30 @@ def located(parts: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, listed, compiled = None, [], None
         for batch in slices(batches, "part", 4 << 20):
-            rows, hits = [], []
-            for i, (shard, kind, pid, part) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "pid", "part")), strict=True)):
-                if shard != now:
-                    now, listed, compiled = shard, [], None
-                if kind == 0:
-                    listed.append((pid, part))
+            shard, kind = (batch.column(c).to_numpy() for c in ("shard", "kind"))
+            rows, hits = [np.zeros(0, np.int64)], [np.zeros((0, 3), np.int64)]
+            cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                if a == z:
+                    continue
+                if shard[a] != now:
+                    now, listed, compiled = shard[a], [], None
+                k = a + int(np.count_nonzero(kind[a:z] == 0))  # passages come first
+                listed += zip(batch.column("pid").slice(a, k - a).to_pylist(), batch.column("part").slice(a, k - a).to_pylist(), strict=True)
+                if k == z:
                     continue
                 if compiled is None:
                     compiled, listed = Shard(listed), []
-                own = compiled.locate(part)
-                hits += own
-                rows += [i] * len(own)
-            row = pa.array(rows, pa.int64())
-            first, n, pid = zip(*hits, strict=True) if hits else ((),) * 3
-            start = np.array(first, np.int32) + batch.column("i1").take(row).to_numpy(zero_copy_only=False).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in ("k1", "k2", "m")), pa.array(start), pa.array(start + np.array(n, np.int32)), pa.array(pid, pa.int64())], names=["k1", "k2", "m", "i1", "i2", "pid"])
+                each = batch.column("part").slice(k, z - k).dictionary_encode()  # equal parts are looked at once
+                own = [compiled.locate(part) for part in each.dictionary.to_pylist()]
+                many, code = np.fromiter(map(len, own), np.int64, len(own)), each.indices.to_numpy()
+                n = many[code]
+                at = np.repeat((np.cumsum(many) - many)[code] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                rows.append(np.repeat(np.arange(k, z), n))
+                hits.append(np.array([h for o in own for h in o], np.int64).reshape(-1, 3)[at])
+            row, (first, n, pid) = pa.array(np.concatenate(rows)), np.concatenate(hits).T
+            start = (first + batch.column("i1").take(row).to_numpy(zero_copy_only=False)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in ("k1", "k2", "m")), pa.array(start), pa.array(start + n.astype(np.int32)), pa.array(np.ascontiguousarray(pid))], names=["k1", "k2", "m", "i1", "i2", "pid"])
 
     both = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
     return both.mapInArrow(run, "k1 long, k2 long, m long, i1 int, i2 int, pid long")
